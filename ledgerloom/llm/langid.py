@@ -16,6 +16,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ CLOSE_BYTES, CLOSE_PART = 24, 0.02
 #: Relative margin, in smoothed form, under which a choice counts as rejected.
 REJECT = 0.01
 LETTER = regex.compile(r"\p{L}")
+OTHER = re.compile(r"[\W\d_]+")
 
 
 def learning_sample(labelled: DataFrame, docs: int = DOCS, piece: int = PIECE) -> DataFrame:
@@ -48,12 +50,17 @@ def learning_sample(labelled: DataFrame, docs: int = DOCS, piece: int = PIECE) -
     return best.select("lang", "_hash", F.substring(F.col("text"), at.cast("int") + 1, F.lit(piece)).alias("text"))
 
 
+def plain(text: str) -> bytes:
+    """Lower-case letters with single spaces: capitals and signs cost the same in any language."""
+    return f" {OTHER.sub(' ', text.lower()).strip()} ".encode()
+
+
 def fit(labelled: DataFrame) -> dict[str, bytes]:
     """Raw content by language; the pieces are interleaved, so that every shard has some of all."""
     pieces: dict[str, list[tuple[int, str]]] = {}
     for lang, key, text in learning_sample(labelled).collect():
         pieces.setdefault(lang, []).append((key, text))
-    return {lang: "\n".join(dict.fromkeys(t for _, t in sorted(rows))).encode()[-DICTIONARY:] for lang, rows in sorted(pieces.items())}
+    return {lang: b"".join(dict.fromkeys(plain(t) for _, t in sorted(rows)))[-DICTIONARY:] for lang, rows in sorted(pieces.items())}
 
 
 @functools.lru_cache(maxsize=2)
@@ -73,16 +80,14 @@ def classify(text: str | None, content: tuple[tuple[str, bytes], ...]) -> tuple[
     if not text or not content or not LETTER.search(text):
         return "und", 0.0, False
     names, whole, shards = _compressors(content)
-    raw = text.encode()
+    raw = plain(text)
     pieces = [raw[k : k + CHUNK] for k in range(0, len(raw), CHUNK)]
     sizes = np.array([sum(len(c.compress(p)) for p in pieces) for c in whole], float)
     if len(names) == 1:
         return names[0], 1.0, True
     best, second = np.sort(sizes)[:2]
     if second - best < max(CLOSE_BYTES, CLOSE_PART * best):
-        # lower case, then the letters alone, too: sentence starts and signs cost the same in any language
-        plain = text.lower().encode()
-        forms = [raw, plain, b" " + plain + b" "]
+        forms = [raw, raw[:-1] + raw, raw.strip()]  # more sums, so fewer equal ones
         for form in forms:
             for k in range(0, len(form), CHUNK):
                 sizes += [sum(len(c.compress(form[k : k + CHUNK])) for c in group) / len(group) for group in shards]
