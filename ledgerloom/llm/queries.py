@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing
+from . import chat, decontam, langid, media, mixing, toxicity
 from .common import table
 
 
@@ -83,6 +83,14 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(documents.where(~held_out).select("doc_id", "text").join(labels, "doc_id").select("text", "toxic"))
+    return toxicity.score(documents, model, "doc_id", held_out.alias("held_out"))
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     named = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -118,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_chat": op4_chat,
     "op5_media": op5_media,
+    "op8_toxicity": op8_toxicity,
     "op9_decontam": op9_decontam,
 }
 
