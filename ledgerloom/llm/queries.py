@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, toxicity
+from . import chat, decontam, langid, media, mixing, nearjoin, toxicity
 from .common import table
 
 
@@ -86,8 +86,8 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(documents.where(~held_out).select("doc_id", "text").join(labels, "doc_id").select("text", "toxic"))
+    labels = toxicity.first_rows(table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"), F.xxhash64("doc_id"))
+    model = toxicity.fit(documents.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "toxic"))  # at most TOXIC + CLEAN rows
     return toxicity.score(documents, model, "doc_id", held_out.alias("held_out"))
 
 
@@ -121,6 +121,10 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
 
+def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_mixing": op3_mixing,
@@ -128,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media": op5_media,
     "op8_toxicity": op8_toxicity,
     "op9_decontam": op9_decontam,
+    "op10_nearjoin": op10_nearjoin,
 }
 
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_chat": OP4_SQL, "op9_decontam": OP9_SQL}

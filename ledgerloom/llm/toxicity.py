@@ -295,12 +295,17 @@ def score_texts(model: dict[str, np.ndarray], texts: list[str | None]) -> np.nda
     return 1 / (1 + np.exp(-np.clip(slope * top + intercept, -40, 40)))
 
 
-def learning_sample(labelled: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, chars: int = LEARN_CHARS) -> DataFrame:
-    """(toxic, text): the rows of each label that come first by a hash of their text; limited before the shuffle."""
-    rows = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") <= chars)).select(F.col("toxic").cast("int").alias("toxic"), "text")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("text"))
-    ranked = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(toxic, clean))
-    return ranked.where(F.col("_n") <= F.when(F.col("toxic") == 1, toxic).otherwise(clean)).select("toxic", "_n", "text")
+def first_rows(labelled: DataFrame, order: Column, toxic: int = TOXIC, clean: int = CLEAN) -> DataFrame:
+    """The rows of each label that come first by ``order``, in at most these numbers; limited before the shuffle."""
+    rows = labelled.where(F.col("toxic").isin(0, 1)).withColumn("toxic", F.col("toxic").cast("int"))
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(order))).where(F.col("_n") <= max(toxic, clean))
+    return ranked.where(F.col("_n") <= F.when(F.col("toxic") == 1, toxic).otherwise(clean)).drop("_n")
+
+
+def learning_sample(labelled: DataFrame, chars: int = LEARN_CHARS) -> DataFrame:
+    """(toxic, _order, text) of a bounded number of rows."""
+    rows = labelled.where(F.col("text").isNotNull() & (F.length("text") <= chars)).select("toxic", F.xxhash64("text").alias("_order"), "text")
+    return first_rows(rows, F.col("_order"))
 
 
 def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
