@@ -106,3 +106,10 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW)
     joined = counted.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._key") == F.col("s._key")), "left")
     hits = F.coalesce(F.col("s._hit"), F.lit(0)).cast("long")
     return joined.select("d.doc_id", "d.n_words", hits.alias("n_hit"), F.coalesce("s.items", F.array().cast(f"array<{items.schema['item_id'].dataType.simpleString()}>")).alias("items"), (hits > 0).alias("contaminated"))
+
+
+def clean_documents(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without a window of any item."""
+    found = phrase_matches(documents, windows_of(items, window), window).select(F.col("doc_id").alias("_hit"), "_key").distinct()
+    key = F.xxhash64(documents["text"])
+    return documents.join(found, documents["doc_id"].eqNullSafe(found["_hit"]) & (key == found["_key"]), "left_anti")

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, nearjoin, toxicity
+from . import chat, decontam, langid, linededup, lmscore, media, mixing, nearjoin, substrings, toxicity
 from .common import table
 
 
+def op1_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    vocab = lmscore.vocabulary(documents)
+    return lmscore.score(documents, lmscore.train(documents, vocab), vocab, "doc_id")
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -83,6 +89,15 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    struck, lines, removed, runs = linededup.strike(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return struck.select("doc_id", F.col(lines).alias("n_lines"), F.col(removed).alias("n_removed"), F.col(runs).alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -126,10 +141,13 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lmscore": op1_lmscore,
     "op2_langid": op2_langid,
     "op3_mixing": op3_mixing,
     "op4_chat": op4_chat,
     "op5_media": op5_media,
+    "op6_linededup": op6_linededup,
+    "op7_substrings": op7_substrings,
     "op8_toxicity": op8_toxicity,
     "op9_decontam": op9_decontam,
     "op10_nearjoin": op10_nearjoin,

@@ -326,16 +326,18 @@ def slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def score(documents: DataFrame, model: dict[str, np.ndarray], *keep: Column | str) -> DataFrame:
-    """``keep`` columns and score, predicted for every row of (text)."""
+def score(documents: DataFrame, model: dict[str, np.ndarray], *keep: Column | str, score: str = "score", verdict: str = "predicted") -> DataFrame:
+    """``keep`` columns and the score and verdict, under the names given, for every row of (text)."""
     learnt = documents.sparkSession.sparkContext.broadcast(model)  # a few MB, of a fixed size
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = documents.select(F.struct(*keep).alias("kept"), F.col("text").alias("text"))
+    names = [f"kept.`{f.name}`" for f in rows.schema["kept"].dataType.fields]
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            texts = batch.pop("_scored").tolist()
-            scores = np.concatenate([score_texts(learnt.value, texts[s]) for s in slices(texts)]) if texts else np.zeros(0)
-            yield batch.assign(score=scores, predicted=(scores >= 0.5).astype("int32"))
+            texts = batch.tolist()
+            yield pd.Series(np.concatenate([score_texts(learnt.value, texts[s]) for s in slices(texts)]) if texts else np.zeros(0))
 
-    rows = documents.select(*keep, F.col("text").alias("_scored"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_scored")
-    return rows.mapInPandas(predict, f"{fields}, score double, predicted int")
+    found = rows.withColumn("found", scores.asNondeterministic()("text"))  # so that a filter on it does not run it twice
+    return found.select(*names, F.col("found").alias(score), (F.col("found") >= 0.5).cast("int").alias(verdict))
