@@ -1 +1,7 @@
-"""See the modules of this package."""
+"""Queries over the driver's tables, and their SQL."""
+
+from . import catalogue_queries
+
+_PARTS = (catalogue_queries,)
+QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLES = {k: s for part in _PARTS for k, s in part.ORACLES.items()}
