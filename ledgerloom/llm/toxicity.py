@@ -16,6 +16,7 @@ scores; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -309,9 +310,14 @@ def learning_sample(labelled: DataFrame, chars: int = LEARN_CHARS) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Train on (text, toxic)."""
-    rows = sorted(learning_sample(labelled).collect())
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    """Train on (text, toxic): in one task, which the bounded sample fits in and which Spark repeats if it is lost."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches, pd.DataFrame({"toxic": [], "_order": [], "text": []})]).sort_values(["toxic", "_order", "text"])
+        yield pd.DataFrame({"model": [pickle.dumps(train(rows["text"].tolist(), rows["toxic"].astype(int).tolist()))]})
+
+    found = learning_sample(labelled).repartition(1).mapInPandas(learn, "model binary").collect()
+    return pickle.loads(found[0].model) if found else train([], [])
 
 
 def slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[slice]:
