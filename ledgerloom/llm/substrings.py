@@ -276,8 +276,10 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
             yield pd.DataFrame(rows, columns=["gram", "id", "place", "classes", "bytes"])
 
     by_id = documents.repartition(partitions(documents.sparkSession), "id")  # twice in the plan, one exchange
-    edges = cut(by_id.join(lists, "id").select("id", "text", "asked").mapInPandas(fetch, "gram long, id long, place long, classes long, bytes binary"))
-    ranges = several.unionByName(sort_edges(edges.where(F.col("classes") <= most), length)).unionByName(count_edges(edges.where(F.col("classes") > most), length))
+    edges = by_id.join(lists, "id").select("id", "text", "asked").mapInPandas(fetch, "gram long, id long, place long, classes long, bytes binary")
+    ranges = several.unionByName(sort_edges(edges.where(F.col("classes") <= most), length))
+    if differing.where(F.col("classes") > most).limit(1).count():
+        ranges = ranges.unionByName(count_edges(edges.where(F.col("classes") > most), length))
     return by_id, ranges
 
 
