@@ -228,8 +228,8 @@ def batch_scope(batch: DataFrame, allowed: DataFrame) -> DataFrame:
 def facet(rows: DataFrame, codes: str, scope: str, everything: DataFrame) -> DataFrame:
     """(code): all codes if some row is worldwide, else those that occur."""
     found = rows.select(F.explode(codes).alias("code")).distinct()
-    world = rows.where(F.col(scope) == "worldwide").limit(1).select(F.lit(1).alias("_w"))
-    return found.unionByName(everything.select("code").join(world, F.lit(True)).select("code")).distinct()
+    world = rows.where(F.col(scope) == "worldwide").select(F.lit(1).alias("_k")).limit(1)
+    return found.unionByName(everything.select("code", F.lit(1).alias("_k")).join(world, "_k", "left_semi").select("code")).distinct()
 
 
 def page_sequence_audit(rows: DataFrame, batch: str, place: str, key: str, total: str) -> DataFrame:

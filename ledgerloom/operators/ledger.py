@@ -14,6 +14,7 @@ NO_FACT = r"(?i)^(unverified|unknown|tbd|tba|n/?a|none|not (known|available|prov
 # Readings that are no organisation's name.
 NO_NAME = r"(?i)^(test|n/?a|none|unknown|tbd|my (org|organi[sz]ation)|organi[sz]ation|company|xxx+)$"
 READABLE_GRANT, REFERENTS_WANTED = 600, 3
+VOCABULARY = 2_000
 PRECEDENCE = {"intake": 1, "upload": 2, "website": 3}
 
 
@@ -125,11 +126,17 @@ def axes_fingerprint(axes: Column) -> Column:
 def draw_compositions(applicants: DataFrame, axes: DataFrame, rounds: int = 8) -> DataFrame:
     """(grant_id, applicant_id, draw, fingerprint): a code for every axis, drawn again for those whose fingerprint an earlier one of the grant has.
 
-    axes: (axis, code), a vocabulary. The code of least seeded hash is drawn, the last of equals; one round settles all but collisions.
+    axes: (axis, code), a vocabulary of at most ``VOCABULARY`` rows, which is put into the plan as literals. The code of least seeded hash is
+    drawn, the last of equals; one round settles all but collisions.
     """
+    listed = sorted(tuple(r) for r in axes.select("axis", "code").distinct().limit(VOCABULARY + 1).collect())
+    if len(listed) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} codes")
+    choices = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(c).alias("code")) for a, c in listed])
     taken, waiting = None, applicants.select("grant_id", "applicant_id")
     for draw in range(rounds):
-        seeded = waiting.join(axes, F.lit(True)).withColumn("_h", T.fnv1a(F.concat_ws("|", F.col("applicant_id").cast("string"), F.lit(str(draw)), "axis", "code")))
+        seeded = waiting.select("*", F.explode(choices).alias("c")).select("grant_id", "applicant_id", "c.*")
+        seeded = seeded.withColumn("_h", T.fnv1a(F.concat_ws("|", F.col("applicant_id").cast("string"), F.lit(str(draw)), "axis", "code")))
         best = seeded.groupBy("grant_id", "applicant_id", "axis").agg(F.max(F.struct((-F.col("_h")).alias("h"), "code")).alias("_b"))
         drawn = best.groupBy("grant_id", "applicant_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", "_b.code")))).alias("axes"))
         drawn = drawn.withColumn("draw", F.lit(draw)).withColumn("fingerprint", axes_fingerprint(F.col("axes"))).drop("axes")

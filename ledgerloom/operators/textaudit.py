@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -400,16 +402,16 @@ def sums_close(totals: DataFrame, parts: DataFrame, key: str, places: int = 2) -
 MOST_NODES, NODE_ID, MONEY_PLACES, OTHER_PLACES = 200, re.compile(r"[A-Z]{1,2}[0-9]{1,3}"), 2, 6
 
 
-def evaluate_register(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Recompute one register bottom-up; each node gets a value or the code of its fault. Columns as in the schema REGISTER."""
-    rows = {r.node_id: r for r in nodes.itertuples(index=False)}
+def evaluate_register(nodes: list) -> list[tuple[str, float | None, str | None]]:
+    """Recompute one register bottom-up: (node_id, value, code of its fault). Nodes have the fields of the schema REGISTER but the id."""
+    rows = {r.node_id: r for r in nodes}
     fault: dict[str, str] = {}
-    if len(nodes) > MOST_NODES:
-        fault = dict.fromkeys(rows, "too_many_nodes")
-    labels = nodes["label"].fillna("").str.lower().str.split().str.join(" ")
-    for r, label, twice in zip(nodes.itertuples(index=False), labels, labels.duplicated(keep=False) | nodes["node_id"].duplicated(keep=False), strict=True):
+    plain = lambda r: " ".join((r.label or "").lower().split())
+    labels, ids = Counter(map(plain, nodes)), Counter(r.node_id for r in nodes)
+    for r in nodes:
         members = [] if r.members is None else list(r.members)
-        leaf, has = r.kind == "leaf", r.value is not None and not pd.isna(r.value)
+        label, twice = plain(r), labels[plain(r)] > 1 or ids[r.node_id] > 1
+        leaf, has = r.kind == "leaf", r.value is not None
         if not NODE_ID.fullmatch(r.node_id or ""):
             code = "bad_id"
         elif len(label) < 3 or twice:
@@ -428,7 +430,7 @@ def evaluate_register(nodes: pd.DataFrame) -> pd.DataFrame:
             code = "bad_arity"
         elif not leaf and r.basis != "arithmetic":
             code = "bad_basis"
-        elif not leaf and (r.asserted is None or pd.isna(r.asserted)):
+        elif not leaf and r.asserted is None:
             code = "not_asserted"
         elif any(m not in rows for m in members):
             code = "dangling"
@@ -488,12 +490,22 @@ def evaluate_register(nodes: pd.DataFrame) -> pd.DataFrame:
 
     for name in rows:
         visit(name)
-    out = nodes[["register_id", "node_id"]].copy()
-    out["computed"] = [value.get(n) for n in out["node_id"]]
-    out["fault"] = [fault.get(n) for n in out["node_id"]]
-    return out
+    return [(r.node_id, value.get(r.node_id), fault.get(r.node_id)) for r in nodes]
 
 
 def close_registers(nodes: DataFrame) -> DataFrame:
-    """(register_id, node_id, computed, fault); registers have at most MOST_NODES sound nodes, so a group is small."""
-    return nodes.groupBy("register_id").applyInPandas(evaluate_register, "register_id long, node_id string, computed double, fault string")
+    """(register_id, node_id, computed, fault). Registers of too many nodes are told by a count; only the others are gathered."""
+    sizes = nodes.groupBy("register_id").agg(F.count("*").alias("_n"))
+    great = sizes.where(F.col("_n") > MOST_NODES).select("register_id")
+    refused = nodes.join(great, "register_id", "left_semi").select("register_id", "node_id", F.lit(None).cast("double").alias("computed"), F.lit("too_many_nodes").alias("fault"))
+    fields = ["node_id", "kind", "label", "unit", "unit_kind", "members", "value", "asserted", "basis"]
+    sound = nodes.join(great, "register_id", "left_anti").groupBy("register_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("nodes"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for register, own in zip(batch["register_id"], batch["nodes"], strict=True):
+                out += [(register, *x) for x in evaluate_register([SimpleNamespace(**n) for n in own])]
+            yield pd.DataFrame(out, columns=["register_id", "node_id", "computed", "fault"])
+
+    return sound.mapInPandas(work, "register_id long, node_id string, computed double, fault string").unionByName(refused)

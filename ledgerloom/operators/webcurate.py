@@ -99,7 +99,7 @@ def paragraphs(pages: DataFrame, text: str) -> DataFrame:
 def within_budget(kept: DataFrame, most: int = SITE_CHARS) -> DataFrame:
     """Paragraphs of a site until their characters reach the budget."""
     so_far = F.sum(F.length("paragraph")).over(Window.partitionBy("site").orderBy("page_id", "place").rowsBetween(Window.unboundedPreceding, -1))
-    return kept.where(F.coalesce(so_far, F.lit(0)) < most)
+    return kept.withColumn("_before", F.coalesce(so_far, F.lit(0))).where(F.col("_before") < most).drop("_before")
 
 
 def site_summary(observations: DataFrame) -> DataFrame:
