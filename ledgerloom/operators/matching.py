@@ -26,6 +26,20 @@ def candidates(members: DataFrame, opportunities: DataFrame, blocked: DataFrame,
     return pairs.join(known, ["user_id", "opportunity_id"], "left").where(stale).drop("_revision", "_version")
 
 
+def newest(found: DataFrame, opportunities: DataFrame, n: int = 20) -> DataFrame:
+    """The newest candidates: a top-k report."""
+    return found.join(opportunities.select("opportunity_id", "fetched_at"), "opportunity_id").orderBy(F.col("fetched_at").desc(), F.col("opportunity_id").desc(), "user_id").limit(n)
+
+
+def is_member(as_of: str) -> Column:
+    return (F.col("state") == "active") & (F.col("paid_until") > F.lit(as_of).cast("timestamp"))
+
+
+def reserved_total(rows: DataFrame, by: list[str], cap: float) -> DataFrame:
+    """Reservations against a cap, by key."""
+    return rows.groupBy(*by).agg(F.sum("reserved").alias("reserved")).withColumn("left", F.lit(cap) - F.col("reserved"))
+
+
 def winners(aliases: DataFrame, order: list[Column]) -> DataFrame:
     """The best usable alias of each (allowed kinds, group): ranked per set of kinds, so that members of one set share a row.
 
@@ -125,7 +139,7 @@ def latest_alerts(alerts: DataFrame, most: int = 30) -> DataFrame:
 
 def enrich(board: DataFrame, matches: DataFrame, paid: DataFrame, as_of: str) -> DataFrame:
     """fit and confidence only for members in credit whose match has the board's version."""
-    member = paid.where((F.col("state") == "active") & (F.col("paid_until") > F.lit(as_of).cast("timestamp"))).select("user_id", F.lit(True).alias("_paid")).distinct()
+    member = paid.where(is_member(as_of)).select("user_id", F.lit(True).alias("_paid")).distinct()
     joined = board.join(matches.select("user_id", "opportunity_id", "fit", "confidence", F.col("group_version").alias("_v")), ["user_id", "opportunity_id"], "left").join(member, "user_id", "left")
     shown = F.coalesce(F.col("_paid"), F.lit(False)) & (F.col("_v") == F.col("group_version"))
     return joined.withColumns({c: F.when(shown, F.col(c)) for c in ("fit", "confidence")}).drop("_paid", "_v")

@@ -138,6 +138,42 @@ def audit_names(runs: DataFrame, ledger: DataFrame, own_names: DataFrame, owner:
     return rows.withColumn("verdict", verdict).select(owner, "phrase", "line_start", "sentence_start", "mid_sentence", "verdict")
 
 
+def ledger_referents(ledger: DataFrame, own_names: DataFrame, owner: str) -> DataFrame:
+    """(owner, phrase) of names in a ledger's claims that are not the applicant's own. ledger: (owner, claim); own_names: (owner, name)."""
+    runs = proper_nouns(ledger, owner, "claim").where(F.col("phrase") != F.upper("phrase")).select(owner, "phrase").distinct()
+    own = name_containment(runs, own_names, owner).select(owner, "phrase").distinct()
+    return runs.join(own, [owner, "phrase"], "left_anti")
+
+
+def site_referents(pages: DataFrame, own_names: DataFrame, site: str, text: str) -> DataFrame:
+    """(site, phrase) of names of up to six words, less the site's own, and less single words that the site also writes in lower case."""
+    edge = r"^((of|the|and|for|de|la|le|du|el|al|van|von|bin) )+|( (of|the|and|for|de|la|le|du|el|al|van|von|bin))+$"
+    runs = proper_nouns(pages, site, text).where(F.col("phrase") != F.upper("phrase")).select(site, F.regexp_replace("phrase", edge, "").alias("phrase")).distinct()
+    runs = runs.where((F.size(F.split("phrase", " ")) <= 6) & (F.col("phrase") != ""))
+    lower = pages.select(site, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}])(\p{Ll}[\p{L}\p{N}'’-]*)"), F.lit(1))).alias("_w")).distinct()
+    single = runs.where(~F.contains("phrase", F.lit(" "))).withColumn("_w", F.lower("phrase")).join(lower, [site, "_w"], "left_anti").select(site, "phrase")
+    found = runs.where(F.contains("phrase", F.lit(" "))).unionByName(single)
+    own = name_containment(found, own_names, site).select(site, "phrase").distinct()
+    return found.join(own, [site, "phrase"], "left_anti")
+
+
+def budget_totals(lines: DataFrame, key: str, envelope: DataFrame, slack: float = 0.02) -> DataFrame:
+    """(key, total, envelope, within): sum of quantity times unit cost against the envelope. lines: (key, quantity, unit_cost)."""
+    g = lines.groupBy(key).agg(F.sum(F.col("quantity") * F.col("unit_cost")).alias("total"))
+    return g.join(envelope, key).select(key, "total", "envelope", (F.abs(F.col("total") - F.col("envelope")) <= F.col("envelope") * slack).alias("within"))
+
+
+def admissible(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Adds refusal to register leaves (register_id, node_id, value, unit_kind, basis, source_ref): a cited item must carry the number, an estimate must not be too precise, money must be positive.
+
+    evidence: (source_ref, number).
+    """
+    carried = nodes.join(evidence.select("source_ref", F.col("number").alias("value"), F.lit(True).alias("_carried")).distinct(), ["source_ref", "value"], "left")
+    precise = (F.col("value") >= 100) & (T.significant_figures(F.col("value").cast("long")) > 2)
+    rule = F.when((F.col("basis") == "evidence") & F.col("_carried").isNull(), "not_in_evidence").when((F.col("basis") == "estimate") & precise, "pseudo_precision").when((F.col("unit_kind") == "money") & (F.col("value") <= 0), "money_not_positive")
+    return carried.withColumn("refusal", rule).drop("_carried")
+
+
 def evidence_use(offered: DataFrame, used: DataFrame, owner: str, item: str) -> DataFrame:
     """(owner, offered, used, finding): at least 3 offered and less than half used."""
     n = offered.groupBy(owner).agg(F.count_distinct(item).alias("offered"))
