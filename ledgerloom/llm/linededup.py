@@ -10,7 +10,7 @@ Only the first place of a window is a partner, so a line in a third of all texts
 pairs; its counts are combined before the shuffle.
 
 Edge cases: null texts and texts without lines that reach the threshold lose nothing; line ends are ``\\n``; blank lines stay; repeated
-rows of a document count as one text (the least, if texts differ) and get equal results; a null id is an id of its own and comes first; an empty table gives no
+rows of a document count as one text and get equal results; of differing texts of one id the one of the least hash counts, the others stay as they are; a null id is an id of its own and comes first; an empty table gives no
 rows; other columns are kept as they are.
 """
 
@@ -31,7 +31,7 @@ NO_ID = -(1 << 63)
 
 
 def line_table(texts: DataFrame) -> DataFrame:
-    """(id, at, hashes, words): place, hash and words of the lines that are not blank, in order."""
+    """(id, text_hash, at, hashes, words) of (id, text_hash, text): place, hash and words of the lines that are not blank, in order."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -39,13 +39,15 @@ def line_table(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "id": batch["id"],
+                    "text_hash": batch["text_hash"],
                     "at": [np.array([k for k, _ in own], np.int32) for own in lines],
                     "hashes": [np.array([xxhash.xxh3_64_intdigest(x) for _, x in own], np.uint64).view(np.int64) for own in lines],
                     "words": [np.array([len(x.split()) for _, x in own], np.int32) for own in lines],
                 }
             )
 
-    return texts.mapInPandas(work, "id long, at array<int>, hashes array<long>, words array<int>")
+    found = texts.mapInPandas(work, "id long, text_hash long, at array<int>, hashes array<long>, words array<int>")
+    return found.groupBy("id").agg(F.min(F.struct("text_hash", "at", "hashes", "words")).alias("t")).select("id", "t.*")
 
 
 def fingerprints(lines: DataFrame, n: int = LINES, heavy: int = HEAVY) -> DataFrame:
@@ -58,7 +60,7 @@ def fingerprints(lines: DataFrame, n: int = LINES, heavy: int = HEAVY) -> DataFr
 
 
 def repeated_lines(texts: DataFrame, n: int = LINES, heavy: int = HEAVY) -> DataFrame:
-    """(id, lines, gone, runs) for every id: the number of lines that are not blank, the places of those to delete, and how many runs these make up; from (id, text) of different ids."""
+    """(id, text_hash, lines, gone, runs) for every id: the number of lines that are not blank, the places of those to delete, and how many runs these make up; from (id, text_hash, text)."""
     lines = cut(line_table(texts))
     marks = fingerprints(lines, n, heavy)
     firsts = marks.groupBy("fingerprint", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1")
@@ -87,9 +89,9 @@ def repeated_lines(texts: DataFrame, n: int = LINES, heavy: int = HEAVY) -> Data
 
     extended = both.select("id", "hashes", "theirs", "anchors").mapInPandas(extend, "id long, lines array<int>")
     gone = extended.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("gone"))
-    found = lines.select("id", "at").join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    found = lines.select("id", "text_hash", "at").join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     runs = F.size(F.filter("gone", lambda p: ~F.array_contains("gone", p - 1)))
-    return found.select("id", F.size("at").cast("long").alias("lines"), F.transform("gone", lambda p: F.get("at", p)).alias("gone"), runs.cast("long").alias("runs"))
+    return found.select("id", "text_hash", F.size("at").cast("long").alias("lines"), F.transform("gone", lambda p: F.get("at", p)).alias("gone"), runs.cast("long").alias("runs"))
 
 
 def free(name: str, taken: list[str]) -> str:
@@ -101,14 +103,15 @@ def free(name: str, taken: list[str]) -> str:
 
 def strike(documents: DataFrame, n: int = LINES, heavy: int = HEAVY) -> tuple[DataFrame, str, str, str]:
     """All columns, with text replaced, and three more: lines, lines removed, and runs that they make up; with the names of these."""
-    key, count, removed, runs, gone = (free(x, documents.columns) for x in ("_line_key", "_lines", "_removed", "_runs", "_gone"))
+    key, count, removed, runs, gone, own = (free(x, documents.columns) for x in ("_line_key", "_lines", "_removed", "_runs", "_gone", "_text_hash"))
     rows = documents.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    texts = rows.select(F.col(key).alias("id"), "text")
-    repeated = texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")  # usually none
-    single = texts.join(repeated, "id", "left_anti").unionByName(texts.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    marks = repeated_lines(single, n, heavy).select(F.col("id").alias(key), F.col("lines").alias(count), F.size("gone").cast("long").alias(removed), F.col("runs").alias(runs), F.col("gone").alias(gone))
+    texts = rows.select(F.col(key).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    marks = repeated_lines(texts, n, heavy).select(F.col("id").alias(key), F.col("text_hash").alias(own), F.col("lines").alias(count), F.size("gone").cast("long").alias(removed), F.col("runs").alias(runs), F.col("gone").alias(gone))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(F.col(gone), k)), "\n")
-    return rows.join(marks, key).withColumn("text", F.when(F.col(removed) > 0, left).otherwise(F.col("text"))).drop(key, gone), count, removed, runs
+    joined = rows.join(marks, key)
+    counts = F.col(own) == F.xxhash64("text")
+    joined = joined.withColumns({removed: F.when(counts, F.col(removed)).otherwise(0), runs: F.when(counts, F.col(runs)).otherwise(0)})
+    return joined.withColumn("text", F.when(F.col(removed) > 0, left).otherwise(F.col("text"))).drop(key, gone, own), count, removed, runs
 
 
 def without_repeated_lines(documents: DataFrame, n: int = LINES, heavy: int = HEAVY) -> DataFrame:
