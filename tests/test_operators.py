@@ -57,18 +57,18 @@ def test_countable_text():
 
 
 def test_name_runs():
-    runs = {r["phrase"]: r for r in textaudit.name_runs("We work with Tower Hamlets Council.\nCedar Valley Trust supplies it. The Church of St Mark helps.")}
-    assert runs["Tower Hamlets Council"]["mid_sentence"]
-    assert runs["Cedar Valley"]["line_start"]
-    assert "Church of St Mark" in runs
+    runs = {r["phrase"]: r for r in textaudit.name_runs("We work with Elm County Council.\nBirch Hollow Trust supplies it. The House of St Olav helps.")}
+    assert runs["Elm County Council"]["mid_sentence"]
+    assert runs["Birch Hollow"]["line_start"]
+    assert "House of St Olav" in runs
 
 
 def test_audit_names(spark):
-    runs = spark.createDataFrame([(1, "Tower Hamlets", False, False, True), (1, "Qobbe Institute", False, False, True), (1, "Employs Rana Haddad", True, False, False)], "o long, phrase string, line_start boolean, sentence_start boolean, mid_sentence boolean")
-    names = spark.createDataFrame([(1, "Tower Hamlets Council"), (1, "Qobbe"), (1, "Rana Haddad")], "o long, name string")
+    runs = spark.createDataFrame([(1, "Elm County", False, False, True), (1, "Norra Institute", False, False, True), (1, "Employs Ilse Marten", True, False, False)], "o long, phrase string, line_start boolean, sentence_start boolean, mid_sentence boolean")
+    names = spark.createDataFrame([(1, "Elm County Council"), (1, "Norra"), (1, "Ilse Marten")], "o long, name string")
     own = spark.createDataFrame([], "o long, name string")
     got = {r.phrase: r.verdict for r in textaudit.audit_names(runs, names, own, "o").collect()}
-    assert got == {"Tower Hamlets": "used", "Qobbe Institute": "unsourced", "Employs Rana Haddad": "used"}
+    assert got == {"Elm County": "used", "Norra Institute": "unsourced", "Employs Ilse Marten": "used"}
 
 
 def test_contacts_need_their_own_class(spark):
