@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOCS, PIECE = 400, 400
+LANGUAGES = 1_000
 DICTIONARY, SHARDS = 112 * 1024, 4
 CHUNK = 4096
 LEVEL = 6
@@ -41,13 +42,19 @@ OTHER = re.compile(r"[\W\d_]+")
 def learning_sample(labelled: DataFrame, docs: int = DOCS, piece: int = PIECE) -> DataFrame:
     """(lang, text): for each language the ``docs`` rows that come first by a hash of their text, a piece of each.
 
-    The window's limit is applied before the shuffle, so that a language of many rows sends ``docs`` a task.
+    Pieces are cut first, so that no whole text is shuffled. By the languages' counts, rows that can't be among the first but by a rare chance
+    are left out before, so that what a language sends to its task doesn't grow with the rows that it has.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("_hash"))
-    order = Window.partitionBy("lang").orderBy("_hash")
-    best = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs)
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(4.0 * docs / r["count"])) for r in counts], F.lit(1.0))
+    rows = known.select("lang", "text", F.xxhash64("text").alias("_hash")).where((F.col("_hash").cast("double") / 2.0**64 + 0.5 <= share) & F.col("text").rlike(r"\p{L}"))
     at = F.pmod(F.shiftrightunsigned("_hash", 7), F.greatest(F.length("text") - piece, F.lit(1)))
-    return best.select("lang", "_hash", F.substring(F.col("text"), at.cast("int") + 1, F.lit(piece)).alias("text"))
+    pieces = rows.select("lang", "_hash", F.substring(F.col("text"), at.cast("int") + 1, F.lit(piece)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("_hash")
+    return pieces.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs).drop("_n")
 
 
 def plain(text: str) -> bytes:
