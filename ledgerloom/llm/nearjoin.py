@@ -11,7 +11,8 @@ blocks, each a group of its own that gives a forest of its links and a count for
 texts costs m * m / BLOCK rows; copies cost nothing, as they are in one class. Components come from star steps in Spark.
 
 Edge cases: a text of fewer than ``n`` words, but not none, is one shingle; null texts and texts without words are alone
-in their class, without links; repeated rows are copies of each other; an empty table gives no rows; other columns are ignored.
+in their class, without links; repeated rows are copies of each other; the texts of an id are taken one by one; a null id is never
+the name of a class that has another, and null ids are not one id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, row_key
 from .components import components
+from .linededup import free
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, LONGEST, RECALL = 16, 8, 0.9995
@@ -36,7 +38,7 @@ NODE_BLOCK, PAIR_BLOCK = 2048, 512
 SLACK = 0.2
 CHARS = 1 << 20
 WORD = re.compile(r"\w+")
-SIGNED = "doc_id long, shingles long, key binary, sketch binary, labels array<long>"
+SIGNED = "row long, doc_id long, named boolean, shingles long, key binary, sketch binary, labels array<long>"
 
 
 def prefix_length(similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL) -> int:
@@ -107,12 +109,12 @@ def signatures(sets: list[np.ndarray], count: int, seed: int = 11) -> np.ndarray
 
 
 def sign(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, shingles, key of the whole set, sketch, label of each trie down to the prefix's length)."""
+    """(row, doc_id, shingles, key of the whole set, sketch, label of each trie down to the prefix's length)."""
     depth = prefix_length(similarity)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
+            texts = batch.pop("text").tolist()
             for part in slices(texts):
                 sets = shingle_sets(texts[part], n)
                 full = [k for k, s in enumerate(sets) if len(s)]
@@ -120,14 +122,16 @@ def sign(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE)
                 labels = np.zeros((len(full), TREES), np.uint64)
                 for j in range(depth):
                     labels = mix64(labels * np.uint64(31) + values[:, j::depth].astype(np.uint64) + np.uint64(1))
-                frame = pd.DataFrame({"doc_id": ids[part], "shingles": [len(s) for s in sets]})
+                frame = batch.iloc[part].assign(shingles=[len(s) for s in sets])
                 frame["key"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 sketch, label = [None] * len(sets), [None] * len(sets)
                 for row, k in enumerate(full):
                     sketch[k], label[k] = (values[row] & 255).astype(np.uint8).tobytes(), labels[row].view(np.int64)
                 yield frame.assign(sketch=sketch, labels=label)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, SIGNED)
+    ids = F.col("doc_id").cast("long")
+    rows = documents.select(row_key().alias("row"), F.coalesce(ids, F.lit(0)).alias("doc_id"), ids.isNotNull().alias("named"), "text")  # a null would make all ids of a batch floats
+    return rows.mapInPandas(work, SIGNED).withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
 
 
 def forest(near: np.ndarray | None, n: int, row_of=None) -> np.ndarray:
@@ -230,7 +234,7 @@ def verified(documents: DataFrame, members: DataFrame, similarity: float, n: int
 
     members: (component, size, rep, copies).
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    texts = documents.select(row_key().alias("rep"), "text").join(members.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -266,29 +270,43 @@ def verified(documents: DataFrame, members: DataFrame, similarity: float, n: int
     return by_group(rows, ["component", "_i", "_j"], work, "rep long, linked long, root long")
 
 
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, class_id, n_links, copies) for every row of (doc_id, text).
+def grouped(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
+    """(row, doc_id, head, n_links, copies) for every row of (doc_id, text).
 
-    class_id is the least id of the text's component of links; n_links counts the other documents, copies included,
-    whose shingle sets are as similar as asked; copies counts the documents of its own shingle set.
+    head is the (unnamed, doc_id, row) of the component's least row by id, null ids last; null for texts without words.
     """
     signed = cut(sign(documents, similarity, n))
-    classes = signed.where("shingles > 0").groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "labels")).alias("r"), F.count("*").alias("copies"))
-    reps = cut(classes.select("key", F.col("r.doc_id").alias("rep"), "r.sketch", "r.labels", "copies"))
-    # a document id with several texts stands for several classes; they are joined under the id
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("head")
+    classes = signed.where("shingles > 0").groupBy("key").agg(F.min(F.struct("row", "sketch", "labels")).alias("r"), head, F.count("*").alias("copies"))
+    reps = cut(classes.select("key", F.col("r.row").alias("rep"), "r.sketch", "r.labels", "head", "copies"))
     links = components(candidates(reps, similarity))
     sizes = links.groupBy("component").agg(F.count("*").alias("size"))
-    members = links.join(sizes, "component").join(reps.groupBy(F.col("rep").alias("node")).agg(F.sum("copies").alias("copies")), "node").select("component", "size", F.col("node").alias("rep"), "copies")
+    members = links.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "copies"), "node").select("component", "size", F.col("node").alias("rep"), "copies")
     found = cut(verified(documents, members, similarity, n))
     counts = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    joined = components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    known = reps.select("key", "rep", "copies").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("key", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    out = signed.select("doc_id", "key").join(known, "key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    joined = components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
+    first = joined.join(reps.select("rep", "head"), "rep").groupBy("component").agg(F.min("head").alias("first"))
+    known = reps.select("key", "rep", "head", "copies").join(counts, "rep", "left").join(joined.join(first, "component").select("rep", "first"), "rep", "left")
+    known = known.select("key", F.coalesce("first", "head").alias("head"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    return signed.select("row", "doc_id", "key").join(known, "key", "left").drop("key")
+
+
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
+    """(doc_id, class_id, n_links, copies) for every row of (doc_id, text).
+
+    class_id is the least id of the text's component of links, null if it has none; n_links counts the other documents, copies included,
+    whose shingle sets are as similar as asked; copies counts the documents of its own shingle set.
+    """
+    out = grouped(documents, similarity, n)
+    return out.select("doc_id", F.coalesce("head.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
 
 
 def one_of_each(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
-    """The documents with one row kept of each component, that of the least id."""
-    found = near_duplicates(documents, similarity, n).where("doc_id = class_id").select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_semi")
+    """The documents with one row kept of each component, that of the least id; all rows without words are kept."""
+    key = free("_row", documents.columns)
+    found = grouped(documents, similarity, n).where("head is null or head.row = row")
+    kept = cut(found.groupBy("row").agg(F.count("*").alias("n"), F.first(F.col("head").isNull()).alias("alone")).withColumnRenamed("row", key))
+    rows = documents.withColumn(key, row_key())
+    single = rows.join(kept.where("alone or n = 1"), key, "left_semi")
+    several = rows.join(kept.where("not alone and n > 1"), key, "left_semi").dropDuplicates([key])
+    return single.unionByName(several).select(*[f"`{c}`" for c in documents.columns])

@@ -13,8 +13,7 @@ compared byte by byte, so a hash collision is not taken for a repeat. An anchor
 neighbourhoods, which no task should hold, sends the hashes of its windows (twice 64 bits) to be counted by Spark instead.
 
 Edge cases: null texts count as empty; texts shorter than ``LENGTH`` bytes lose nothing; repeated rows are repeats of
-each other; rows of one id with different texts share their removals (ids are taken to name texts); a null id is an id of its own; an
-empty table gives no rows; other columns are ignored.
+each other; the texts of an id, or of null ids, are taken one by one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, row_key
 
 LENGTH, GRAM = 200, 80
 SORTED = 4096
 SLICE = 1 << 20
-NO_ID = -(1 << 63)
 _rng = np.random.default_rng(17)
 #: Two tables of random byte values and two odd bases: prefix hashes are sums modulo 2**64.
 VALUES = _rng.integers(1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,7 +117,7 @@ def anchors(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 text, place, key, around = anchors_of(raws[part], length, gram)
                 yield pd.DataFrame({"id": ids[part][text], "place": place, "gram": key, "around": around})
 
-    return documents.mapInPandas(work, "id long, place long, gram long, around long")
+    return documents.select("id", "text").mapInPandas(work, "id long, place long, gram long, around long")
 
 
 def common(hashed: Hashed, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -253,7 +251,7 @@ def count_edges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = SORTED) -> tuple[DataFrame, DataFrame]:
-    """(documents by id, (id, begin, end) of byte ranges that are repeated), lazily; ranges may overlap."""
+    """(documents of (id, doc_id, named, text) by id, (id, begin, end) of byte ranges that are repeated), lazily; ranges may overlap."""
     found = anchors(documents, length, gram)
     shared = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     shared = cut(found.join(shared, "gram"))
@@ -275,8 +273,8 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
                     rows.append((w["gram"], owner, w["place"], w["classes"], raw[begin : begin + (w["place"] >> 8 & 255) + length]))
             yield pd.DataFrame(rows, columns=["gram", "id", "place", "classes", "bytes"])
 
-    by_id = documents.repartition(partitions(documents.sparkSession), "id")  # twice in the plan, one exchange
-    edges = by_id.join(lists, "id").select("id", "text", "asked").mapInPandas(fetch, "gram long, id long, place long, classes long, bytes binary")
+    by_id = documents.repartition(partitions(documents.sparkSession), "id")  # twice in the plan with the same columns, one exchange
+    edges = by_id.join(lists, "id").select("id", "doc_id", "named", "text", "asked").mapInPandas(fetch, "gram long, id long, place long, classes long, bytes binary")
     ranges = several.unionByName(sort_edges(edges.where(F.col("classes") <= most), length))
     if differing.where(F.col("classes") > most).limit(1).count():
         ranges = ranges.unionByName(count_edges(edges.where(F.col("classes") > most), length))
@@ -285,27 +283,28 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
 
 def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = SORTED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row of (doc_id, text); kept is the remaining bytes."""
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = F.col("doc_id").cast("long")
+    rows = documents.select(row_key().alias("id"), F.coalesce(ids, F.lit(0)).alias("doc_id"), ids.isNotNull().alias("named"), F.coalesce("text", F.lit("")).alias("text"))
     by_id, ranges = repeats(rows, length, gram, most)
     lists = ranges.groupBy("id").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))  # at most one a byte of the text
 
     def strike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for owner, text, spans in batch[["id", "text", "ranges"]].itertuples(index=False):
+            for owner, named, text, spans in batch[["doc_id", "named", "text", "ranges"]].itertuples(index=False):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 if spans is None or not len(spans):
-                    out.append((owner, len(raw), 0, 0, raw.tobytes()))
+                    out.append((owner, named, len(raw), 0, 0, raw.tobytes()))
                     continue
                 depth = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(depth, [s["begin"] for s in spans], 1)
                 np.add.at(depth, [s["end"] for s in spans], -1)
                 gone = np.cumsum(depth[:-1]) > 0
-                out.append((owner, len(raw), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()), raw[~gone].tobytes()))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((owner, named, len(raw), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()), raw[~gone].tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "named", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    struck = by_id.join(lists, "id", "left").select("id", "text", "ranges").mapInPandas(strike, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return struck.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    struck = by_id.join(lists, "id", "left").select("id", "doc_id", "named", "text", "ranges").mapInPandas(strike, "doc_id long, named boolean, n_bytes long, n_removed long, n_spans long, kept binary")
+    return struck.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def digests(struck: DataFrame) -> DataFrame:

@@ -308,6 +308,26 @@ def test_near_copies_against_brute_force(spark, monkeypatch, block):
     assert got == brute_near(rows)
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    text = lambda a, n=40: " ".join(f"{a}{k}" for k in range(n))
+    near = text("a") + " end"
+    rows = [(None, text("a")), (3, text("a")), (4, near), (None, text("b")), (None, text("c", 60)), (7, text("d")), (7, near), (8, text("d")), (9, "e"), (9, text("f", 70)), (9, text("f", 70)), (None, None), (None, ""), (1 << 60 | 1, "g")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in nearjoin.near_duplicates(d).collect())
+    assert got == Counter([(None, 3, 3, 2), (3, 3, 3, 2), (4, 3, 3, 2), (7, 3, 3, 2), (None, None, 0, 1), (None, None, 0, 1), (7, 7, 1, 2), (8, 7, 1, 2), (9, 9, 0, 1), (9, 9, 1, 2), (9, 9, 1, 2), (None, None, 0, 1), (None, None, 0, 1), (1 << 60 | 1, 1 << 60 | 1, 0, 1)])
+    kept = Counter((r.doc_id, r.text) for r in nearjoin.one_of_each(d).collect())
+    assert kept == Counter([(3, text("a")), (None, text("b")), (None, text("c", 60)), (7, text("d")), (9, "e"), (9, text("f", 70)), (None, None), (None, ""), (1 << 60 | 1, "g")])
+
+
+def test_bytes_of_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    say = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared, own = say(300), [say(k) for k in (700, 250, 900, 40)]
+    rows = [(None, own[0]), (None, shared + own[1]), (5, own[2]), (5, own[3] + shared), (5, "short")]
+    got = Counter((r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(None, 0, own[0]), (None, 300, own[1]), (5, 0, own[2]), (5, 300, own[3]), (5, 0, "short")])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
