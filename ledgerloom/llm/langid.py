@@ -5,7 +5,7 @@ A text is encoded in pieces with every language's dictionary, and the language o
 give equal sizes easily, so where the best two are close the text is encoded again with smaller dictionaries, shards of the
 same content, and the sums are added up. A choice whose margin stays narrow is marked as rejected.
 
-Bounds: ``DOCS`` labelled rows a language give at most ``PIECE`` characters each; the dictionaries are the only
+Bounds: ``DOCS`` different labelled texts a language give at most ``PIECE`` characters each; the dictionaries are the only
 thing that goes through the driver. All texts are classified whole.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; equal sums go to the first language by name;
@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 DOCS, PIECE = 400, 400
 LANGUAGES = 1_000
 DICTIONARY, SHARDS = 112 * 1024, 4
@@ -40,19 +42,25 @@ OTHER = re.compile(r"[\W\d_]+")
 
 
 def learning_sample(labelled: DataFrame, docs: int = DOCS, piece: int = PIECE) -> DataFrame:
-    """(lang, text): for each language the ``docs`` rows that come first by a hash of their text, a piece of each.
+    """(lang, text): for each language the ``docs`` different texts with letters that come first by their hash, a piece of each.
 
-    Pieces are cut first, so that no whole text is shuffled. By the languages' counts, rows that can't be among the first but by a rare chance
-    are left out before, so that what a language sends to its task doesn't grow with the rows that it has.
+    Copies count once. Pieces are cut first, so that no whole text is shuffled. By the languages' counts of different texts, those that can't be
+    among the first but by a rare chance are left out before, so that what a language sends to its task doesn't grow with the rows that it has;
+    a language that this leaves with too few is not thinned.
     """
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("_hash"))
+    place = F.col("_hash").cast("double") / 2.0**64 + 0.5
+    different = cut(known.select("lang", "_hash").distinct())
+    counts = different.groupBy("lang").count().limit(LANGUAGES + 1).collect()
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(4.0 * docs / r["count"])) for r in counts], F.lit(1.0))
-    rows = known.select("lang", "text", F.xxhash64("text").alias("_hash")).where((F.col("_hash").cast("double") / 2.0**64 + 0.5 <= share) & F.col("text").rlike(r"\p{L}"))
+    shares = {r["lang"]: 4.0 * docs / r["count"] for r in counts if r["count"] > 4 * docs}
+    thin = lambda: place <= F.coalesce(*[F.when(F.col("lang") == lang, F.lit(share)) for lang, share in shares.items()], F.lit(1.0))
+    left = {r["lang"]: r["count"] for r in different.where(thin()).groupBy("lang").count().collect()}
+    shares = {lang: share for lang, share in shares.items() if left.get(lang, 0) >= docs}
+    rows = known.where(thin())
     at = F.pmod(F.shiftrightunsigned("_hash", 7), F.greatest(F.length("text") - piece, F.lit(1)))
-    pieces = rows.select("lang", "_hash", F.substring(F.col("text"), at.cast("int") + 1, F.lit(piece)).alias("text"))
+    pieces = rows.select("lang", "_hash", F.substring(F.col("text"), at.cast("int") + 1, F.lit(piece)).alias("text")).groupBy("lang", "_hash").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("_hash")
     return pieces.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs).drop("_n")
 

@@ -84,6 +84,16 @@ def test_language(spark):
     assert langid.classify("123 !!", (("en", b"abc"),)) == ("und", 0.0, False)
 
 
+def test_language_sample_counts_copies_once(spark):
+    many = spark.range(20000).select(F.lit("en").alias("lang"), F.lit("a copy").alias("text"))
+    other = spark.range(50).select(F.lit("en").alias("lang"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    blank = spark.range(5000).select(F.lit("de").alias("lang"), F.col("id").cast("string").alias("text")).unionByName(spark.createDataFrame([("de", "ein Wort")], "lang string, text string"))
+    d = many.unionByName(other).unionByName(blank)
+    got = Counter(r.lang for r in langid.learning_sample(d).collect())
+    assert got == {"en": 51, "de": 1}
+    assert Counter(r.lang for r in langid.learning_sample(d, 3).collect()) == {"en": 3, "de": 1}
+
+
 def test_mix_reaches_targets(spark):
     got = mixing.mixed_documents(docs(spark)).collect()
     by_source = {}
