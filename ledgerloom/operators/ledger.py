@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lineage import cut
 
 # Readings that state no fact.
 NO_FACT = r"(?i)^(unverified|unknown|tbd|tba|n/?a|none|not (known|available|provided)|-+|0+)$"
@@ -15,6 +16,8 @@ NO_FACT = r"(?i)^(unverified|unknown|tbd|tba|n/?a|none|not (known|available|prov
 NO_NAME = r"(?i)^(test|n/?a|none|unknown|tbd|my (org|organi[sz]ation)|organi[sz]ation|company|xxx+)$"
 READABLE_GRANT, REFERENTS_WANTED = 600, 3
 VOCABULARY = 2_000
+# Integer grids that every composition has besides its codes: name, seed, least value, number of values.
+GRIDS = [("move_order", "mo", 0, 997), ("cadence_mu", "cad", 8, 20), ("weight_profile", "wp", 0, 997)]
 PRECEDENCE = {"intake": 1, "upload": 2, "website": 3}
 
 
@@ -123,28 +126,39 @@ def axes_fingerprint(axes: Column) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(F.map_entries(axes)), lambda e: F.concat(e.key, F.lit("="), e.value)), ";"), 256)
 
 
-def draw_compositions(applicants: DataFrame, axes: DataFrame, rounds: int = 8) -> DataFrame:
-    """(grant_id, applicant_id, draw, fingerprint): a code for every axis, drawn again for those whose fingerprint an earlier one of the grant has.
+def draw_compositions(applicants: DataFrame, axes: DataFrame, rounds: int = 50) -> DataFrame:
+    """(grant_id, applicant_id, draw, fingerprint, outcome): a code for every axis and a value of every grid, drawn again for those whose fingerprint an earlier one of the grant has.
 
-    axes: (axis, code), a vocabulary of at most ``VOCABULARY`` rows, which is put into the plan as literals. The code of least seeded hash is
-    drawn, the last of equals; one round settles all but collisions.
+    Every applicant has a row: placed, or refused without a fingerprint after ``rounds`` draws. axes: (axis, code), a vocabulary of at most
+    ``VOCABULARY`` rows, which is put into the plan as literals. The code of least seeded hash is drawn, the last of equals; one round settles
+    all but collisions, and rounds end when nobody is waiting.
     """
     listed = sorted(tuple(r) for r in axes.select("axis", "code").distinct().limit(VOCABULARY + 1).collect())
     if len(listed) > VOCABULARY:
         raise ValueError(f"more than {VOCABULARY} codes")
-    choices = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(c).alias("code")) for a, c in listed])
-    taken, waiting = None, applicants.select("grant_id", "applicant_id")
+    names = {g[0] for g in GRIDS}
+    entries = [(a, c, f"{a}|{c}") for a, c in listed if a not in names] + [(a, None, seed) for a, seed, _, _ in GRIDS]
+    choices = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(c).cast("string").alias("code"), F.lit(s).alias("seed")) for a, c, s in entries])
+    value = F.coalesce("code", *[F.when(F.col("axis") == a, (F.lit(least) + F.col("_h") % many).cast("string")) for a, _, least, many in GRIDS])
+    done, waiting = [], applicants.select("grant_id", "applicant_id").distinct()
     for draw in range(rounds):
         seeded = waiting.select("*", F.explode(choices).alias("c")).select("grant_id", "applicant_id", "c.*")
-        seeded = seeded.withColumn("_h", T.fnv1a(F.concat_ws("|", F.col("applicant_id").cast("string"), F.lit(str(draw)), "axis", "code")))
-        best = seeded.groupBy("grant_id", "applicant_id", "axis").agg(F.max(F.struct((-F.col("_h")).alias("h"), "code")).alias("_b"))
+        seeded = seeded.withColumn("_h", T.fnv1a(F.concat_ws("|", F.col("applicant_id").cast("string"), F.lit(str(draw)), "seed")))
+        best = seeded.groupBy("grant_id", "applicant_id", "axis").agg(F.max(F.struct((-F.col("_h")).alias("h"), value.alias("code"))).alias("_b"))
         drawn = best.groupBy("grant_id", "applicant_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", "_b.code")))).alias("axes"))
         drawn = drawn.withColumn("draw", F.lit(draw)).withColumn("fingerprint", axes_fingerprint(F.col("axes"))).drop("axes")
-        first = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("grant_id", "fingerprint").orderBy("applicant_id"))).where("_n = 1").drop("_n")
-        won = first if taken is None else first.join(taken.select("grant_id", "fingerprint"), ["grant_id", "fingerprint"], "left_anti")
-        taken = won if taken is None else taken.unionByName(won)
-        waiting = waiting.join(taken.select("grant_id", "applicant_id"), ["grant_id", "applicant_id"], "left_anti")
-    return taken
+        marked = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("grant_id", "fingerprint").orderBy("applicant_id")))
+        if done:
+            taken = reduce(DataFrame.unionByName, done).select(F.col("grant_id").alias("_g"), F.col("fingerprint").alias("_f"))
+            marked = marked.join(taken, F.col("grant_id").eqNullSafe(F.col("_g")) & (F.col("fingerprint") == F.col("_f")), "left")
+            marked = marked.withColumn("_n", F.when(F.col("_f").isNull(), F.col("_n")).otherwise(0)).drop("_g", "_f")
+        marked = cut(marked)
+        done.append(marked.where("_n = 1").drop("_n").withColumn("outcome", F.lit("placed")))
+        waiting = marked.where("_n <> 1").select("grant_id", "applicant_id")
+        if waiting.isEmpty():
+            break
+    refused = waiting.select("*", F.lit(None).cast("int").alias("draw"), F.lit(None).cast("string").alias("fingerprint"), F.lit("refused").alias("outcome"))
+    return reduce(DataFrame.unionByName, [*done, refused])
 
 
 def gap_detected(wants: Column, evidence: Column) -> Column:

@@ -161,7 +161,7 @@ def unnotified_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composition_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     applicants = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grant_id"), F.col("c_custkey").alias("applicant_id"))
     axes = table(spark, sf_dir, "nation").select(F.concat(F.lit("axis"), (F.col("n_nationkey") % 5).cast("string")).alias("axis"), F.col("n_name").alias("code"))
-    return ledger.draw_compositions(applicants, axes, 3)
+    return ledger.draw_compositions(applicants, axes)
 
 
 def sufficiency_score(spark: SparkSession, sf_dir: str) -> DataFrame:

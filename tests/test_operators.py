@@ -171,3 +171,20 @@ def test_mentions_weigh_roles():
     text = "Cedar Trust provides tutors.\nWe signed an agreement with Oak Council in 2024.\n- Elm House\n# Cedar Trust"
     got = {(m[0], m[1]): (m[2], m[5]) for m in textaudit.mentions(text, ["Cedar Trust", "Oak Council", "Elm House"])}
     assert got == {("Cedar Trust", "prose"): ("subject", False), ("Oak Council", "prose"): ("counterparty", False), ("Elm House", "list"): ("listing", True), ("Cedar Trust", "heading"): ("adjunct", True)}
+
+
+def test_every_applicant_is_drawn_or_refused(spark):
+    axes = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "axis string, code string")
+    people = spark.createDataFrame([(k % 2, k) for k in range(60)] + [(None, 7), (None, None), (1, None)], "grant_id long, applicant_id long")
+    got = ledger.draw_compositions(people, axes).collect()
+    assert len(got) == 63 and {(r.grant_id, r.applicant_id) for r in got} == {tuple(r) for r in people.collect()}
+    assert {r.outcome for r in got} == {"placed"} and len({(r.grant_id, r.fingerprint) for r in got}) == 63
+    small = ledger.GRIDS
+    try:
+        ledger.GRIDS = [("cadence_mu", "cad", 8, 5)]
+        tight = ledger.draw_compositions(people.where("grant_id = 0"), axes, 4).collect()
+    finally:
+        ledger.GRIDS = small
+    placed = [r for r in tight if r.outcome == "placed"]
+    assert len(tight) == 30 and 1 < len({r.fingerprint for r in placed}) == len(placed) <= 10
+    assert all(r.fingerprint is None and r.outcome == "refused" for r in tight if r not in placed)
