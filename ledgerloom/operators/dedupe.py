@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ..functions.lineage import cut
+
 # The longest run of shared words that passes; the changed part and kept words of a material change.
 RUN_CAP = 25
 MATERIAL_CHANGE, MATERIAL_RETENTION = 0.20, 0.85
@@ -55,20 +59,72 @@ def longest_run(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def run_windows(rows: DataFrame, least: int, places: bool = False) -> DataFrame:
+    """(id, grp, size, place, h): hashes of the windows of each wanted size, once a document unless ``places``.
+
+    rows: (id, grp, w, ok, wants); w are hashes of words, ok the places whose windows of ``least`` words count, or null for all.
+    """
+    base, back = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for owner, grp, w, ok, wants in batch[["id", "grp", "w", "ok", "wants"]].itertuples(index=False):
+                x = np.asarray(w, np.int64).view(np.uint64)
+                power, inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(x), f, np.uint64))) for f in (base, back))
+                sums = np.append(np.uint64(0), np.cumsum(x * power[:-1]))
+                good = np.ones(len(x) + 1, np.int64)
+                if ok is not None:
+                    good[:] = 0
+                    good[ok] = 1
+                good = np.append(0, np.cumsum(good))
+                for size in wants:
+                    at = np.arange(max(len(x) - size + 1, 0))
+                    at = at[good[at + size - least + 1] - good[at] == size - least + 1]
+                    h = (sums[at + size] - sums[at]) * inverse[at]
+                    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    if not places:
+                        h, first = np.unique(h, return_index=True)
+                        at = at[first]
+                    parts.append(pd.DataFrame({"id": owner, "grp": grp, "size": size, "place": at, "h": h.view(np.int64)}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.select("id", "grp", "w", "ok", "wants").mapInPandas(work, f"id {kinds['id']}, grp {kinds['grp']}, size int, place int, h long")
+
+
 def longest_shared_run(documents: DataFrame, id_col: str, group: str, text: str, cap: int = RUN_CAP) -> DataFrame:
-    """(id, worst_partner, longest_run, holds) for documents over the cap.
+    """(id, worst_partner, longest_run, holds) for documents over the cap, over all other documents of the group.
 
-    Candidates: each document and the least other holder of every shingle of cap + 1 words that they share, so a shingle of m documents gives
-    m pairs, not m * m; the run itself is found on the words of each pair.
+    The run is the greatest size of which some window of the document has a second holder in its group. It is built bit by bit, the
+    greatest first: at each step all documents that may reach a tried size give their windows' hashes, and holders are counted with map-side
+    combining, so no pair is made. The partner is the least other holder of such a window.
     """
-    texts = documents.select(id_col, group, words(F.col(text)).alias("_w"))
-    own = texts.select(id_col, group, F.explode(F.array_distinct(F.transform(shingles(F.col("_w"), cap + 1), lambda s: F.xxhash64(s)))).alias("s"))
-    ends = own.groupBy(group, "s").agg(F.min(id_col).alias("_a"), F.max(id_col).alias("_z")).where("_a < _z")
-    pairs = own.join(ends, [group, "s"]).select(id_col, F.when(F.col(id_col) == F.col("_a"), F.col("_z")).otherwise(F.col("_a")).alias("partner")).distinct()
-    words_of = texts.select(id_col, "_w")
-    both = pairs.join(words_of, id_col).join(words_of.select(F.col(id_col).alias("partner"), F.col("_w").alias("_v")), "partner").withColumn("run", longest_run("_w", "_v"))
-    worst = both.groupBy(id_col).agg(F.max(F.struct("run", (-F.col("partner")).alias("p"))).alias("_m"))
-    return worst.select(id_col, (-F.col("_m.p")).alias("worst_partner"), F.col("_m.run").alias("longest_run"), (F.col("_m.run") > cap).alias("holds"))
+    least, key = cap + 1, ["grp", "size", "h"]
+    w = F.transform(words(F.col(text)), lambda x: F.xxhash64(x))
+    texts = documents.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), w.alias("w")).where((F.size("w") >= least) & F.col("id").isNotNull() & F.col("grp").isNotNull())
+
+    def shared(found: DataFrame) -> DataFrame:
+        return found.join(found.groupBy(*key).agg(F.min("id").alias("_a"), F.max("id").alias("_z")).where("_a < _z"), key)
+
+    first = cut(run_windows(texts.withColumn("ok", F.lit(None).cast("array<int>")).withColumn("wants", F.array(F.lit(least))), least, True))
+    alive = shared(first).groupBy("id").agg(F.collect_list("place").alias("ok"))  # at most one a word
+    state = cut(texts.join(alive, "id").withColumn("cur", F.lit(least)))
+    most = (state.agg(F.max(F.size("w"))).first()[0] or least) - least
+    step = 1 << most.bit_length() >> 1
+    while step:
+        tried = state.groupBy("grp").agg(F.collect_set(F.col("cur") + step).alias("all"))
+        rows = state.join(tried, "grp").withColumn("wants", F.filter("all", lambda x: x < F.col("cur") + 2 * step))
+        grown = shared(cut(run_windows(rows, least))).select("id", (F.col("size") - step).alias("cur"), F.lit(step).alias("_more")).distinct()
+        state = cut(state.join(grown, ["id", "cur"], "left").withColumn("cur", F.col("cur") + F.coalesce("_more", F.lit(0))).drop("_more"))
+        step >>= 1
+    tried = state.groupBy("grp").agg(F.collect_set("cur").alias("all"))
+    held = cut(shared(cut(run_windows(state.join(tried, "grp").withColumn("wants", F.filter("all", lambda x: x <= F.col("cur"))), least))))
+    second = held.where("id <> _a").groupBy(*key).agg(F.min("id").alias("_b"))
+    own = held.join(state.select("id", F.col("cur").alias("size")), ["id", "size"]).join(second, key)
+    worst = own.groupBy("id", "size").agg(F.min(F.when(F.col("id") == F.col("_a"), F.col("_b")).otherwise(F.col("_a"))).alias("worst_partner"))
+    return worst.select(F.col("id").alias(id_col), "worst_partner", F.col("size").alias("longest_run"), (F.col("size") > cap).alias("holds"))
 
 
 def shingle_counts(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:

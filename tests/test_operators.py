@@ -188,3 +188,21 @@ def test_every_applicant_is_drawn_or_refused(spark):
     placed = [r for r in tight if r.outcome == "placed"]
     assert len(tight) == 30 and 1 < len({r.fingerprint for r in placed}) == len(placed) <= 10
     assert all(r.fingerprint is None and r.outcome == "refused" for r in tight if r not in placed)
+
+
+def test_longest_run_over_all_partners(spark):
+    run = [f"r{k}" for k in range(1, 41)]
+    texts = {1: run[:33], 2: run[7:], 3: ["d"] * 3 + run + ["e"], 4: ["m"] + run, 5: run[:30] + [f"q{k}" for k in range(20)] + run[2:29], 6: ["n"] * 45}
+    rows = [(k, "g", " ".join(x)) for k, x in texts.items()] + [(7, "h", " ".join(run)), (8, None, " ".join(run)), (9, "h", "short")]
+    df = spark.createDataFrame(rows, "id long, grp string, text string")
+
+    def longest(x, y):
+        return max((n for n in range(1, len(x) + 1) if any(x[i : i + n] == y[j : j + n] for i in range(len(x) - n + 1) for j in range(len(y) - n + 1))), default=0)
+
+    want = {}
+    for k, x in texts.items():
+        n, partner = max((longest(x, y), -j) for j, y in texts.items() if j != k)
+        if n > dedupe.RUN_CAP:
+            want[k] = (-partner, n, True)
+    assert want[3] == (4, 40, True)
+    assert {r.id: (r.worst_partner, r.longest_run, r.holds) for r in dedupe.longest_shared_run(df, "id", "grp", "text").collect()} == want
