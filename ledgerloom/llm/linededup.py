@@ -1,12 +1,12 @@
 """Line deduplication by winnowing over line hashes.
 
-The lines of a text that are not blank are hashed, trimmed. A window is the shortest span of lines from a place on that reaches the
-threshold: one line of at least ``HEAVY`` words, or else ``LINES`` lines. The minimum of each window's line hashes is its
+The lines of a text that are not blank are hashed, trimmed. Windows are all spans of ``LINES`` lines, and all lines
+of at least ``HEAVY`` words. The minimum of each window's line hashes is its
 fingerprint, so a run that repeats over a whole window shares a fingerprint for certain. Windows are joined by
 fingerprint and digest to the place where the window comes first, in the order of document id and line; from there the
 match is extended both ways, line by line, to the whole common run, and the later run's lines are deleted.
 
-Only the first place of a window is a partner, so a line in a third of all texts gives a row for each text, not
+Only the first place of a window is a partner; as every repeated run of the threshold is made of windows that stand earlier, all its lines go, whichever text holds the run. So a line in a third of all texts gives a row for each text, not
 pairs; its counts are combined before the shuffle.
 
 Edge cases: null texts and texts without lines that reach the threshold lose nothing; line ends are ``\\n``; blank lines stay; repeated
@@ -52,9 +52,11 @@ def line_table(texts: DataFrame) -> DataFrame:
 
 def fingerprints(lines: DataFrame, n: int = LINES, heavy: int = HEAVY) -> DataFrame:
     """(id, pos, length, fingerprint, digest) of every window; positions count from 0."""
-    length = lambda i: F.when(F.get("words", i) >= heavy, 1).otherwise(n)
-    places = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: i + length(i) <= F.size("hashes"))
-    spans = lines.where(F.size("hashes") > 0).select("id", "hashes", F.explode(F.transform(places, lambda i: F.struct(i.alias("pos"), length(i).alias("length")))).alias("w"))
+    places = F.sequence(F.lit(0), F.size("hashes") - 1)
+    spans_of = lambda length, starts: F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length")))
+    heavies = spans_of(1, F.filter(places, lambda i: F.get("words", i) >= heavy))
+    windows = F.array_distinct(F.concat(heavies, spans_of(n, F.filter(places, lambda i: i + n <= F.size("hashes")))))
+    spans = lines.where(F.size("hashes") > 0).select("id", "hashes", F.explode(windows).alias("w"))
     window = F.slice("hashes", F.col("w.pos") + 1, F.col("w.length"))
     return spans.select("id", "w.pos", "w.length", F.array_min(window).alias("fingerprint"), F.xxhash64(window, F.lit(1)).alias("digest"))
 
@@ -65,7 +67,7 @@ def repeated_lines(texts: DataFrame, n: int = LINES, heavy: int = HEAVY) -> Data
     marks = fingerprints(lines, n, heavy)
     firsts = marks.groupBy("fingerprint", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1")
     matches = marks.join(firsts, ["fingerprint", "digest"]).where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
-    pairs = matches.groupBy("id", F.col("first.id").alias("earlier")).agg(F.collect_list(F.struct("pos", "length", F.col("first.pos").alias("there"))).alias("anchors"))  # at most one a line
+    pairs = matches.groupBy("id", F.col("first.id").alias("earlier")).agg(F.collect_list(F.struct("pos", "length", F.col("first.pos").alias("there"))).alias("anchors"))  # at most two a line
     both = pairs.join(lines.select("id", "hashes"), "id").join(lines.select(F.col("id").alias("earlier"), F.col("hashes").alias("theirs")), "earlier")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

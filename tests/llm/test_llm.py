@@ -200,6 +200,24 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines([(r.doc_id, r.text) for r in d.collect()])
 
 
+def test_lines_of_any_earlier_run_go(spark):
+    h, g = "a header line of eight words or more", "another heavy line that has eight words too"
+    lines = {1: [h, "x"], 2: [h, "s", "u"], 3: [h, "s", "v"], 4: ["v", h, "s", "u", g], 5: ["q", g, "s", g, "s"], 6: ["s", "u"], 7: ["u", "s", g, "x", h, "x"], 8: ["s"]}
+    want, seen = {}, set()
+    for i, own in sorted(lines.items()):
+        gone = set()
+        for p in range(len(own)):
+            for size in (1, 2):
+                run = tuple(own[p : p + size])
+                if len(run) == size and (size == 2 or len(run[0].split()) >= linededup.HEAVY):
+                    gone |= set(range(p, p + size)) if run in seen else set()
+                    seen.add(run)
+        want[i] = "\n".join(x for k, x in enumerate(own) if k not in gone)
+    assert want[3] == "v"
+    d = spark.createDataFrame([(i, "\n".join(x)) for i, x in lines.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.strike(d)[0].collect()} == want
+
+
 def brute_bytes(rows, length):
     count = Counter(b[k : k + length] for _, b in rows for k in range(len(b) - length + 1))
     out = {}
