@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..functions.lineage import cut
 
@@ -23,9 +22,36 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def shingles(tokens: Column, n: int) -> Column:
-    """All runs of n words, as text; none for shorter texts."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def word_hashes(rows: DataFrame, text: str, *keep: str, name: str = "_w") -> DataFrame:
+    """``keep`` columns, and the hashes of the text's words as a column of their own, so that a text is cut into words once, not once a shingle."""
+    return rows.select(*keep, F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias(name))
+
+
+def rolling(w: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words, from the words' hashes."""
+    n = len(w) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    x, h = np.asarray(w, np.int64).view(np.uint64), np.zeros(n, np.uint64)
+    for k in range(size):
+        h = (h ^ x[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def shingle_counts(rows: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
+    """(keep, s, n) for every row: its different runs of n words as hashes, and how often each stands in it. Words are cut and hashed in the JVM; only hashes travel."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.unique(rolling(w, n), return_counts=True) for w in batch.pop("_w")]
+            if found:
+                out = batch.loc[batch.index.repeat([len(s) for s, _ in found])].reset_index(drop=True)
+                yield out.assign(s=np.concatenate([s for s, _ in found]), n=np.concatenate([c for _, c in found]))
+
+    hashed = word_hashes(rows, text, *keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashed.schema.fields if f.name != "_w")
+    return hashed.where(F.size("_w") >= n).mapInPandas(count, f"{fields}, s long, n long")
 
 
 def without_lines(text: Column, lines: Column) -> Column:
@@ -38,27 +64,11 @@ def shared_run_flags(documents: DataFrame, id_col: str, group: str, text: str, c
 
     A run of more than ``cap`` words holds a shingle of cap + 1 words, so counting shingles by group is exact. Only hashes travel.
     """
-    own = documents.select(id_col, group, F.explode(F.array_distinct(F.transform(shingles(words(F.col(text)), cap + 1), lambda s: F.xxhash64(s)))).alias("s"))
+    own = shingle_counts(documents.where(F.col(id_col).isNotNull() & F.col(group).isNotNull()), text, cap + 1, id_col, group).drop("n")
     counts = own.groupBy(group, "s").agg(F.count("*").alias("n")).where("n > 1")
     return own.join(counts, [group, "s"]).groupBy(id_col).agg((F.max("n") - 1).alias("partners"))
 
 
-@F.pandas_udf(IntegerType())
-def longest_run(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common run of words of two arrays of words."""
-
-    def one(x: list[str], y: list[str]) -> int:
-        ids: dict[str, int] = {}
-        p, q = (np.array([ids.setdefault(w, len(ids)) for w in z], np.int64) for z in (x, y))
-        best, row = 0, np.zeros(len(q) + 1, np.int64)
-        for w in p:
-            row[1:] = np.where(q == w, row[:-1] + 1, 0)
-            best = max(best, int(row.max(initial=0)))
-        return best
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
-
 def run_windows(rows: DataFrame, least: int, places: bool = False) -> DataFrame:
     """(id, grp, size, place, h): hashes of the windows of each wanted size, once a document unless ``places``.
 
@@ -127,10 +137,6 @@ def longest_shared_run(documents: DataFrame, id_col: str, group: str, text: str,
     return worst.select(F.col("id").alias(id_col), "worst_partner", F.col("size").alias("longest_run"), (F.col("size") > cap).alias("holds"))
 
 
-def shingle_counts(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    return rows.select(key, F.explode(F.transform(shingles(words(F.col(text)), n), lambda s: F.xxhash64(s))).alias("s")).groupBy(key, "s").agg(F.count("*").alias("n"))
-
-
 def material_change(pairs: DataFrame, key: str, old: str, new: str, n: int = 5) -> DataFrame:
     """(key, changed, retention, identical, material) of versions: multisets of shingles both ways, and words kept.
 
@@ -138,7 +144,8 @@ def material_change(pairs: DataFrame, key: str, old: str, new: str, n: int = 5)
     """
 
     def shared(size: int) -> DataFrame:
-        a, b = shingle_counts(pairs, key, old, size), shingle_counts(pairs, key, new, size)
+        summed = lambda side: shingle_counts(pairs, side, size, key).groupBy(key, "s").agg(F.sum("n").alias("n"))
+        a, b = summed(old), summed(new)
         both = a.alias("a").join(b.alias("b"), [key, "s"]).groupBy(key).agg(F.sum(F.least("a.n", "b.n")).alias(f"both{size}"))
         total = lambda df, name: df.groupBy(key).agg(F.sum("n").alias(name))
         return total(a, f"old{size}").join(total(b, f"new{size}"), key, "full_outer").join(both, key, "full_outer")
@@ -152,7 +159,7 @@ def material_change(pairs: DataFrame, key: str, old: str, new: str, n: int = 5)
 
 def multiset_overlap(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
     """(left_id, right_id, shared): size of the multiset intersection of shingles, for pairs that share any. Inputs: (id, text)."""
-    a, b = shingle_counts(left, "id", "text", n), shingle_counts(right, "id", "text", n)
+    a, b = (shingle_counts(x, "text", n, "id").groupBy("id", "s").agg(F.sum("n").alias("n")) for x in (left, right))
     return a.alias("a").join(b.alias("b"), "s").groupBy(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).agg(F.sum(F.least("a.n", "b.n")).alias("shared"))
 
 
@@ -162,13 +169,12 @@ def best_match(blocks: DataFrame, sources: DataFrame, n: int = 12) -> DataFrame:
     blocks: (block_id, text); sources: (source_id, text). Exact and contained texts share their shingles too, so one join on shingles finds all
     candidates; blocks of fewer than n words match whole texts only.
     """
-    b, s = blocks.withColumn("_w", words(F.col("text"))), sources.withColumn("_w", words(F.col("text")))
-    grams = lambda df, key: df.select(key, F.explode(F.array_distinct(F.transform(shingles(F.col("_w"), n), lambda x: F.xxhash64(x)))).alias("s"))
-    bg, sg = grams(b, "block_id"), grams(s, "source_id")
+    b, s = word_hashes(blocks, "text", "block_id"), word_hashes(sources, "text", "source_id")
+    bg, sg = shingle_counts(blocks, "text", n, "block_id").drop("n"), shingle_counts(sources, "text", n, "source_id").drop("n")
     sizes = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias(name))
     near = bg.join(sg, "s").groupBy("block_id", "source_id").agg(F.count("*").alias("both")).join(sizes(bg, "block_id", "nb"), "block_id").join(sizes(sg, "source_id", "ns"), "source_id")
     scored = near.select("block_id", "source_id", F.when((F.col("both") == F.col("nb")) & (F.col("nb") == F.col("ns")), 3).when(F.col("both") == F.col("nb"), 2).otherwise(1).alias("rank"), (F.col("both") / (F.col("nb") + F.col("ns") - F.col("both"))).alias("score"))
-    short = b.where(F.size("_w").between(1, n - 1)).select("block_id", F.array_join("_w", " ").alias("_t")).join(s.select("source_id", F.array_join("_w", " ").alias("_t")), "_t").select("block_id", "source_id", F.lit(3).alias("rank"), F.lit(1.0).alias("score"))
+    short = b.where(F.size("_w").between(1, n - 1)).select("block_id", F.col("_w").alias("_t")).join(s.where(F.size("_w").between(1, n - 1)).select("source_id", F.col("_w").alias("_t")), "_t").select("block_id", "source_id", F.lit(3).alias("rank"), F.lit(1.0).alias("score"))
     order = Window.partitionBy("block_id").orderBy(F.col("rank").desc(), F.col("score").desc(), "source_id")
     best = scored.unionByName(short).withColumn("_n", F.row_number().over(order)).where("_n = 1")
     how = F.when(F.col("rank") == 3, "exact").when(F.col("rank") == 2, "contained").otherwise("jaccard")

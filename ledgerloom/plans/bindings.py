@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts for work by the text. One of fewer files than there are cores is dealt out, as a file of one row group is one task."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def pick(number, *values):
     """One of the values by the remainder of a number."""
     return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions import text as T
 from ..operators import dedupe, textaudit, webcurate
-from .bindings import pick, table
+from .bindings import pick, table, texts
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return texts(spark, sf_dir, "pages")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return texts(spark, sf_dir, "documents")
 
 
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
