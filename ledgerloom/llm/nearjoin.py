@@ -1,9 +1,14 @@
-"""Near-duplicate join on word n-grams: a forest of MinHash prefix tries, then exact verification.
+"""Near-duplicate join on word n-grams: a MinHash LSH forest, then exact verification.
 
-Texts with equal sets of shingles form one class, and only one text of a class goes on. Each of ``TREES`` tries
-holds the signatures' labels; two texts meet in a trie where they share a prefix of its label. The prefix is shortened from
-``LONGEST`` until the chance that two texts of the asked similarity meet in some trie reaches ``RECALL``. Texts that meet are
-compared by sketches of their signatures, at a similarity far below the asked one, which leaves small candidate components; within
+Texts with equal sets of shingles form one class, and only one text of a class goes on. Each of ``TREES`` trees is a prefix trie
+over keys of ``LONGEST`` MinHash values; the trie is one table, sorted by tree and key, so the texts below a node stand together. All
+trees are climbed in step, from whole keys to shorter prefixes: at each depth the texts that share a prefix are compared by sketches of their signatures.
+A node that one child fills brings nothing new and is passed over. After each depth the links found so far tell how many are still missing: a link of
+similarity s shares a prefix of d values in some tree with chance p = 1 - (1 - s^d)^TREES, so each found one stands for (1 - p) / p that are not.
+Climbing ends when the share of found ones reaches ``RECALL``, a link at the asked similarity being reckoned in besides, so that few or no links don't end it early; where
+all links are far closer than asked, it ends at long prefixes, and where many are at the asked similarity, at short ones.
+
+Sketches are compared at a similarity far below the asked one, which leaves small candidate components; within
 these every pair is compared by its whole shingle sets, which decides on links, components and counts.
 
 No group is held whole: a trie node, or a candidate component, of more than a block's texts is dealt out as pairs of
@@ -32,21 +37,28 @@ from .components import components
 from .linededup import free
 
 SHINGLE, SIMILARITY = 5, 0.8
-TREES, LONGEST, RECALL = 16, 8, 0.9995
+TREES, LONGEST, RECALL = 16, 8, 0.9998
+#: Bytes of a MinHash value in a key.
+VALUE = 4
+#: Links at the asked similarity that are reckoned in when the recall is estimated.
+PRIOR = 1.0
 NODE_BLOCK, PAIR_BLOCK = 2048, 512
-#: How far under the asked similarity the sketches' estimate may be: four times its deviation.
-SLACK = 0.2
+#: How far under the asked similarity the sketches' estimate may be: over four times its deviation.
+SLACK = 0.16
 CHARS = 1 << 20
 WORD = re.compile(r"\w+")
-SIGNED = "row long, doc_id long, named boolean, shingles long, key binary, sketch binary, labels array<long>"
+SIGNED = "row long, doc_id long, named boolean, shingles long, key binary, sketch binary, keys binary"
+
 
+def meets(similarity: float | np.ndarray, depth: int, trees: int = TREES) -> float | np.ndarray:
+    """The chance that two texts of this similarity share a prefix of ``depth`` values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
-def prefix_length(similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL) -> int:
-    """The longest prefix with which two texts of this similarity share a node of some trie with chance ``recall``."""
-    depth = LONGEST
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+
+def missing(similarity: float, depth: int) -> float:
+    """Links that are not found for each found one."""
+    p = meets(similarity, depth)
+    return (1 - p) / p
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -108,9 +120,8 @@ def signatures(sets: list[np.ndarray], count: int, seed: int = 11) -> np.ndarray
     return out
 
 
-def sign(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
-    """(row, doc_id, shingles, key of the whole set, sketch, label of each trie down to the prefix's length)."""
-    depth = prefix_length(similarity)
+def sign(documents: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """(row, doc_id, shingles, key of the whole set, sketch, keys of all trees one after the other)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,16 +129,13 @@ def sign(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE)
             for part in slices(texts):
                 sets = shingle_sets(texts[part], n)
                 full = [k for k, s in enumerate(sets) if len(s)]
-                values = signatures([sets[k] for k in full], TREES * depth) if full else np.zeros((0, TREES * depth), np.uint32)
-                labels = np.zeros((len(full), TREES), np.uint64)
-                for j in range(depth):
-                    labels = mix64(labels * np.uint64(31) + values[:, j::depth].astype(np.uint64) + np.uint64(1))
+                values = signatures([sets[k] for k in full], TREES * LONGEST) if full else np.zeros((0, TREES * LONGEST), np.uint32)
                 frame = batch.iloc[part].assign(shingles=[len(s) for s in sets])
                 frame["key"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                sketch, label = [None] * len(sets), [None] * len(sets)
+                sketch, keys = [None] * len(sets), [None] * len(sets)
                 for row, k in enumerate(full):
-                    sketch[k], label[k] = (values[row] & 255).astype(np.uint8).tobytes(), labels[row].view(np.int64)
-                yield frame.assign(sketch=sketch, labels=label)
+                    sketch[k], keys[k] = (values[row] & 255).astype(np.uint8).tobytes(), values[row].astype(">u4").tobytes()
+                yield frame.assign(sketch=sketch, keys=keys)
 
     ids = F.col("doc_id").cast("long")
     rows = documents.select(row_key().alias("row"), F.coalesce(ids, F.lit(0)).alias("doc_id"), ids.isNotNull().alias("named"), "text")  # a null would make all ids of a batch floats
@@ -180,28 +188,53 @@ def by_group(rows: DataFrame, group: list[str], work, schema: str) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), *group).sortWithinPartitions(*group, "rep").mapInPandas(stream, schema)
 
 
-def candidates(reps: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): a forest of sketch links of every trie node, from (rep, sketch, labels)."""
-    width = TREES * prefix_length(similarity)
-    least = max(0.0, similarity - SLACK)
+def trie(reps: DataFrame) -> DataFrame:
+    """(tree, key, rep) of all trees, sorted; a written table, as every depth reads it."""
+    size = LONGEST * VALUE
+    rows = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("keys"), t * size + 1, F.lit(size)).alias("key")))).alias("k"))
+    rows = rows.select("k.tree", "k.key", "rep")
+    return cut(rows.repartitionByRange(partitions(reps.sparkSession), "tree", "key", "rep").sortWithinPartitions("tree", "key"))
+
+
+def links_at(rows: DataFrame, reps: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(u, v, similarity by sketch): a forest of links for every trie node of this depth that has several children, or at whole keys several texts."""
+    width, least = TREES * LONGEST, max(0.0, similarity - SLACK)
     enough = int(np.ceil(width * (least + (1 - least) / 256)))
-    nodes = reps.select("rep", F.posexplode("labels").alias("tree", "label"))
-    shared = nodes.groupBy("tree", "label").agg(F.count("*").alias("size")).where("size > 1")
-    placed = nodes.join(shared, ["tree", "label"]).join(reps.select("rep", "sketch"), "rep")
-    rows = in_blocks(placed, ["tree", "label"], NODE_BLOCK).select("tree", "label", "_i", "_j", "rep", "sketch")
+    prefixed = rows.withColumn("prefix", F.substring("key", 1, depth * VALUE))
+    child = F.substring("key", 1, (depth + 1) * VALUE)
+    several = F.count("*") > 1 if depth == LONGEST else F.min(child) < F.max(child)
+    nodes = prefixed.groupBy("tree", "prefix").agg(F.count("*").alias("size"), several.alias("_several")).where("_several").drop("_several")
+    placed = prefixed.join(nodes, ["tree", "prefix"]).select("tree", "prefix", "size", "rep").join(reps.select("rep", "sketch"), "rep")
+    dealt = in_blocks(placed, ["tree", "prefix"], NODE_BLOCK).select("tree", "prefix", "_i", "_j", "rep", "sketch")
 
     def work(batch: pd.DataFrame, begins: list[int]) -> pd.DataFrame:
         rep, all_sketches = batch["rep"].to_numpy(), np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(-1, width)
-        u, v = [], []
+        u, v, alike = [], [], []
         for b, e in zip(begins, [*begins[1:], len(batch)], strict=True):
             sketches, own = all_sketches[b:e], rep[b:e]
             roots = forest(None, e - b, lambda i, rest, s=sketches: (s[rest] == s[i]).sum(1) >= enough)
-            hit = roots >= 0
+            hit = np.flatnonzero(roots >= 0)
             u.append(own[roots[hit]])
             v.append(own[hit])
-        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+            alike.append(((sketches[hit] == sketches[roots[hit]]).mean(1) - 1 / 256) / (1 - 1 / 256))
+        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "similarity": np.concatenate(alike)})
+
+    return by_group(dealt, ["tree", "prefix", "_i", "_j"], work, "u long, v long, similarity double").where("u <> v")
+
 
-    return by_group(rows, ["tree", "label", "_i", "_j"], work, "u long, v long")
+def candidates(reps: DataFrame, similarity: float, recall: float = RECALL) -> DataFrame:
+    """(u, v): links by sketch of all texts (rep, sketch, keys) that meet in the forest, climbed until the recall is reached."""
+    rows, found = trie(reps), None
+    for depth in range(LONGEST, 0, -1):
+        new = links_at(rows, reps, depth, similarity).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "similarity")
+        found = cut((new if found is None else found.unionByName(new)).groupBy("u", "v").agg(F.max("similarity").alias("similarity")))
+        # one link a text, its closest: else a large group of near copies would speak for all
+        close = found.where(F.col("similarity") >= similarity).groupBy("v").agg(F.max("similarity").alias("s"))
+        p = 1 - F.pow(1 - F.pow(F.least("s", F.lit(1.0)), F.lit(depth)), F.lit(TREES))
+        known, gone = close.agg(F.count("*"), F.coalesce(F.sum((1 - p) / p), F.lit(0.0))).first()
+        if (known + PRIOR) / (known + gone + PRIOR * (1 + missing(similarity, depth))) >= recall:
+            break
+    return found.select("u", "v")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -275,10 +308,10 @@ def grouped(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHING
 
     head is the (unnamed, doc_id, row) of the component's least row by id, null ids last; null for texts without words.
     """
-    signed = cut(sign(documents, similarity, n))
+    signed = cut(sign(documents, n))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("head")
-    classes = signed.where("shingles > 0").groupBy("key").agg(F.min(F.struct("row", "sketch", "labels")).alias("r"), head, F.count("*").alias("copies"))
-    reps = cut(classes.select("key", F.col("r.row").alias("rep"), "r.sketch", "r.labels", "head", "copies"))
+    classes = signed.where("shingles > 0").groupBy("key").agg(F.min(F.struct("row", "sketch", "keys")).alias("r"), head, F.count("*").alias("copies"))
+    reps = cut(classes.select("key", F.col("r.row").alias("rep"), "r.sketch", "r.keys", "head", "copies"))
     links = components(candidates(reps, similarity))
     sizes = links.groupBy("component").agg(F.count("*").alias("size"))
     members = links.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "copies"), "node").select("component", "size", F.col("node").alias("rep"), "copies")
