@@ -42,7 +42,7 @@ TREES, LONGEST, RECALL = 16, 8, 0.9998
 VALUE = 4
 #: Links at the asked similarity that are reckoned in when the recall is estimated.
 PRIOR = 1.0
-NODE_BLOCK, PAIR_BLOCK = 2048, 512
+NODE_BLOCK, PAIR_BLOCK = 8192, 512
 #: How far under the asked similarity the sketches' estimate may be: over four times its deviation.
 SLACK = 0.16
 CHARS = 1 << 20
@@ -189,23 +189,43 @@ def by_group(rows: DataFrame, group: list[str], work, schema: str) -> DataFrame:
 
 
 def trie(reps: DataFrame) -> DataFrame:
-    """(tree, key, rep) of all trees, sorted; a written table, as every depth reads it."""
+    """(tree, key, rep, common) of all trees, sorted by tree and key: common is how many values a key shares with a neighbour in that order.
+
+    Texts below a node stand together, so a key that shares nothing with its neighbours shares nothing with any, and is left out. The first and the last row of a
+    partition, whose other neighbour is elsewhere, stay.
+    """
     size = LONGEST * VALUE
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, before = None, LONGEST  # the last row so far, and what it shares with the row before it
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            keys, tree = np.frombuffer(b"".join(batch["key"]), ">u4").reshape(-1, LONGEST), batch["tree"].to_numpy()
+            with_next = np.cumprod((keys[1:] == keys[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1).sum(1)
+            common = np.maximum(np.concatenate([[before], with_next[:-1]]), with_next) if len(with_next) else with_next
+            out = batch.iloc[:-1].assign(common=common.astype(np.int32))
+            yield out[out["common"] > 0]
+            held, before = batch.iloc[-1:], int(with_next[-1]) if len(with_next) else before
+        if held is not None:
+            yield held.assign(common=np.int32(LONGEST))
+
     rows = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("keys"), t * size + 1, F.lit(size)).alias("key")))).alias("k"))
-    rows = rows.select("k.tree", "k.key", "rep")
-    return cut(rows.repartitionByRange(partitions(reps.sparkSession), "tree", "key", "rep").sortWithinPartitions("tree", "key"))
+    ordered = rows.select("k.tree", "k.key", "rep").repartitionByRange(partitions(reps.sparkSession), "tree", "key", "rep").sortWithinPartitions("tree", "key")
+    return cut(ordered.mapInPandas(compare, "tree int, key binary, rep long, common int"))
 
 
 def links_at(rows: DataFrame, reps: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(u, v, similarity by sketch): a forest of links for every trie node of this depth that has several children, or at whole keys several texts."""
     width, least = TREES * LONGEST, max(0.0, similarity - SLACK)
     enough = int(np.ceil(width * (least + (1 - least) / 256)))
-    prefixed = rows.withColumn("prefix", F.substring("key", 1, depth * VALUE))
-    child = F.substring("key", 1, (depth + 1) * VALUE)
-    several = F.count("*") > 1 if depth == LONGEST else F.min(child) < F.max(child)
-    nodes = prefixed.groupBy("tree", "prefix").agg(F.count("*").alias("size"), several.alias("_several")).where("_several").drop("_several")
-    placed = prefixed.join(nodes, ["tree", "prefix"]).select("tree", "prefix", "size", "rep").join(reps.select("rep", "sketch"), "rep")
-    dealt = in_blocks(placed, ["tree", "prefix"], NODE_BLOCK).select("tree", "prefix", "_i", "_j", "rep", "sketch")
+    node = F.xxhash64("tree", F.substring("key", 1, depth * VALUE))  # nodes that share a hash are compared for nothing, no more
+    below = rows.where(F.col("common") >= depth).select("rep", node.alias("node"), F.substring("key", 1, (depth + 1) * VALUE).alias("child"))
+    several = F.count("*") > 1 if depth == LONGEST else F.min("child") < F.max("child")
+    nodes = below.groupBy("node").agg(F.count("*").alias("size"), several.alias("_several")).where("_several").drop("_several")
+    placed = below.select("rep", "node").join(nodes, "node").join(reps.select("rep", "sketch"), "rep")
+    dealt = in_blocks(placed, ["node"], NODE_BLOCK).select("node", "_i", "_j", "rep", "sketch")
 
     def work(batch: pd.DataFrame, begins: list[int]) -> pd.DataFrame:
         rep, all_sketches = batch["rep"].to_numpy(), np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(-1, width)
@@ -219,7 +239,7 @@ def links_at(rows: DataFrame, reps: DataFrame, depth: int, similarity: float) ->
             alike.append(((sketches[hit] == sketches[roots[hit]]).mean(1) - 1 / 256) / (1 - 1 / 256))
         return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "similarity": np.concatenate(alike)})
 
-    return by_group(dealt, ["tree", "prefix", "_i", "_j"], work, "u long, v long, similarity double").where("u <> v")
+    return by_group(dealt, ["node", "_i", "_j"], work, "u long, v long, similarity double").where("u <> v")
 
 
 def candidates(reps: DataFrame, similarity: float, recall: float = RECALL) -> DataFrame:
