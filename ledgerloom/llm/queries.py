@@ -109,7 +109,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     named = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), F.size("near_items").cast("long").alias("n_near"), "contaminated")
 
 
 OP9_SQL = r"""
@@ -127,12 +127,20 @@ WITH d AS (
   SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.phrase = bw.phrase
 ), h AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM m) GROUP BY doc_id
+), r AS (
+  SELECT item_id, x, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), x) AS k, least(3, count(*) OVER (PARTITION BY item_id)) AS asked
+  FROM (SELECT DISTINCT item_id, unnest(w) AS x FROM b) LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM d) GROUP BY x) USING (x)
+), g AS (
+  SELECT item_id, doc_id, asked, count(DISTINCT x) OVER (PARTITION BY item_id, doc_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS close
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) JOIN r USING (x) WHERE k <= 3
+), e AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM g WHERE close = asked GROUP BY doc_id
 ), t AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
-       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(e.n_near, 0) AS n_near, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN e ON d.doc_id = e.doc_id
 """
 
 

@@ -287,15 +287,46 @@ def test_phrases_and_proximity(spark):
     items = spark.createDataFrame([(7, "alpha beta"), (8, "no such words"), (9, "gamma")], "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"]), r.contaminated) for r in decontam.contamination(d, items).collect()}
     assert got == {1: (4, 3, [7, 9], True), 2: (3, 0, [], False), 3: (4, 4, [7], True)}
-    near = decontam.proximity_matches(d, spark.createDataFrame([(1, ["alpha", "beta"])], "question_id long, terms array<string>"), 3)
-    assert {r.doc_id for r in near.collect()} == {1, 2, 3}
+    index = decontam.index_of(d, spark.createDataFrame([("alpha",), ("beta",)], "term string"))
+    near = decontam.proximity_matches(index, spark.createDataFrame([(1, ["alpha", "beta"])], "question_id long, terms array<string>"), 3)
+    assert {r.doc_id for r in near.join(decontam.texts_of(index), ["_a", "_b"]).collect()} == {1, 2, 3}
+    assert {r.doc_id: r.near_items for r in decontam.contamination(d, items).collect()} == {1: [7, 9], 2: [7], 3: [7]}
+
+
+def brute_phrases(texts, items, window=decontam.WINDOW):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    asked = Counter()
+    for i, t in items:
+        w = words(t)
+        for k in range(max(len(w) - window, 0) + 1 if w else 0):
+            asked[i, tuple(w[k : k + window])] += 1
+    out = []
+    for i, t in texts:
+        w, hit, named = words(t), set(), set()
+        for item, p in asked:
+            for k in range(len(w) - len(p) + 1):
+                if tuple(w[k : k + len(p)]) == p:
+                    hit |= set(range(k, k + len(p)))
+                    named |= {item} - {None}
+        out.append((i, len(w), len(hit), tuple(sorted(named)), bool(hit)))
+    return Counter(out)
+
+
+def test_phrases_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join(rng.choice(["a", "b", "c", "Dd"], n))
+    texts = [(k % 25 or None, say(int(rng.integers(0, 60)))) for k in range(60)] + [(7, None), (8, ""), (9, "a b a b"), (9, "a b a b"), (30, "e " * 400)]
+    items = [(1, "a b a"), (2, say(10)), (3, say(12)), (None, "dd"), (4, "a b a"), (5, ""), (6, None), (7, "zz a"), (8, "e " * 11), (9, "a a a a"), (10, "c c"), (10, "b dd b")]
+    d = spark.createDataFrame(texts, "doc_id long, text string").withColumn("pos", F.lit("clash")).withColumn("term", F.lit("clash")).withColumn("window", F.lit(1))
+    got = decontam.contamination(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"])), r.contaminated) for r in got) == brute_phrases(texts, items)
 
 
 def test_shuffled_postings_agree(spark, monkeypatch):
     d, items = docs(spark), spark.read.parquet(f"{SMALL}/benchmark.parquet")
-    want = rows_of(decontam.contamination(d, items).drop("items"))
+    want = rows_of(decontam.contamination(d, items).drop("items", "near_items"))
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 1)
-    assert rows_of(decontam.contamination(d, items).drop("items")) == want
+    assert rows_of(decontam.contamination(d, items).drop("items", "near_items")) == want
 
 
 def brute_near(rows):
