@@ -1,16 +1,19 @@
 """Line deduplication by winnowing over line hashes.
 
-The lines of a text that are not blank are hashed, trimmed. Windows are all spans of ``LINES`` lines, and all lines
-of at least ``HEAVY`` words. The minimum of each window's line hashes is its
-fingerprint, so a run that repeats over a whole window shares a fingerprint for certain. Windows are joined by
-fingerprint and digest to the place where the window comes first, in the order of document id and line; from there the
-match is extended both ways, line by line, to the whole common run, and the later run's lines are deleted.
+The lines of a text that are not blank are hashed, trimmed, to 128 bits. Windows are all spans of ``LINES`` lines, and all lines
+of at least ``HEAVY`` words, which are windows by themselves. Winnowing selects the least hash of each window as its fingerprint, so a run that repeats over a whole window shares a
+fingerprint for certain. Only selected lines are counted over all texts; a window whose fingerprint is selected nowhere else goes no further, and that ends most of them.
 
-Only the first place of a window is a partner; as every repeated run of the threshold is made of windows that stand earlier, all its lines go, whichever text holds the run. So a line in a third of all texts gives a row for each text, not
-pairs; its counts are combined before the shuffle.
+What is left is joined by fingerprint, and by the lines around it in the window, to the place where the window comes first, in the order of document id, text and line. A match
+is extended both ways window by window: the next window of a repeated run stands earlier too, and so has a match of its own, so matches that touch or overlap
+are one run. The lines of later runs are deleted. So all lines of every later run of the threshold go, whichever text holds the run first, and no text's lines are carried to another text.
+Equal lines mean equal hashes of 128 bits; two differing lines share one by a chance of 10^-14 among 10^12 lines.
+
+Copies of a whole text are one text here, that of the least id; the other copies lose all lines if the text reaches the threshold anywhere. A line in a third of all
+texts gives a row for each text, not pairs, and its counts are combined before the shuffle.
 
 Edge cases: null texts and texts without lines that reach the threshold lose nothing; line ends are ``\\n``; blank lines stay; repeated
-rows of a document count as one text and get equal results; of differing texts of one id the one of the least hash counts, the others stay as they are; a null id is an id of its own and comes first; an empty table gives no
+rows of an id and a text get equal results; differing texts of an id are ordered by their digest; a null id is an id of its own and comes first; an empty table gives no
 rows; other columns are kept as they are.
 """
 
@@ -21,79 +24,85 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 LINES, HEAVY = 2, 8
 NO_ID = -(1 << 63)
+LOW = (1 << 64) - 1
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def line_table(texts: DataFrame) -> DataFrame:
-    """(id, text_hash, at, hashes, words) of (id, text_hash, text): place, hash and words of the lines that are not blank, in order."""
+    """(t, id, at, hashes, checks, words) of each different text of (t, id, text), t being its digest: its least id, and place, hash (two halves) and words of its lines that are not blank, in order."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lines = [[(k, x) for k, x in enumerate(map(str.strip, (t or "").split("\n"))) if x] for t in batch["text"]]
+            lines = [[(k, x) for k, x in enumerate(map(str.strip, (text or "").split("\n"))) if x] for text in batch["text"]]
+            whole = [[xxhash.xxh3_128_intdigest(x) for _, x in own] for own in lines]
             yield pd.DataFrame(
                 {
+                    "t": batch["t"],
                     "id": batch["id"],
-                    "text_hash": batch["text_hash"],
                     "at": [np.array([k for k, _ in own], np.int32) for own in lines],
-                    "hashes": [np.array([xxhash.xxh3_64_intdigest(x) for _, x in own], np.uint64).view(np.int64) for own in lines],
+                    "hashes": [np.array([h & LOW for h in own], np.uint64).view(np.int64) for own in whole],
+                    "checks": [np.array([h >> 64 for h in own], np.uint64).view(np.int64) for own in whole],
                     "words": [np.array([len(x.split()) for _, x in own], np.int32) for own in lines],
                 }
             )
 
-    found = texts.mapInPandas(work, "id long, text_hash long, at array<int>, hashes array<long>, words array<int>")
-    return found.groupBy("id").agg(F.min(F.struct("text_hash", "at", "hashes", "words")).alias("t")).select("id", "t.*")
+    found = texts.mapInPandas(work, "t binary, id long, at array<int>, hashes array<long>, checks array<long>, words array<int>")
+    return found.groupBy("t").agg(F.min("id").alias("id"), F.any_value(F.struct("at", "hashes", "checks", "words")).alias("l")).select("t", "id", "l.*")
 
 
-def fingerprints(lines: DataFrame, n: int = LINES, heavy: int = HEAVY) -> DataFrame:
-    """(id, pos, length, fingerprint, digest) of every window; positions count from 0."""
+def windows_of(lines: DataFrame, n: int, heavy: int) -> DataFrame:
+    """(t, id, hashes, checks, windows): the windows as (pos, length) of every text that has any; positions count from 0."""
     places = F.sequence(F.lit(0), F.size("hashes") - 1)
     spans_of = lambda length, starts: F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length")))
     heavies = spans_of(1, F.filter(places, lambda i: F.get("words", i) >= heavy))
     windows = F.array_distinct(F.concat(heavies, spans_of(n, F.filter(places, lambda i: i + n <= F.size("hashes")))))
-    spans = lines.where(F.size("hashes") > 0).select("id", "hashes", F.explode(windows).alias("w"))
-    window = F.slice("hashes", F.col("w.pos") + 1, F.col("w.length"))
-    return spans.select("id", "w.pos", "w.length", F.array_min(window).alias("fingerprint"), F.xxhash64(window, F.lit(1)).alias("digest"))
+    return lines.where(F.size("hashes") > 0).select("t", "id", "hashes", "checks", windows.alias("windows"))
+
+
+def selected(windowed: DataFrame) -> DataFrame:
+    """(fingerprint) for every selected line: the least of some window, once however many windows select it."""
+    part = lambda w: F.slice("hashes", w["pos"] + 1, w["length"])
+    minima = F.transform("windows", lambda w: F.struct((w["pos"] + F.array_position(part(w), F.array_min(part(w)))).alias("place"), F.array_min(part(w)).alias("fingerprint")))
+    return windowed.select(F.explode(F.array_distinct(minima)).alias("m")).select("m.fingerprint")
+
+
+def fingerprints(windowed: DataFrame) -> DataFrame:
+    """(t, id, pos, length, fingerprint, one, two) of every window; one and two are hashes of its lines in their order."""
+    spans = windowed.select("t", "id", "hashes", "checks", F.explode("windows").alias("w"))
+    hashes, checks = (F.slice(c, F.col("w.pos") + 1, F.col("w.length")) for c in ("hashes", "checks"))
+    return spans.select("t", "id", "w.pos", "w.length", F.array_min(hashes).alias("fingerprint"), F.xxhash64(hashes, F.lit(1)).alias("one"), F.xxhash64(checks, F.lit(2)).alias("two"))
+
+
+def extended(matches: DataFrame) -> DataFrame:
+    """(t, gone, runs): the lines of the matches (t, pos, length) of each text, and how many runs they make up once matches that touch are extended into each other."""
+    lines = F.array_sort(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["pos"], s["pos"] + s["length"] - 1)))))
+    own = matches.groupBy("t").agg(F.collect_set(F.struct("pos", "length")).alias("_spans")).select("t", lines.alias("gone"))  # at most two a line
+    begins = F.filter("gone", lambda p, k: (k == 0) | (F.get("gone", k - 1) != p - 1))
+    return own.select("t", "gone", F.size(begins).cast("long").alias("runs"))
 
 
 def repeated_lines(texts: DataFrame, n: int = LINES, heavy: int = HEAVY) -> DataFrame:
-    """(id, text_hash, lines, gone, runs) for every id: the number of lines that are not blank, the places of those to delete, and how many runs these make up; from (id, text_hash, text)."""
+    """(t, id, at, whole, gone, runs) for every different text of (t, id, text): places of its lines that are not blank, if copies lose them all, places of the lines to delete in its first copy, and their runs."""
     lines = cut(line_table(texts))
-    marks = fingerprints(lines, n, heavy)
-    firsts = marks.groupBy("fingerprint", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1")
-    matches = marks.join(firsts, ["fingerprint", "digest"]).where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
-    pairs = matches.groupBy("id", F.col("first.id").alias("earlier")).agg(F.collect_list(F.struct("pos", "length", F.col("first.pos").alias("there"))).alias("anchors"))  # at most two a line
-    both = pairs.join(lines.select("id", "hashes"), "id").join(lines.select(F.col("id").alias("earlier"), F.col("hashes").alias("theirs")), "earlier")
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for own, theirs, anchors in batch[["hashes", "theirs", "anchors"]].itertuples(index=False):
-                gone, reach = set(), {}
-                for a in sorted(anchors, key=lambda a: a["pos"]):
-                    here, there = a["pos"], a["there"]
-                    if reach.get(here - there, -1) > here:  # inside a run that is known
-                        continue
-                    b, e = here, here + a["length"]
-                    while b > 0 and there - (here - b) > 0 and own[b - 1] == theirs[there - (here - b) - 1]:
-                        b -= 1
-                    while e < len(own) and there + e - here < len(theirs) and own[e] == theirs[there + e - here]:
-                        e += 1
-                    reach[here - there] = e
-                    gone.update(range(b, e))
-                found.append(sorted(gone))
-            yield pd.DataFrame({"id": batch["id"], "lines": found})
-
-    extended = both.select("id", "hashes", "theirs", "anchors").mapInPandas(extend, "id long, lines array<int>")
-    gone = extended.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("gone"))
-    found = lines.select("id", "text_hash", "at").join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    runs = F.size(F.filter("gone", lambda p: ~F.array_contains("gone", p - 1)))
-    return found.select("id", "text_hash", F.size("at").cast("long").alias("lines"), F.transform("gone", lambda p: F.get("at", p)).alias("gone"), runs.cast("long").alias("runs"))
+    windowed = windows_of(lines, n, heavy)
+    repeated = selected(windowed).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    marks = cut(fingerprints(windowed).join(repeated, "fingerprint", "left_semi"))
+    key = ["fingerprint", "one", "two"]
+    firsts = cut(marks.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "pos")).alias("first")).where("n > 1").drop("n"))
+    matches = marks.join(firsts, key).where((F.col("t") != F.col("first.t")) | (F.col("pos") != F.col("first.pos"))).select("t", "pos", "length")
+    whole = (F.size("hashes") >= n) | F.exists("words", lambda w: w >= heavy)
+    found = lines.select("t", "id", "at", whole.alias("whole")).join(extended(matches), "t", "left")
+    return found.select("t", "id", "at", "whole", F.coalesce(F.transform("gone", lambda p: F.get("at", p)), F.array().cast("array<int>")).alias("gone"), F.coalesce("runs", F.lit(0)).alias("runs"))
 
 
 def free(name: str, taken: list[str]) -> str:
@@ -105,15 +114,16 @@ def free(name: str, taken: list[str]) -> str:
 
 def strike(documents: DataFrame, n: int = LINES, heavy: int = HEAVY) -> tuple[DataFrame, str, str, str]:
     """All columns, with text replaced, and three more: lines, lines removed, and runs that they make up; with the names of these."""
-    key, count, removed, runs, gone, own = (free(x, documents.columns) for x in ("_line_key", "_lines", "_removed", "_runs", "_gone", "_text_hash"))
-    rows = documents.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    texts = rows.select(F.col(key).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    marks = repeated_lines(texts, n, heavy).select(F.col("id").alias(key), F.col("text_hash").alias(own), F.col("lines").alias(count), F.size("gone").cast("long").alias(removed), F.col("runs").alias(runs), F.col("gone").alias(gone))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(F.col(gone), k)), "\n")
-    joined = rows.join(marks, key)
-    counts = F.col(own) == F.xxhash64("text")
-    joined = joined.withColumns({removed: F.when(counts, F.col(removed)).otherwise(0), runs: F.when(counts, F.col(runs)).otherwise(0)})
-    return joined.withColumn("text", F.when(F.col(removed) > 0, left).otherwise(F.col("text"))).drop(key, gone, own), count, removed, runs
+    t, own, first, at, whole, gone, runs_of, parts, count, removed, runs = (free(x, documents.columns) for x in ("_t", "_own_id", "_first_id", "_at", "_whole", "_gone", "_runs_of", "_parts", "_lines", "_removed", "_runs"))
+    rows = documents.withColumn(t, text_digest(F.col("text"))).withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    marks = repeated_lines(rows.select(F.col(t).alias("t"), F.col(own).alias("id"), "text"), n, heavy)
+    joined = rows.join(marks.select(F.col("t").alias(t), F.col("id").alias(first), F.col("at").alias(at), F.col("whole").alias(whole), F.col("gone").alias(gone), F.col("runs").alias(runs_of)), t)
+    copy = F.col(own) != F.col(first)
+    joined = joined.withColumn(runs, F.when(~copy, F.col(runs_of)).otherwise(F.col(whole).cast("long"))).withColumn(gone, F.when(~copy, F.col(gone)).when(F.col(whole), F.col(at)).otherwise(F.array().cast("array<int>")))
+    joined = joined.withColumns({count: F.size(at).cast("long"), removed: F.size(gone).cast("long"), parts: F.split("text", "\n")})
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)), lambda k: F.get(F.col(parts), k))
+    struck = joined.withColumn("text", F.when(F.col(removed) > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
+    return struck.drop(t, own, first, at, whole, gone, runs_of, parts), count, removed, runs
 
 
 def without_repeated_lines(documents: DataFrame, n: int = LINES, heavy: int = HEAVY) -> DataFrame:

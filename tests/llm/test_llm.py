@@ -165,39 +165,34 @@ def test_sequences_keep_places_and_captions(spark):
 
 
 def brute_lines(rows, n=linededup.LINES, heavy=linededup.HEAVY):
-    lines = {i: [x.strip() for x in (t or "").split("\n") if x.strip()] for i, t in rows}
-    first, gone = {}, {i: set() for i in lines}
-    spans = []
-    for i in sorted(lines):
-        for p, x in enumerate(lines[i]):
-            size = 1 if len(x.split()) >= heavy else n
-            if p + size <= len(lines[i]):
-                key = tuple(lines[i][p : p + size])
-                spans.append((i, p, size, first.setdefault(key, (i, p))))
-    for i, p, size, (a, q) in spans:
-        if (i, p) == (a, q):
-            continue
-        b, e = p, p + size
-        while b > 0 and q - (p - b) > 0 and lines[i][b - 1] == lines[a][q - (p - b) - 1]:
-            b -= 1
-        while e < len(lines[i]) and q + e - p < len(lines[a]) and lines[i][e] == lines[a][q + e - p]:
-            e += 1
-        gone[i] |= set(range(b, e))
-    out = {}
-    for i, t in rows:
-        full = [k for k, x in enumerate((t or "").split("\n")) if x.strip()]
-        drop = {full[k] for k in gone[i]}
-        out[i] = (len(drop), t if not drop else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop))
+    """By the statement alone: a line goes if some window that it lies in stands earlier, in the order of id, digest of the text, and line."""
+    digest = lambda t: hashlib.md5((t or "").encode()).digest()
+    seen, out = set(), {}
+    for i, _, t in sorted({(linededup.NO_ID if i is None else i, digest(t), t) for i, t in rows}, key=lambda x: x[:2]):
+        parts = (t or "").split("\n")
+        full = [k for k, x in enumerate(parts) if x.strip()]
+        own, gone, here = [parts[k].strip() for k in full], set(), []
+        for p in range(len(own)):
+            for size in (1, n):
+                w = tuple(own[p : p + size])
+                if len(w) == size and (size == n or len(w[0].split()) >= heavy):
+                    if w in seen:
+                        gone |= set(range(p, p + size))
+                    seen.add(w)
+        drop = {full[k] for k in gone}
+        out[i, t] = (len(drop), t if not drop else "\n".join(x for k, x in enumerate(parts) if k not in drop))
     return out
 
 
 def test_lines_against_brute_force(spark):
-    d = docs(spark).select("doc_id", "text")
-    small = spark.createDataFrame([(1000, "a\nb\n\nc d"), (1001, "x\na\nb\nc d\ny"), (1002, "b\nq"), (1003, "a\nb\na\nb")], "doc_id long, text string")
-    d = d.unionByName(small)
-    struck, _, removed, _ = linededup.strike(d)
-    got = {r.doc_id: (r[removed], r.text) for r in struck.collect()}
-    assert got == brute_lines([(r.doc_id, r.text) for r in d.collect()])
+    heavy = "a heavy line of nine words that stands often"
+    small = [(1000, "a\nb\n\nc d"), (1001, "x\na\nb\nc d\ny"), (1002, "b\nq"), (1003, "a\nb\na\nb"), (1004, "a\nb\n\nc d"), (1004, f"{heavy}\nz\n{heavy}\nz"), (1004, f"b\n{heavy}\n\n z \nq"), (1005, "b"), (1006, "b"), (1007, heavy), (1008, heavy),
+             (None, "own\nlines"), (None, "own\nlines\nmore"), (1009, "own\nlines"), (1010, None), (1011, "\n \n"), (1012, "a\r\nb"), (1013, "s\n" * 300)]
+    rows = [(r.doc_id, r.text) for r in docs(spark).select("doc_id", "text").collect()] + small + small[3:8]
+    struck, _, removed, _ = linededup.strike(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit("clash")))
+    got = [(r.doc_id, r[removed], r.text) for r in struck.collect()]
+    want = brute_lines(rows)
+    assert Counter(got) == Counter((i, *want[linededup.NO_ID if i is None else i, t]) for i, t in rows)
 
 
 def test_lines_of_any_earlier_run_go(spark):
@@ -259,6 +254,16 @@ def test_toxic_texts_are_told(spark):
     assert toxicity.train([], [])["constant"][0] == 0
 
 
+def test_first_rows_by_label(spark):
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 10 == 0, 1).otherwise(0).alias("toxic"))
+    got = toxicity.first_rows(rows, F.xxhash64("id"), 50, 70).collect()
+    key = {r.id: r.h for r in rows.select("id", F.xxhash64("id").alias("h")).collect()}
+    for label, most in ((1, 50), (0, 70)):
+        want = sorted((i for i in key if (i % 10 == 0) == bool(label)), key=key.get)[:most]
+        assert sorted(r.id for r in got if r.toxic == label) == sorted(want)
+    assert toxicity.first_rows(rows, F.lit(5).cast("long"), 50, 70).groupBy("toxic").count().orderBy("toxic").collect() == [Row(toxic=0, count=70), Row(toxic=1, count=50)]
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
     model = {k: v.astype(np.float64) for k, v in toxicity.fresh_model().items()}
