@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOXIC, CLEAN, LEARN_CHARS = 2_000, 4_000, 20_000
@@ -299,8 +299,8 @@ def score_texts(model: dict[str, np.ndarray], texts: list[str | None]) -> np.nda
 def first_rows(labelled: DataFrame, order: Column, toxic: int = TOXIC, clean: int = CLEAN) -> DataFrame:
     """The rows of each label that come first by ``order``, a 64-bit hash, in at most these numbers.
 
-    By the counts of the two labels, rows that can't be among the first but by a rare chance are left out before the shuffle, so that what a label sends to
-    its task doesn't grow with the rows that it has; a label that this leaves with too few is not thinned.
+    By the counts of the two labels, rows that can't be among the first but by a rare chance are left out before they are sorted, so that what a label sends to
+    one task doesn't grow with the rows that it has; a label that this leaves with too few is not thinned.
     """
     rows = labelled.where(F.col("toxic").isin(0, 1)).withColumn("toxic", F.col("toxic").cast("int")).withColumn("_order_by", order)
     most = {1: toxic, 0: clean}
@@ -311,8 +311,8 @@ def first_rows(labelled: DataFrame, order: Column, toxic: int = TOXIC, clean: in
     thin = lambda kinds: F.coalesce(*[F.when(F.col("toxic") == k, place <= share(k)) for k in kinds], F.lit(True))
     left = counted(rows.where(thin(most)))
     rows = rows.where(thin([k for k in most if left.get(k, 0) >= min(most[k], counts.get(k, 0))]))
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy("_order_by")))
-    return ranked.where(F.col("_n") <= F.when(F.col("toxic") == 1, toxic).otherwise(clean)).drop("_n", "_order_by")
+    first = [rows.where(F.col("toxic") == k).orderBy("_order_by").limit(n) for k, n in most.items()]
+    return first[0].unionByName(first[1]).drop("_order_by")
 
 
 def learning_sample(labelled: DataFrame, chars: int = LEARN_CHARS) -> DataFrame:
