@@ -9,8 +9,10 @@ their windows) are equal form a class, and a class of several repeats all its wi
 What is left are the edges of repeats. One neighbourhood of each class is fetched, and the suffixes at its windows are sorted among those of the same anchor string
 and offset: a bottom-up merge sort whose comparisons find the common extension of two suffixes by binary search over
 prefix polynomial hashes, in steps over all suffixes at once. Neighbours with ``LENGTH`` bytes in common are
-compared byte by byte, so a hash collision is not taken for a repeat. An anchor string with more than ``SORTED`` different
-neighbourhoods, which no task should hold, sends the hashes of its windows (twice 64 bits) to be counted by Spark instead.
+compared byte by byte, so a hash collision is not taken for a repeat. Equal neighbourhoods are told by three hashes, the anchor string's and two of the whole, of 192 bits
+together. An anchor string with more than ``SORTED`` different
+neighbourhoods, which no task should hold, is dealt out by its windows: those whose hashes are nowhere else are done with, and the others are sorted and compared byte by byte in groups of about ``SORTED``, each
+together with the first window of their hashes.
 
 Edge cases: null texts count as empty; texts shorter than ``LENGTH`` bytes lose nothing; repeated rows are repeats of
 each other; the texts of an id, or of null ids, are taken one by one; an empty table gives no rows; other columns are ignored.
@@ -77,12 +79,12 @@ def slices(raws: list[bytes], most: int = SLICE) -> Iterator[slice]:
 
 
 def anchors_of(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, place, gram hash, neighbourhood hash) of every anchor; a place packs first window, windows after it, anchor after it."""
+    """(text, place, gram hash, two neighbourhood hashes) of every anchor; a place packs first window, windows after it, anchor after it."""
     sizes = np.array([len(r) for r in raws], np.int64)
     raw = np.frombuffer(b"".join(raws), np.uint8)
     n = len(raw)
     if n < length:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     hashed, spread = Hashed(raw), length - gram + 1
     places = n - gram + 1
     grams = mix((hashed.sums[gram:] - hashed.sums[:places]) * hashed.inverse[:places])
@@ -97,27 +99,27 @@ def anchors_of(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
     left = np.repeat(begins + sizes, sizes)[: len(least)] - np.arange(len(least))
     starts = np.flatnonzero(left >= length)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     anchor = (LOW - (least[starts] & LOW)).astype(np.int64)
     change = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     first, last, at = starts[change], starts[np.append(change[1:], len(starts)) - 1], anchor[change]
     text = np.repeat(np.arange(len(raws)), sizes)[first]
-    around = mix(hashed.at(first, last - first + length) + (last - first).astype(np.uint64))
+    around, check = (mix(h.at(first, last - first + length) + (last - first).astype(np.uint64)) for h in (hashed, Hashed(raw, 1)))
     place = ((first - begins[text]) << 16) | ((last - first) << 8) | (at - first)
-    return text, place, grams[at].view(np.int64), around.view(np.int64)
+    return text, place, grams[at].view(np.int64), around.view(np.int64), check.view(np.int64)
 
 
 def anchors(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, place, gram, around) for every anchor of (id, text)."""
+    """(id, place, gram, around, check) for every anchor of (id, text)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, raws = batch["id"].to_numpy(), [(t or "").encode() for t in batch["text"]]
             for part in slices(raws):
-                text, place, key, around = anchors_of(raws[part], length, gram)
-                yield pd.DataFrame({"id": ids[part][text], "place": place, "gram": key, "around": around})
+                text, place, key, around, check = anchors_of(raws[part], length, gram)
+                yield pd.DataFrame({"id": ids[part][text], "place": place, "gram": key, "around": around, "check": check})
 
-    return documents.select("id", "text").mapInPandas(work, "id long, place long, gram long, around long")
+    return documents.select("id", "text").mapInPandas(work, "id long, place long, gram long, around long, check long")
 
 
 def common(hashed: Hashed, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -234,8 +236,8 @@ def sort_edges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "gram").sortWithinPartitions("gram").mapInPandas(stream, "id long, begin long, end long")
 
 
-def count_edges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same for grams with very many neighbourhoods: the windows' hashes are counted by Spark."""
+def dealt_edges(rows: DataFrame, length: int = LENGTH, most: int = SORTED) -> DataFrame:
+    """The same for grams with very many neighbourhoods: windows whose hashes repeat are sorted in groups of about ``most``, each with the first window of its hashes."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -243,22 +245,26 @@ def count_edges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 data, count = np.frombuffer(raw, np.uint8), (place >> 8 & 255) + 1
                 starts = np.arange(count)
                 one, two = (Hashed(data, k).at(starts, length).view(np.int64) for k in (0, 1))
-                yield pd.DataFrame({"id": owner, "begin": (place >> 16) + starts, "one": one, "two": two})
+                yield pd.DataFrame({"id": owner, "begin": (place >> 16) + starts, "one": one, "two": two, "bytes": [raw[k : k + length] for k in starts]})
 
-    hashed = rows.select("id", "place", "bytes").mapInPandas(work, "id long, begin long, one long, two long")
-    several = hashed.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
-    return hashed.join(several, ["one", "two"]).select("id", "begin", (F.col("begin") + length).alias("end"))
+    hashed = rows.select("id", "place", "bytes").mapInPandas(work, "id long, begin long, one long, two long, bytes binary")
+    several = cut(hashed.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("id", "begin")).alias("first")).where("n > 1"))
+    groups = F.ceil(F.col("n") / most).cast("int")
+    own = F.array(F.pmod(F.xxhash64("id", "begin"), groups).cast("int"))
+    at = F.when((F.col("id") == F.col("first.id")) & (F.col("begin") == F.col("first.begin")), F.sequence(F.lit(0), groups - 1)).otherwise(own)
+    dealt = hashed.join(several, ["one", "two"]).select("id", "begin", "bytes", "one", "two", F.explode(at).alias("group"))
+    return sort_edges(dealt.select(F.xxhash64("one", "two", "group").alias("gram"), "id", F.shiftleft("begin", 16).alias("place"), "bytes"), length)
 
 
 def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = SORTED) -> tuple[DataFrame, DataFrame]:
     """(documents of (id, doc_id, named, text) by id, (id, begin, end) of byte ranges that are repeated), lazily; ranges may overlap."""
     found = anchors(documents, length, gram)
-    shared = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    shared = cut(found.join(shared, "gram"))
-    classes = shared.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("r"))
-    classes = cut(classes.select("gram", "around", "n", "r.id", "r.place"))
+    shared = cut(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # apart, so that Spark can split the join's hot keys
+    shared, whole = cut(found.join(shared, "gram")), ["gram", "around", "check"]
+    classes = shared.groupBy(*whole).agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("r"))
+    classes = cut(classes.select(*whole, "n", "r.id", "r.place"))
     first, more = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
-    several = shared.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"]).select("id", first.alias("begin"), (first + more + length).alias("end"))
+    several = shared.join(classes.where("n > 1").select(*whole), whole).select("id", first.alias("begin"), (first + more + length).alias("end"))
     differing = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
     asked = classes.join(differing, "gram").select("gram", "id", "place", "classes")
     lists = asked.groupBy("id").agg(F.collect_list(F.struct("gram", "place", "classes")).alias("asked"))  # a text's own anchors
@@ -277,7 +283,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     edges = by_id.join(lists, "id").select("id", "doc_id", "named", "text", "asked").mapInPandas(fetch, "gram long, id long, place long, classes long, bytes binary")
     ranges = several.unionByName(sort_edges(edges.where(F.col("classes") <= most), length))
     if differing.where(F.col("classes") > most).limit(1).count():
-        ranges = ranges.unionByName(count_edges(edges.where(F.col("classes") > most), length))
+        ranges = ranges.unionByName(dealt_edges(edges.where(F.col("classes") > most), length, most))
     return by_id, ranges
 
 
