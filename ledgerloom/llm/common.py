@@ -27,10 +27,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path.toString()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a table in the shared folder and read it back: compact and by columns, for what is read several times."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WIDTH = 192
 ITEM = "position int, kind string, text string, ref string, alt string, caption string"
 STORED = "digest string, n_bytes long, media binary"
@@ -134,7 +136,7 @@ def feature_of(samples: np.ndarray) -> str:
 
 
 def store_payloads(payloads: DataFrame, text_col: str) -> DataFrame:
-    """The media store: one bitmap for each different text, keyed by the digest of its bytes. Lazy; write it to keep it."""
+    """The media store: one bitmap for each different text, keyed by the digest of its bytes. Lazy: ``common.stored`` writes it and reads it back."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,8 +184,24 @@ def interleave(sequences: DataFrame, resolved: DataFrame, id_col: str) -> DataFr
     return joined.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("position", "kind", "text", "ref", "alt", "caption", *columns))).alias("items"))
 
 
-def document_figures(documents: DataFrame) -> DataFrame:
-    """Every document as a page with one figure, whose reference names the digest of its text."""
+def document_pages(documents: DataFrame) -> DataFrame:
+    """(page, doc_id, rows, html): every different document as a page of text around one figure, whose reference names the digest of its text, and how many rows it stands for."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    html = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(raw, 256), F.lit('" alt="text"><figcaption>'), F.octet_length(raw).cast("string"), F.lit(" bytes</figcaption></figure>"))
-    return documents.select("doc_id", html.alias("html"))
+    each = documents.select("doc_id", F.sha2(raw, 256).alias("digest"), F.octet_length(raw).cast("string").alias("size"))
+    once = each.groupBy("doc_id", "digest", "size").agg(F.count("*").alias("rows"))
+    html = F.concat(F.lit('<p>Text of a document:</p><figure><img src="sha256:'), F.col("digest"), F.lit('" alt="text"><figcaption>'), F.col("size"), F.lit(" bytes</figcaption></figure><p>End of it.</p>"))
+    return once.select(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "digest").alias("page"), "doc_id", "rows", html.alias("html"))
+
+
+def document_media(documents: DataFrame) -> DataFrame:
+    """(doc_id, position, caption, the columns of ``FEATURES``) for every row of (doc_id, text): the text is stored as media, and read back off its place in its page.
+
+    The store is a written table. It is read back into digests and features before the join, so that no payload is shuffled.
+    """
+    features = read_features(stored(store_payloads(documents, "text"), "media", compression="zstd"))
+    pages = document_pages(documents)
+    sequences = parse_interleaved(pages, "page", "html")
+    whole = interleave(sequences, resolve(sequences, features, "page"), "page")
+    item = whole.select("page", F.filter("items", lambda i: i["kind"] == "media")[0].alias("i")).select("page", "i.*")
+    found = pages.select("page", "doc_id", "rows").join(item, "page")
+    return found.select(F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_row"), "*").select("doc_id", "position", "caption", *[x.split()[0] for x in FEATURES.split(", ")])

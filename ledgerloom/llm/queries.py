@@ -81,12 +81,8 @@ FROM t GROUP BY conv_id
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store is read back into digests and features before the join, so that no payload is shuffled."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    features = media.read_features(media.store_payloads(documents, "text"))
-    sequences = media.parse_interleaved(media.document_figures(documents), "doc_id", "html")
-    found = media.resolve(sequences, features, "doc_id")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
+    found = media.document_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, an exact round trip, or what it has to separate; and its edge cases."""
 
 import hashlib
+import html
 import re
 import zlib
 from collections import Counter
@@ -37,7 +38,7 @@ def test_sql(spark, duck, name):
 
 EDGE_JOBS = {
     "mixing": lambda s, d: mixing.mixed_documents(d),
-    "media": lambda s, d: media.resolve(media.parse_interleaved(media.document_figures(d), "doc_id", "html"), media.read_features(media.store_payloads(d, "text")), "doc_id"),
+    "media": lambda s, d: media.document_media(d),
     "langid": lambda s, d: langid.identify(d, {"en": b"words of a line", "de": b"zeilen und worte"}, "doc_id"),
     "linededup": lambda s, d: linededup.strike(d)[0],
     "substrings": lambda s, d: substrings.without_repeats(d),
@@ -155,9 +156,27 @@ def test_payloads_round_trip(spark):
         assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest()) and media.decode(form).tobytes() == padded
 
 
+def test_payloads_of_null_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "b"), (None, "a"), (1, "a"), (1, "a"), (1, None), (2, ""), (3, "é" * 5000)]
+    got = Counter((r.doc_id, r.n_bytes, r.payload_sha256, r.position, r.caption) for r in media.document_media(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    raw = lambda t: (t or "").encode()
+    assert got == Counter((i, len(raw(t)), hashlib.sha256(raw(t).ljust(max(1, -(-len(raw(t)) // 192)) * 192)).hexdigest(), 1, f"{len(raw(t))} bytes") for i, t in rows)
+
+
+def test_pages_are_read_whole(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html")
+    for r in media.parse_interleaved(pages, "page_id", "html").join(pages, "page_id").collect():
+        assert [i.position for i in r["items"]] == list(range(len(r["items"])))
+        seen = re.sub(r"(?is)<(script|style|template|noscript|head)\b.*?</\1>|<!--.*?-->", "", r.html)
+        assert [i.ref for i in r["items"] if i.kind == "media"] == re.findall(r'(?i)<(?:img|audio|video|source|embed)\b[^>]*?\bsrc="([^"]+)"', seen)
+        words = lambda t: re.findall(r"\w+", t)
+        told = " ".join(i.text or i.caption or "" for i in r["items"])
+        assert Counter(words(told)) == Counter(words(html.unescape(re.sub(r"(?s)<[^>]+>", " ", seen))))
+
+
 def test_sequences_keep_places_and_captions(spark):
-    html = '<p>one &amp; two<img src="sha256:x" alt="a"></p><figure><img src="b"><figcaption>cap</figcaption></figure><script>no</script>three'
-    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    page = '<p>one &amp; two<img src="sha256:x" alt="a"></p><figure><img src="b"><figcaption>cap</figcaption></figure><script>no</script>three'
+    pages = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
     seq = media.parse_interleaved(pages, "page_id", "html")
     store = spark.createDataFrame([("x", 3, b"abc")], "digest string, n_bytes long, media binary")
     got = {r.page_id: r["items"] for r in media.interleave(seq, media.resolve(seq, store, "page_id"), "page_id").collect()}
@@ -226,11 +245,13 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("most", [4096, 1])
+@pytest.mark.parametrize("most", [4096, 3, 1])
 def test_bytes_against_brute_force(spark, most):
     rng = np.random.default_rng(3)
     shared = "".join(rng.choice(list("abcdeé "), 400))
     rows = [(r.doc_id, r.text) for r in docs(spark).where("length(text) < 3000").select("doc_id", "text").collect()]
+    say = "".join(rng.choice(list("opqrst "), 30_000))  # a very long text that holds a passage twice, and one that holds a part of it
+    rows += [(4000, say + shared[:250] + say[100:400]), (4001, "u" + say[20_000:20_300])]
     rows += [(2000 + k, "".join(rng.choice(list("xyz"), k)) + shared[k : k + 260] + "".join(rng.choice(list("xyz"), 50))) for k in range(30)] + [(3000, "ab" * 300), (3001, "q" * 450), (3002, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.without_repeats(df, most=most).collect()}
