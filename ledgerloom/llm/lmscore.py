@@ -1,14 +1,16 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 The score of a text is the sum, over its tokens, of the log-probability of the token given its neighbours on both sides. A window network
-in numpy gives it: the ``AROUND`` tokens before and after each bring a vector of their own for their place, the sum
-goes through tanh into a softmax over classes of tokens, and a token has its share of its class by corpus counts.
+in numpy gives it: the ``AROUND`` tokens before and after each bring a vector of their own for their place, and the sum
+goes through tanh into a hidden state. From it the token is told in two steps, as in a hierarchical softmax: a softmax over classes of tokens, then, with weights of the class's own,
+a softmax over the leaves of the class. A frequent token is a class or a leaf by itself; rare ones share a leaf, and there each has its share by corpus counts.
 
 Words are counted over all texts (each task counts its own, Spark adds them up). The ``WORDS`` most frequent ones
-are tokens, the others share ``TAIL`` hashed tokens; the ``OWN`` most frequent tokens are classes by themselves, the others are
-dealt to classes of equal mass by falling count. Training takes every text once, in ``ROUNDS`` rounds: each task starts
+are tokens; the others share hashed tokens, of which there are as many as a quarter of the different words, up to a power of two, so that what is kept of rare words grows with the input; ``MOST_TAIL`` bounds
+their table, about 30 MB, by the memory of a worker. The ``OWN`` most frequent tokens are classes by themselves, the others are
+dealt to ``BINS`` classes of equal mass by falling count, and each of these to ``LEAVES`` leaves of equal mass. Training takes every text once, in ``ROUNDS`` rounds: each task starts
 from the shared weights, follows the gradient over its texts, and the tasks' weights are averaged by the tokens seen,
-in steps of at most ``FAN`` at a time, so neither a task nor the driver holds more than that many sets of weights.
+in steps of at most ``FAN`` at a time and in the order of the tasks, so neither a task nor the driver holds more than that many sets of weights, and reruns on the same splits agree.
 
 Edge cases: null and empty texts have no tokens, a pseudo-likelihood of 0 and a null mean; rows are scored one by one, so equal
 texts get equal scores; a text of one token is scored without neighbours; an empty table gives no rows; other columns are ignored.
@@ -28,12 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-WORDS, TAIL = 24_576, 8_192
+WORDS, TAIL, MOST_TAIL = 24_576, 8_192, 1 << 22
 INPUT_WORDS, INPUT_TAIL = 3_072, 1_023
-OWN, BINS = 32, 32
+OWN, BINS, LEAVES = 32, 32, 32
 AROUND, HIDDEN = 2, 16
 ROUNDS, FAN = 2, 32
 BATCH, RATE = 2048, 0.15
+LEAF_BATCH = 4096
 PIECE = 4096
 CHARS = 1 << 20
 TOKEN = re.compile(r"\w+")
@@ -65,26 +68,35 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def dealt(counts: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of about equal mass, in the order given."""
+    mass = np.cumsum(counts)
+    return np.minimum((mass - counts) * parts // max(mass[-1], 1) if len(mass) else mass, parts - 1).astype(np.int64)
+
+
 class Vocabulary:
-    """Token and input ids of words, and the class and share of each token; of a fixed size."""
+    """Token and input ids of words, and the class, the leaf in it and the share in that of each token."""
 
-    def __init__(self, top: list[tuple[str, int]], tail: dict[int, int]) -> None:
-        self.ids = {w: k for k, (w, _) in enumerate(top)}
-        counts = np.ones(WORDS + TAIL)  # one more than counted: a token not met is not impossible
+    def __init__(self, top: list[tuple[str, int]], buckets: np.ndarray, tail: np.ndarray, size: int = TAIL) -> None:
+        """top: the most frequent words and their counts; tail: counts of the others by hashed token, of ``size`` ones."""
+        self.ids, self.tail = {w: k for k, (w, _) in enumerate(top)}, size
+        counts = np.ones(WORDS + size)  # one more than counted: a token not met is not impossible
         counts[: len(top)] += [n for _, n in top]
-        for bucket, n in tail.items():
-            counts[WORDS + bucket] += n
+        counts[WORDS + buckets] += tail
         order = np.argsort(-counts, kind="stable")
-        self.classes = np.empty(WORDS + TAIL, np.int64)
-        self.classes[order[:OWN]] = np.arange(OWN)
-        mass = np.cumsum(counts[order[OWN:]])
-        self.classes[order[OWN:]] = OWN + np.minimum((mass - counts[order[OWN:]]) * BINS // mass[-1], BINS - 1).astype(int)
-        self.share = np.log(counts / np.bincount(self.classes, counts, OWN + BINS)[self.classes]).astype(np.float32)
-        self.prior = np.log(np.bincount(self.classes, counts, OWN + BINS) / counts.sum() + 1e-9).astype(np.float32)
+        bins, classes, leaves = dealt(counts[order[OWN:]], BINS), np.empty(len(counts), np.int16), np.zeros(len(counts), np.int16)
+        classes[order[:OWN]], classes[order[OWN:]] = np.arange(OWN), OWN + bins
+        for k in range(BINS):
+            own = order[OWN:][bins == k]
+            leaves[own] = dealt(counts[own], LEAVES)
+        self.classes, self.leaves = classes, leaves
+        leaf = classes.astype(np.int64) * LEAVES + leaves
+        self.share = np.log(counts / np.bincount(leaf, counts)[leaf]).astype(np.float32)
+        self.prior = np.log(np.bincount(classes, counts, OWN + BINS) / counts.sum() + 1e-9).astype(np.float32)
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token ids, input ids, where texts begin and end); input id 0 stands for no word."""
-        token, flat, ends = _Tokens(self.ids).__getitem__, [], [0]
+        token, flat, ends = _Tokens(self.ids, self.tail).__getitem__, [], [0]
         for text in texts:
             flat += map(token, TOKEN.findall((text or "").lower()))
             ends.append(len(flat))
@@ -96,8 +108,12 @@ class Vocabulary:
 class _Tokens(dict):
     """Ids of words; a word met for the first time is hashed to its tail token and kept."""
 
+    def __init__(self, ids: dict[str, int], tail: int) -> None:
+        super().__init__(ids)
+        self.tail = tail
+
     def __missing__(self, word: str) -> int:
-        self[word] = k = WORDS + zlib.crc32(word.encode()) % TAIL
+        self[word] = k = WORDS + zlib.crc32(word.encode()) % self.tail
         return k
 
 
@@ -109,10 +125,11 @@ def vocabulary(documents: DataFrame) -> Vocabulary:
         enough, least = enough + sizes[power], 2**power
         if enough >= WORDS:
             break
+    size = min(MOST_TAIL, max(TAIL, 1 << (sum(sizes.values()) // 4).bit_length()))
     top = [(r.word, r.n) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
     named = counts.sparkSession.createDataFrame([(w,) for w, _ in top], "word string")
-    rest = counts.join(named, "word", "left_anti").groupBy((F.crc32("word") % TAIL).alias("bucket")).agg(F.sum("n").alias("n"))
-    return Vocabulary(top, {r.bucket: r.n for r in rest.collect()})
+    rest = counts.join(named, "word", "left_anti").groupBy((F.crc32("word") % size).cast("int").alias("bucket")).agg(F.sum("n").alias("n")).toArrow()  # at most MOST_TAIL rows of two numbers
+    return Vocabulary(top, rest["bucket"].to_numpy(), rest["n"].to_numpy(), size)
 
 
 def fresh(vocab: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
@@ -122,6 +139,8 @@ def fresh(vocab: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
         "b": np.zeros(HIDDEN, np.float32),
         "W": rng.normal(0, 0.1, (HIDDEN, OWN + BINS)).astype(np.float32),
         "c": vocab.prior.copy(),
+        "L": rng.normal(0, 0.1, (BINS, HIDDEN, LEAVES)).astype(np.float32),
+        "l": np.zeros((BINS, LEAVES), np.float32),
     }
 
 
@@ -146,9 +165,7 @@ def contexts(inputs: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def forward(model: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hidden states, scores of classes less their greatest, their exponentials and sums)."""
-    total = model["E"][around[0]]
-    for k in range(1, len(around)):
-        total += model["E"][around[k]]
+    total = model["E"].take(around, axis=0).sum(0)
     total += model["b"]
     hidden = np.tanh(total, out=total)
     z = hidden @ model["W"]
@@ -158,8 +175,8 @@ def forward(model: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarra
     return hidden, z, e, e.sum(1, keepdims=True)
 
 
-def learn(model: dict[str, np.ndarray], squares: dict[str, np.ndarray], around: np.ndarray, goal: np.ndarray) -> None:
-    """One step of Adagrad on the mean log loss of a batch, in place."""
+def learn(model: dict[str, np.ndarray], squares: dict[str, np.ndarray], around: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """One step of Adagrad on the mean log loss of a batch's classes, in place; the hidden states before it."""
     hidden, _, d, total = forward(model, around)
     d /= total
     d[np.arange(len(goal)), goal] -= 1
@@ -171,19 +188,50 @@ def learn(model: dict[str, np.ndarray], squares: dict[str, np.ndarray], around:
     for own in around:
         order = np.argsort(own, kind="stable")  # of 16 bits: by radix
         sorted_ids = own[order]
-        first = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-        rows = sorted_ids[first]
-        g = np.add.reduceat(dh[order], first, axis=0)
-        s = squares["E"][rows] + g * g
+        last = np.flatnonzero(np.append(sorted_ids[1:] != sorted_ids[:-1], True))
+        rows = sorted_ids[last]
+        g = np.diff(dh.take(order, axis=0).cumsum(0).take(last, axis=0), axis=0, prepend=np.float32(0))
+        s = squares["E"].take(rows, axis=0) + g * g
         squares["E"][rows] = s
         model["E"][rows] -= RATE * g / (np.sqrt(s) + 1e-4)
+    return hidden
+
+
+def by_bin(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bin, places) of the tokens whose class has leaves, in batches."""
+    order = np.argsort(classes, kind="stable")
+    ends = np.searchsorted(classes[order], np.arange(OWN, OWN + BINS + 1))
+    for k in range(BINS):
+        for begin in range(ends[k], ends[k + 1], LEAF_BATCH):
+            yield k, order[begin : min(begin + LEAF_BATCH, ends[k + 1])]
+
+
+def leaf_scores(model: dict[str, np.ndarray], k: int, hidden: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the leaves of a bin."""
+    z = hidden @ model["L"][k]
+    z += model["l"][k]
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def learn_leaves(model: dict[str, np.ndarray], squares: dict[str, np.ndarray], hidden: np.ndarray, classes: np.ndarray, leaves: np.ndarray) -> None:
+    """Steps of Adagrad on the mean log loss of the leaves given the classes, in place; the hidden states are taken as they are."""
+    for k, at in by_bin(classes):
+        h = hidden.take(at, axis=0)
+        d = np.exp(leaf_scores(model, k, h))
+        d[np.arange(len(at)), leaves[at]] -= 1
+        d *= np.float32(1 / len(at))
+        for name, g in (("L", h.T @ d), ("l", d.sum(0))):
+            squares[name][k] += g * g
+            model[name][k] -= RATE * g / (np.sqrt(squares[name][k]) + 1e-4)
 
 
 def train(documents: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     spark = documents.sparkSession
     model = fresh(vocab)
     names, shapes = list(model), {k: v.shape for k, v in model.items()}
-    shared = spark.sparkContext.broadcast(vocab)  # of a fixed size
+    shared = spark.sparkContext.broadcast(vocab)  # bounded by WORDS and MOST_TAIL
     for turn in range(rounds):
         own = documents.select("text").where((F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn) & (F.length("text") > 0))
         start = spark.sparkContext.broadcast(model)
@@ -196,14 +244,16 @@ def train(documents: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict
                 for part in slices(texts):
                     tokens, inputs, ends = shared.value.read(texts[part])
                     around, goal = contexts(inputs, ends), shared.value.classes[tokens]
-                    for k in range(0, len(goal), BATCH):
-                        learn(weights, squares, around[:, k : k + BATCH], goal[k : k + BATCH])
+                    hidden = [learn(weights, squares, around[:, k : k + BATCH], goal[k : k + BATCH]) for k in range(0, len(goal), BATCH)]
+                    if hidden:
+                        learn_leaves(weights, squares, np.concatenate(hidden), goal, shared.value.leaves[tokens])
                     seen += len(tokens)
             if seen:
                 flat = np.concatenate([weights[k].ravel() for k in names])
                 yield pd.DataFrame([(b // PIECE, float(seen), flat[b : b + PIECE]) for b in range(0, len(flat), PIECE)], columns=["piece", "seen", "weights"])
 
         def mean(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("part")
             seen = group["seen"].to_numpy()
             return pd.DataFrame({"piece": group["piece"].iloc[:1], "node": group["node"].iloc[:1], "seen": [seen.sum()], "weights": [np.average(np.stack(group["weights"]), axis=0, weights=seen).astype(np.float32)]})
 
@@ -212,7 +262,7 @@ def train(documents: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict
         tasks = own.rdd.getNumPartitions()
         while True:
             tasks = -(-tasks // FAN)
-            nodes = nodes.withColumn("node", F.floor(F.col("node") / FAN)).groupBy("piece", "node").applyInPandas(mean, kind)
+            nodes = nodes.withColumn("part", F.col("node")).withColumn("node", F.floor(F.col("node") / FAN)).groupBy("piece", "node").applyInPandas(mean, kind)
             if tasks <= 1:
                 break
         pieces = sorted((r.piece, r.weights) for r in nodes.select("piece", "weights").collect())
@@ -228,17 +278,20 @@ def train(documents: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict
 def score_texts(model: dict[str, np.ndarray], vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, pseudo-log-likelihood) of each text."""
     tokens, inputs, ends = vocab.read(texts)
-    around, goal, each = contexts(inputs, ends), vocab.classes[tokens], np.zeros(len(tokens))
+    around, goal, each, hidden = contexts(inputs, ends), vocab.classes[tokens], np.zeros(len(tokens)), np.empty((len(tokens), HIDDEN), np.float32)
     for k in range(0, len(goal), BATCH):
-        _, z, _, total = forward(model, around[:, k : k + BATCH])
+        hidden[k : k + BATCH], z, _, total = forward(model, around[:, k : k + BATCH])
         each[k : k + BATCH] = z[np.arange(len(z)), goal[k : k + BATCH]] - np.log(total[:, 0])
+    leaves = vocab.leaves[tokens]
+    for k, at in by_bin(goal):
+        each[at] += leaf_scores(model, k, hidden.take(at, axis=0))[np.arange(len(at)), leaves[at]]
     sums = np.concatenate([[0.0], np.cumsum(each + vocab.share[tokens])])
     return np.diff(ends), sums[ends[1:]] - sums[ends[:-1]]
 
 
 def score(documents: DataFrame, model: dict[str, np.ndarray], vocab: Vocabulary, *keep: Column | str) -> DataFrame:
     """``keep`` columns, n_tokens, pseudo_loglik and mean_logprob for every row of (text)."""
-    learnt = documents.sparkSession.sparkContext.broadcast((model, vocab))  # of a fixed size
+    learnt = documents.sparkSession.sparkContext.broadcast((model, vocab))  # bounded by WORDS and MOST_TAIL
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -77,6 +77,35 @@ def test_lm_learns_order(spark):
     assert score[0] / n[0] > score[1] / n[1] + 0.3
 
 
+def test_lm_scores_against_plain_loops(spark):
+    d = docs(spark).where("length(text) < 2000").limit(60)
+    vocab = lmscore.vocabulary(d)
+    model = lmscore.train(d, vocab)
+    size = lmscore.INPUT_WORDS + lmscore.INPUT_TAIL + 1
+    leaf = vocab.classes.astype(int) * lmscore.LEAVES + vocab.leaves
+    assert np.bincount(leaf, np.exp(vocab.share))[np.unique(leaf)] == pytest.approx(1, rel=1e-4)  # shares of each leaf
+
+    def plain(text):
+        words, total = lmscore.TOKEN.findall((text or "").lower()), 0.0
+        ids = [vocab.ids.get(w, lmscore.WORDS + zlib.crc32(w.encode()) % vocab.tail) for w in words]
+        inputs = [(i if i < lmscore.INPUT_WORDS else lmscore.INPUT_WORDS + i % lmscore.INPUT_TAIL) + 1 for i in ids]
+        for k, i in enumerate(ids):
+            near = [k + j for j in (-2, -1, 1, 2)]
+            h = np.tanh(sum(model["E"][n * size + (inputs[at] if 0 <= at < len(ids) else 0)].astype(float) for n, at in enumerate(near)) + model["b"])
+            soft = lambda z: z - np.log(np.exp(z).sum())
+            c = vocab.classes[i]
+            total += soft(h @ model["W"] + model["c"])[c] + vocab.share[i]
+            if c >= lmscore.OWN:
+                total += soft(h @ model["L"][c - lmscore.OWN] + model["l"][c - lmscore.OWN])[vocab.leaves[i]]
+        return len(ids), total
+
+    rows = d.select("doc_id", "text").collect()
+    got = {r.doc_id: (r.n_tokens, r.pseudo_loglik) for r in lmscore.score(d, model, vocab, "doc_id").collect()}
+    for r in rows[:25]:
+        n, total = plain(r.text)
+        assert got[r.doc_id] == (n, pytest.approx(total, rel=1e-3, abs=1e-3))
+
+
 def test_language(spark):
     d = docs(spark)
     out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
