@@ -5,7 +5,7 @@ A text is encoded in pieces with every language's dictionary, and the language o
 give equal sizes easily, so where the best two are close the text is encoded again with smaller dictionaries, shards of the
 same content, and the sums are added up. A choice whose margin stays narrow is marked as rejected.
 
-Bounds: ``DOCS`` different labelled texts a language give at most ``PIECE`` characters each; the dictionaries are the only
+Bounds: ``DOCS`` different labelled texts a language, of the ``LANGUAGES`` languages with the most of them, give at most ``PIECE`` characters each; the dictionaries are the only
 thing that goes through the driver. All texts are classified whole.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; equal sums go to the first language by name;
@@ -51,14 +51,14 @@ def learning_sample(labelled: DataFrame, docs: int = DOCS, piece: int = PIECE) -
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("_hash"))
     place = F.col("_hash").cast("double") / 2.0**64 + 0.5
     different = cut(known.select("lang", "_hash").distinct())
-    counts = different.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    counts = different.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     shares = {r["lang"]: 4.0 * docs / r["count"] for r in counts if r["count"] > 4 * docs}
     thin = lambda: place <= F.coalesce(*[F.when(F.col("lang") == lang, F.lit(share)) for lang, share in shares.items()], F.lit(1.0))
     left = {r["lang"]: r["count"] for r in different.where(thin()).groupBy("lang").count().collect()}
     shares = {lang: share for lang, share in shares.items() if left.get(lang, 0) >= docs}
     rows = known.where(thin())
+    if len(counts) == LANGUAGES:
+        rows = rows.join(F.broadcast(labelled.sparkSession.createDataFrame([(r["lang"],) for r in counts], "lang string")), "lang", "left_semi")  # at most LANGUAGES rows
     at = F.pmod(F.shiftrightunsigned("_hash", 7), F.greatest(F.length("text") - piece, F.lit(1)))
     pieces = rows.select("lang", "_hash", F.substring(F.col("text"), at.cast("int") + 1, F.lit(piece)).alias("text")).groupBy("lang", "_hash").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("_hash")

@@ -19,7 +19,7 @@ def op1_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     content = langid.fit(documents.where(~held_out).select("lang", "text"))
     return langid.identify(documents, content, "doc_id", held_out.alias("held_out"))
 
@@ -96,7 +96,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     labels = toxicity.first_rows(table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"), F.xxhash64("doc_id"))
     model = toxicity.fit(documents.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "toxic"))  # at most TOXIC + CLEAN rows
     return toxicity.score(documents, model, "doc_id", held_out.alias("held_out"))
