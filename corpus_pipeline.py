@@ -2,24 +2,27 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
 documents. ``run`` writes each stage's result as Parquet in the shared folder and reads it again as the next one's documents, so that a stage
-starts from a table that outlives its executors.
+starts from a table that outlives its executors; the folder goes when the driver ends.
+
+Edge cases, in every stage: an empty table gives no rows; other columns, whatever their names, are kept as they are; null and repeated ids are no names, rows are told apart
+by id and text, and equal rows have one fate. A null or empty text says nothing: toxicity scores it as such, it has no lines to lose, no near copies and no
+contamination, and size 0 in the mix; so it stays. Very long texts are taken whole. Of equal rows near_duplicates keeps one, if they have words. line_dedup sets ``n_chars``, if it is there, of the texts that it changes.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, linededup, mixing, nearjoin, toxicity
-from ledgerloom.llm.common import shared_dir, table
+from ledgerloom.llm.common import scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network rejects go; it learns from the labels whose crc32(doc_id) mod 5 is not 0."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    """Documents that the network rejects, with a score of 0.5 or more, go; it learns from the labels whose crc32(doc_id) mod 5 is not 0."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     labels = toxicity.first_rows(table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"), F.xxhash64("doc_id"))
     learnt = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "toxic")  # at most TOXIC + CLEAN rows
     score, verdict = (linededup.free(x, docs.columns) for x in ("_toxicity", "_toxic"))
@@ -56,7 +59,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
