@@ -95,7 +95,7 @@ def repeated_lines(texts: DataFrame, n: int = LINES, heavy: int = HEAVY) -> Data
     """(t, id, at, whole, gone, runs) for every different text of (t, id, text): places of its lines that are not blank, if copies lose them all, places of the lines to delete in its first copy, and their runs."""
     lines = cut(line_table(texts))
     windowed = windows_of(lines, n, heavy)
-    repeated = selected(windowed).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    repeated = cut(selected(windowed).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))  # apart, so that Spark can split the join's hot keys
     marks = cut(fingerprints(windowed).join(repeated, "fingerprint", "left_semi"))
     key = ["fingerprint", "one", "two"]
     firsts = cut(marks.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "pos")).alias("first")).where("n > 1").drop("n"))
