@@ -25,11 +25,26 @@ NOT_NAMES = (
     "Trust Grant Donor Beneficiaries Participants Staff Board Annex Appendix Introduction Background Summary Conclusion Sustainability Methodology Approach Recorded"
 ).split()
 # Phrases that count as jargon when they repeat.
-JARGON = ["capacity building", "holistic approach", "synergies", "paradigm shift", "best practices", "stakeholder engagement", "leverage", "empower", "cutting-edge", "innovative solutions", "sustainable impact", "cross-cutting"]
-# Wording of submission mechanics, which are not content.
-PROCESS = r"(?i)\b(submit|submission|upload|portal|deadline|e-?mail|envelope|signed copy|file format|pdf|font|page limit|word limit|attach(ed|ment)?)\b"
-# Signs of currencies, and the ends of domains that add a vote.
-CURRENCIES = {"GBP": (r"£|\bGBP\b|\bpounds?\b", r"\.uk$"), "EUR": (r"€|\bEUR\b|\beuros?\b", r"\.(eu|de|fr|es|it)$"), "USD": (r"\$|\bUSD\b|\bdollars?\b", r"\.(us|gov)$")}
+JARGON = [
+    "transformative", "groundbreaking", "holistic(?:ally)?", "robust framework", r"catalys(?:e|t|ing|ze)\w* change", r"leverag\w+ synerg\w+", "empower(?:ing|s)? communities", "foster(?:ing)? collaboration",
+    "sustainable ecosystem", "multifaceted approach", "paradigm shift", "cutting[- ]edge", "state[- ]of[- ]the[- ]art", r"synergist\w+",
+]
+# Wording of submission mechanics, which are not content; of lower-case text.
+PROCESS = [
+    r"\bsubmit(ted|ting|ssion)?\b.*\b(application|form|proposal|portal|online|by \d|deadline|before)\b",
+    r"\bapplication\b.*\bdeadline\b|\bclosing date\b",
+    r"\bapplication (must |should )?(be )?(submitted|received|in|complete)\b",
+    r"(submit|received|due|apply|application).{0,30}\bby \d{1,2}(:\d{2})?\s*(am|pm)\b|(submit|received|due|apply|application).{0,40}\bby \d{1,2}(st|nd|rd|th)?\s+\w+\s+\d{4}\b",
+    r"read (the |through )?(the )?guidance|guidance (document|notes)\b",
+    r"\b(do not|don't|never) (rely on|use|depend on)\b.*\b(ai|artificial intelligence|chatgpt|language model)\b",
+    r"\bcomplete (the|your) (online )?(form|application|portal)\b|\bapply (online|through the portal)\b",
+    r"\bsign(ed)?\b.*\bdeclaration\b|\bdeclaration\b.*\bsign",
+    r"\bcreate an account\b|\bregister (on|for) the portal\b|\blog ?in to\b",
+    r"\bcontact (us|the team|the foundation)\b.*\bbefore\b",
+]
+# Signs of currencies, the first of equals first; dollars count as written only. A site's end adds two votes.
+CURRENCIES = {"GBP": r"(?i)£|\bGBP\b|\bpounds?\b|\bsterling\b", "EUR": r"(?i)€|\bEUR\b|\beuros?\b", "USD": r"\bUSD\b|\bUS\$|\bdollars?\b"}
+SITE_CURRENCY, SITE_END, SITE_VOTES = "GBP", r"(?i)\.uk\b", 2
 # Bounds of a stated limit, readings that state none, and words that may stand before a grouped number.
 LIMITS = {"max_words": (25, 100_000), "max_pages": (1, 200)}
 STATES_NONE = ["n/a", "n.a.", "na", "none", "no limit", "no word limit", "no page limit", "not stated", "not specified", "not applicable", "unspecified", "unstated", "not given", "no maximum", "null", "nil", "-", "--", "—"]
@@ -183,17 +198,19 @@ def evidence_use(offered: DataFrame, used: DataFrame, owner: str, item: str) ->
 
 
 def jargon(documents: DataFrame, id_col: str, text_col: str, phrases: list[str] = JARGON) -> DataFrame:
-    """(id, total, repeated, finding): a phrase twice or more, or five phrases in all."""
-    pattern = r"(?i)\b(" + "|".join(map(re.escape, phrases)) + r")\b"
+    """(id, total, repeated, finding): a phrase twice or more, or five phrases in all. phrases are patterns."""
+    pattern = r"(?i)\b((?:" + "|".join(phrases) + r"))\b"
     each = documents.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(1))).alias("p")).groupBy(id_col, F.lower("p").alias("p")).agg(F.count("*").alias("n"))
     return each.groupBy(id_col).agg(F.sum("n").alias("total"), F.count(F.when(F.col("n") >= 2, 1)).alias("repeated")).withColumn("finding", (F.col("repeated") > 0) | (F.col("total") >= 5))
 
 
-def currency_vote(text: Column, host: Column) -> Column:
-    """The currency with most signs and domain votes; USD where none has any, and first by name of equals."""
-    votes = {c: F.regexp_count(text, F.lit(f"(?i){signs}")) + F.when(host.rlike(end), 3).otherwise(0) for c, (signs, end) in CURRENCIES.items()}
+def currency_vote(text: Column, site: Column) -> Column:
+    """The currency with most signs in the text and the address of the site, whose end may add votes; USD where none has any."""
+    told = F.concat_ws(" ", F.coalesce(text, F.lit("")), F.coalesce(site, F.lit("")))
+    votes = {c: F.regexp_count(told, F.lit(signs)) for c, signs in CURRENCIES.items()}
+    votes[SITE_CURRENCY] = votes[SITE_CURRENCY] + F.when(site.rlike(SITE_END), SITE_VOTES).otherwise(0)
     most = F.greatest(*votes.values())
-    return F.when(most == 0, "USD").otherwise(F.coalesce(*[F.when(votes[c] == most, c) for c in sorted(votes)]))
+    return F.when(most == 0, "USD").otherwise(F.coalesce(*[F.when(votes[c] == most, c) for c in votes]))
 
 
 def numeric_consistency(claims: DataFrame, design: DataFrame, evidence: DataFrame, owner: str) -> DataFrame:
@@ -205,7 +222,8 @@ def numeric_consistency(claims: DataFrame, design: DataFrame, evidence: DataFram
 
 
 def process_requirement(text: Column) -> Column:
-    return text.rlike(PROCESS)
+    """A requirement of the submission's mechanics, which no text of the proposal can meet."""
+    return reduce(lambda a, b: a | b, [F.lower(text).rlike(p) for p in PROCESS])
 
 
 def missing_mandatory(coverage: DataFrame) -> DataFrame:

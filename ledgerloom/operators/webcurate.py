@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -158,14 +159,20 @@ def distinctive_tokens(name: Column, generic: list[str]) -> Column:
     return F.array_except(F.filter(T.name_tokens(name), lambda w: F.length(w) > 2), F.array(*map(F.lit, generic)))
 
 
+#: Tokens of a name that are tried in every order against a host's label; longer names are not spelt in labels.
+MOST_ORDERED = 4
+
+
 def organisation_matches_site(org: Column, stated: Column, label: Column) -> Column:
-    """org, stated: distinctive tokens, stated null where the site names none; label: the host's registered label."""
+    """org, stated: distinctive tokens, stated null where the site names none; label: the host's registered label, which may be the tokens written together in any order."""
     smaller = F.when(F.size(org) <= F.size(stated), org).otherwise(stated)
     larger = F.when(F.size(org) <= F.size(stated), stated).otherwise(org)
     both = F.coalesce((F.size(smaller) >= 2) & T.contained(smaller, larger), F.lit(False))
     single = (F.size(org) == 1) & (F.length(F.element_at(org, 1)) > 3) & (F.element_at(org, 1) == label)
-    joined = F.array_join(org, "")
-    whole = (F.size(org) > 1) & stated.isNull() & (F.length(joined) > 3) & (F.array_sort(F.split(joined, "")) == F.array_sort(F.split(F.regexp_replace(label, "[^a-z0-9]", ""), "")))
+    plain, joined = F.regexp_replace(label, "[^a-z0-9]", ""), F.array_join(org, "")
+    orders = [order for n in range(2, MOST_ORDERED + 1) for order in permutations(range(n))]
+    spelt = F.exists(F.array(*[F.when(F.size(org) == len(o), F.concat(*[F.get(org, F.lit(k)) for k in o])) for o in orders]), lambda x: x == plain)
+    whole = (F.size(org) > 1) & stated.isNull() & (F.length(joined) > 3) & (F.length(joined) == F.length(plain)) & F.coalesce(spelt, F.lit(False))
     return F.when(F.size(org) == 0, False).otherwise(both | F.coalesce(single, F.lit(False)) | F.coalesce(whole, F.lit(False)))
 
 

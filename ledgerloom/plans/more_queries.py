@@ -104,9 +104,13 @@ def missing_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textaudit.missing_headings(d, required, "doc_id")
 
 
+REQUIREMENTS = ["Submit the form online", "Explain the need", "Read the guidance notes", "must explain how the portal serves refugees by the deadline of year two"]
+
+
 def missing_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 2 == 0).alias("mandatory"), F.when(F.col("doc_id") % 3 == 0, "missing").otherwise("met").alias("status"), F.col("text"))
-    return textaudit.missing_mandatory(c).select("doc_id")
+    n = F.floor(F.col("doc_id") / 6)
+    c = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 2 == 0).alias("mandatory"), F.when(F.col("doc_id") % 3 == 0, "missing").otherwise("met").alias("status"), pick(n, *REQUIREMENTS).alias("text"))
+    return textaudit.missing_mandatory(c).select("doc_id", "text")
 
 
 def identity_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +183,7 @@ SELECT a.u AS user_id, a.doc_id AS opportunity_id FROM g a WHERE NOT EXISTS (SEL
     "paid_cycles": """WITH i AS (SELECT l_orderkey, any_value(l_shipdate) AS s FROM lineitem GROUP BY 1 HAVING count(*) = 1) SELECT o_custkey AS subscription_id, s AS cycle_start, min(o_orderkey) AS invoice_id, max(CAST(s AS DATE) + 30) AS cycle_end FROM orders JOIN i ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2""",
     "gate_outcomes": "SELECT user_id AS proposal_id, o_orderkey, CAST(n AS INTEGER) AS n_findings FROM (SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1) JOIN orders ON o_custkey = user_id",
     "missing_headings": "SELECT doc_id, h AS heading FROM documents, (VALUES ('src1'), ('Budget')) t(h) WHERE h = 'Budget' OR source <> 'src1'",
-    "missing_requirements": f"SELECT doc_id FROM documents WHERE doc_id % 6 = 0 AND NOT regexp_matches(text, '{textaudit.PROCESS}')",
+    "missing_requirements": "SELECT doc_id, ([NULL, 'Explain the need', NULL, 'must explain how the portal serves refugees by the deadline of year two'])[doc_id // 6 % 4 + 1] AS text FROM documents WHERE doc_id % 6 = 0 AND doc_id // 6 % 2 = 1",
     "identity_flags": r"""WITH d AS (SELECT doc_id, trim(substring(text, 1, 5), ' ') AS n FROM documents) SELECT doc_id, concat_ws(',', CASE WHEN length(n) < 3 THEN 'name_short' END, CASE WHEN regexp_matches(n, '(?i)^(test|n/?a|none|unknown|tbd|my (org|organi[sz]ation)|organi[sz]ation|company|xxx+)$') THEN 'name_placeholder' END,
   CASE WHEN regexp_matches(n, '(?i)@|https?://') THEN 'name_address' END, CASE WHEN doc_id % 4 <> 0 THEN 'number_missing' END) AS flags FROM d""",
     "sanitised": r"SELECT doc_id, md5(substring(trim(regexp_replace(' ' || chr(1) || text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), ' '), 1, 2000)) AS md5 FROM documents",

@@ -213,16 +213,29 @@ def content_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.array_join(textaudit.content_violations(F.col("text"), F.lit(1000)), ",").alias("violations"))
 
 
+JARGON_SAID = ["Transformative and transformative", "groundbreaking, holistically", "State-of-the-art catalysing change, leveraging synergies, empowering communities, a paradigm shift and cutting edge", "no such phrase", "fostering collaboration synergistic Synergistic"]
+PROCESS_SAID = [
+    "Submit the form online", "The closing date is May", "Explain the need", "Application must be received", "Read the guidance", "Never use ChatGPT", "Apply online", "A signed declaration", "Log in to begin", "Contact us before applying", "Due by 5 pm",
+    "must explain how the portal serves refugees by the deadline of year two",
+]
+CURRENCY_SAID = ["costs £5", "10 euros and 5 EUR", "US$ 5, or Dollars", "5 Sterling, 5 euro", "free", "3 dollars"]
+
+
+def _said(spark: SparkSession, sf_dir: str, said: list[str]) -> DataFrame:
+    """Documents' first lines, each followed by one of the phrases."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring_index("text", "\n", 1), F.lit(" "), pick(F.col("doc_id"), *said)).alias("text"))
+
+
 def jargon_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textaudit.jargon(_docs(spark, sf_dir), "doc_id", "text", ["the", "with", "from"])
+    return textaudit.jargon(_said(spark, sf_dir, JARGON_SAID), "doc_id", "text")
 
 
 def currency_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", textaudit.currency_vote(F.col("text"), F.concat(F.col("source"), pick(F.col("doc_id"), ".uk", ".de", ".com"))).alias("currency"))
+    return _said(spark, sf_dir, CURRENCY_SAID).select("doc_id", textaudit.currency_vote(F.col("text"), pick(F.col("doc_id"), "https://a.org.uk/x", "https://a.de", "https://a.com/uk")).alias("currency"))
 
 
 def process_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", textaudit.process_requirement(F.col("text")).alias("process"))
+    return _said(spark, sf_dir, PROCESS_SAID).select("doc_id", textaudit.process_requirement(F.col("text")).alias("process"))
 
 
 def evidence_use(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +275,7 @@ def own_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return dedupe.close_pairs(v, "vec_id", "label", "embedding", 0.85).withColumn("cosine", F.round("cosine", 6))
+    return dedupe.close_pairs(v, "vec_id", "label", "embedding", 0.3).withColumn("cosine", F.round("cosine", 6))
 
 
 def merge_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,6 +321,12 @@ _SHINGLED = "list_transform(generate_series(1, len(w) - {n} + 1), lambda i: arra
 _VALUE = "1 + " + " + ".join(f"CASE WHEN regexp_matches(url, '(?i){p}') THEN {w} ELSE 0 END" for p, w in webcurate.PAGE_VALUES) + r" - greatest(len(regexp_extract_all(regexp_replace(url, '(?i)^https?://', ''), '/')) - 2, 0)"
 _SCRIPTS = "coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<script.*?</script>'), lambda x: length(x))), 0)"
 
+
+
+def _picked(said: list[str]) -> str:
+    return "([" + ", ".join(f"'{x}'" for x in said) + f"])[doc_id % {len(said)} + 1]"
+
+
 ORACLES = {
     "strip_html": f"WITH t AS (SELECT page_id, {_decode(_STRIP)} AS x FROM pages) SELECT page_id, CAST(length(x) AS INTEGER) AS chars, md5(x) AS text_md5 FROM t",
     "page_links": r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)href *= *["'']([^"''#?]+)', 1))), '|') AS links FROM pages""",
@@ -338,9 +357,11 @@ SELECT doc_id, CASE WHEN reason IS NULL THEN 'limit' ELSE 'refused' END AS outco
   CASE WHEN len(regexp_extract_all(text, '\*\*')) % 2 = 1 THEN 'unbalanced_bold' END, CASE WHEN regexp_matches(text, '(?i)\[(insert|tbd|todo|name|date|amount)[^\]]*\]|\bTBD\b|\blorem ipsum\b|X{3,}') THEN 'placeholder' END, CASE WHEN regexp_matches(text, '\b(ord|prop)_[a-z0-9]{8,}\b') THEN 'order_id' END,
   CASE WHEN regexp_matches(text, '[\x{1F300}-\x{1FAFF}]') THEN 'emoji' END, CASE WHEN regexp_matches(text, '(?m)^#{1,6} [^\n]+\n\s*(#{1,6} |\z)') THEN 'empty_section' END, CASE WHEN trim(text, ' ') <> '' AND NOT regexp_matches(trim(text, ' '), '[.!?:;)\]"''”’|*_]$') THEN 'mid_sentence_end' END,
   CASE WHEN len(regexp_extract_all(replace(text, '|', ' '), '[^ \t\r\n\f]+')) > 1000 THEN 'over_limit' END) AS violations FROM documents""",
-    "jargon_repeats": r"""WITH p AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?i)\b(?:the|with|from)\b'))) AS p FROM documents), e AS (SELECT doc_id, p, count(*) AS n FROM p GROUP BY 1, 2)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n >= 2) AS repeated, count(*) FILTER (n >= 2) > 0 OR sum(n) >= 5 AS finding FROM e GROUP BY 1""",
-    "process_requirements": f"SELECT doc_id, regexp_matches(text, '{textaudit.PROCESS}') AS process FROM documents",
+    "jargon_repeats": r"""WITH p AS (SELECT doc_id, lower(unnest(regexp_extract_all(split_part(text, chr(10), 1) || ' ' || SAID, '(?i)\b(?:transformative|groundbreaking|holistic(?:ally)?|robust framework|catalys(?:e|t|ing|ze)\w* change|leverag\w+ synerg\w+|empower(?:ing|s)? communities|foster(?:ing)? collaboration|sustainable ecosystem|multifaceted approach|paradigm shift|cutting[- ]edge|state[- ]of[- ]the[- ]art|synergist\w+)\b'))) AS p FROM documents), e AS (SELECT doc_id, p, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n >= 2) AS repeated, count(*) FILTER (n >= 2) > 0 OR sum(n) >= 5 AS finding FROM e GROUP BY 1""".replace("SAID", _picked(JARGON_SAID)),
+    "currency_votes": r"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) || ' ' || SAID || ' ' || (['https://a.org.uk/x', 'https://a.de', 'https://a.com/uk'])[doc_id % 3 + 1] AS x FROM documents), v AS (SELECT doc_id, len(regexp_extract_all(x, '(?i)£|\bGBP\b|\bpounds?\b|\bsterling\b')) + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS g, len(regexp_extract_all(x, '(?i)€|\bEUR\b|\beuros?\b')) AS e, len(regexp_extract_all(x, '\bUSD\b|\bUS\$|\bdollars?\b')) AS u FROM t)
+SELECT doc_id, CASE WHEN greatest(g, e, u) = 0 THEN 'USD' WHEN g = greatest(g, e, u) THEN 'GBP' WHEN e = greatest(g, e, u) THEN 'EUR' ELSE 'USD' END AS currency FROM v""".replace("SAID", _picked(CURRENCY_SAID)),
+    "process_requirements": r"""SELECT doc_id, regexp_matches(lower(split_part(text, chr(10), 1) || ' ' || SAID), '\bsubmit(ted|ting|ssion)?\b.*\b(application|form|proposal|portal|online|by \d|deadline|before)\b|\bapplication\b.*\bdeadline\b|\bclosing date\b|\bapplication (must |should )?(be )?(submitted|received|in|complete)\b|(submit|received|due|apply|application).{0,30}\bby \d{1,2}(:\d{2})?\s*(am|pm)\b|(submit|received|due|apply|application).{0,40}\bby \d{1,2}(st|nd|rd|th)?\s+\w+\s+\d{4}\b|read (the |through )?(the )?guidance|guidance (document|notes)\b|\b(do not|don''t|never) (rely on|use|depend on)\b.*\b(ai|artificial intelligence|chatgpt|language model)\b|\bcomplete (the|your) (online )?(form|application|portal)\b|\bapply (online|through the portal)\b|\bsign(ed)?\b.*\bdeclaration\b|\bdeclaration\b.*\bsign|\bcreate an account\b|\bregister (on|for) the portal\b|\blog ?in to\b|\bcontact (us|the team|the foundation)\b.*\bbefore\b') AS process FROM documents""".replace("SAID", _picked(PROCESS_SAID)),
     "evidence_use": "WITH o AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS offered, count(DISTINCT l_partkey) FILTER (l_returnflag = 'A') AS used FROM lineitem GROUP BY 1) SELECT l_orderkey, offered, used, offered >= 3 AND used * 2 < offered AS finding FROM o",
     "shared_runs": f"""WITH d AS (SELECT doc_id, source, {_WORDS} AS w FROM documents), s AS (SELECT DISTINCT doc_id, source, unnest({_SHINGLED.format(n=26)}) AS s FROM d WHERE len(w) >= 26), c AS (SELECT source, s, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT doc_id, max(n) - 1 AS partners FROM s JOIN c USING (source, s) GROUP BY 1""",
@@ -356,7 +377,7 @@ nb AS (SELECT item_id, count(*) AS nb FROM bs GROUP BY 1), nd AS (SELECT doc_id,
 r AS (SELECT item_id, doc_id, CASE WHEN k = nb AND nb = nd THEN 3 WHEN k = nb THEN 2 ELSE 1 END AS rank, k / (nb + nd - k) AS score FROM m JOIN nb USING (item_id) JOIN nd USING (doc_id) UNION ALL SELECT b.item_id, d.doc_id, 3, 1.0 FROM b JOIN d ON b.w = d.w WHERE len(b.w) BETWEEN 1 AND 11)
 SELECT item_id AS block_id, doc_id AS source_id, CASE rank WHEN 3 THEN 'exact' WHEN 2 THEN 'contained' ELSE 'jaccard' END AS how, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank DESC, score DESC, doc_id) AS n FROM r) WHERE n = 1""",
     "own_figures": r"WITH f AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(text, '\b([0-9]{3,})\b', 1)) AS figure FROM documents) SELECT min(doc_id) AS doc_id, figure FROM f GROUP BY source, figure HAVING count(*) = 1",
-    "cosine_pairs": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.85",
+    "cosine_pairs": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.3",
     "merge_band": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, vec_id % 20 AS d FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS c, a.d AS ad, b.d AS bd FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(c, 6) AS cosine, CASE WHEN c > 0.93 THEN 'same' ELSE 'review' END AS band FROM p WHERE c >= 0.85 AND abs(ad - bd) <= 7",
     "drift_sample": "WITH f AS (SELECT label, k - 1 AS dim, CAST(embedding[k] AS DOUBLE) AS x FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS k FROM embeddings)) SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS spread, count(*) AS n FROM f GROUP BY 1, 2",
 }
