@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 FRESH = "interval 24 hours"
 # The readings of an application method that open or close a notice.
 OPEN_TEXT, CLOSED_TEXT = r"(?i)\b(open|accepting applications|apply (now|online|by)|ouvert)\b", r"(?i)\b(closed|no longer accept|expired|cancelled|awarded|clos|fermé)\b"
@@ -245,9 +247,19 @@ def page_sequence_audit(rows: DataFrame, batch: str, place: str, key: str, total
 
 
 def fair_queue(rows: DataFrame, klass: str, order: list[Column]) -> DataFrame:
-    """Adds turn: two classes take turns in their own order; when one is used up the other goes on."""
-    own = Window.partitionBy(klass).orderBy(*order)
-    return rows.withColumn("turn", F.row_number().over(own))
+    """Adds turn: two classes take turns in their own order; when one is used up the other goes on.
+
+    A class may hold most rows, so it isn't ranked in one task: rows are dealt to ranges of the order, ranked in their range, and moved on by what
+    stands in the ranges before, of which there are as many as partitions. The ranges are kept, as drawing them again could give others.
+    """
+    own = [F.col(klass), *order]
+    dealt = cut(rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *own).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(klass, "_range").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(klass).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    offsets = sizes.select(F.col(klass).alias("_class"), F.col("_range").alias("_at"), F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(klass, "_range").orderBy(*order)))
+    joined = placed.join(F.broadcast(offsets), F.col(klass).eqNullSafe(F.col("_class")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn("turn", (F.col("_place") + F.col("_ahead")).cast("int")).drop("_range", "_place", "_class", "_at", "_ahead")
 
 
 def due_ids(rows: DataFrame, tried: str, size: int) -> DataFrame:

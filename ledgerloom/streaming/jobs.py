@@ -82,16 +82,21 @@ def anchored_windows(events: DataFrame, most: int, size: str = "1 hour", delay:
     if events.isStreaming:
         return keyed.withWatermark("ts", delay).groupBy("user_id", "action").applyInPandasWithState(follow, ANCHORED, "begin timestamp, hits long", "append", GroupStateTimeout.EventTimeTimeout)
 
-    def whole(group: pd.DataFrame) -> pd.DataFrame:
-        begin, hits, out = None, 0, []
-        for at in group["ts"].sort_values():
-            if begin is None or at >= begin + span:
-                begin, hits = at, 0
-            hits += 1
-            out.append((group["user_id"].iloc[0], group["action"].iloc[0], at, hits, hits <= most))
-        return pd.DataFrame(out, columns=["user_id", "action", "ts", "hits", "allowed"])
-
-    return keyed.groupBy("user_id", "action").applyInPandas(whole, ANCHORED)
+    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, begin, hits = None, None, 0  # all that is carried from batch to batch
+        for batch in batches:
+            out = []
+            for user, action, at in batch[["user_id", "action", "ts"]].itertuples(index=False):
+                if key != (user, action):
+                    key, begin = (user, action), None
+                if begin is None or at >= begin + span:
+                    begin, hits = at, 0
+                hits += 1
+                out.append((hits, hits <= most))
+            yield batch.assign(hits=[h for h, _ in out], allowed=[a for _, a in out])
+
+    ordered = keyed.where(F.col("user_id").isNotNull() & F.col("action").isNotNull() & F.col("ts").isNotNull()).repartition("user_id", "action").sortWithinPartitions("user_id", "action", "ts")
+    return ordered.mapInPandas(passing, ANCHORED)
 
 
 def settle_invoices(events: DataFrame) -> DataFrame:
