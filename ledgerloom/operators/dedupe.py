@@ -140,21 +140,28 @@ def longest_shared_run(documents: DataFrame, id_col: str, group: str, text: str,
 def material_change(pairs: DataFrame, key: str, old: str, new: str, n: int = 5) -> DataFrame:
     """(key, changed, retention, identical, material) of versions: multisets of shingles both ways, and words kept.
 
-    changed is the greater part that either side does not share; padded copies keep their words, so their retention is high.
+    changed is the greater part that either side does not share; padded copies keep their words, so their retention is high. Both versions stand in one row, so nothing is shuffled.
     """
 
-    def shared(size: int) -> DataFrame:
-        summed = lambda side: shingle_counts(pairs, side, size, key).groupBy(key, "s").agg(F.sum("n").alias("n"))
-        a, b = summed(old), summed(new)
-        both = a.alias("a").join(b.alias("b"), [key, "s"]).groupBy(key).agg(F.sum(F.least("a.n", "b.n")).alias(f"both{size}"))
-        total = lambda df, name: df.groupBy(key).agg(F.sum("n").alias(name))
-        return total(a, f"old{size}").join(total(b, f"new{size}"), key, "full_outer").join(both, key, "full_outer")
-
-    out = pairs.select(key, (F.col(old) == F.col(new)).alias("identical")).join(shared(n), key, "left").join(shared(1), key, "left").fillna(0)
-    part = lambda x, y: F.when(y > 0, 1 - x / y).otherwise(0.0)
-    changed = F.greatest(part(F.col(f"both{n}"), F.col(f"old{n}")), part(F.col(f"both{n}"), F.col(f"new{n}")))
-    retention = F.when(F.col("old1") > 0, F.col("both1") / F.col("old1")).otherwise(1.0)
-    return out.select(key, changed.alias("changed"), retention.alias("retention"), "identical", (~F.col("identical") & (changed >= MATERIAL_CHANGE) & (retention <= MATERIAL_RETENTION)).alias("material"))
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for before, after in zip(batch.pop("_old"), batch.pop("_new"), strict=True):
+                found = []
+                for size in (n, 1):
+                    (a, na), (b, nb) = (np.unique(rolling(w, size), return_counts=True) for w in (before, after))
+                    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                    found += [int(np.minimum(na[i], nb[j]).sum()), int(na.sum()), int(nb.sum())]
+                out.append(found[:5])
+            yield pd.concat([batch, pd.DataFrame(out, columns=["both", "olds", "news", "kept", "words"], index=batch.index, dtype="int64")], axis=1)
+
+    hashed = lambda c: F.transform(words(F.col(c)), lambda x: F.xxhash64(x))
+    rows = pairs.select(key, F.col(old).eqNullSafe(F.col(new)).alias("identical"), hashed(old).alias("_old"), hashed(new).alias("_new"))
+    counted = rows.mapInPandas(compare, f"`{key}` {rows.schema[key].dataType.simpleString()}, identical boolean, both long, olds long, news long, kept long, words long")
+    part = lambda x, y: F.when(F.col(y) > 0, 1 - F.col(x) / F.col(y)).otherwise(0.0)
+    changed = F.greatest(part("both", "olds"), part("both", "news"))
+    retention = F.when(F.col("words") > 0, F.col("kept") / F.col("words")).otherwise(1.0)
+    return counted.select(key, changed.alias("changed"), retention.alias("retention"), "identical", (~F.col("identical") & (changed >= MATERIAL_CHANGE) & (retention <= MATERIAL_RETENTION)).alias("material"))
 
 
 def multiset_overlap(left: DataFrame, right: DataFrame, n: int) -> DataFrame:

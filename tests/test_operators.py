@@ -206,3 +206,45 @@ def test_longest_run_over_all_partners(spark):
             want[k] = (-partner, n, True)
     assert want[3] == (4, 40, True)
     assert {r.id: (r.worst_partner, r.longest_run, r.holds) for r in dedupe.longest_shared_run(df, "id", "grp", "text").collect()} == want
+
+
+def test_material_change_of_null_empty_and_long_texts(spark):
+    """In a time that grows with the length of the text, not with its square."""
+    long = " ".join(f"w{k}" for k in range(20_000))
+    rows = [(1, None, None), (2, "", "a b"), (3, "a b c d e f", "a b c d e f"), (4, long, long + " end"), (5, "a b c d e f", "u v w x y z"), (5, "a a a a a a", "a a a a a")]
+    got = sorted((r.k, round(r.changed, 4), round(r.retention, 4), r.identical, r.material) for r in dedupe.material_change(spark.createDataFrame(rows, "k long, o string, n string"), "k", "o", "n").collect())
+    assert got == [(1, 0.0, 1.0, True, False), (2, 0.0, 1.0, False, False), (3, 0.0, 1.0, True, False), (4, 0.0001, 1.0, False, False), (5, 0.5, 0.8333, False, True), (5, 1.0, 0.0, False, True)]
+
+
+def test_jargon_process_and_currency_as_stated(spark):
+    from ledgerloom.operators import textaudit
+
+    d = spark.createDataFrame([(1, "Transformative and transformative"), (2, "groundbreaking multifaceted approach"), (3, "capacity building, best practices, capacity building")], "id long, text string")
+    assert {r.id: (r.total, r.finding) for r in textaudit.jargon(d, "id", "text").collect()} == {1: (2, True), 2: (2, False)}
+    p = spark.createDataFrame([("must explain how the portal serves refugees by the deadline of year two", False), ("Submit your application by 12 May 2026", True), ("A font of wisdom", False), ("Due by 5:30 pm", True)], "t string, want boolean")
+    assert p.where(textaudit.process_requirement(F.col("t")) != F.col("want")).count() == 0
+    c = spark.createDataFrame([("$5 and $6", None, "USD"), ("sterling", None, "GBP"), ("5 euros", "https://x.org.uk", "GBP"), ("EUR euros €", "https://x.org.uk", "EUR"), ("US$ 5", None, "USD"), (None, None, "USD")], "t string, s string, want string")
+    assert c.where(textaudit.currency_vote(F.col("t"), F.col("s")) != F.col("want")).count() == 0
+
+
+def test_names_spelt_in_hosts(spark):
+    from ledgerloom.operators import webcurate
+
+    d = spark.createDataFrame([(["rat", "stone"], "arttsone", False), (["rat", "stone"], "stone-rat", True), (["rat", "stone"], "ratstone", True), (["rat", "stone"], "stonerats", False), (["stone"], "stone", True)], "org array<string>, label string, want boolean")
+    none = F.lit(None).cast("array<string>")
+    assert d.where(webcurate.organisation_matches_site(F.col("org"), none, F.col("label")) != F.col("want")).count() == 0
+
+
+def test_rest_stands_without_the_training_data_operators(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/ledgerloom", tmp_path / "ledgerloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path)
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), set(e.oracle_sql()) <= set(e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert told.stdout.split()[1:] == ["False", "True"], told.stderr
