@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -182,17 +182,20 @@ def register_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A register for each order: its lines as leaves, and their sum as the order asserts it."""
-    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.round("l_extendedprice", 2).alias("v"))
-    g = i.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "v"))).alias("lines"), F.round(F.sum("v"), 2).alias("total")).where("size(lines) between 2 and 150")  # registers have at most 200 nodes by their contract
-    base = lambda node, kind, label, members, value, asserted, basis: F.struct(
-        node.alias("node_id"), F.lit(kind).alias("kind"), label.alias("label"), F.lit("USD").alias("unit"), F.lit("money").alias("unit_kind"), members.alias("members"), value.cast("double").alias("value"), asserted.cast("double").alias("asserted"), F.lit(basis).alias("basis")
-    )
-    none = F.lit(None)
-    leaf = F.transform("lines", lambda x, k: base(F.concat(F.lit("L"), k.cast("string")), "leaf", F.concat(F.lit("line number "), k.cast("string")), F.array().cast("array<string>"), x.v, none, "order"))
-    top = base(F.lit("S1"), "sum", F.lit("sum of lines"), F.transform("lines", lambda x, k: F.concat(F.lit("L"), k.cast("string"))), none, F.when(F.col("l_orderkey") % 10 == 0, F.col("total") + 1).otherwise(F.col("total")), "arithmetic")
-    nodes = g.select(F.col("l_orderkey").alias("register_id"), F.explode(F.concat(leaf, F.array(top))).alias("n")).select("register_id", "n.*")
-    return textaudit.close_registers(nodes)
+    """A register for each order, of one line or of many: its lines as leaves, and their sum as the order asserts it."""
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("register_id"), "l_partkey", "l_suppkey", F.round("l_extendedprice", 2).alias("v"))
+    place = F.row_number().over(Window.partitionBy("register_id").orderBy("l_partkey", "l_suppkey", "v")) - 1
+    no_names, no_value = F.array().cast("array<string>"), F.lit(None).cast("double")
+    node = lambda name, kind, label, members, value, asserted, basis: [
+        F.col("register_id"), name.alias("node_id"), F.lit(kind).alias("kind"), label.alias("label"), F.lit("USD").alias("unit"), F.lit("money").alias("unit_kind"), members.alias("members"), value.cast("double").alias("value"), asserted.cast("double").alias("asserted"), F.lit(basis).alias("basis")
+    ]
+    k = F.col("k").cast("string")
+    leaves = i.withColumn("k", place).select(*node(F.concat(F.lit("L"), k), "leaf", F.concat(F.lit("line number "), k), no_names, F.col("v"), no_value, "order"))
+    totals = i.groupBy("register_id").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
+    # too many nodes are told by their count, so their names are not needed
+    members = F.when(F.col("n") <= textaudit.MOST_NODES, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.concat(F.lit("L"), x.cast("string")))).otherwise(no_names)
+    sums = totals.select(*node(F.lit("S1"), "sum", F.lit("sum of lines"), members, no_value, F.when(F.col("register_id") % 10 == 0, F.col("total") + 1).otherwise(F.col("total")), "arithmetic"))
+    return textaudit.close_registers(leaves.unionByName(sums))
 
 
 def donor_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
