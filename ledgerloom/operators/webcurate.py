@@ -242,8 +242,9 @@ def table_rows(pages: DataFrame, id_col: str, html_col: str, cells: int) -> Data
 
 
 def labelled_fields(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, evidence): label and text of definition lists and two-celled rows."""
-    pair_re = re.compile(r"<dt[^>]*>(.*?)</dt>\s*<dd[^>]*>(.*?)</dd>|<t[hd][^>]*>(.*?)</t[hd]>\s*<td[^>]*>(.*?)</td>", re.I | re.S)
+    """(id, evidence): label and text of definition lists and of neighbouring cells; a label ends where its own element does."""
+    within = lambda tag: rf"((?:(?!</{tag}>).)*)</{tag}>"
+    pair_re = re.compile(rf"<dt[^>]*>{within('dt')}\s*<dd[^>]*>{within('dd')}|<t[hd][^>]*>{within('t[hd]')}\s*<td[^>]*>{within('td')}", re.I | re.S)
     tag_re = re.compile(r"<[^>]+>")
     clean = lambda x: " ".join(tag_re.sub(" ", x).split()).rstrip(":")
 

@@ -234,6 +234,10 @@ _CONFLICT = f"""{NOTICES}, conflicted AS (
 _CENTS = "r AS (SELECT *, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM orders)"
 
 ORACLES = {
+    "word_chunks": r"""WITH RECURSIVE c AS (SELECT doc_id, 0 AS part, '' AS piece, regexp_replace(text, '^\s+|\s+$', '', 'g') AS rest FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, part + 1, CASE WHEN length(rest) <= 1500 THEN rest ELSE regexp_replace(substring(rest, 1, stop), '\s+$', '') END, CASE WHEN length(rest) <= 1500 THEN '' ELSE regexp_replace(substring(rest, stop + 1), '^\s+', '') END
+  FROM (SELECT *, coalesce(nullif(length(regexp_extract(substring(rest, 1, 1501), '(?s)^(.*) ', 1)), 0), 1500) AS stop FROM c WHERE rest <> ''))
+SELECT doc_id, CAST(max(part) OVER (PARTITION BY doc_id) AS INTEGER) AS parts, CAST(part AS INTEGER) AS part, CAST(length(piece) AS INTEGER) AS chars FROM c WHERE part > 0""",
     "board_representative": f"""WITH {_CONFLICT}, ranked AS (
   SELECT *, count(*) OVER (PARTITION BY group_key) AS n_aliases, row_number() OVER (PARTITION BY group_key ORDER BY usable DESC NULLS FIRST,
     (geography = 'confirmed' AND application_status = 'open' AND (deadline IS NULL OR deadline >= DATE '2024-01-03')) DESC NULLS FIRST, (detail_status = 'verified' AND fresh) DESC NULLS FIRST,

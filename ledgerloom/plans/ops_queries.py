@@ -119,7 +119,7 @@ def judge_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("x"), F.floor(F.col("o_totalprice") / 50000).cast("int").alias("y"))
-    return ops.kendall_tau(o, "o_custkey", "o_orderkey", "x", "y").withColumn("tau", F.round("tau", 9))
+    return ops.kendall_tau(o, "o_custkey", "x", "y").withColumn("tau", F.round("tau", 9))
 
 
 def trip_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,6 +309,9 @@ SELECT owner_id, 'E-INTAKE-' || k AS item_id, l[k] AS claim FROM (SELECT owner_i
 SELECT doc_id, concat_ws(',', CASE WHEN length(n) < 3 OR regexp_matches(n, '(?i)^(test|n/?a|none|unknown|tbd|my (org|organi[sz]ation)|organi[sz]ation|company|xxx+)$') OR regexp_matches(n, '(?i)@|https?://|\b[0-9]{1,5} [a-z]+ (street|road|avenue|lane)\b') THEN 'name' END,
   CASE WHEN length(text) < 600 THEN 'grant_unreadable' END, CASE WHEN deadline < DATE '2024-01-03' THEN 'deadline_passed' END, CASE WHEN doc_id % 3 = 2 THEN 'tier' END) AS blockers FROM d""",
     "rate_tumbling": "SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS hits, count(*) <= 2 AS allowed FROM events GROUP BY 1, 2",
+    "rate_anchored": """WITH RECURSIVE e AS (SELECT user_id, event_type AS action, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS n FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL),
+w AS (SELECT user_id, action, ts, n, ts AS begun, 1 AS hits FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.action, e.ts, e.n, CASE WHEN e.ts >= w.begun + INTERVAL 6 HOUR THEN e.ts ELSE w.begun END, CASE WHEN e.ts >= w.begun + INTERVAL 6 HOUR THEN 1 ELSE w.hits + 1 END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.action = w.action AND e.n = w.n + 1) SELECT user_id, action, ts, CAST(hits AS BIGINT) AS hits, hits <= 2 AS allowed FROM w""",
     "alarm_sliding": """WITH w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS window_start, event_type FROM events, range(0, 4) t(k))
 SELECT window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS hits, count(*) FILTER (event_type = 'error') / count(*) AS rate FROM w GROUP BY 1""",
     "dedupe_events": "SELECT * FROM events",

@@ -98,12 +98,23 @@ def org_site_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", label.alias("label"), webcurate.organisation_matches_site(org, stated, label).alias("matches"))
 
 
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of every customer: a listing with a heading, a whole row and a short one, and a list of definitions."""
+    c = F.col
+    html = F.concat(
+        F.lit("<p>Card</p><table><tr><th>Name</th></tr>\n<tr class='r'><td> <b>"), c("c_name"), F.lit("</b></td>\n<td>"), c("c_mktsegment"), F.lit("</td></tr><TR><td>short"), c("c_nationkey").cast("string"),
+        F.lit("</td></TR></table><dl><dt>Nation:</dt>\n<dd>n <i>"), c("c_nationkey").cast("string"), F.lit("</i></dd></dl><table><tr><th>Segment</th><td>"), c("c_mktsegment"), F.lit("</td></tr></table>"),
+    )
+    return table(spark, sf_dir, "customer").select(c("c_custkey").alias("page_id"), F.lit("https://cards.example.org").alias("url"), html.alias("html"))
+
+
 def labelled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webcurate.table_rows(_pages(spark, sf_dir), "page_id", "html", 2)
+    return webcurate.table_rows(_cards(spark, sf_dir), "page_id", "html", 2).select("page_id", "row", F.array_join("cells", "|").alias("cells"), "sound")
 
 
 def labelled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webcurate.labelled_fields(_pages(spark, sf_dir), "page_id", "url", "html").select("page_id", F.size("evidence").alias("fields"))
+    found = webcurate.labelled_fields(_cards(spark, sf_dir), "page_id", "url", "html").select("page_id", F.explode("evidence").alias("e"))
+    return found.select("page_id", "e.label", "e.text", "e.url")
 
 
 def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,6 +336,21 @@ _VALUE = "1 + " + " + ".join(f"CASE WHEN regexp_matches(url, '(?i){p}') THEN {w}
 _SCRIPTS = "coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<script.*?</script>'), lambda x: length(x))), 0)"
 
 
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)"
+
+
+def _collapse(inner: str) -> str:
+    return rf"trim(regexp_replace({inner}, '[ \t\r\n\f\x0B]+', ' ', 'g'), ' ')"
+
+
+def _tokens(name: str) -> str:
+    return rf"list_filter(list_distinct(string_split(regexp_replace(lower({name}), '[^a-z0-9]+', ' ', 'g'), ' ')), lambda x: length(x) > 2 AND x NOT IN ('the', 'and'))"
+
+
+_KEPT = r"""p AS (SELECT source AS site, doc_id AS page_id, k - 1 AS place, trim(a[k], ' ') AS paragraph FROM (SELECT *, unnest(generate_series(1, len(a))) AS k FROM (SELECT source, doc_id, regexp_split_to_array(text, '\n+') AS a FROM documents))),
+f AS (SELECT *, list_filter(regexp_split_to_array(paragraph, '[ \t\r\n\f]+'), lambda w: w <> '') AS w FROM p WHERE length(paragraph) > 40),
+g AS (SELECT *, row_number() OVER (PARTITION BY site, md5(substring(lower(paragraph), 1, 120)) ORDER BY page_id, place) AS n FROM f WHERE regexp_matches(paragraph, '[.!?]') OR len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z0-9]'))) < len(w) * 0.6)"""
+
 
 def _picked(said: list[str]) -> str:
     return "([" + ", ".join(f"'{x}'" for x in said) + f"])[doc_id % {len(said)} + 1]"
@@ -341,10 +367,34 @@ SELECT page_id, status IN (401, 403, 429) OR (regexp_matches(substring(html, 1,
     "prose_signals": r"""WITH t AS (SELECT doc_id, text, length(text) AS n, len(regexp_extract_all(text, '[^ \t\r\n\f]+')) AS words, length(regexp_replace(text, '[ \t\r\n\f]+', '', 'g')) AS solid, length(regexp_replace(text, '[\p{L}\p{N} \t\r\n\f.,;:!?''"()/&%$£€–—-]+', '', 'g')) AS odd, length(regexp_replace(text, '[^�]+', '', 'g')) AS lost FROM documents),
 r AS (SELECT doc_id, words, CASE WHEN words >= 20 THEN (n - odd) / n ELSE 0 END AS l, CASE WHEN words >= 20 THEN lost / n ELSE 0 END AS x, CASE WHEN words >= 20 THEN solid / words ELSE 0 END AS m FROM t)
 SELECT doc_id, words, round(l, 9) AS letter_ratio, round(x, 9) AS replacement_ratio, round(m, 9) AS word_length, words >= 20 AND l >= 0.9 AND x < 0.02 AND m BETWEEN 2 AND 14 AS is_prose FROM r""",
-    "paragraph_first_seen": r"""WITH p AS (SELECT source AS site, doc_id AS page_id, k - 1 AS place, trim(a[k], ' ') AS paragraph FROM (SELECT *, unnest(generate_series(1, len(a))) AS k FROM (SELECT source, doc_id, regexp_split_to_array(text, '\n+') AS a FROM documents))),
-f AS (SELECT *, list_filter(regexp_split_to_array(paragraph, '[ \t\r\n\f]+'), lambda w: w <> '') AS w FROM p WHERE length(paragraph) > 40),
-g AS (SELECT *, row_number() OVER (PARTITION BY site, md5(substring(lower(paragraph), 1, 120)) ORDER BY page_id, place) AS n FROM f WHERE regexp_matches(paragraph, '[.!?]') OR len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z0-9]'))) < len(w) * 0.6)
-SELECT site, page_id, CAST(place AS INTEGER) AS place, md5(paragraph) AS paragraph_md5 FROM g WHERE n = 1""",
+    "paragraph_first_seen": f"WITH {_KEPT} SELECT site, page_id, CAST(place AS INTEGER) AS place, md5(paragraph) AS paragraph_md5 FROM g WHERE n = 1",
+    "site_budget": f"""WITH {_KEPT}, b AS (SELECT site, length(paragraph) AS c, coalesce(sum(length(paragraph)) OVER (PARTITION BY site ORDER BY page_id, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g WHERE n = 1)
+SELECT site, count(*) AS paragraphs, CAST(sum(c) AS BIGINT) AS chars FROM b WHERE before < 60000 GROUP BY 1""",
+    "site_outcome": rf"""WITH t AS (SELECT page_id, html, regexp_extract(url, '([a-z]+\.[a-z]+)(?:[:/?#]|$)', 1) AS site, ([200, 200, 404, 200, 403])[page_id % 5 + 1] AS status, {_STRIP} AS x, {_SCRIPTS} AS s FROM pages),
+o AS (SELECT *, page_id % 7 = 0 AS home, length(x) AS c, status IN (401, 403, 429) OR (regexp_matches(substring(html, 1, 20000), '(?i)(h|re)?captcha|are you a robot|verify you are human|just a moment\.\.\.|checking your browser') AND length(x) < 3000 AND status IN (200, 202, 503)) AS challenged,
+  length(x) < 600 AND ((regexp_matches(html, '(?i)<div[^>]+id=["''](root|app|__next|__nuxt|___gatsby)["'']') AND s > 0) OR regexp_matches(html, '{webcurate.BOOTSTRAP}') OR (s / length(html) > 0.4 AND length(html) > 500)) AS shell, len(regexp_extract_all(x, '\b[A-Z][a-z]+ [A-Z][a-z]+')) AS referents FROM t),
+a AS (SELECT site, count(*) AS pages, count(*) FILTER (status BETWEEN 200 AND 299) AS fetched, count(*) FILTER (c > 120) AS parsed, count(*) FILTER (c > 2000) AS prose, count(*) FILTER (status IN (401, 403, 429)) AS refused, max(status) FILTER (home) AS h, coalesce(bool_or(challenged) FILTER (home), false) AS hc, bool_or(shell) AS shell, sum(referents) AS r FROM o GROUP BY 1),
+d AS (SELECT *, CASE WHEN site = '' THEN 'fetch_failed' WHEN site LIKE 'a%' THEN 'blocked_robots' WHEN h IS NULL THEN 'fetch_failed' WHEN hc THEN 'blocked_bot' WHEN h NOT BETWEEN 200 AND 299 THEN 'fetch_failed' WHEN parsed = 0 AND shell THEN 'js_only' WHEN parsed = 0 AND fetched = 0 THEN 'fetch_failed'
+  WHEN parsed = 0 OR prose = 0 THEN 'extraction_failed' WHEN site LIKE '%.net' THEN 'identity_mismatch' WHEN r = 0 THEN 'nothing_relevant' ELSE 'succeeded' END AS outcome FROM a)
+SELECT site, pages, fetched, parsed, refused, outcome, CAST(CASE WHEN outcome = 'succeeded' THEN r ELSE 0 END AS BIGINT) AS surviving FROM d""",
+    "org_site_match": rf"""WITH t AS (SELECT page_id, string_split({_HOST}, '.') AS l, {_tokens(f"array_to_string(list_slice(string_split({_TITLE}, ' '), 1, 2), ' ')")} AS org, {_tokens(_TITLE)} AS stated FROM pages),
+g AS (SELECT page_id, list_filter(org, lambda x: x NOT IN ('of', 'the', 'de', 'la', 'le', 'du', 'el', 'al')) AS org, list_filter(stated, lambda x: x NOT IN ('of', 'the', 'de', 'la', 'le', 'du', 'el', 'al')) AS stated,
+  CASE WHEN len(l) < 2 THEN l[1] WHEN len(l) > 2 AND l[-2] IN ('co', 'org', 'com', 'net', 'ac', 'gov', 'edu', 'ngo', 'or', 'ne') AND length(l[-1]) = 2 THEN l[-3] ELSE l[-2] END AS label FROM t)
+SELECT page_id, label, CASE WHEN len(org) = 0 THEN false WHEN len(org) <= len(stated) AND len(org) >= 2 AND list_has_all(stated, org) THEN true WHEN len(org) > len(stated) AND len(stated) >= 2 AND list_has_all(org, stated) THEN true ELSE len(org) = 1 AND length(org[1]) > 3 AND org[1] = label END AS matches FROM g""",
+    "decoded_titles": f"SELECT page_id, {_decode(_TITLE)} AS title FROM pages",
+    "page_snapshots": rf"""WITH t AS (SELECT page_id, {_collapse(_decode(_TITLE))} AS title, {_collapse(_decode(_STRIP))} AS x FROM pages) SELECT page_id, title, sha256(x) AS content_hash, regexp_matches(x, '(?i)\b(call|applications?) (is|are) (now )?closed\b') AS closed FROM t""",
+    "page_title_candidates": rf"""WITH t AS (SELECT page_id, list_transform(list_concat(list_concat(regexp_extract_all(html, '(?i)<meta[^>]+(?:property|name)=["''](?:og:site_name|application-name)["''][^>]+content=["'']([^"'']+)', 1),
+  regexp_extract_all(html, '(?i)"@type" *: *"(?:Organization|NGO)"[^}}]*?"name" *: *"([^"]+)"', 1)), regexp_split_to_array({_TITLE}, ' [|–—-] ')), lambda x: trim(x, ' ')) AS l FROM pages) SELECT page_id, array_to_string(list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i), '|') AS names FROM t""",
+    "absolute_links": rf"""WITH t AS (SELECT DISTINCT page_id, {_HOST} AS site, rtrim(regexp_extract(url, '^[a-z]+://[^/?#]+') || unnest(regexp_extract_all(html, '(?i)href *= *["''](/[^"''#?]*)', 1)), '/') AS link FROM pages)
+SELECT page_id, link, site, regexp_replace(lower(regexp_extract(link, '(?i)^[a-z]+://([^/:?#]+)', 1)), '^www\.', '') = site AND NOT regexp_matches(link, '(?i)\.(pdf|jpe?g|png|gif|svg|webp|zip|docx?|xlsx?|pptx?|mp3|mp4|xml|rss|json|css|js|ico)$|/(feed|rss)/?$') AS admitted FROM t""",
+    "labelled_tables": "SELECT c_custkey AS page_id, 1 AS row, c_name || '|' || c_mktsegment AS cells, true AS sound FROM customer UNION ALL SELECT c_custkey, 2, 'short' || c_nationkey, false FROM customer UNION ALL SELECT c_custkey, 3, c_mktsegment, false FROM customer",
+    "labelled_fields": "SELECT c_custkey AS page_id, 'Nation' AS label, 'n ' || c_nationkey AS text, 'https://cards.example.org' AS url FROM customer UNION ALL SELECT c_custkey, 'Segment', c_mktsegment, 'https://cards.example.org' FROM customer UNION ALL SELECT c_custkey, c_name, c_mktsegment, 'https://cards.example.org' FROM customer",
+    "robots_access": rf"""WITH p AS (SELECT url, {_HOST} AS host, '/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages), b AS (SELECT host, min(regexp_extract(path, '^(/[^/]*/?)', 1)) AS d, min(path) AS a FROM p GROUP BY 1),
+l AS (SELECT url, CASE WHEN starts_with(path, d) THEN length(d) ELSE 0 END AS ld, CASE WHEN starts_with(path, a) THEN length(a) ELSE 0 END AS la, CASE WHEN regexp_matches(path, '^/.*9$') THEN 4 ELSE 0 END AS l9 FROM p JOIN b USING (host)) SELECT url, la >= greatest(ld, l9) AS allowed FROM l""",
+    "longest_shared_run": f"""WITH d AS (SELECT doc_id, source, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, source, unnest({_SHINGLED.format(n=26)}) AS s, unnest(generate_series(1, len(w) - 25)) AS i FROM d WHERE len(w) >= 26),
+m AS (SELECT a.doc_id AS id, b.doc_id AS other, a.i, a.i - b.i AS shift FROM s a JOIN s b ON a.source = b.source AND a.s = b.s AND a.doc_id <> b.doc_id), r AS (SELECT *, i - row_number() OVER (PARTITION BY id, other, shift ORDER BY i) AS island FROM m),
+n AS (SELECT id, other, count(*) + 25 AS run FROM r GROUP BY id, other, shift, island), k AS (SELECT *, max(run) OVER (PARTITION BY id) AS longest FROM n)
+SELECT id AS doc_id, min(other) AS worst_partner, CAST(any_value(longest) AS INTEGER) AS longest_run, true AS holds FROM k WHERE run = longest GROUP BY 1""",
     "word_count": r"SELECT doc_id, CAST(len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '[​‌‍﻿]', '', 'g'), '\|', ' ', 'g'), '([぀-ヿ㐀-䶿一-鿿])', ' \1 ', 'g'), '[^ \t\r\n\f]+')) AS BIGINT) AS words FROM documents",
     "document_hash": r"SELECT doc_id, 'v1:' || sha256(trim(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS hash FROM documents",
     "document_numbers": r"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?%?')) AS s FROM documents), v AS (SELECT doc_id, CAST(regexp_replace(s, '[,%]', '', 'g') AS DOUBLE) / CASE WHEN s LIKE '%\%' ESCAPE '\' THEN 100 ELSE 1 END AS x FROM x) SELECT doc_id, count(*) AS n, max(x) AS largest FROM v GROUP BY 1""",
@@ -354,6 +404,9 @@ SELECT site, page_id, CAST(place AS INTEGER) AS place, md5(paragraph) AS paragra
     "numeric_consistency": """WITH d AS (SELECT l_orderkey, floor(avg(l_quantity)) AS total FROM lineitem GROUP BY 1), c AS (SELECT DISTINCT l_orderkey, CAST(round(l_quantity) AS BIGINT) AS number FROM lineitem), e AS (SELECT DISTINCT l_orderkey, CAST(round(l_quantity) AS BIGINT) AS number FROM lineitem WHERE l_returnflag = 'R')
 SELECT c.l_orderkey, c.number, 'above_total' AS finding FROM c JOIN d USING (l_orderkey) WHERE c.number > d.total * 1.01 AND (c.l_orderkey, c.number) NOT IN (SELECT (l_orderkey, number) FROM e)""",
     "register_sums": """WITH p AS (SELECT l_orderkey, sum(round(l_extendedprice)) AS computed, count(*) AS parts FROM lineitem GROUP BY 1) SELECT o_orderkey, round(o_totalprice) AS asserted, round(computed) AS computed, parts, CASE WHEN computed IS NULL THEN 'dangling' WHEN abs(computed - round(o_totalprice)) < 0.5 THEN 'closed' ELSE 'does_not_close' END AS verdict FROM orders LEFT JOIN p ON o_orderkey = l_orderkey""",
+    "register_closure": """WITH l AS (SELECT l_orderkey AS r, round(l_extendedprice, 2) AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, round(l_extendedprice, 2)) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT r AS register_id, 'L' || k AS node_id, CASE WHEN n < 200 THEN v END AS computed, CASE WHEN n >= 200 THEN 'too_many_nodes' END AS fault FROM l
+UNION ALL SELECT r, 'S1', CASE WHEN count(*) BETWEEN 2 AND 199 THEN sum(v) END, CASE WHEN count(*) >= 200 THEN 'too_many_nodes' WHEN count(*) < 2 THEN 'bad_arity' WHEN r % 10 = 0 THEN 'does_not_close' END FROM l GROUP BY r""",
     "donor_limit": """WITH r AS (SELECT doc_id, n_chars % 3000 AS v, doc_id % 5 AS a, (doc_id + 1) % 6 AS u FROM documents), x AS (SELECT *, CASE WHEN a = 4 THEN 'dual_limit' WHEN a = 2 THEN 'minimum_not_maximum' WHEN u = 2 THEN 'wrong_unit' WHEN u = 5 THEN 'currency' WHEN u = 3 THEN 'distributive_limit' WHEN u = 1 THEN 'unit_is_pages' WHEN v NOT BETWEEN 25 AND 100000 THEN 'out_of_range' END AS reason FROM r)
 SELECT doc_id, CASE WHEN reason IS NULL THEN 'limit' ELSE 'refused' END AS outcome, CASE WHEN reason IS NULL THEN v END AS value, reason FROM x""",
     "content_violations": r"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[─-╿■-◿]') THEN 'box_characters' END, CASE WHEN regexp_matches(text, '(?m)^ {0,3}```') THEN 'code_fence' END, CASE WHEN regexp_matches(text, '(?m)^ {0,3}(-{3,}|\*{3,}|_{3,}) *$') THEN 'horizontal_rule' END,

@@ -1,6 +1,7 @@
 """Golden cases of operators that SQL cannot express."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -95,6 +96,27 @@ def test_registers(spark):
         assert "cycle" in {got["C1"][1], got["C2"][1]}
 
 
+def test_tau_against_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [("a", rng.choice([1.5, 2.0, 7.25]), rng.randrange(6)) for _ in range(80)] + [("b", float(k), -k) for k in range(33)] + [("c", 1.0, 2), ("c", 1.0, 5), ("d", 1.0, 1), (None, 1.0, 1)]
+    rows += [("e", rng.random(), rng.randrange(3)) for _ in range(257)] + [("e", None, 1), ("e", 0.5, None)]
+    got = {r.cell: (r.pairs, r.tau) for r in ops.kendall_tau(spark.createDataFrame(rows, "cell string, x double, y int"), "cell", "x", "y").collect()}
+    sign = lambda v: (v > 0) - (v < 0)
+    for cell in "abce":
+        pairs = [(sign(a[1] - b[1]), sign(a[2] - b[2])) for a, b in itertools.combinations([r for r in rows if r[0] == cell and None not in r], 2)]
+        xs, ys = (sum(abs(p[k]) for p in pairs) for k in (0, 1))
+        assert got[cell][0] == len(pairs)
+        assert got[cell][1] == (pytest.approx(sum(x * y for x, y in pairs) / (xs * ys) ** 0.5) if xs and ys else None)
+    assert set(got) == set("abce") and got["b"][1] == pytest.approx(-1)
+
+
+def test_labels_end_with_their_cell(spark):
+    html = "<table><tr><th>Name</th></tr><tr><td>Open:</td> <td>1 <b>May</b></td></tr><tr><td>lone</td></tr></table><dl><dt>Fund</dt><dd>5</dd><dt>Odd</dt></dl>"
+    rows = spark.createDataFrame([(1, "u", html), (2, "u", None), (3, "u", "")], "id long, url string, html string")
+    got = {r.id: [(e.label, e.text) for e in r.evidence] for r in webcurate.labelled_fields(rows, "id", "url", "html").collect()}
+    assert got == {1: [("Open", "1 May"), ("Fund", "5")], 2: [], 3: []}
+
+
 def test_shared_run_boundary(spark):
     base = [f"w{k}" for k in range(60)]
     rows = [(1, "g", " ".join(base[:25] + ["x"] * 3)), (2, "g", " ".join(["y"] * 3 + base[:25])), (3, "g", " ".join(["z"] + base[30:56])), (4, "g", " ".join(base[30:56]))]
