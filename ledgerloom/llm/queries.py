@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, lmscore, media, mixing, nearjoin, substrings, toxicity
+from . import chat, crosstoken, decontam, langid, linededup, lmscore, media, mixing, nearjoin, substrings, toxicity
 from .common import table
 
 
@@ -144,6 +144,10 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.links(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lmscore": op1_lmscore,
     "op2_langid": op2_langid,
@@ -155,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontam": op9_decontam,
     "op10_nearjoin": op10_nearjoin,
+    "op11_crosstoken": op11_crosstoken,
 }
 
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_chat": OP4_SQL, "op9_decontam": OP9_SQL}
