@@ -35,11 +35,11 @@ from .common import stored
 
 FIRST, SECOND = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Different chunks that a worker keeps, characters of text that it takes at a time, and rows of counts up to which they are broadcast.
-KEPT, SLICE, BROADCAST_ROWS = 700_000, 4_000_000, 2_000_000
-#: Chunks that are encoded in a row.
-BLOCK = 256
+KEPT, SLICE, BROADCAST_ROWS = 500_000, 2_000_000, 2_000_000
+#: Chunks that are encoded in a row, and rows of them at a time: what the tokenizers hand out takes hundreds of bytes a token.
+BLOCK, BLOCKS = 256, 32
 CUT = re.compile(r" (?<=\S )(?=\S)")
-ROW = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
+ROW = "doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -102,8 +102,11 @@ class Chunks:
         for c in new:
             (odd if not c or c[0].isspace() or c[-1].isspace() else plain).append(c)
         # plain chunks are encoded in a row, which is cheaper; where that is not given back, each by itself tells which one is to blame
-        odd += self.learn([plain[k : k + BLOCK] for k in range(0, len(plain), BLOCK)])
-        self.learn([[c] for c in odd])
+        blocks = [plain[k : k + BLOCK] for k in range(0, len(plain), BLOCK)]
+        for k in range(0, len(blocks), BLOCKS):
+            odd += self.learn(blocks[k : k + BLOCKS])
+        for k in range(0, len(odd), BLOCK):
+            self.learn([[c] for c in odd[k : k + BLOCK]])
         found = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
         self.hits += np.bincount(found, minlength=len(self.hits))
         return found
@@ -227,7 +230,8 @@ def tokens_of(documents: DataFrame, first: str = FIRST, second: str = SECOND) ->
                 own = list(part)
                 yield align(known, ids[own], [texts[i] for i in own])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, ROW)
+    # ids go as strings: pandas has no long with nulls
+    return documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(work, ROW).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def links(documents: DataFrame, first: str = FIRST, second: str = SECOND, most: int = BROADCAST_ROWS) -> DataFrame:
