@@ -148,6 +148,26 @@ def op11_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstoken.links(table(spark, sf_dir, "documents"))
 
 
+def op13_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digests(recompress.without_repeats(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)
+), gone AS (
+  SELECT DISTINCT r, unnest(generate_series(i, i + 49)) AS p FROM (SELECT *, min(coalesce(doc_id, -9223372036854775808)) OVER (PARTITION BY h) AS least FROM windows) WHERE coalesce(doc_id, -9223372036854775808) > least
+), words AS (
+  SELECT r, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM d
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lmscore": op1_lmscore,
     "op2_langid": op2_langid,
