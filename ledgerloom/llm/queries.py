@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crosstoken, decontam, langid, linededup, lmscore, media, mixing, nearjoin, substrings, toxicity
+from . import chat, crosstoken, decontam, langid, linededup, lmscore, media, mixing, nearjoin, recompress, repair, substrings, toxicity
 from .common import table
 
 
@@ -148,6 +148,64 @@ def op11_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstoken.links(table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repairs(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+# From the last turn backwards, the least (cost, audit) with nothing said yet (0), an s (1), a u (2) or an a (3); the audit is read off in ASCII order.
+OP12_SQL = r"""
+WITH RECURSIVE shift AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS step
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS key FROM conversations
+), fault AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(key, lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, step[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 20 AS f FROM raw, shift
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE f WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) FROM fault)
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM hurt
+), judged AS (
+  SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS was,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault
+  FROM numbered
+), shown AS (
+  SELECT conv_id, greatest(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND was || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), tail AS (
+  SELECT conv_id, max(i) + 1 AS i, {'n': 0, 'e': ''} AS f0, {'n': 6, 'e': 'II'} AS f1, {'n': 3, 'e': 'I'} AS f2, {'n': 0, 'e': ''} AS f3 FROM judged GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, list_min([g0, {'n': g2.n + 3, 'e': 'I' || g2.e}, {'n': g3.n + 6, 'e': 'II' || g3.e}]), list_min([g1, {'n': g2.n + 3, 'e': 'I' || g2.e}, {'n': g3.n + 6, 'e': 'II' || g3.e}]),
+         list_min([g2, {'n': g3.n + 3, 'e': 'I' || g3.e}]), list_min([g3, {'n': g2.n + 3, 'e': 'I' || g2.e}])
+  FROM (
+    SELECT t.conv_id, j.i,
+           list_min([{'n': t.f0.n + 4, 'e': 'D' || t.f0.e}, {'n': CASE WHEN gone OR c <> 's' THEN 1000000 ELSE t.f1.n + x END, 'e': 'K' || t.f1.e}, {'n': CASE WHEN gone OR c <> 'u' THEN 1000000 ELSE t.f2.n + x END, 'e': 'K' || t.f2.e}, {'n': CASE WHEN gone THEN 1000000 ELSE t.f2.n + x + 3 END, 'e': 'R' || t.f2.e}]) AS g0,
+           list_min([{'n': t.f1.n + 4, 'e': 'D' || t.f1.e}, {'n': CASE WHEN gone OR c <> 'u' THEN 1000000 ELSE t.f2.n + x END, 'e': 'K' || t.f2.e}, {'n': CASE WHEN gone THEN 1000000 ELSE t.f2.n + x + 3 END, 'e': 'R' || t.f2.e}]) AS g1,
+           list_min([{'n': t.f2.n + 4, 'e': 'D' || t.f2.e}, {'n': CASE WHEN gone OR c <> 'a' THEN 1000000 ELSE t.f3.n + x END, 'e': 'K' || t.f3.e}, {'n': CASE WHEN gone THEN 1000000 ELSE t.f3.n + x + 3 END, 'e': 'R' || t.f3.e}]) AS g2,
+           list_min([{'n': t.f3.n + 4, 'e': 'D' || t.f3.e}, {'n': CASE WHEN gone OR c <> 'u' THEN 1000000 ELSE t.f2.n + x END, 'e': 'K' || t.f2.e}, {'n': CASE WHEN gone THEN 1000000 ELSE t.f2.n + x + 3 END, 'e': 'R' || t.f2.e}]) AS g3
+    FROM tail t JOIN (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS x FROM judged) j ON j.conv_id IS NOT DISTINCT FROM t.conv_id AND j.i = t.i - 1
+  )
+), audits AS (
+  SELECT conv_id, f0.n AS cost, f0.e AS audit FROM tail WHERE i = 1
+), edits AS (
+  SELECT conv_id, p, e, count(*) FILTER (e <> 'I') OVER o AS i, count(*) FILTER (e <> 'D') OVER o AS k
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS e, unnest(range(length(audit))) AS p FROM audits WHERE audit <> '') WINDOW o AS (PARTITION BY conv_id ORDER BY p)
+), said AS (
+  SELECT e.conv_id, e.p, e.e, e.k, j.role, j.text, max(CASE WHEN e.k = 1 AND e.e = 'K' AND j.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS opened
+  FROM edits e LEFT JOIN judged j ON e.e <> 'I' AND j.conv_id IS NOT DISTINCT FROM e.conv_id AND j.i = e.i WHERE e.e <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (k - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS whole FROM said GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN shown ON shown.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN audits ON audits.conv_id IS NOT DISTINCT FROM o.conv_id
+     LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op13_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.digests(recompress.without_repeats(table(spark, sf_dir, "documents")))
 
@@ -180,6 +238,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontam": op9_decontam,
     "op10_nearjoin": op10_nearjoin,
     "op11_crosstoken": op11_crosstoken,
+    "op12_repair": op12_repair,
+    "op13_recompress": op13_recompress,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_chat": OP4_SQL, "op9_decontam": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_chat": OP4_SQL, "op9_decontam": OP9_SQL, "op12_repair": OP12_SQL, "op13_recompress": OP13_SQL}
