@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, stored
 from .substrings import Hashed, mix, slices
 
 #: After six rounds symbols are of eight words on average, and windows hold several certain ones; more rounds leave some windows without any.
@@ -166,24 +167,46 @@ def anchors(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 text = words.text[first]
                 yield pd.DataFrame({"name": name, "doc": docs[part][text], "t": keys[part][text], "first": first - words.first[text], "more": count - 1, "one": one, "two": two})
 
-    return documents.select("doc", "t", "text").mapInPandas(work, "name long, doc long, t long, first long, more long, one long, two long")
+    return documents.select("doc", "t", "text").mapInPandas(work, "name long, doc long, t long, first int, more int, one long, two long")
 
 
-def repeats(documents: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(documents of (doc, t, text), dealt by these; (doc, t, first, end) of the ranges of words that an earlier document holds), lazily; ranges may overlap."""
+def packed(documents: DataFrame) -> DataFrame:
+    """(doc, t, packed): texts as compressed bytes, which are shuffled by id twice."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pd.DataFrame({"doc": batch["doc"], "t": batch["t"], "packed": [pack.compress(x.encode()) for x in batch["text"]]})
+
+    return documents.select("doc", "t", "text").mapInPandas(work, "doc long, t long, packed binary").repartition(partitions(documents.sparkSession), "doc", "t")
+
+
+def unpacked(column: pd.Series) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(x) for x in column]
+
+
+def settled(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc, t, first, more, late) of the runs of windows under names that several documents have: late if a smaller document holds the same words; the others are open, if their name has words of a smaller document at all."""
     found = anchors(documents, length)
     shared = cut(found.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("name"))  # apart, so that Spark can split the join's hot keys
-    shared, kind = cut(found.join(shared, "name")), ["name", "one", "two"]
-    kinds = cut(shared.groupBy(*kind).agg(F.min("doc").alias("least"), F.max("doc").alias("most")))
-    later = shared.join(kinds.where("least < most").select(*kind, "least"), kind).where("doc > least").select("doc", "t", "first", (F.col("first") + F.col("more") + length).alias("end"))
-    several = kinds.groupBy("name").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("name")
-    open_ = shared.join(kinds.select(*kind, "least"), kind).where("doc = least").join(several, "name", "left_semi")
-    asked = open_.groupBy("doc", "t").agg(F.collect_set(F.struct("first", "more")).alias("asked"))  # of one text
+    shared, kind = stored(found.join(shared, "name"), "runs", "zstd"), ["name", "one", "two"]
+    kinds = stored(shared.groupBy(*kind).agg(F.min("doc").alias("least")), "kinds", "zstd")
+    told = shared.join(kinds, kind).select("name", "doc", "t", "first", "more", (F.col("doc") > F.col("least")).alias("late"))
+    least = cut(kinds.groupBy("name").agg(F.min("least").alias("least"), F.max("least").alias("_most")).where("least < _most").drop("_most"))
+    told = stored(told, "told", "zstd")
+    open_ = told.where("not late").join(least, "name").drop("least")
+    return stored(told.where("late").unionByName(open_).drop("name"), "settled", "zstd")
+
+
+def repeats(documents: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(documents of (doc, t, packed), dealt by these; (doc, t, first, end) of the ranges of words that an earlier document holds), lazily; ranges may overlap."""
+    runs = settled(documents, length)
+    asked = runs.where("not late").groupBy("doc", "t").agg(F.collect_set(F.struct("first", "more")).alias("asked"))  # of one text
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            docs, keys = batch["doc"].to_numpy(), batch["t"].to_numpy()
-            raws = [x.encode() for x in batch["text"]]
+            docs, keys, raws = batch["doc"].to_numpy(), batch["t"].to_numpy(), unpacked(batch["packed"])
             for part in slices(raws):
                 words, own = Words(raws[part]), batch["asked"].iloc[part].tolist()
                 text = np.repeat(np.arange(len(own)), [len(x) for x in own])
@@ -194,11 +217,13 @@ def repeats(documents: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
                 one, two = words.sequences(begin + words.first[text], length)
                 yield pd.DataFrame({"doc": docs[part][text], "t": keys[part][text], "first": begin, "one": one, "two": two})
 
-    by_key = documents.repartition(partitions(documents.sparkSession), "doc", "t")  # twice in the plan with the same columns, one exchange
-    windows = cut(by_key.join(asked, ["doc", "t"]).select("doc", "t", "text", "asked").mapInPandas(fetch, "doc long, t long, first long, one long, two long"))
+    by_key = packed(documents)
+    windows = by_key.join(asked, ["doc", "t"]).select("doc", "t", "packed", "asked").mapInPandas(fetch, "doc long, t long, first int, one long, two long")
+    windows = stored(windows, "windows", "zstd")
     earliest = cut(windows.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))
     single = windows.join(earliest, ["one", "two"]).where("doc > least").select("doc", "t", "first", (F.col("first") + length).alias("end"))
-    return by_key, later.unionByName(single)
+    late = runs.where("late").select("doc", "t", "first", (F.col("first") + F.col("more") + length).alias("end"))
+    return by_key, late.unionByName(single)
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -210,8 +235,8 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     def strike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, text, spans in batch[["doc", "text", "ranges"]].itertuples(index=False):
-                words = text.encode().split()  # at white space of ASCII
+            for doc, raw, spans in zip(batch["doc"], unpacked(batch["packed"]), batch["ranges"], strict=True):
+                words = raw.split()  # at white space of ASCII
                 if spans is None or not len(spans):
                     out.append((doc, len(words), 0, b" ".join(words)))
                     continue
@@ -222,7 +247,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((doc, len(words), len(words) - len(kept), b" ".join([words[k] for k in kept.tolist()])))
             yield pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "kept"])
 
-    struck = by_key.join(lists, ["doc", "t"], "left").select("doc", "text", "ranges").mapInPandas(strike, "doc long, n_words long, n_removed long, kept binary")
+    struck = by_key.join(lists, ["doc", "t"], "left").select("doc", "packed", "ranges").mapInPandas(strike, "doc long, n_words long, n_removed long, kept binary")
     return struck.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
