@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -456,6 +457,50 @@ def sums_close(totals: DataFrame, parts: DataFrame, key: str, places: int = 2) -
 MOST_NODES, NODE_ID, MONEY_PLACES, OTHER_PLACES = 200, re.compile(r"[A-Z]{1,2}[0-9]{1,3}"), 2, 6
 
 
+# Words that may stand beside the name of a denominator, words that make it another quantity, and words that do not tell labels apart.
+CONNECTIVES = ["of", "per", "the", "a", "an", "to", "as", "over", "by", "into", "from", "on", "for", "and", "or", "out", "with", "in", "at", "share", "proportion", "percentage", "fraction", "ratio", "rate", "versus", "vs", "each"]
+SCOPES = ["whole", "total", "entire", "overall", "combined", "full", "gross", "aggregate", "all", "complete", "cumulative", "collective", "grand", "sum", "totality", "net"]
+LABEL_STOPS = ["the", "a", "an", "of", "our", "its", "their", "this", "that"]
+
+
+def names_part(label: str, part: str) -> bool:
+    """The words of ``part`` stand in ``label`` as a run of their own: beside it are ends or connectives, and no scope word comes next behind these."""
+    words, run = label.lower().split(), part.lower().split()
+
+    def apart(side: list[str]) -> bool:
+        rest = list(itertools.dropwhile(CONNECTIVES.__contains__, side))
+        return not side or (len(rest) < len(side) and not (rest and rest[0] in SCOPES))
+
+    places = [k for k in range(len(words) - len(run) + 1) if words[k : k + len(run)] == run] if run else []
+    return any(apart(words[:k][::-1]) and apart(words[k + len(run) :]) for k in places)
+
+
+def rate_faults(rows: dict, value: dict[str, float]) -> dict[str, str]:
+    """What is wrong with the denominators of the rates that could be computed. The leaves below a node are a bit set, a bit for each leaf."""
+    bits = {name: 1 << k for k, name in enumerate(n for n, r in rows.items() if r.kind == "leaf")}
+    below: dict[str, int] = {}
+    for name in value:  # members come before what they make up
+        below[name] = bits.get(name, 0) | reduce(int.__or__, (below[m] for m in (rows[name].members if rows[name].kind != "leaf" else ())), 0)
+    tokens = {name: {w.removesuffix("s") for w in (rows[name].label or "").lower().split() if w not in LABEL_STOPS} for name in value}
+    found = {}
+    for name, r in rows.items():
+        if r.kind != "rate" or name not in value:
+            continue
+        num, den = r.members
+        part, over = below[num], below[den]
+        wholes = [s for s in value if rows[s].kind == "sum" and s not in (den, name) and rows[s].unit_kind == rows[den].unit_kind and rows[s].unit == rows[den].unit and part and part != below[s] and part & ~below[s] == 0]
+        larger = [o for o in value if o != den and rows[o].unit_kind == rows[den].unit_kind and value[o] != value[den] and tokens[den] and tokens[den] < tokens[o]]
+        if r.unit_kind not in ("ratio", "rate"):
+            found[name] = "rate_unit_kind"
+        elif not names_part(r.label or "", rows[den].label or ""):
+            found[name] = "rate_denominator_label"
+        elif any(value[s] != value[den] and (over & ~below[s] or over & part or not over) for s in wholes):
+            found[name] = "rate_denominator_not_whole"
+        elif larger:
+            found[name] = "rate_denominator_ambiguous"
+    return found
+
+
 def evaluate_register(nodes: list) -> list[tuple[str, float | None, str | None]]:
     """Recompute one register bottom-up: (node_id, value, code of its fault). Nodes have the fields of the schema REGISTER but the id."""
     rows = {r.node_id: r for r in nodes}
@@ -544,6 +589,12 @@ def evaluate_register(nodes: list) -> list[tuple[str, float | None, str | None]]
 
     for name in rows:
         visit(name)
+    for name, code in rate_faults(rows, value).items():
+        fault[name] = code
+    for name in list(value):  # what hangs on a faulty rate falls with it
+        if rows[name].kind != "leaf" and name not in fault and any(fault.get(m, "").startswith("rate_") or m not in value for m in rows[name].members):
+            fault[name] = "faulty_member"
+            del value[name]
     return [(r.node_id, value.get(r.node_id), fault.get(r.node_id)) for r in nodes]
 
 

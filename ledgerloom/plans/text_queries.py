@@ -209,6 +209,44 @@ def register_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textaudit.close_registers(leaves.unionByName(sums))
 
 
+TOKENS = f"list_transform(list_filter(string_split({{}}, ' '), lambda w: w NOT IN {tuple(textaudit.LABEL_STOPS)}), lambda w: regexp_replace(w, 's$', ''))"
+#: The label of an order's budget and the kind that its rates claim, by status and customer; sums and products are labelled alike for all.
+BUDGET_LABEL = "CASE o_orderstatus WHEN 'F' THEN 'grant' WHEN 'O' THEN 'cost' ELSE 'line cost budget' END"
+RATE_LABEL = "concat(CASE WHEN o_orderkey % 3 = 0 THEN 'share of the whole ' WHEN o_orderkey % 3 = 1 THEN 'share of the ' ELSE 'part of award ' END, budget_label)"
+
+
+def register_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A register for each order: its lines, their sum, a budget, a product of the first line, and shares of the sum and of the budget."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_partkey", "l_suppkey", F.round("l_extendedprice", 2).alias("v"), F.round("l_quantity").alias("q")).alias("l"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("budget"), F.expr(BUDGET_LABEL).alias("budget_label")).withColumn("rate_label", F.expr(RATE_LABEL))
+    o = lines.groupBy("o_orderkey").agg(F.sort_array(F.collect_list("l")).alias("l")).where(F.size("l") > 1).join(orders, "o_orderkey")  # the lines of an order
+    o = o.withColumn("total", F.round(F.aggregate("l", F.lit(0.0), lambda s, x: s + x["v"]), 2)).withColumn("first", F.col("l")[0]["v"]).withColumn("q", F.col("l")[0]["q"])
+    kind = F.when(F.col("o_custkey") % 7 == 0, "money").otherwise("ratio")
+    text, number = (lambda v: v if not isinstance(v, str) else F.lit(v)), (lambda v: F.lit(None).cast("double") if v is None else v.cast("double"))
+
+    def node(name, kind, label, unit, unit_kind, members=(), value=None, asserted=None):
+        own = F.array(*map(F.lit, members)).cast("array<string>") if isinstance(members, tuple) else members
+        return F.struct(
+            text(name).alias("node_id"), F.lit(kind).alias("kind"), text(label).alias("label"), text(unit).alias("unit"), text(unit_kind).alias("unit_kind"), own.alias("members"),
+            number(value).alias("value"), number(asserted).alias("asserted"), F.lit("order" if kind == "leaf" else "arithmetic").alias("basis"),
+        )
+
+    name = lambda k: F.concat(F.lit("L"), k.cast("string"))
+    leaves = F.transform("l", lambda x, k: node(name(k), "leaf", F.concat(F.lit("line number "), k.cast("string")), "USD", "money", value=x["v"]))
+    money = F.round(F.col("q") * F.col("first"), 2)
+    unit = F.when(kind == "money", "USD").otherwise("share")
+    rounded = lambda a, b: F.when(kind == "money", F.round(a / b, 2)).otherwise(F.round(a / b, 6))
+    others = F.array(
+        node("S1", "sum", "total line cost", "USD", "money", F.transform("l", lambda x, k: name(k)), asserted=F.col("total")), node("G1", "leaf", F.col("budget_label"), "USD", "money", value=F.col("budget")),
+        node("Q1", "leaf", "units of the first line", "units", "count", value=F.col("q")), node("X1", "product", "value of the first line", "USD", "money", ("Q1", "L0"), asserted=money + F.when(F.col("o_orderkey") % 10 == 0, 1).otherwise(0)),
+        node("R1", "rate", "share of total line cost for the first line", "share", "ratio", ("L0", "S1"), asserted=F.round(F.col("first") / F.col("total"), 6)),
+        node("R2", "rate", F.col("rate_label"), unit, kind, ("X1", "G1"), asserted=rounded(money, F.col("budget"))),
+        node("R3", "rate", F.concat(F.lit("lines "), F.col("rate_label")), "share", "ratio", ("L0", "G1"), asserted=F.round(F.col("first") / F.col("budget"), 6)),
+    )
+    nodes = o.select(F.col("o_orderkey").alias("register_id"), F.explode(F.concat(leaves, others)).alias("n")).select("register_id", "n.*")
+    return textaudit.close_registers(nodes)
+
+
 def donor_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     raw = F.concat_ws(" ", pick(n, "max", "up to", "at least", "no more than", "whichever is shorter:"), (F.col("n_chars") % 3000).cast("string"), pick(n + 1, "words", "pages", "characters", "words per section", "", "EUR"))
@@ -304,7 +342,7 @@ def drift_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     strip_html, decoded_titles, page_snapshots, page_links, absolute_links, page_title_candidates, top_pages_per_site, js_shell, bot_challenge, prose_signals, paragraph_first_seen, site_budget, site_outcome, org_site_match, labelled_tables, labelled_fields, robots_access,
-    word_count, document_hash, document_numbers, document_dates, normal_titles, proper_nouns, proper_noun_audit, referent_weight, contact_claims, email_claims, numeric_consistency, register_sums, register_closure, donor_limit, countable_words, content_violations,
+    word_count, document_hash, document_numbers, document_dates, normal_titles, proper_nouns, proper_noun_audit, referent_weight, contact_claims, email_claims, numeric_consistency, register_sums, register_closure, register_rates, donor_limit, countable_words, content_violations,
     jargon_repeats, currency_votes, process_requirements, evidence_use, shared_runs, longest_shared_run, material_change, jaccard_best_match, multiset_overlap, own_figures, cosine_pairs, merge_band, drift_sample,
 )}
 
@@ -407,6 +445,28 @@ SELECT c.l_orderkey, c.number, 'above_total' AS finding FROM c JOIN d USING (l_o
     "register_closure": """WITH l AS (SELECT l_orderkey AS r, round(l_extendedprice, 2) AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, round(l_extendedprice, 2)) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
 SELECT r AS register_id, 'L' || k AS node_id, CASE WHEN n < 200 THEN v END AS computed, CASE WHEN n >= 200 THEN 'too_many_nodes' END AS fault FROM l
 UNION ALL SELECT r, 'S1', CASE WHEN count(*) BETWEEN 2 AND 199 THEN sum(v) END, CASE WHEN count(*) >= 200 THEN 'too_many_nodes' WHEN count(*) < 2 THEN 'bad_arity' WHEN r % 10 = 0 THEN 'does_not_close' END FROM l GROUP BY r""",
+    "register_rates": f"""WITH RECURSIVE l AS (SELECT l_orderkey AS r, round(l_extendedprice, 2) AS v, round(l_quantity) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, round(l_extendedprice, 2), round(l_quantity)) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+o AS (SELECT o_orderkey AS r, o_orderkey, o_custkey, round(o_totalprice, 2) AS budget, {BUDGET_LABEL} AS budget_label FROM orders),
+a AS (SELECT o.*, {RATE_LABEL} AS rate_label, CASE WHEN o_custkey % 7 = 0 THEN 'money' ELSE 'ratio' END AS rate_kind, CASE WHEN o_custkey % 7 = 0 THEN 2 ELSE 6 END AS places,
+  f.v AS first, f.q, (SELECT round(sum(v), 2) FROM l WHERE l.r = o.r) AS total, round(f.q * f.v, 2) AS product FROM o JOIN l f ON f.r = o.r AND f.k = 0 AND f.n > 1),
+nodes AS (SELECT r, 'L' || k AS id, 'leaf' AS kind, 'line number ' || k AS label, 'USD' AS unit, 'money' AS unit_kind, v AS value, NULL::DOUBLE AS asserted FROM l WHERE n > 1
+  UNION ALL SELECT r, 'S1', 'sum', 'total line cost', 'USD', 'money', total, total FROM a UNION ALL SELECT r, 'G1', 'leaf', budget_label, 'USD', 'money', budget, NULL FROM a
+  UNION ALL SELECT r, 'Q1', 'leaf', 'units of the first line', 'units', 'count', q, NULL FROM a
+  UNION ALL SELECT r, 'X1', 'product', 'value of the first line', 'USD', 'money', product, product + CASE WHEN r % 10 = 0 THEN 1 ELSE 0 END FROM a
+  UNION ALL SELECT r, 'R1', 'rate', 'share of total line cost for the first line', 'share', 'ratio', round(first / total, 6), NULL FROM a
+  UNION ALL SELECT r, 'R2', 'rate', rate_label, CASE rate_kind WHEN 'money' THEN 'USD' ELSE 'share' END, rate_kind, CASE WHEN places = 2 THEN round(product / budget, 2) ELSE round(product / budget, 6) END, NULL FROM a
+  UNION ALL SELECT r, 'R3', 'rate', 'lines ' || rate_label, 'share', 'ratio', round(first / budget, 6), NULL FROM a),
+edges AS (SELECT r, 'S1' AS id, 'L' || k AS member, k AS nth FROM l WHERE n > 1 UNION ALL SELECT r, unnest(['X1', 'X1', 'R1', 'R1', 'R2', 'R2', 'R3', 'R3']), unnest(['Q1', 'L0', 'L0', 'S1', 'X1', 'G1', 'L0', 'G1']), unnest([0, 1, 0, 1, 0, 1, 0, 1]) FROM a),
+c AS (SELECT r, id AS top, id AS node FROM nodes UNION SELECT c.r, c.top, edges.member FROM c JOIN edges ON edges.r = c.r AND edges.id = c.node),
+leaves AS (SELECT c.r, c.top, list_sort(list(node)) AS below FROM c JOIN nodes n ON n.r = c.r AND n.id = c.node AND n.kind = 'leaf' GROUP BY 1, 2),
+rates AS (SELECT m.r, m.id, m.unit_kind, ' ' || m.label || ' ' AS said, d.id AS den, d.label AS den_label, d.value AS den_value, d.unit_kind AS den_kind, d.unit AS den_unit, x.below AS part, y.below AS over
+  FROM nodes m JOIN edges e ON e.r = m.r AND e.id = m.id AND e.nth = 0 JOIN edges g ON g.r = m.r AND g.id = m.id AND g.nth = 1 JOIN nodes d ON d.r = m.r AND d.id = g.member JOIN leaves x ON x.r = m.r AND x.top = e.member JOIN leaves y ON y.r = m.r AND y.top = g.member WHERE m.kind = 'rate'),
+judged AS (SELECT r, id, CASE WHEN unit_kind NOT IN ('ratio', 'rate') THEN 'rate_unit_kind'
+  WHEN NOT regexp_matches(said, '^(.* ({"|".join(textaudit.CONNECTIVES)}))? ' || den_label || '( ({"|".join(textaudit.CONNECTIVES)}) .*| )$') OR regexp_matches(said, ' ({"|".join(textaudit.SCOPES)})( ({"|".join(textaudit.CONNECTIVES)}))+ ' || den_label || ' ') OR regexp_matches(said, ' ' || den_label || ' (({"|".join(textaudit.CONNECTIVES)}) )+({"|".join(textaudit.SCOPES)}) ') THEN 'rate_denominator_label'
+  WHEN EXISTS (SELECT 1 FROM nodes s JOIN leaves t ON t.r = s.r AND t.top = s.id WHERE s.r = rates.r AND s.kind = 'sum' AND s.id NOT IN (rates.den, rates.id) AND s.unit = den_unit AND s.unit_kind = den_kind AND len(t.below) > len(part) AND list_has_all(t.below, part) AND s.value <> den_value AND NOT (list_has_all(t.below, over) AND NOT list_has_any(part, over))) THEN 'rate_denominator_not_whole'
+  WHEN EXISTS (SELECT 1 FROM nodes t WHERE t.r = rates.r AND t.id <> den AND t.unit_kind = den_kind AND t.value <> den_value AND t.kind <> 'rate' AND list_has_all(tokens(t.label), tokens(den_label)) AND len(tokens(t.label)) > len(tokens(den_label))) THEN 'rate_denominator_ambiguous' END AS fault FROM rates)
+SELECT n.r AS register_id, n.id AS node_id, CASE WHEN n.id = 'R2' AND r % 10 = 0 THEN NULL ELSE n.value END AS computed,
+  CASE WHEN n.id = 'R2' AND r % 10 = 0 THEN 'faulty_member' WHEN n.id = 'X1' AND r % 10 = 0 THEN 'does_not_close' ELSE j.fault END AS fault FROM nodes n LEFT JOIN judged j USING (r, id)""".replace("tokens(t.label)", TOKENS.format("t.label")).replace("tokens(den_label)", TOKENS.format("den_label")),
     "donor_limit": """WITH r AS (SELECT doc_id, n_chars % 3000 AS v, doc_id % 5 AS a, (doc_id + 1) % 6 AS u FROM documents), x AS (SELECT *, CASE WHEN a = 4 THEN 'dual_limit' WHEN a = 2 THEN 'minimum_not_maximum' WHEN u = 2 THEN 'wrong_unit' WHEN u = 5 THEN 'currency' WHEN u = 3 THEN 'distributive_limit' WHEN u = 1 THEN 'unit_is_pages' WHEN v NOT BETWEEN 25 AND 100000 THEN 'out_of_range' END AS reason FROM r)
 SELECT doc_id, CASE WHEN reason IS NULL THEN 'limit' ELSE 'refused' END AS outcome, CASE WHEN reason IS NULL THEN v END AS value, reason FROM x""",
     "content_violations": r"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[─-╿■-◿]') THEN 'box_characters' END, CASE WHEN regexp_matches(text, '(?m)^ {0,3}```') THEN 'code_fence' END, CASE WHEN regexp_matches(text, '(?m)^ {0,3}(-{3,}|\*{3,}|_{3,}) *$') THEN 'horizontal_rule' END,

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import Row
@@ -96,6 +97,47 @@ def test_registers(spark):
         assert "cycle" in {got["C1"][1], got["C2"][1]}
 
 
+def rate(label="share of total cost", members=("A", "T"), unit_kind="ratio", more=()):
+    """The fault of the rate of a register: two parts of a total, and a grant."""
+    money = lambda i, kind, label, **k: node(i, kind, label, "GBP", "money", **k)
+    rows = [money("A1", "leaf", "frontline work", value=81.0), money("B1", "leaf", "direct costs", value=27.0), money("C1", "leaf", "overheads", value=12.0), money("G1", "leaf", "grant", value=108.0),
+            money("T1", "sum", "total cost", members=["A1", "B1", "C1"], asserted=120.0), *more]
+    num, den = ({"A": "A1", "B": "B1", "C": "C1", "G": "G1", "T": "T1", "H": "H1", "X": "X1"}[m] for m in members)
+    value = {r[1]: r[7] if r[7] is not None else r[8] for r in rows}
+    names = "register_id node_id kind label unit unit_kind members value asserted basis".split()
+    rows.append(node("R1", "rate", label, "share" if unit_kind == "ratio" else "x/y", unit_kind, [num, den], asserted=round(value[num] / value[den], 6)))
+    got = textaudit.evaluate_register([SimpleNamespace(**dict(zip(names, r, strict=True))) for r in rows])
+    assert all(fault is None for name, _, fault in got if name != "R1")
+    return got[-1][2]
+
+
+def test_rates_name_what_they_are_taken_over():
+    assert rate() is None and rate("frontline share in total cost") is None
+    assert rate("share of the total") == rate("share of cost") == rate("share of total cost overrun") == rate("share of project total cost") == "rate_denominator_label"
+    assert rate("share of the whole of total cost") == rate("share of total cost of the entire plan") == "rate_denominator_label"
+    assert rate(unit_kind="count") == "rate_unit_kind"
+
+
+def test_rates_are_taken_over_the_whole():
+    assert rate("share of grant", ("A", "G")) == "rate_denominator_not_whole"  # a part of the total over a sum that is not in it
+    part = [node("H1", "sum", "the frontline budget", "GBP", "money", ["A1", "B1"], asserted=108.0)]
+    assert rate("share of the frontline budget", ("A", "H"), more=part) == "rate_denominator_not_whole"  # over a larger part of the total
+    assert rate("overheads over direct costs", ("C", "B")) is None  # over another part
+    assert rate("overheads over overheads and more", ("G", "C")) is None
+    larger = [node("X1", "leaf", "gross grant", "GBP", "money", value=300.0)]
+    assert rate("total cost over the grant", ("T", "G"), more=larger) == "rate_denominator_ambiguous"
+    same = [node("X1", "leaf", "gross grants", "GBP", "money", value=108.0)]
+    assert rate("total cost over the grant", ("T", "G"), more=same) is None
+
+
+def test_what_hangs_on_a_faulty_rate_falls(spark):
+    money = lambda i, kind, label, **k: node(i, kind, label, "GBP", "money", **k)
+    rows = [money("A1", "leaf", "work", value=50.0), money("G1", "leaf", "grant", value=100.0), node("R1", "rate", "share of something", "share", "ratio", ["A1", "G1"], asserted=0.5), node("P1", "product", "share of the grant again", "GBP", "money", ["R1", "G1"], asserted=50.0)]
+    schema = "register_id long, node_id string, kind string, label string, unit string, unit_kind string, members array<string>, value double, asserted double, basis string"
+    got = {r.node_id: (r.computed, r.fault) for r in textaudit.close_registers(spark.createDataFrame(rows, schema)).collect()}
+    assert got["R1"] == (0.5, "rate_denominator_label") and got["P1"] == (None, "faulty_member")
+
+
 def test_tau_against_all_pairs(spark):
     rng = random.Random(5)
     rows = [("a", rng.choice([1.5, 2.0, 7.25]), rng.randrange(6)) for _ in range(80)] + [("b", float(k), -k) for k in range(33)] + [("c", 1.0, 2), ("c", 1.0, 5), ("d", 1.0, 1), (None, 1.0, 1)]
