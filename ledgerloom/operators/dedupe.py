@@ -54,9 +54,16 @@ def shingle_counts(rows: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
     return hashed.where(F.size("_w") >= n).mapInPandas(count, f"{fields}, s long, n long")
 
 
+def _plain_line(line: Column) -> Column:
+    """A line as it is compared: lower case, without heading marks, stars and spare blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(line), r"^#+\s*", ""), r"\*", ""), r"\s+", " "))
+
+
 def without_lines(text: Column, lines: Column) -> Column:
-    """Text without the lines that a donor asked for."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(lines, F.trim(x))), "\n")
+    """Text without the lines that a donor asked for: those that are, hold or lie in one of ``lines`` of more than 12 characters, compared without marks; blank lines stay, null ``lines`` are none."""
+    asked = F.filter(F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda d: F.trim(F.regexp_replace(F.lower(d), r"\s+", " "))), lambda d: F.length(d) > 12)
+    own = lambda line, d: F.contains(_plain_line(line), d) | F.contains(d, _plain_line(line))
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: (_plain_line(x) == "") | ~F.exists(asked, lambda d: own(x, d))), "\n")
 
 
 def shared_run_flags(documents: DataFrame, id_col: str, group: str, text: str, cap: int = RUN_CAP) -> DataFrame:
@@ -69,70 +76,77 @@ def shared_run_flags(documents: DataFrame, id_col: str, group: str, text: str, c
     return own.join(counts, [group, "s"]).groupBy(id_col).agg((F.max("n") - 1).alias("partners"))
 
 
-def run_windows(rows: DataFrame, least: int, places: bool = False) -> DataFrame:
-    """(id, grp, size, place, h): hashes of the windows of each wanted size, once a document unless ``places``.
-
-    rows: (id, grp, w, ok, wants); w are hashes of words, ok the places whose windows of ``least`` words count, or null for all.
-    """
+def word_windows(rows: DataFrame) -> DataFrame:
+    """(id, grp, size, place, h): a hash of each asked window. rows: (id, grp, w, asked); w are hashes of words, asked (place, size) pairs; windows that do not fit are left out."""
     base, back = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
-            for owner, grp, w, ok, wants in batch[["id", "grp", "w", "ok", "wants"]].itertuples(index=False):
+            for owner, grp, w, asked in batch[["id", "grp", "w", "asked"]].itertuples(index=False):
                 x = np.asarray(w, np.int64).view(np.uint64)
                 power, inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(x), f, np.uint64))) for f in (base, back))
                 sums = np.append(np.uint64(0), np.cumsum(x * power[:-1]))
-                good = np.ones(len(x) + 1, np.int64)
-                if ok is not None:
-                    good[:] = 0
-                    good[ok] = 1
-                good = np.append(0, np.cumsum(good))
-                for size in wants:
-                    at = np.arange(max(len(x) - size + 1, 0))
-                    at = at[good[at + size - least + 1] - good[at] == size - least + 1]
-                    h = (sums[at + size] - sums[at]) * inverse[at]
-                    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                    if not places:
-                        h, first = np.unique(h, return_index=True)
-                        at = at[first]
-                    parts.append(pd.DataFrame({"id": owner, "grp": grp, "size": size, "place": at, "h": h.view(np.int64)}))
+                at, size = (np.array([a[c] for a in asked], np.int64) for c in ("place", "size"))
+                fits = at + size <= len(x)
+                at, size = at[fits], size[fits]
+                h = (sums[at + size] - sums[at]) * inverse[at] + size.astype(np.uint64)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                parts.append(pd.DataFrame({"id": owner, "grp": grp, "size": size, "place": at, "h": h.view(np.int64)}))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.select("id", "grp", "w", "ok", "wants").mapInPandas(work, f"id {kinds['id']}, grp {kinds['grp']}, size int, place int, h long")
+    return rows.select("id", "grp", "w", "asked").mapInPandas(work, f"id {kinds['id']}, grp {kinds['grp']}, size int, place int, h long")
+
+
+#: Sizes of runs are settled three bits at a time.
+BITS = 3
 
 
 def longest_shared_run(documents: DataFrame, id_col: str, group: str, text: str, cap: int = RUN_CAP) -> DataFrame:
     """(id, worst_partner, longest_run, holds) for documents over the cap, over all other documents of the group.
 
-    The run is the greatest size of which some window of the document has a second holder in its group. It is built bit by bit, the
-    greatest first: at each step all documents that may reach a tried size give their windows' hashes, and holders are counted with map-side
-    combining, so no pair is made. The partner is the least other holder of such a window.
+    The run is the greatest size of which some window of the document has a second holder in its group. Windows of cap + 1 words that two documents hold are the seeds: a longer
+    shared window starts at a seed, and so does its other holder, at a seed of the same words. So a document asks for greater sizes at those of its seeds that have come as far as it has,
+    and only seeds of the same words answer, each with the asked sizes: a few bits of the size are settled a round, the greatest first. Holders are counted with map-side combining; no pair is made.
+    The partner is the least other holder of such a window.
     """
     least, key = cap + 1, ["grp", "size", "h"]
     w = F.transform(words(F.col(text)), lambda x: F.xxhash64(x))
     texts = documents.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), w.alias("w")).where((F.size("w") >= least) & F.col("id").isNotNull() & F.col("grp").isNotNull())
 
     def shared(found: DataFrame) -> DataFrame:
-        return found.join(found.groupBy(*key).agg(F.min("id").alias("_a"), F.max("id").alias("_z")).where("_a < _z"), key)
-
-    first = cut(run_windows(texts.withColumn("ok", F.lit(None).cast("array<int>")).withColumn("wants", F.array(F.lit(least))), least, True))
-    alive = shared(first).groupBy("id").agg(F.collect_list("place").alias("ok"))  # at most one a word
-    state = cut(texts.join(alive, "id").withColumn("cur", F.lit(least)))
-    most = (state.agg(F.max(F.size("w"))).first()[0] or least) - least
-    step = 1 << most.bit_length() >> 1
+        """Windows that a second document holds, with the least holder and the greatest."""
+        return found.join(cut(found.groupBy(*key).agg(F.min("id").alias("_a"), F.max("id").alias("_z")).where("_a < _z")), key)
+
+    every = F.transform(F.sequence(F.lit(0), F.size("w") - least), lambda p: F.struct(p.alias("place"), F.lit(least).alias("size")))
+    seeds = cut(shared(word_windows(texts.withColumn("asked", every))).select("id", "grp", "place", F.col("h").alias("seed")))
+    texts = cut(texts.join(seeds.select("id").distinct(), "id", "left_semi"))
+
+    def answers(asked: DataFrame) -> DataFrame:
+        """The windows of the asked sizes (grp, seed, size) at all seeds of the same words."""
+        places = seeds.join(asked, ["grp", "seed"]).groupBy("id").agg(F.collect_list(F.struct("place", "size")).alias("asked"))  # of one document's seeds
+        return cut(word_windows(texts.join(places, "id")))
+
+    most = (texts.agg(F.max(F.size("w"))).first()[0] or least) - least
+    open_ = seeds.withColumn("cur", F.lit(least))  # the seeds at which a document has come farthest
+    step = 1
+    while step << BITS <= most:
+        step <<= BITS
     while step:
-        tried = state.groupBy("grp").agg(F.collect_set(F.col("cur") + step).alias("all"))
-        rows = state.join(tried, "grp").withColumn("wants", F.filter("all", lambda x: x < F.col("cur") + 2 * step))
-        grown = shared(cut(run_windows(rows, least))).select("id", (F.col("size") - step).alias("cur"), F.lit(step).alias("_more")).distinct()
-        state = cut(state.join(grown, ["id", "cur"], "left").withColumn("cur", F.col("cur") + F.coalesce("_more", F.lit(0))).drop("_more"))
-        step >>= 1
-    tried = state.groupBy("grp").agg(F.collect_set("cur").alias("all"))
-    held = cut(shared(cut(run_windows(state.join(tried, "grp").withColumn("wants", F.filter("all", lambda x: x <= F.col("cur"))), least))))
+        sizes = F.explode(F.transform(F.sequence(F.lit(1), F.lit((1 << BITS) - 1)), lambda k: F.col("cur") + k * step))
+        fitting = open_.join(texts.select("id", F.size("w").alias("_n")), "id").select("grp", "seed", sizes.alias("size"), "place", "_n").where("place + size <= _n")
+        grown = shared(answers(fitting.select("grp", "seed", "size").distinct())).select("id", "place", "size")
+        best = grown.groupBy("id").agg(F.max("size").alias("_best"))
+        there = open_.join(best, "id", "left")
+        stay = there.where("_best is null or _best <= cur").drop("_best")
+        move = grown.join(best, "id").where("size = _best").join(seeds, ["id", "place"]).select("id", "grp", "place", "seed", F.col("size").alias("cur"))
+        open_ = cut(stay.unionByName(move.join(there.where("_best > cur").select("id").distinct(), "id", "left_semi")))
+        step >>= BITS
+    held = shared(answers(open_.select("grp", "seed", F.col("cur").alias("size")).distinct()))
     second = held.where("id <> _a").groupBy(*key).agg(F.min("id").alias("_b"))
-    own = held.join(state.select("id", F.col("cur").alias("size")), ["id", "size"]).join(second, key)
+    own = held.join(open_.select("id", F.col("cur").alias("size")).distinct(), ["id", "size"]).join(second, key)
     worst = own.groupBy("id", "size").agg(F.min(F.when(F.col("id") == F.col("_a"), F.col("_b")).otherwise(F.col("_a"))).alias("worst_partner"))
     return worst.select(F.col("id").alias(id_col), "worst_partner", F.col("size").alias("longest_run"), (F.col("size") > cap).alias("holds"))
 

@@ -295,12 +295,19 @@ def evidence_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textaudit.evidence_use(i, i.where("l_returnflag = 'A'"), "l_orderkey", "l_partkey")
 
 
+def _unasked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that their source's donor asks for: those of the source's first document, which is the form."""
+    d = _docs(spark, sf_dir)
+    forms = d.groupBy("source").agg(F.min(F.struct("doc_id", "text")).alias("_f")).select("source", F.split("_f.text", "\n").alias("_lines"))
+    return d.join(forms, "source").select("doc_id", "source", dedupe.without_lines(F.col("text"), F.col("_lines")).alias("text"))
+
+
 def shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.shared_run_flags(_docs(spark, sf_dir), "doc_id", "source", "text")
+    return dedupe.shared_run_flags(_unasked(spark, sf_dir), "doc_id", "source", "text")
 
 
 def longest_shared_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.longest_shared_run(_docs(spark, sf_dir), "doc_id", "source", "text")
+    return dedupe.longest_shared_run(_unasked(spark, sf_dir), "doc_id", "source", "text")
 
 
 def material_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,6 +354,11 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
+_UNASKED = r"""forms AS (SELECT source, list_filter(list_transform(string_split(arg_min(text, doc_id), chr(10)), lambda d: trim(regexp_replace(lower(d), '\s+', ' ', 'g'), ' ')), lambda d: length(d) > 12) AS lines FROM documents GROUP BY source),
+plain AS (SELECT doc_id, d.source, lines, list_transform(string_split(text, chr(10)), lambda x: {'x': x, 'p': trim(regexp_replace(replace(regexp_replace(lower(x), '^#+\s*', ''), '*', ''), '\s+', ' ', 'g'), ' ')}) AS own FROM documents d JOIN forms f ON d.source = f.source),
+unasked AS (SELECT doc_id, source, array_to_string(list_transform(list_filter(own, lambda y: y.p = '' OR len(list_filter(lines, lambda d: contains(y.p, d) OR contains(d, y.p))) = 0), lambda y: y.x), chr(10)) AS text FROM plain)"""
+
+
 def _nest(name: str, steps: list[tuple[str, str]], inner: str) -> str:
     out = inner
     for pattern, to in steps:
@@ -429,7 +441,7 @@ SELECT page_id, link, site, regexp_replace(lower(regexp_extract(link, '(?i)^[a-z
     "labelled_fields": "SELECT c_custkey AS page_id, 'Nation' AS label, 'n ' || c_nationkey AS text, 'https://cards.example.org' AS url FROM customer UNION ALL SELECT c_custkey, 'Segment', c_mktsegment, 'https://cards.example.org' FROM customer UNION ALL SELECT c_custkey, c_name, c_mktsegment, 'https://cards.example.org' FROM customer",
     "robots_access": rf"""WITH p AS (SELECT url, {_HOST} AS host, '/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages), b AS (SELECT host, min(regexp_extract(path, '^(/[^/]*/?)', 1)) AS d, min(path) AS a FROM p GROUP BY 1),
 l AS (SELECT url, CASE WHEN starts_with(path, d) THEN length(d) ELSE 0 END AS ld, CASE WHEN starts_with(path, a) THEN length(a) ELSE 0 END AS la, CASE WHEN regexp_matches(path, '^/.*9$') THEN 4 ELSE 0 END AS l9 FROM p JOIN b USING (host)) SELECT url, la >= greatest(ld, l9) AS allowed FROM l""",
-    "longest_shared_run": f"""WITH d AS (SELECT doc_id, source, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, source, unnest({_SHINGLED.format(n=26)}) AS s, unnest(generate_series(1, len(w) - 25)) AS i FROM d WHERE len(w) >= 26),
+    "longest_shared_run": f"""WITH {_UNASKED}, d AS (SELECT doc_id, source, {_WORDS} AS w FROM unasked), s AS (SELECT doc_id, source, unnest({_SHINGLED.format(n=26)}) AS s, unnest(generate_series(1, len(w) - 25)) AS i FROM d WHERE len(w) >= 26),
 m AS (SELECT a.doc_id AS id, b.doc_id AS other, a.i, a.i - b.i AS shift FROM s a JOIN s b ON a.source = b.source AND a.s = b.s AND a.doc_id <> b.doc_id), r AS (SELECT *, i - row_number() OVER (PARTITION BY id, other, shift ORDER BY i) AS island FROM m),
 n AS (SELECT id, other, count(*) + 25 AS run FROM r GROUP BY id, other, shift, island), k AS (SELECT *, max(run) OVER (PARTITION BY id) AS longest FROM n)
 SELECT id AS doc_id, min(other) AS worst_partner, CAST(any_value(longest) AS INTEGER) AS longest_run, true AS holds FROM k WHERE run = longest GROUP BY 1""",
@@ -479,7 +491,7 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n >= 2) AS repe
 SELECT doc_id, CASE WHEN greatest(g, e, u) = 0 THEN 'USD' WHEN g = greatest(g, e, u) THEN 'GBP' WHEN e = greatest(g, e, u) THEN 'EUR' ELSE 'USD' END AS currency FROM v""".replace("SAID", _picked(CURRENCY_SAID)),
     "process_requirements": r"""SELECT doc_id, regexp_matches(lower(split_part(text, chr(10), 1) || ' ' || SAID), '\bsubmit(ted|ting|ssion)?\b.*\b(application|form|proposal|portal|online|by \d|deadline|before)\b|\bapplication\b.*\bdeadline\b|\bclosing date\b|\bapplication (must |should )?(be )?(submitted|received|in|complete)\b|(submit|received|due|apply|application).{0,30}\bby \d{1,2}(:\d{2})?\s*(am|pm)\b|(submit|received|due|apply|application).{0,40}\bby \d{1,2}(st|nd|rd|th)?\s+\w+\s+\d{4}\b|read (the |through )?(the )?guidance|guidance (document|notes)\b|\b(do not|don''t|never) (rely on|use|depend on)\b.*\b(ai|artificial intelligence|chatgpt|language model)\b|\bcomplete (the|your) (online )?(form|application|portal)\b|\bapply (online|through the portal)\b|\bsign(ed)?\b.*\bdeclaration\b|\bdeclaration\b.*\bsign|\bcreate an account\b|\bregister (on|for) the portal\b|\blog ?in to\b|\bcontact (us|the team|the foundation)\b.*\bbefore\b') AS process FROM documents""".replace("SAID", _picked(PROCESS_SAID)),
     "evidence_use": "WITH o AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS offered, count(DISTINCT l_partkey) FILTER (l_returnflag = 'A') AS used FROM lineitem GROUP BY 1) SELECT l_orderkey, offered, used, offered >= 3 AND used * 2 < offered AS finding FROM o",
-    "shared_runs": f"""WITH d AS (SELECT doc_id, source, {_WORDS} AS w FROM documents), s AS (SELECT DISTINCT doc_id, source, unnest({_SHINGLED.format(n=26)}) AS s FROM d WHERE len(w) >= 26), c AS (SELECT source, s, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) > 1)
+    "shared_runs": f"""WITH {_UNASKED}, d AS (SELECT doc_id, source, {_WORDS} AS w FROM unasked), s AS (SELECT DISTINCT doc_id, source, unnest({_SHINGLED.format(n=26)}) AS s FROM d WHERE len(w) >= 26), c AS (SELECT source, s, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT doc_id, max(n) - 1 AS partners FROM s JOIN c USING (source, s) GROUP BY 1""",
     "material_change": rf"""WITH d AS (SELECT doc_id, text, regexp_replace(text, '^[^\n]*\n?', '') AS new FROM documents), v AS (SELECT doc_id, 'o' AS side, {_WORDS} AS w FROM d UNION ALL SELECT doc_id, 'n', regexp_extract_all(lower(new), '[\p{{L}}\p{{N}}]+') FROM d),
 s AS (SELECT doc_id, side, 5 AS k, unnest({_SHINGLED.format(n=5)}) AS s FROM v WHERE len(w) >= 5 UNION ALL SELECT doc_id, side, 1, unnest(w) FROM v), c AS (SELECT doc_id, k, s, count(*) FILTER (side = 'o') AS o, count(*) FILTER (side = 'n') AS n FROM s GROUP BY 1, 2, 3),
