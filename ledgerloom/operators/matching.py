@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.scan import running
+
 # Questions whose expectations make up the fit, with their weights, and the scale's end.
 FIT_WEIGHTS, FIT_SCALE = {"sector": 0.4, "capability": 0.6}, 3
 
@@ -153,9 +155,8 @@ def unsave(saved: DataFrame, groups: DataFrame, removed: DataFrame) -> DataFrame
 
 
 def running_cap(rows: DataFrame, by: list[str], order: list[Column], amount: str, cap: float) -> DataFrame:
-    """Adds running (spent before and with a row), and accepted: whether it stays in the cap."""
-    run = F.sum(amount).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("running", run).withColumn("accepted", F.col("running") <= cap)
+    """Adds running (spent before and with a row, in ascending order), and accepted: whether it stays in the cap. A key may hold any share of the rows."""
+    return running(rows, by, order, {"running": F.col(amount)}).withColumn("accepted", F.col("running") <= cap)
 
 
 def first_crossing(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -183,23 +184,45 @@ def paid_cycles(invoices: DataFrame) -> DataFrame:
 def asof_latest(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: str, back: str | None = None) -> DataFrame:
     """Adds value and its time: the right side's latest at or before each left row, not older than ``back``.
 
-    Both sides meet in one window by key, as a union; no pairs are formed. Rights of the same time come first.
+    Both sides meet in one scan by key, as a union; no pairs are formed, and a key may hold any share of the rows. Rights of the same time come first.
     """
     both = left.withColumns({"_at": F.col(left_at), "_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)}).unionByName(
         right.select(key, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_v")), allowMissingColumns=True
     )
-    so_far = Window.partitionBy(key).orderBy("_at", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_side") == 0, F.struct(F.col("_at").alias("at"), F.col("_v").alias("v"))), ignorenulls=True).over(so_far)
-    out = both.withColumn("_last", last).where("_side = 1")
+    last = F.when(F.col("_side") == 0, F.struct(F.col("_at").alias("at"), F.col("_v").alias("v")))
+    out = running(both, [key], [F.col("_at"), F.col("_side"), F.col("_v")], lasts={"_last": last}).where("_side = 1")
     near = F.lit(True) if back is None else F.col("_last.at") >= F.col("_at") - F.expr(f"interval {back}")
     return out.select(*left.columns, F.when(near, F.col("_last.v")).alias(value), F.when(near, F.col("_last.at")).alias("matched_at"))
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, begin: str, end: str, bucket_seconds: int) -> DataFrame:
-    """Points in [begin, end) of intervals of the same key; intervals are dealt to the time buckets that they touch, so it is an equi-join."""
-    slot = lambda c: F.floor(F.unix_timestamp(c) / bucket_seconds)
-    dealt = intervals.withColumn("_slot", F.explode(F.sequence(slot(F.col(begin)), slot(F.col(end)))))
-    return points.withColumn("_slot", slot(F.col(at))).join(dealt, [key, "_slot"]).where((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop("_slot")
+#: Slots lie between -2**DEPTH and 2**DEPTH; an interval without a begin or an end reaches there.
+DEPTH = 42
+
+
+def dyadic(begin: Column, end: Column) -> Column:
+    """(level, node) of the fewest aligned pieces, of 2**level slots each, that make up the slots from begin to end: two a level at most."""
+    low = lambda k: F.ceil(begin / F.lit(1 << k)).cast("long")
+    high = lambda k: F.floor((end + 1) / F.lit(1 << k)).cast("long")
+    piece = lambda k, n: F.struct(F.lit(k).alias("level"), n.alias("node"))
+    odd = lambda n: F.pmod(n, F.lit(2)) == 1
+    sides = [F.when((low(k) < high(k)) & odd(n), piece(k, node(k))) for k in range(DEPTH + 1) for n, node in ((low(k), low), (high(k), lambda k: high(k) - 1))]
+    return F.array_distinct(F.array_compact(F.array(*sides)))
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, begin: str, end: str, slot_seconds: int) -> DataFrame:
+    """Points in [begin, end) of intervals of the same key; a null begin or end is open.
+
+    An interval is dealt to the aligned pieces of several sizes that make up its slots, a few dozen however long it is, and a point to the piece of each size in use that holds it, so
+    it is an equi-join without a row for each slot.
+    """
+    slot = lambda c: F.floor(F.unix_timestamp(c) / slot_seconds)
+    low, high = F.coalesce(slot(F.col(begin)), F.lit(-(1 << DEPTH))), F.coalesce(slot(F.col(end)), F.lit((1 << DEPTH) - 1))
+    dealt = intervals.withColumn("_piece", F.explode(dyadic(low, high))).withColumn("_level", F.col("_piece.level")).withColumn("_node", F.col("_piece.node")).drop("_piece")
+    levels = sorted(r[0] for r in dealt.select("_level").distinct().collect())  # one of DEPTH + 1 each
+    pieces = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(slot(F.col(at)) / F.lit(1 << k)).alias("node")) for k in levels]) if levels else F.array().cast("array<struct<level:int,node:bigint>>")
+    spread = points.withColumn("_piece", F.explode(pieces)).withColumn("_level", F.col("_piece.level")).withColumn("_node", F.col("_piece.node")).drop("_piece")
+    inside = (F.col(begin).isNull() | (F.col(at) >= F.col(begin))) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
+    return spread.join(dealt, [key, "_level", "_node"]).where(inside).drop("_level", "_node")
 
 
 def profile_rules() -> dict[str, Column]:

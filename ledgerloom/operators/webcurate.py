@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.scan import running
 
 # Weights of addresses by what they name.
 PAGE_VALUES = [
@@ -98,9 +99,9 @@ def paragraphs(pages: DataFrame, text: str) -> DataFrame:
 
 
 def within_budget(kept: DataFrame, most: int = SITE_CHARS) -> DataFrame:
-    """Paragraphs of a site until their characters reach the budget."""
-    so_far = F.sum(F.length("paragraph")).over(Window.partitionBy("site").orderBy("page_id", "place").rowsBetween(Window.unboundedPreceding, -1))
-    return kept.withColumn("_before", F.coalesce(so_far, F.lit(0))).where(F.col("_before") < most).drop("_before")
+    """Paragraphs of a site until their characters reach the budget; a site may hold any share of them."""
+    counted = running(kept, ["site"], [F.col("page_id"), F.col("place")], {"_with": F.length("paragraph")})
+    return counted.where(F.col("_with") - F.length("paragraph") < most).drop("_with")
 
 
 def site_summary(observations: DataFrame) -> DataFrame:

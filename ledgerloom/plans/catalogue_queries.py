@@ -165,8 +165,8 @@ def asof_clearance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     charges = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("charge_id"), "ts")
-    credits = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("credit_id"), F.col("ts").alias("valid_from"), (F.col("ts") + F.expr("interval 6 hours")).alias("expires_at"))
-    return matching.interval_join(charges, credits, "user_id", "ts", "valid_from", "expires_at", 6 * 3600).select("charge_id", "credit_id")
+    credits = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("credit_id"), F.col("ts").alias("valid_from"), F.when(F.col("event_id") % 7 == 0, F.col("ts") + F.expr("interval 100 years")).when(F.col("event_id") % 7 != 1, F.col("ts") + F.expr("interval 6 hours")).alias("expires_at"))
+    return matching.interval_join(charges, credits, "user_id", "ts", "valid_from", "expires_at", 3600).select("charge_id", "credit_id")
 
 
 def available_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +284,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor((CAST(0.4 AS DOUBLE) * s
     "spend_by_status": "SELECT event_type AS status, count(*) AS calls, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS reserved, CAST(sum(CASE WHEN event_id % 7 <> 0 THEN CAST(round(value * 90) AS BIGINT) END) AS BIGINT) AS actual, count(*) FILTER (event_id % 7 = 0) AS unsettled FROM events GROUP BY 1",
     "asof_clearance": """WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), s AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'signup')
 SELECT p.event_id, CASE WHEN s.ts >= p.ts - INTERVAL 48 HOUR THEN s.event_id END AS clearance, CASE WHEN s.ts >= p.ts - INTERVAL 48 HOUR THEN s.ts END AS matched_at FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.ts >= s.ts""",
-    "interval_credit": "SELECT p.event_id AS charge_id, s.event_id AS credit_id FROM events p JOIN events s ON p.user_id = s.user_id AND p.event_type = 'purchase' AND s.event_type = 'signup' AND p.ts >= s.ts AND p.ts < s.ts + INTERVAL 6 HOUR",
+    "interval_credit": "SELECT p.event_id AS charge_id, s.event_id AS credit_id FROM events p JOIN events s ON p.user_id = s.user_id AND p.event_type = 'purchase' AND s.event_type = 'signup' AND p.ts >= s.ts AND (s.event_id % 7 IN (0, 1) OR p.ts < s.ts + INTERVAL 6 HOUR)",
     "available_credits": """SELECT user_id, credit_id FROM (SELECT user_id, event_id AS credit_id, row_number() OVER (PARTITION BY user_id ORDER BY ts + INTERVAL 5 DAY, event_id) AS n FROM events
   WHERE event_type = 'signup' AND ts <= TIMESTAMP '2024-01-15' AND ts + INTERVAL 5 DAY > TIMESTAMP '2024-01-15 00:31:00') WHERE n = 1""",
     "page_sequence_audit": """WITH m AS (SELECT *, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS c FROM lineitem)

@@ -338,8 +338,12 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("version"), F.col("embedding").alias("vector"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 20).cast("int")).alias("deadline"))
-    return dedupe.merge_candidates(v).withColumn("cosine", F.round("cosine", 6))
+    """Grants, and each again as another portal has it: its vector bent towards its own rotation, its deadline some days off."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("version"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    bent = F.transform("vector", lambda x, k: x + (F.col("id") % 3 + 1) * 0.2 * F.get("vector", (k + 1) % F.size("vector")))
+    other = v.select((F.col("id") + 1_000_000).alias("id"), "version", bent.alias("vector"), day(F.col("id") % 20 + F.col("id") % 11).alias("deadline"))
+    return dedupe.merge_candidates(v.withColumn("deadline", day(F.col("id") % 20)).unionByName(other)).withColumn("cosine", F.round("cosine", 6))
 
 
 def drift_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,6 +510,8 @@ r AS (SELECT item_id, doc_id, CASE WHEN k = nb AND nb = nd THEN 3 WHEN k = nb TH
 SELECT item_id AS block_id, doc_id AS source_id, CASE rank WHEN 3 THEN 'exact' WHEN 2 THEN 'contained' ELSE 'jaccard' END AS how, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank DESC, score DESC, doc_id) AS n FROM r) WHERE n = 1""",
     "own_figures": r"WITH f AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(text, '\b([0-9]{3,})\b', 1)) AS figure FROM documents) SELECT min(doc_id) AS doc_id, figure FROM f GROUP BY source, figure HAVING count(*) = 1",
     "cosine_pairs": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.3",
-    "merge_band": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, vec_id % 20 AS d FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS c, a.d AS ad, b.d AS bd FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(c, 6) AS cosine, CASE WHEN c > 0.93 THEN 'same' ELSE 'review' END AS band FROM p WHERE c >= 0.85 AND abs(ad - bd) <= 7",
+    "merge_band": """WITH o AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), e AS (SELECT vec_id, label, v, vec_id % 20 AS d FROM o
+UNION ALL SELECT vec_id + 1000000, label, list_transform(v, lambda x, i: x + (vec_id % 3 + 1) * 0.2 * v[i % len(v) + 1]), vec_id % 20 + vec_id % 11 FROM o),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id AND abs(a.d - b.d) <= 7) SELECT a, b, round(c, 6) AS cosine, CASE WHEN c > 0.93 THEN 'same' ELSE 'review' END AS band FROM p WHERE c >= 0.85""",
     "drift_sample": "WITH f AS (SELECT label, k - 1 AS dim, CAST(embedding[k] AS DOUBLE) AS x FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS k FROM embeddings)) SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS spread, count(*) AS n FROM f GROUP BY 1, 2",
 }
