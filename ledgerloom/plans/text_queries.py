@@ -342,7 +342,7 @@ def merge_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("version"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     bent = F.transform("vector", lambda x, k: x + (F.col("id") % 3 + 1) * 0.2 * F.get("vector", (k + 1) % F.size("vector")))
-    other = v.select((F.col("id") + 1_000_000).alias("id"), "version", bent.alias("vector"), day(F.col("id") % 20 + F.col("id") % 11).alias("deadline"))
+    other = v.withColumn("deadline", day(F.col("id") % 20 + F.col("id") % 11)).withColumn("vector", bent).withColumn("id", F.col("id") + 1_000_000)
     return dedupe.merge_candidates(v.withColumn("deadline", day(F.col("id") % 20)).unionByName(other)).withColumn("cosine", F.round("cosine", 6))
 
 
