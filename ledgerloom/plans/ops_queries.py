@@ -233,6 +233,23 @@ def hold_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.expired_holds(holds.select("hold_id", "ts"), firsts)
 
 
+def stale_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As each user turns fresh and stale, with a life of 6 hours, up to a time."""
+    return jobs.fresh_spans(table(spark, sf_dir, "events"), "user_id", "6 hours", "2024-01-20 12:00:00").select(F.col("key").cast("long").alias("user_id"), "nth", "last", "at", "fresh")
+
+
+def beat_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events as beats of one piece of work that has three attempts."""
+    return jobs.attempts(table(spark, sf_dir, "events"), "user_id", 3, "12 hours").select(F.col("key").cast("long").alias("user_id"), "attempt", "last_ts", "stale_at", "status")
+
+
+def invoice_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as invoices and errors as reversals of a user's day."""
+    e = table(spark, sf_dir, "events").withColumn("invoice_id", F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")))
+    first = lambda kind: e.where(F.col("event_type") == kind).groupBy("invoice_id").agg(F.min("ts").alias("ts"))
+    return jobs.settlements(first("purchase"), first("error"), "6 hours")
+
+
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.freshness(table(spark, sf_dir, "events"), "user_id", "ts", "2024-01-30 12:00:00")
 
@@ -240,7 +257,7 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     stage_rollup, order_rollup, stage_ready, latest_hold, latest_uploads, streaks, improvement, loop_decision, sticky_verdict, lock_arbitration, live_compositions, request_replay, usage_by_model, cap_levels, shared_credentials, critic_verdicts, gate_scores, gate_progress,
     judge_agreement, kendall_tau, trip_alarms, queue_ages, stranded_claims, ungated_orders, organisation_resolution, grant_resolution, unnotified_stages, composition_draw, sufficiency_score, slot_counts, token_consumption, intake_ledger, fingerprints, fulfilment_blockers,
-    rate_tumbling, rate_anchored, alarm_sliding, dedupe_events, sessions, silences, invoice_settlement, hold_expiry, freshness,
+    rate_tumbling, rate_anchored, alarm_sliding, dedupe_events, sessions, silences, invoice_settlement, hold_expiry, freshness, stale_changes, beat_attempts, invoice_states,
 )}
 
 _ROLL = "CASE WHEN bool_and(status = 'done') THEN 'complete' WHEN bool_or(status IN ('failed', 'held')) THEN 'attention' ELSE 'processing' END"
@@ -321,5 +338,12 @@ SELECT window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS hi
   CASE WHEN min(ts) FILTER (event_type = 'error') IS NOT NULL THEN 'void' WHEN min(ts) FILTER (event_type = 'purchase') IS NOT NULL THEN 'settled' ELSE 'open' END AS state FROM events GROUP BY 1""",
     "hold_expiry": """WITH f AS (SELECT h.event_id AS hold_id, any_value(h.ts) AS held_at, min(p.ts) AS t FROM events h LEFT JOIN events p ON p.user_id = h.user_id AND p.event_type = 'purchase' AND p.ts >= h.ts WHERE h.event_type = 'signup' GROUP BY 1)
 SELECT hold_id, held_at, CASE WHEN t <= held_at + INTERVAL 6 HOUR THEN t END AS confirmed_at, CASE WHEN t <= held_at + INTERVAL 6 HOUR THEN 'confirmed' ELSE 'expired' END AS state FROM f""",
+    "stale_changes": """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00'), s AS (SELECT user_id, ts, sum(CASE WHEN b IS NULL OR ts > b + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM e),
+g AS (SELECT user_id, CAST(nth AS BIGINT) AS nth, min(ts) AS first, max(ts) AS last FROM s GROUP BY 1, 2)
+SELECT user_id, nth, first AS last, first AS at, true AS fresh FROM g UNION ALL SELECT user_id, nth, last, last + INTERVAL 6 HOUR, false FROM g WHERE last + INTERVAL 6 HOUR < TIMESTAMP '2024-01-20 12:00:00'""",
+    "beat_attempts": """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN b IS NULL OR ts > b + INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM e)
+SELECT user_id, CAST(nth AS BIGINT) AS attempt, max(ts) AS last_ts, max(ts) + INTERVAL 12 HOUR AS stale_at, CASE WHEN nth >= 3 THEN 'failed' ELSE 'pending' END AS status FROM s WHERE nth <= 3 GROUP BY user_id, nth""",
+    "invoice_states": """WITH e AS (SELECT *, user_id || '-' || strftime(ts, '%Y%m%d') AS id FROM events), p AS (SELECT id, min(ts) AS t FROM e WHERE event_type = 'purchase' GROUP BY 1), r AS (SELECT id, min(ts) AS t FROM e WHERE event_type = 'error' GROUP BY 1)
+SELECT coalesce(p.id, r.id) AS invoice_id, p.t AS paid_at, r.t AS reversed_at, CASE WHEN p.t IS NULL THEN 'reversed' WHEN r.t IS NULL THEN 'settled' ELSE 'void' END AS state FROM p FULL JOIN r ON p.id = r.id AND r.t BETWEEN p.t - INTERVAL 6 HOUR AND p.t + INTERVAL 6 HOUR""",
     "freshness": "SELECT user_id, max(ts) AS last, max(ts) > TIMESTAMP '2024-01-29 12:00:00' AS fresh FROM events GROUP BY 1",
 }
