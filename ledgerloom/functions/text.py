@@ -53,10 +53,15 @@ def decode_entities(text: pd.Series) -> pd.Series:
 
 
 def normal_title(title: Column) -> Column:
-    """Identity form of a title: lower case, other signs than letters and digits as one space."""
+    """Comparable form of a name or heading: lower case, other signs than letters and digits as one space."""
     return F.trim(F.regexp_replace(F.lower(title), r"[^a-z0-9]+", " "))
 
 
+def grant_title(title: Column) -> Column:
+    """Identity form of a grant's title: lower case, other signs than letters, digits and spaces deleted."""
+    return F.trim(F.regexp_replace(F.lower(title), r"[^a-z0-9 ]", ""))
+
+
 def name_tokens(name: Column) -> Column:
     """Order-insensitive key of a name: its different words without glue."""
     words = F.split(normal_title(name), " ")

@@ -163,7 +163,7 @@ def draw_compositions(applicants: DataFrame, axes: DataFrame, rounds: int = 50)
 
 def gap_detected(wants: Column, evidence: Column) -> Column:
     """The donor wants a record and no evidence tells of delivery."""
-    return wants.rlike(r"(?i)track record|experience|previous(ly)? (delivered|grants)") & ~F.exists(evidence, lambda e: e.rlike(r"(?i)\b(deliver\w*|complet\w*|implement\w*|reached|trained)\b"))
+    return wants.rlike("(?i)experience|track record|past (?:project|performance)|previous (?:project|grant)") & ~F.exists(evidence, lambda e: e.rlike("(?i)project|programme|result|since|founded|deliver"))
 
 
 def attributable(text: Column, tokens: Column) -> Column:

@@ -52,7 +52,7 @@ def improvement(rows: DataFrame, by: str, order: list[str], score: str) -> DataF
 def loop_decision(attempts: DataFrame, cap: float, most_unmeasured: int = 4, most_infra: int = 3, most_quality: int = 2, least_change: float = 0.20) -> DataFrame:
     """Adds decision for each attempt of (proposal_id, attempt, verdict, hold_class, score, material, changed, spend, unmeasured).
 
-    First rule that holds: pass; the cap; unmeasured calls; infrastructure holds in a row; no material change; no better score; quality holds.
+    First rule that holds: pass; the cap, of which the share of one cycle of the allowed number is kept in reserve; unmeasured calls; infrastructure holds in a row; no material change; no better score; quality holds.
     """
     own = Window.partitionBy("proposal_id").orderBy("attempt")
     so_far, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +65,7 @@ def loop_decision(attempts: DataFrame, cap: float, most_unmeasured: int = 4, mos
     spent, unmeasured = F.sum("spend").over(so_far), F.sum("unmeasured").over(so_far)
     rule = (
         F.when(F.col("verdict") == "pass", "deliver")
-        .when(F.col("_spent") + cap / (F.col("_regens") + 1) > cap, "hold")
+        .when(F.col("_spent") + cap / (most_quality + 1) > cap, "hold")
         .when(F.col("_unmeasured") > most_unmeasured, "hold")
         .when(infra, F.when(F.col("_streak") < most_infra, "retry").otherwise("hold"))
         .when((F.col("material") == F.lit(False)) | (F.col("changed") < least_change), "refund")

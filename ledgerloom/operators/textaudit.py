@@ -282,9 +282,9 @@ def decided_limit(raw: Column, guidelines: Column, field: str) -> Column:
 def limit_scope(guidelines: Column) -> Column:
     """answers where the wording limits answers and attaches the rest, or excludes sections from the count; else whole."""
     g = F.lower(F.coalesce(guidelines, F.lit("")))
-    answers = g.rlike(r"\b(answers?|responses?|questions?)\b[^.]{0,80}\b(must not exceed|no more than|within|limited to|maximum of)\b")
-    attached = g.rlike(r"\bbudget( table)?\b[^.]{0,60}\battach(ed)?\b|\battach\b[^.]{0,40}\bbudget\b")
-    excluded = g.rlike(r"\b(excluded from|does not count towards|not counted towards|outside)\b[^.]{0,40}\b(word )?(limit|count)\b|\b(word )?(count|limit)\b[^.]{0,40}\bexclud\w*")
+    answers = g.rlike(r"\b(answers?|responses?|questions?)\b[^.]{0,80}\b(must not exceed|no more than|within|limited to|maximum of)\b|\b(must not exceed|no more than)\b[^.]{0,40}\bwords?\b[^.]{0,60}\b(answers?|responses?)\b")
+    attached = g.rlike(r"\b(budget table|budget)\b[^.]{0,60}\b(must be )?attach(ed)?\b|\battach\b[^.]{0,40}\bbudget\b")
+    excluded = g.rlike(r"\b(excluded from|does not count towards|not counted towards|outside)\b[^.]{0,40}\b(word )?(limit|count)\b|\b(word )?(count|limit)\b[^.]{0,40}\bexclud\w*\b[^.]{0,60}\b(budget|declaration|annex|appendix|table|attachment)\b")
     return F.when((answers & attached) | excluded, "answers").otherwise("whole")
 
 

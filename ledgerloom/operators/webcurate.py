@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -160,8 +159,12 @@ def distinctive_tokens(name: Column, generic: list[str]) -> Column:
     return F.array_except(F.filter(T.name_tokens(name), lambda w: F.length(w) > 2), F.array(*map(F.lit, generic)))
 
 
-#: Tokens of a name that are tried in every order against a host's label; longer names are not spelt in labels.
-MOST_ORDERED = 4
+def spelt_by(label: Column, tokens: Column) -> Column:
+    """The label is all the different tokens written together, in some order: tokens are matched along it, and what is left of label and tokens is kept for every way so far."""
+    start = F.array(F.struct(label.alias("rest"), tokens.alias("left")))
+    grown = lambda s: F.transform(F.filter(s["left"], lambda t: F.startswith(s["rest"], t)), lambda t: F.struct(F.substr(s["rest"], F.length(t) + 1).alias("rest"), F.array_remove(s["left"], t).alias("left")))
+    ways = F.aggregate(tokens, start, lambda ways, _: F.array_distinct(F.flatten(F.transform(ways, grown))))
+    return F.exists(ways, lambda s: (s["rest"] == "") & (F.size(s["left"]) == 0))
 
 
 def organisation_matches_site(org: Column, stated: Column, label: Column) -> Column:
@@ -171,9 +174,7 @@ def organisation_matches_site(org: Column, stated: Column, label: Column) -> Col
     both = F.coalesce((F.size(smaller) >= 2) & T.contained(smaller, larger), F.lit(False))
     single = (F.size(org) == 1) & (F.length(F.element_at(org, 1)) > 3) & (F.element_at(org, 1) == label)
     plain, joined = F.regexp_replace(label, "[^a-z0-9]", ""), F.array_join(org, "")
-    orders = [order for n in range(2, MOST_ORDERED + 1) for order in permutations(range(n))]
-    spelt = F.exists(F.array(*[F.when(F.size(org) == len(o), F.concat(*[F.get(org, F.lit(k)) for k in o])) for o in orders]), lambda x: x == plain)
-    whole = (F.size(org) > 1) & stated.isNull() & (F.length(joined) > 3) & (F.length(joined) == F.length(plain)) & F.coalesce(spelt, F.lit(False))
+    whole = (F.size(org) > 1) & stated.isNull() & (F.length(joined) > 3) & (F.length(joined) == F.length(plain)) & F.coalesce(spelt_by(plain, org), F.lit(False))
     return F.when(F.size(org) == 0, False).otherwise(both | F.coalesce(single, F.lit(False)) | F.coalesce(whole, F.lit(False)))
 
 

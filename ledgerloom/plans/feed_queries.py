@@ -91,16 +91,31 @@ def claim_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textaudit.normal_claims(_docs(spark, sf_dir).select("doc_id", pick(F.col("k"), "fact", "figure", "guess").alias("class")), ["fact", "figure"]).select("doc_id", "class", "raw_class")
 
 
-GUIDELINES = ["Answers must not exceed 500 words; the budget table should be attached.", "Up to 2000 words in total", "Annexes are excluded from the word limit", "Answers must not exceed 500 words"]
+# Documents as guidelines, requirements and evidence: some of their words are read as words of a donor's.
+AS_GUIDE = {"erer": "answers", "attion": "must not exceed", "thing": "words", "thin": "budget", "thst": "attached", "thti": "excluded from", "thly": "word limit", "thor": "the word count excludes the", "thha": "annex"}
+AS_ASKED, AS_TOLD = {"thea": "track record", "erin": "past performance", "thtion": "past perfection"}, {"thes": "delivered", "thed": "projected", "thnt": "programmes", "thble": "plans"}
+
+
+def _read_as(text, words: dict[str, str]):
+    for word, other in words.items():
+        text = F.replace(text, F.lit(f" {word} "), F.lit(f" {other} "))
+    return text
+
+
+def _read_as_sql(words: dict[str, str]) -> str:
+    text = "coalesce(text, '')"
+    for word, other in words.items():
+        text = f"replace({text}, ' {word} ', ' {other} ')"
+    return text
 
 
 def limit_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", pick(F.col("k"), *GUIDELINES).alias("g")).select("doc_id", textaudit.limit_scope(F.col("g")).alias("scope"))
+    return _docs(spark, sf_dir).select("doc_id", textaudit.limit_scope(_read_as(F.coalesce("text", F.lit("")), AS_GUIDE)).alias("scope"))
 
 
 def record_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    return _docs(spark, sf_dir).select("doc_id", pick(k, "Track record needed", "A budget").alias("w"), F.array(pick(k, "We delivered 3", "We plan", "Nothing")).alias("e")).select("doc_id", ledger.gap_detected(F.col("w"), F.col("e")).alias("gap"))
+    text = F.coalesce("text", F.lit(""))
+    return _docs(spark, sf_dir).select("doc_id", ledger.gap_detected(_read_as(text, AS_ASKED), F.split(_read_as(text, AS_TOLD), "\n")).alias("gap"))
 
 
 def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,14 +123,18 @@ def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deadline_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = pick(F.col("k"), "by 5:00 pm GMT+1 today", "at 17.30 CET", "no time", "23:59 UTC sharp")
-    return _docs(spark, sf_dir).select("doc_id", dates.deadline_time(said).alias("t")).select("doc_id", "t.time", "t.zone")
+    """The time of every event, written out, before a zone, or before none."""
+    e = table(spark, sf_dir, "events")
+    said = F.concat_ws(" ", F.lit("by"), F.date_format("ts", "h:mm a"), pick(F.col("user_id"), "GMT+1", "today", "CET", "UTC sharp"))
+    return e.select("event_id", dates.deadline_time(said).alias("t")).select("event_id", "t.time", "t.zone")
 
 
 def stated_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = pick(F.col("k"), "1,200 participants and 30 people", "none", "5 participants")
-    found = T.numbers_of(said, "participants|people")
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(found.cast("array<string>"), ",").alias("numbers"), T.significant_figures(F.col("k") * 10).alias("figures"))
+    """Quantities by their ways of shipment, of which three count as units."""
+    i = table(spark, sf_dir, "lineitem")
+    said = F.concat_ws(" ", F.format_number(F.col("l_partkey") * 10, 0), "l_shipmode", F.lit("and"), F.round("l_quantity").cast("long").cast("string"), "l_shipmode", "l_returnflag")
+    found = T.numbers_of(said, "air|rail|mail")
+    return i.select("l_orderkey", "l_linenumber", F.array_join(found.cast("array<string>"), ",").alias("numbers"), T.significant_figures(F.col("l_partkey") * 10).alias("figures"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -138,9 +157,12 @@ SELECT doc_id, CASE WHEN error IS NULL THEN sha256('auth' || chr(31) || 'REF' ||
     "record_hashes": f"SELECT doc_id, sha256('[{_LOCALE % 'en'},{_LOCALE % 'fr'}]') AS hash, CASE WHEN doc_id % 3 = 0 THEN 'partial' ELSE 'verified' END AS detail_status FROM documents",
     "qualified_hashes": """SELECT doc_id, sha256(md5(coalesce(text, '')) || '|' || (['confirmed', 'unknown'])[doc_id % 2 + 1] || '|{"countryCodes":["DE"],"scope":"countries"}|' || CASE WHEN doc_id % 2 = 0 THEN 'key' || doc_id ELSE '' END) AS hash FROM documents""",
     "claim_classes": "SELECT doc_id, (['fact', 'figure', 'unsupported'])[doc_id % 3 + 1] AS class, (['fact', 'figure', 'guess'])[doc_id % 3 + 1] AS raw_class FROM documents",
-    "limit_scopes": "SELECT doc_id, (['answers', 'whole', 'answers', 'whole'])[doc_id % 4 + 1] AS scope FROM documents",
-    "record_gaps": "SELECT doc_id, doc_id % 2 = 0 AND doc_id % 3 <> 0 AS gap FROM documents",
+    "limit_scopes": rf"""WITH g AS (SELECT doc_id, lower({_read_as_sql(AS_GUIDE)}) AS g FROM documents)
+SELECT doc_id, CASE WHEN ((regexp_matches(g, '\b(answers?|responses?|questions?)\b[^.]{{0,80}}\b(must not exceed|no more than|within|limited to|maximum of)\b') OR regexp_matches(g, '\b(must not exceed|no more than)\b[^.]{{0,40}}\bwords?\b[^.]{{0,60}}\b(answers?|responses?)\b'))
+  AND (regexp_matches(g, '\b(budget table|budget)\b[^.]{{0,60}}\b(must be )?attach(ed)?\b') OR regexp_matches(g, '\battach\b[^.]{{0,40}}\bbudget\b')))
+  OR regexp_matches(g, '\b(excluded from|does not count towards|not counted towards|outside)\b[^.]{{0,40}}\b(word )?(limit|count)\b') OR regexp_matches(g, '\b(word )?(count|limit)\b[^.]{{0,40}}\bexclud\w*\b[^.]{{0,60}}\b(budget|declaration|annex|appendix|table|attachment)\b') THEN 'answers' ELSE 'whole' END AS scope FROM g""",
+    "record_gaps": f"""SELECT doc_id, regexp_matches({_read_as_sql(AS_ASKED)}, '(?i)experience|track record|past (?:project|performance)|previous (?:project|grant)') AND NOT regexp_matches({_read_as_sql(AS_TOLD)}, '(?i)project|programme|result|since|founded|deliver') AS gap FROM documents""",
     "attributed": "SELECT doc_id, list_has_any(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), ' '), ['the', 'la']) AS attributable FROM documents",
-    "deadline_times": "SELECT doc_id, (['5:00 pm', '17.30', NULL, '23:59'])[doc_id % 4 + 1] AS time, (['GMT+1', 'CET', NULL, 'UTC'])[doc_id % 4 + 1] AS zone FROM documents",
-    "stated_numbers": "SELECT doc_id, (['1200,30', '', '5'])[doc_id % 3 + 1] AS numbers, CAST(length(regexp_replace(CAST(doc_id * 10 AS VARCHAR), '0+$', '')) AS INTEGER) AS figures FROM documents",
+    "deadline_times": "SELECT event_id, strftime(ts, '%-I:%M %p') AS time, (['GMT+1', NULL, 'CET', 'UTC'])[user_id % 4 + 1] AS zone FROM events",
+    "stated_numbers": "SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(lower(l_shipmode), '^(air|rail|mail)') THEN l_partkey * 10 || ',' || CAST(round(l_quantity) AS BIGINT) ELSE '' END AS numbers, CAST(length(regexp_replace(CAST(l_partkey * 10 AS VARCHAR), '0+$', '')) AS INTEGER) AS figures FROM lineitem",
 }

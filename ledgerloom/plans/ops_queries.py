@@ -149,8 +149,8 @@ def organisation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grant_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", "\n", 1))
-    known = d.where("lang = 'en'").select(F.col("source").alias("funder"), T.normal_title(F.col("title")).alias("title_normalized"), "doc_id").groupBy("funder", "title_normalized").agg(F.min("doc_id").alias("grant_id"))
-    return ops.resolve_grants(d.select("doc_id", F.col("source").alias("funder"), "title"), known, T.normal_title(F.col("title"))).select("doc_id", "grant_id")
+    known = d.where("lang = 'en'").select(F.col("source").alias("funder"), T.grant_title(F.col("title")).alias("title_normalized"), "doc_id").groupBy("funder", "title_normalized").agg(F.min("doc_id").alias("grant_id"))
+    return ops.resolve_grants(d.select("doc_id", F.col("source").alias("funder"), "title"), known, T.grant_title(F.col("title"))).select("doc_id", "grant_id")
 
 
 def unnotified_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +280,7 @@ SELECT event_id, previous, score > previous AS improved FROM p""",
 b AS (SELECT *, count(*) OVER w AS spent, sum(um::INT) OVER w AS unmeasured, sum((NOT infra)::INT) OVER w AS island, count(*) FILTER (NOT pass AND NOT infra) OVER (PARTITION BY p ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS regens,
   last_value(CASE WHEN NOT pass AND NOT infra THEN score END IGNORE NULLS) OVER (PARTITION BY p ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM a WINDOW w AS (PARTITION BY p ORDER BY attempt ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT *, sum(infra::INT) OVER (PARTITION BY p, island ORDER BY attempt ROWS UNBOUNDED PRECEDING) AS streak FROM b)
-SELECT attempt, CASE WHEN pass THEN 'deliver' WHEN spent + 60.0 / (regens + 1) > 60 THEN 'hold' WHEN unmeasured > 4 THEN 'hold' WHEN infra THEN CASE WHEN streak < 3 THEN 'retry' ELSE 'hold' END
+SELECT attempt, CASE WHEN pass THEN 'deliver' WHEN spent + 60.0 / 3 > 60 THEN 'hold' WHEN unmeasured > 4 THEN 'hold' WHEN infra THEN CASE WHEN streak < 3 THEN 'retry' ELSE 'hold' END
   WHEN NOT material OR changed < 0.2 THEN 'refund' WHEN score <= previous THEN 'refund' WHEN regens + 1 > 2 THEN 'refund' ELSE 'regenerate' END AS decision FROM c""",
     "sticky_verdict": """WITH f AS (SELECT *, first_value(CASE WHEN event_type <> 'error' THEN event_id END IGNORE NULLS) OVER w AS fid, first_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER w AS stands FROM events WINDOW w AS (PARTITION BY user_id, event_id % 7 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
 SELECT event_id, stands, CASE WHEN fid IS NULL THEN 'open' WHEN fid = event_id THEN 'first' WHEN event_type = stands THEN 'replayed' ELSE 'superseded' END AS role FROM f""",
@@ -312,7 +312,7 @@ SELECT o_custkey, count(*) AS pairs, CASE WHEN sum(abs(dx)) > 0 AND sum(abs(dy))
     "ungated_orders": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')",
     "organisation_resolution": """WITH n AS (SELECT CAST(s_suppkey % 60 AS VARCHAR) AS r, min(s_suppkey) AS id FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY 1), m AS (SELECT s_suppkey % 45 AS e, min(s_suppkey) AS id FROM supplier GROUP BY 1)
 SELECT c_custkey, coalesce(n.id, m.id) AS org_id FROM customer LEFT JOIN n ON n.r = CAST(c_custkey % 90 AS VARCHAR) LEFT JOIN m ON m.e = c_custkey % 70""",
-    "grant_resolution": """WITH d AS (SELECT doc_id, source AS funder, lang, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents), k AS (SELECT funder, t, min(doc_id) AS grant_id FROM d WHERE lang = 'en' GROUP BY 1, 2)
+    "grant_resolution": """WITH d AS (SELECT doc_id, source AS funder, lang, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9 ]', '', 'g'), ' ') AS t FROM documents), k AS (SELECT funder, t, min(doc_id) AS grant_id FROM d WHERE lang = 'en' GROUP BY 1, 2)
 SELECT d.doc_id, k.grant_id FROM d LEFT JOIN k ON d.funder = k.funder AND d.t = k.t""",
     "unnotified_stages": f"WITH {STAGES} SELECT seq AS stage_id, status, heartbeat AS finished_at FROM stages WHERE status IN ('done', 'failed', 'held') AND seq % 3 <> 0 ORDER BY heartbeat, seq LIMIT 10",
     "sufficiency_score": """SELECT user_id, sum(least(3.0, 1 + CASE WHEN event_type = 'view' THEN 0.75 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0 END + CASE WHEN event_type = 'click' THEN 0.5 ELSE 0 END + CASE WHEN value > 9 THEN 1 ELSE 0 END))::DOUBLE AS score, count(*) AS referents FROM events GROUP BY 1""",

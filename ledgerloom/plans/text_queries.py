@@ -139,12 +139,16 @@ def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates written out from each order, read again."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(F.date_add("o_orderdate", 9500), "d MMMM yyyy").alias("a"), F.date_format(F.date_add("o_orderdate", 9500), "MM/dd/yyyy").alias("b"))
-    return o.select("o_orderkey", dates.free_deadline(F.concat(F.lit("Deadline: "), "a")).alias("day_first"), dates.free_deadline(F.concat(F.lit("by "), "b")).alias("month_first"))
+    o = table(spark, sf_dir, "orders").withColumn("day", F.date_add("o_orderdate", 9500))
+    of = lambda form: F.date_format("day", form)
+    later = F.date_format(F.date_add("day", 99), "d MMMM yyyy")
+    named = F.concat(F.lit("5:00pm on the "), of("d"), F.lit("th of "), of("MMMM"), F.lit(" "), of("yyyy"), F.lit(" (informed by "), later, F.lit(")"))
+    american, plain = F.concat(F.lit("by "), of("MMMM d, yyyy"), F.lit(" or "), later), F.concat(F.lit("by "), of("MM/dd/yyyy"))
+    return o.select("o_orderkey", *[dates.free_deadline(c).alias(n) for n, c in (("named", named), ("american", american), ("plain", plain))])
 
 
 def normal_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.normal_title(F.substring_index("text", "\n", 1)).alias("title"), T.has_date(F.col("text")).alias("dated"))
+    return _docs(spark, sf_dir).select("doc_id", T.normal_title(F.substring_index("text", "\n", 1)).alias("title"), T.grant_title(F.substring_index("text", "\n", 1)).alias("grant_title"), T.has_date(F.col("text")).alias("dated"))
 
 
 def proper_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,8 +278,8 @@ CURRENCY_SAID = ["costs £5", "10 euros and 5 EUR", "US$ 5, or Dollars", "5 Ster
 
 
 def _said(spark: SparkSession, sf_dir: str, said: list[str]) -> DataFrame:
-    """Documents' first lines, each followed by one of the phrases."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring_index("text", "\n", 1), F.lit(" "), pick(F.col("doc_id"), *said)).alias("text"))
+    """Whole documents, each followed by one of the phrases."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), pick(F.col("doc_id"), *said)).alias("text"))
 
 
 def jargon_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,8 +456,8 @@ SELECT id AS doc_id, min(other) AS worst_partner, CAST(any_value(longest) AS INT
     "word_count": r"SELECT doc_id, CAST(len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '[​‌‍﻿]', '', 'g'), '\|', ' ', 'g'), '([぀-ヿ㐀-䶿一-鿿])', ' \1 ', 'g'), '[^ \t\r\n\f]+')) AS BIGINT) AS words FROM documents",
     "document_hash": r"SELECT doc_id, 'v1:' || sha256(trim(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS hash FROM documents",
     "document_numbers": r"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?%?')) AS s FROM documents), v AS (SELECT doc_id, CAST(regexp_replace(s, '[,%]', '', 'g') AS DOUBLE) / CASE WHEN s LIKE '%\%' ESCAPE '\' THEN 100 ELSE 1 END AS x FROM x) SELECT doc_id, count(*) AS n, max(x) AS largest FROM v GROUP BY 1""",
-    "document_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) + 9500 AS day_first, CAST(o_orderdate AS DATE) + 9500 AS month_first FROM orders",
-    "normal_titles": r"SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g'), ' ') AS title, regexp_matches(text, '(?i)\b(19|20)[0-9][0-9]\b|\b(january|february|march|april|may|june|july|august|september|october|november|december|spring|summer|autumn|winter)\b') AS dated FROM documents",
+    "document_dates": "SELECT o_orderkey, d AS named, d + 99 AS american, CAST(try_strptime(strftime(d, '%m/%d/%Y'), '%d/%m/%Y') AS DATE) AS plain FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 9500 AS d FROM orders)",
+    "normal_titles": r"SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g'), ' ') AS title, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9 ]', '', 'g'), ' ') AS grant_title, regexp_matches(text, '(?i)\b(19|20)[0-9][0-9]\b|\b(january|february|march|april|may|june|july|august|september|october|november|december|spring|summer|autumn|winter)\b') AS dated FROM documents",
     "email_claims": r"SELECT DISTINCT source, lower(unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'))) AS literal FROM documents",
     "numeric_consistency": """WITH d AS (SELECT l_orderkey, floor(avg(l_quantity)) AS total FROM lineitem GROUP BY 1), c AS (SELECT DISTINCT l_orderkey, CAST(round(l_quantity) AS BIGINT) AS number FROM lineitem), e AS (SELECT DISTINCT l_orderkey, CAST(round(l_quantity) AS BIGINT) AS number FROM lineitem WHERE l_returnflag = 'R')
 SELECT c.l_orderkey, c.number, 'above_total' AS finding FROM c JOIN d USING (l_orderkey) WHERE c.number > d.total * 1.01 AND (c.l_orderkey, c.number) NOT IN (SELECT (l_orderkey, number) FROM e)""",
@@ -489,11 +493,11 @@ SELECT doc_id, CASE WHEN reason IS NULL THEN 'limit' ELSE 'refused' END AS outco
   CASE WHEN len(regexp_extract_all(text, '\*\*')) % 2 = 1 THEN 'unbalanced_bold' END, CASE WHEN regexp_matches(text, '(?i)\[(insert|tbd|todo|name|date|amount)[^\]]*\]|\bTBD\b|\blorem ipsum\b|X{3,}') THEN 'placeholder' END, CASE WHEN regexp_matches(text, '\b(ord|prop)_[a-z0-9]{8,}\b') THEN 'order_id' END,
   CASE WHEN regexp_matches(text, '[\x{1F300}-\x{1FAFF}]') THEN 'emoji' END, CASE WHEN regexp_matches(text, '(?m)^#{1,6} [^\n]+\n\s*(#{1,6} |\z)') THEN 'empty_section' END, CASE WHEN trim(text, ' ') <> '' AND NOT regexp_matches(trim(text, ' '), '[.!?:;)\]"''”’|*_]$') THEN 'mid_sentence_end' END,
   CASE WHEN len(regexp_extract_all(replace(text, '|', ' '), '[^ \t\r\n\f]+')) > 1000 THEN 'over_limit' END) AS violations FROM documents""",
-    "jargon_repeats": r"""WITH p AS (SELECT doc_id, lower(unnest(regexp_extract_all(split_part(text, chr(10), 1) || ' ' || SAID, '(?i)\b(?:transformative|groundbreaking|holistic(?:ally)?|robust framework|catalys(?:e|t|ing|ze)\w* change|leverag\w+ synerg\w+|empower(?:ing|s)? communities|foster(?:ing)? collaboration|sustainable ecosystem|multifaceted approach|paradigm shift|cutting[- ]edge|state[- ]of[- ]the[- ]art|synergist\w+)\b'))) AS p FROM documents), e AS (SELECT doc_id, p, count(*) AS n FROM p GROUP BY 1, 2)
+    "jargon_repeats": r"""WITH p AS (SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, '') || ' ' || SAID, '(?i)\b(?:transformative|groundbreaking|holistic(?:ally)?|robust framework|catalys(?:e|t|ing|ze)\w* change|leverag\w+ synerg\w+|empower(?:ing|s)? communities|foster(?:ing)? collaboration|sustainable ecosystem|multifaceted approach|paradigm shift|cutting[- ]edge|state[- ]of[- ]the[- ]art|synergist\w+)\b'))) AS p FROM documents), e AS (SELECT doc_id, p, count(*) AS n FROM p GROUP BY 1, 2)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n >= 2) AS repeated, count(*) FILTER (n >= 2) > 0 OR sum(n) >= 5 AS finding FROM e GROUP BY 1""".replace("SAID", _picked(JARGON_SAID)),
-    "currency_votes": r"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) || ' ' || SAID || ' ' || (['https://a.org.uk/x', 'https://a.de', 'https://a.com/uk'])[doc_id % 3 + 1] AS x FROM documents), v AS (SELECT doc_id, len(regexp_extract_all(x, '(?i)£|\bGBP\b|\bpounds?\b|\bsterling\b')) + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS g, len(regexp_extract_all(x, '(?i)€|\bEUR\b|\beuros?\b')) AS e, len(regexp_extract_all(x, '\bUSD\b|\bUS\$|\bdollars?\b')) AS u FROM t)
+    "currency_votes": r"""WITH t AS (SELECT doc_id, coalesce(text, '') || ' ' || SAID || ' ' || (['https://a.org.uk/x', 'https://a.de', 'https://a.com/uk'])[doc_id % 3 + 1] AS x FROM documents), v AS (SELECT doc_id, len(regexp_extract_all(x, '(?i)£|\bGBP\b|\bpounds?\b|\bsterling\b')) + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS g, len(regexp_extract_all(x, '(?i)€|\bEUR\b|\beuros?\b')) AS e, len(regexp_extract_all(x, '\bUSD\b|\bUS\$|\bdollars?\b')) AS u FROM t)
 SELECT doc_id, CASE WHEN greatest(g, e, u) = 0 THEN 'USD' WHEN g = greatest(g, e, u) THEN 'GBP' WHEN e = greatest(g, e, u) THEN 'EUR' ELSE 'USD' END AS currency FROM v""".replace("SAID", _picked(CURRENCY_SAID)),
-    "process_requirements": r"""SELECT doc_id, regexp_matches(lower(split_part(text, chr(10), 1) || ' ' || SAID), '\bsubmit(ted|ting|ssion)?\b.*\b(application|form|proposal|portal|online|by \d|deadline|before)\b|\bapplication\b.*\bdeadline\b|\bclosing date\b|\bapplication (must |should )?(be )?(submitted|received|in|complete)\b|(submit|received|due|apply|application).{0,30}\bby \d{1,2}(:\d{2})?\s*(am|pm)\b|(submit|received|due|apply|application).{0,40}\bby \d{1,2}(st|nd|rd|th)?\s+\w+\s+\d{4}\b|read (the |through )?(the )?guidance|guidance (document|notes)\b|\b(do not|don''t|never) (rely on|use|depend on)\b.*\b(ai|artificial intelligence|chatgpt|language model)\b|\bcomplete (the|your) (online )?(form|application|portal)\b|\bapply (online|through the portal)\b|\bsign(ed)?\b.*\bdeclaration\b|\bdeclaration\b.*\bsign|\bcreate an account\b|\bregister (on|for) the portal\b|\blog ?in to\b|\bcontact (us|the team|the foundation)\b.*\bbefore\b') AS process FROM documents""".replace("SAID", _picked(PROCESS_SAID)),
+    "process_requirements": r"""SELECT doc_id, regexp_matches(lower(coalesce(text, '') || ' ' || SAID), '\bsubmit(ted|ting|ssion)?\b.*\b(application|form|proposal|portal|online|by \d|deadline|before)\b|\bapplication\b.*\bdeadline\b|\bclosing date\b|\bapplication (must |should )?(be )?(submitted|received|in|complete)\b|(submit|received|due|apply|application).{0,30}\bby \d{1,2}(:\d{2})?\s*(am|pm)\b|(submit|received|due|apply|application).{0,40}\bby \d{1,2}(st|nd|rd|th)?\s+\w+\s+\d{4}\b|read (the |through )?(the )?guidance|guidance (document|notes)\b|\b(do not|don''t|never) (rely on|use|depend on)\b.*\b(ai|artificial intelligence|chatgpt|language model)\b|\bcomplete (the|your) (online )?(form|application|portal)\b|\bapply (online|through the portal)\b|\bsign(ed)?\b.*\bdeclaration\b|\bdeclaration\b.*\bsign|\bcreate an account\b|\bregister (on|for) the portal\b|\blog ?in to\b|\bcontact (us|the team|the foundation)\b.*\bbefore\b') AS process FROM documents""".replace("SAID", _picked(PROCESS_SAID)),
     "evidence_use": "WITH o AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS offered, count(DISTINCT l_partkey) FILTER (l_returnflag = 'A') AS used FROM lineitem GROUP BY 1) SELECT l_orderkey, offered, used, offered >= 3 AND used * 2 < offered AS finding FROM o",
     "shared_runs": f"""WITH {_UNASKED}, d AS (SELECT doc_id, source, {_WORDS} AS w FROM unasked), s AS (SELECT DISTINCT doc_id, source, unnest({_SHINGLED.format(n=26)}) AS s FROM d WHERE len(w) >= 26), c AS (SELECT source, s, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT doc_id, max(n) - 1 AS partners FROM s JOIN c USING (source, s) GROUP BY 1""",

@@ -312,3 +312,51 @@ def test_rest_stands_without_the_training_data_operators(tmp_path):
             shutil.copy(f"{root}/{name}", tmp_path)
     told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), set(e.oracle_sql()) <= set(e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert told.stdout.split()[1:] == ["False", "True"], told.stderr
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [("09/10/2026", "2026-10-09"), ("9-9-2026", "2026-09-09"), ("5:00pm on the 9th of September 2026 (informed by 18th December 2026)", "2026-09-09"), ("September 9, 2026", "2026-09-09"), ("the 1st of Sept, 2026", "2026-09-01"),
+     ("2026-03-04 00:00", "2026-03-04"), ("2026-03-04T00:00:00Z", None), ("13/25/2026", None), ("rolling", None), ("", None), (None, None), ("31 February 2026", None), ("Closes 3 months 2026 or June 5th, 2027", "2027-06-05"), ("25/12/1999", "1999-12-25")],
+)
+def test_free_deadlines(spark, said, want):
+    found = one(spark, dates.free_deadline(F.lit(said).cast("string")), x=1)
+    assert (None if found is None else str(found)) == want
+
+
+def test_titles_of_grants_lose_their_signs(spark):
+    assert one(spark, T.grant_title(F.lit(" Co-op Fund: 2026/27! ")), x=1) == "coop fund 202627" and one(spark, T.normal_title(F.lit("Co-op Fund")), x=1) == "co op fund"
+
+
+@pytest.mark.parametrize(
+    ("wording", "want"),
+    [("The word limit excludes spaces.", "whole"), ("The word count excludes the budget table and the declaration.", "answers"), ("The five answers together must not exceed 500 words. The budget must be attached.", "answers"), ("No more than 500 words for all responses; attach a budget.", "answers"),
+     ("The five answers together must not exceed 500 words.", "whole"), ("Annexes are outside the word limit", "answers"), (None, "whole")],
+)
+def test_limit_scopes(spark, wording, want):
+    assert one(spark, textaudit.limit_scope(F.lit(wording).cast("string")), x=1) == want
+
+
+def test_gaps(spark):
+    gap = lambda wants, *evidence: one(spark, ledger.gap_detected(F.lit(wants), F.array(*map(F.lit, evidence)).cast("array<string>")), x=1)
+    assert gap("Describe past performance", "a village hall") and gap("Show your track record") and not gap("Describe the need", "a hall")
+    assert not gap("Describe past performance", "Founded in 1990, many projects with results") and not gap("Experience?", "open since 2001")
+
+
+def test_loop_keeps_one_cycle_in_reserve(spark):
+    schema = "proposal_id int, attempt int, verdict string, hold_class string, score long, material boolean, changed double, spend double, unmeasured int"
+    decide = lambda *rows: [r.decision for r in ops.loop_decision(spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], schema), 9.0).orderBy("attempt").collect()]
+    hold = lambda score, spend, changed=None, material=None: ("hold", "quality", score, material, changed, spend, 0)
+    assert decide(hold(5, 0.5)) == ["regenerate"]
+    assert decide(hold(5, 6.0)) == ["regenerate"] and decide(hold(5, 6.01)) == ["hold"]
+    assert decide(hold(5, 1.0), hold(6, 1.0, 0.5, True), hold(7, 1.0, 0.5, True)) == ["regenerate", "regenerate", "refund"]
+    assert decide(hold(5, 1.0), hold(5, 1.0, 0.5, True)) == ["regenerate", "refund"] and decide(hold(5, 1.0), hold(6, 1.0, 0.1, True)) == ["regenerate", "refund"]
+    infra = ("hold", "infra", None, None, None, 0.1, 0)
+    assert decide(infra, infra, infra) == ["retry", "retry", "hold"] and decide(hold(5, 8.0), ("pass", "quality", 9, True, 0.5, 8.0, 0)) == ["hold", "deliver"]
+
+
+def test_long_names_are_spelt_in_hosts(spark):
+    m = lambda org, label: one(spark, webcurate.organisation_matches_site(F.array(*map(F.lit, org)), F.lit(None).cast("array<string>"), F.lit(label)), x=1)
+    five = ["bright", "cedar", "hope", "river", "valley"]
+    assert m(five, "valleyrivercedarhopebright") and m(five, "valley-river-cedar-hope-bright") and not m(five, "valleyrivercedarhope") and not m(five, "valleyvalleycedarhopebright")
+    assert m(["a", "ab", "b", "ba"], "abbaab") and m(["a", "ab", "b", "ba"], "ababab") and not m(["a", "ab", "b", "ba"], "bbbaaa")
