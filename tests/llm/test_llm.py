@@ -116,10 +116,9 @@ def test_language(spark):
     assert langid.classify("123 !!", (("en", b"abc"),)) == ("und", 0.0, False)
 
 
-def test_many_languages(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGUAGES", 3)
+def test_no_language_is_left_out(spark):
     d = spark.range(200).select(F.concat(F.lit("l"), F.floor(F.sqrt("id")).cast("string")).alias("lang"), F.concat(F.lit("text "), F.col("id")).alias("text"))
-    assert {r.lang for r in langid.learning_sample(d).collect()} == {"l13", "l12", "l11"}
+    assert {r.lang for r in langid.learning_sample(d).collect()} == {f"l{k}" for k in range(15)}
 
 
 def test_language_sample_counts_copies_once(spark):
@@ -502,3 +501,38 @@ def test_pipeline_stages(spark):
     assert set(p.STAGES[-1][1](spark, kept, SMALL).columns) == {"doc_id", "size", "source_size", "target", "taken"}
     for name, stage in p.STAGES[1:]:
         assert stage(spark, d.limit(0), SMALL).count() == 0
+
+
+def test_languages_by_groups_are_as_at_once(spark, monkeypatch):
+    """More languages than go at a time, ties between twins included, and none left out."""
+    rng = np.random.default_rng(6)
+    tongues = {f"l{k:02}": ["".join(rng.choice(list("abcdefghijklmnop")[k % 5 : k % 5 + 8], 4)) for _ in range(40)] for k in range(7)}
+    say = lambda k, n: " ".join(rng.choice(tongues[k], n))
+    learn = [(k, say(k, 60)) for k in tongues for _ in range(8)]
+    learn += [("l07", t) for k, t in learn if k == "l03"]  # a twin of l03
+    texts = [(n, say(k, m)) for n, (k, m) in enumerate((k, m) for k in tongues for m in (1, 3, 40))] + [(90, None), (91, ""), (92, "123"), (None, say("l00", 30))]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    labelled = spark.createDataFrame(learn, "lang string, text string")
+    told = lambda: sorted((tuple(r) for r in langid.identify(d, langid.fit(labelled), "doc_id").collect()), key=repr)
+    whole = told()
+    monkeypatch.setattr(langid, "GROUP", 3)
+    assert told() == whole and len({r[1] for r in whole}) > 5
+    monkeypatch.setattr(langid, "GROUP", 250)
+    many = spark.createDataFrame([(f"t{k:04}", f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} {chr(97 + k % 26) * 9}") for k in range(1100)], "lang string, text string")
+    groups = list(langid.fit(many))
+    assert sum(map(len, groups)) == 1100 and max(map(len, groups)) == 250
+
+
+def test_near_copies_are_told_by_the_texts_that_came_in(spark, tmp_path):
+    """Line deduplication leaves nothing alike of two near copies; one of them goes nevertheless, and clean documents stay."""
+    import corpus_pipeline as p
+
+    shared = [f"this line of many words number {k} stands in both of the near copies here" for k in range(30)]
+    lines = {1: [*shared, "the first one ends like this and says it"], 2: [*shared, "and the second one ends in another way"], 3: [f"something else {k} that no other document says at all" for k in range(9)]}
+    came = spark.createDataFrame([(k, "\n".join(v), "en", "s", 1) for k, v in lines.items()] + [(4, "\n".join(lines[3]) + "\nmore", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    came.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = p.drop_lines(spark, came, str(tmp_path))
+    assert {r.doc_id for r in docs.collect()} == {1, 2, 3, 4}
+    assert {r.doc_id for r in p.drop_near_copies(spark, docs, str(tmp_path)).collect()} == {1, 3}
+    other = spark.createDataFrame([(1, "unlike what came in under this id", "en", "s", 1), (2, "and this one is unlike it as well", "en", "s", 1), (None, "x", "en", "s", 1)], came.schema)
+    assert {r.doc_id for r in p.drop_near_copies(spark, other, str(tmp_path)).collect()} == {1, 2, None}
