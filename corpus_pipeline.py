@@ -6,7 +6,7 @@ starts from a table that outlives its executors; the folder goes when the driver
 
 Edge cases, in every stage: an empty table gives no rows; other columns, whatever their names, are kept as they are; null and repeated ids are no names, rows are told apart
 by id and text, and equal rows have one fate. A null or empty text says nothing: toxicity scores it as such, it has no lines to lose, no near copies and no
-contamination, and size 0 in the mix; so it stays. Very long texts are taken whole. Of equal rows near_duplicates keeps one, if they have words. line_dedup sets ``n_chars``, if it is there, of the texts that it changes.
+contamination, and size 0 in the mix; so it stays. Very long texts are taken whole. Of equal rows near_duplicates keeps one, if they have words; documents are grouped by their texts before line_dedup, too. line_dedup sets ``n_chars``, if it is there, of the texts that it changes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, linededup, mixing, nearjoin, toxicity
-from ledgerloom.llm.common import scratch, table
+from ledgerloom.llm.common import cut, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearjoin.one_of_each(docs)
+    """One of each group of near copies stays, by the texts as they came in, then by what is left of them: line deduplication strips what near copies share.
+
+    A document is known again by its id, if one row has it there and here, and if its lines are among those that came in; the others are compared as they are.
+    """
+    came = table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    lines = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.xxhash64(x)))
+    once = lambda df, name: df.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.any_value(lines).alias(name)).where("n = 1").drop("n")
+    named = cut(once(docs, "here").join(once(came, "there"), "doc_id").where(F.size(F.array_except("here", "there")) == 0).select("doc_id"))
+    kept = nearjoin.one_of_each(came.join(named, "doc_id")).select("doc_id")
+    left = docs.join(named.join(kept, "doc_id", "left_anti"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return nearjoin.one_of_each(left)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
