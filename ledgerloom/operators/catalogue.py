@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 
 FRESH = "interval 24 hours"
-# The readings of an application method that open or close a notice.
-OPEN_TEXT, CLOSED_TEXT = r"(?i)\b(open|accepting applications|apply (now|online|by)|ouvert)\b", r"(?i)\b(closed|no longer accept|expired|cancelled|awarded|clos|fermé)\b"
-# Kinds by the wording of a notice's type.
-KINDS = [("grant", r"(?i)grant|call for proposals|funding"), ("tender", r"(?i)tender|request for (proposal|quotation)|bid|procurement|rfp|rfq"), ("consultancy", r"(?i)consult|expression of interest|eoi")]
 
 
 def ts(as_of: str) -> Column:
@@ -113,29 +109,12 @@ def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], at:
     return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
 
 
-def application_status(evidence: Column) -> Column:
-    """From evidence labelled as method or status, never from titles: closed, open or unknown."""
-    stated = F.filter(evidence, lambda e: F.lower(e.label).rlike("method|status|statut|modalit"))
-    return F.when(F.exists(stated, lambda e: e.text.rlike(CLOSED_TEXT)), "closed").when(F.exists(stated, lambda e: e.text.rlike(OPEN_TEXT)), "open").otherwise("unknown")
-
-
 def call_statements(text: Column) -> Column:
     """(closed, deadline_text): what a call page says of its own end."""
     closed = text.rlike(r"(?i)\b(call|applications?|submissions?)\b[^.\n]{0,40}\b(is|are|now) closed\b|\bclosed for applications\b")
     return F.struct(closed.alias("closed"), F.nullif(F.regexp_extract(text, r"(?i)\b(?:deadline|closing date|apply by|no later than)\b[: ]+([^.\n]{4,60})", 1), F.lit("")).alias("deadline_text"))
 
 
-def notice_kind(kind_text: Column) -> Column:
-    return F.coalesce(*[F.when(kind_text.rlike(p), name) for name, p in KINDS], F.lit("other"))
-
-
-def qualify_geography(claimed: Column, evidence: Column, country: str) -> Column:
-    """confirmed, outside, conflict or unknown; only copied evidence with a place label counts."""
-    placed = F.filter(evidence, lambda e: F.lower(e.label).rlike("country|location|place|region"))
-    inside, outside = F.exists(placed, lambda e: F.contains(F.lower(e.text), F.lit(country.lower()))), F.exists(placed, lambda e: ~F.contains(F.lower(e.text), F.lit(country.lower())))
-    return F.when(F.size(placed) <= 0, "unknown").when(inside & outside, "conflict").when(inside, "confirmed").when(outside & (claimed != country), "outside").otherwise("unknown")
-
-
 def extract_countries(rows: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(id, country_codes, scope) from (id, evidence) and a gazetteer of (code, alpha3, name); sorted codes, or worldwide, or unknown if both.
 
@@ -154,41 +133,12 @@ def extract_countries(rows: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return joined.select("id", F.when(some & ~everywhere, F.col("codes")).otherwise(F.array().cast("array<string>")).alias("country_codes"), F.when(everywhere & ~some, "worldwide").when(some & ~everywhere, "countries").otherwise("unknown").alias("scope"))
 
 
-def qualify_locations(locations: Column, countries: Column) -> Column:
-    """The stated locations if their shape holds (countries with codes, worldwide without), else those of a legacy list."""
-    sound = ((locations.scope == "countries") & (F.size(locations.countryCodes) > 0) & F.forall(locations.countryCodes, lambda c: c.rlike("^[A-Z]{2}$"))) | ((locations.scope == "worldwide") & (F.size(locations.countryCodes) == 0))
-    legacy = F.struct(F.sort_array(countries).alias("countryCodes"), F.when(F.size(countries) > 0, "countries").otherwise("unknown").alias("scope"))
-    return F.when(sound, F.struct(locations.countryCodes.alias("countryCodes"), locations.scope.alias("scope"))).otherwise(legacy)
-
-
-def identity_key(claim: Column, evidence: Column, official_hosts: list[str]) -> Column:
-    """(key, error): the digest of authority, reference and lot, or why there is none."""
-    host = F.lower(F.regexp_extract(claim.proofUrl, r"^https://([^/?#]+)", 1))
-    proven = F.exists(evidence, lambda e: e.url == claim.proofUrl)
-    whole = F.array_contains(F.split(F.regexp_extract(claim.proofUrl, r"^https://[^/?#]+([^?#]*)", 1), "[/_]"), claim.reference)
-    lot = F.coalesce(claim.lotId, F.lit(""))
-    error = (
-        F.when(claim.isNull(), "no_claim")
-        .when(~host.isin(official_hosts), "host_not_official")
-        .when(~F.coalesce(proven, F.lit(False)), "proof_missing")
-        .when(~whole, "reference_not_in_path")
-        .when((claim.granularity == "lot") & (lot == ""), "lot_missing")
-        .when((claim.granularity == "notice") & (lot != ""), "lot_unexpected")
-    )
-    key = F.sha2(F.concat_ws("\x1f", F.lower(claim.authority), claim.reference, claim.granularity, lot), 256)
-    return F.struct(F.when(error.isNull(), key).alias("key"), error.alias("error"))
-
-
 def record_hash(locales: Column) -> Column:
     """Digest over the locales in order of locale, without what fetching sets."""
     ordered = F.array_sort(F.transform(locales, lambda x: F.struct(x.locale, x.sourceUrl, x.title, x.description, x.deadline.cast("string").alias("deadline"), x.evidence)))
     return F.sha2(F.to_json(ordered), 256)
 
 
-def qualified_hash(content_hash: Column, geography: Column, locations: Column, key: Column) -> Column:
-    return F.sha2(F.concat_ws("|", content_hash, geography, F.to_json(locations), F.coalesce(key, F.lit(""))), 256)
-
-
 def detail_status(locales: Column, status: Column) -> Column:
     return F.when(F.exists(locales, lambda x: F.coalesce(x.detailNeedsRefresh, F.lit(False))), "partial").otherwise(status)
 
@@ -293,19 +243,6 @@ def validate(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rows.withColumn("reasons", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])))
 
 
-def notice_rules(hosts: list[str], kinds: list[str]) -> dict[str, Column]:
-    """The contract of a notice, as far as columns can state it."""
-    inside = lambda c, lo, hi: F.length(c).between(lo, hi)
-    return {
-        "source_key": inside("source_key", 1, 300),
-        "title": inside("title", 3, 500),
-        "kind": F.col("kind").isin(kinds),
-        "detail_status": F.col("detail_status").isin("verified", "partial", "unavailable"),
-        "host": F.col("source_host").isin(hosts),
-        "fetched_at": F.col("fetched_at").isNotNull(),
-    }
-
-
 def valid_source_pair(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Adds paired: whether the row's (source, host) is listed."""
     return rows.join(pairs.select("source", "host", F.lit(True).alias("_p")).distinct(), ["source", "host"], "left").withColumn("paired", F.col("_p").isNotNull()).drop("_p")

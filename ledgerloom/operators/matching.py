@@ -225,17 +225,6 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, be
     return spread.join(dealt, [key, "_level", "_node"]).where(inside).drop("_level", "_node")
 
 
-def profile_rules() -> dict[str, Column]:
-    listed = lambda c, n: (F.size(c) <= n) & F.forall(c, lambda x: F.length(F.trim(x)).between(1, 120))
-    return {
-        "organizationName": F.length(F.trim("organizationName")).between(2, 200),
-        "sectors": (F.size("sectors") >= 1) & listed("sectors", 20),
-        "languages": listed("languages", 20),
-        "budget": F.col("budgetMin").isNull() | F.col("budgetMax").isNull() | (F.col("budgetMin") <= F.col("budgetMax")),
-        "opportunityTypes": (F.size("opportunityTypes") >= 1) & (F.size("opportunityTypes") == F.size(F.array_distinct("opportunityTypes"))),
-    }
-
-
 def reconcile(reservations: DataFrame, customers: DataFrame) -> DataFrame:
     """Reserved ones, and revoked ones that nothing settled, with their customers, oldest first."""
     left = reservations.where((F.col("state") == "reserved") | ((F.col("state") == "revoked") & ~F.col("resolved")))

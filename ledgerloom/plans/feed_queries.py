@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions import text as T
-from ..operators import catalogue, ledger, matching, textaudit
+from ..operators import catalogue, ledger, qualify, textaudit
+from ..schemas import EVIDENCE, LOCALES, LOCATIONS
 from ..sources import readers
 from .bindings import AS_OF, pick, table
 
@@ -43,32 +44,75 @@ def all_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.union_feeds([d, p])
 
 
+# Notices of documents, in SQL that both engines read: the publisher, its key and address, and a claim of identity with its proof and lot.
+PUBLISHER = "CASE doc_id % 4 WHEN 0 THEN 'ppa' WHEN 1 THEN 'ungm' WHEN 2 THEN 'worldbank' ELSE 'eeas' END"
+PUBLISHER_KEY = "concat(publisher, ':', CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE '' END, doc_id)"
+PUBLISHER_URL = "concat(CASE publisher WHEN 'ppa' THEN 'https://ppa.gov.lb/en/tenders/details/' WHEN 'ungm' THEN 'https://www.ungm.org/Public/Notice/' WHEN 'worldbank' THEN 'https://projects.worldbank.org/en/projects-operations/procurement-detail/OP' ELSE 'https://www.eeas.europa.eu/n/' END, doc_id)"
+AUTHORITY = "CASE WHEN doc_id % 5 < 3 THEN CASE doc_id % 3 WHEN 0 THEN 'ppa.gov.lb' WHEN 1 THEN 'ungm.org' ELSE 'worldbank.org' END END"
+PROOF = "concat(CASE WHEN doc_id % 13 = 0 THEN 'https://other.example/' ELSE CASE doc_id % 3 WHEN 0 THEN 'https://www.ppa.gov.lb/ar/tenders/details/' WHEN 1 THEN 'https://ungm.org/Public/Notice/' ELSE 'https://projects.worldbank.org/en/projects-operations/procurement-detail/OP' END END, doc_id, CASE WHEN doc_id % 17 = 0 THEN '?x=1' ELSE '' END)"
+REFERENCE = "concat(CASE doc_id % 3 WHEN 2 THEN 'OP' ELSE '' END, doc_id)"
+GRANULARITY, LOT = "CASE WHEN doc_id % 2 = 0 THEN 'lot' ELSE 'notice' END", "CASE WHEN doc_id % 7 < 4 THEN concat('L', doc_id % 10) END"
+SHOWN, SHOWN_LOT = "CASE WHEN doc_id % 19 = 0 THEN 'nothing' ELSE concat('see (', proof, ').') END", "concat('L', doc_id % 10)"
+
+
+def _as_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for name, sql in (("publisher", PUBLISHER), ("key", PUBLISHER_KEY), ("url", PUBLISHER_URL), ("authority", AUTHORITY), ("proof", PROOF), ("reference", REFERENCE), ("granularity", GRANULARITY), ("lot", LOT), ("shown", SHOWN), ("shown_lot", SHOWN_LOT)):
+        d = d.withColumn(name, F.expr(sql))
+    claim = F.when(F.col("authority").isNotNull(), F.struct("authority", "reference", "granularity", F.col("lot").alias("lotId"), F.col("proof").alias("proofUrl")))
+    item = lambda label, text: F.struct(F.lit(label).alias("label"), F.col(text).alias("text"), F.lit("u").alias("url"))
+    return d.withColumn("claim", claim).withColumn("evidence", F.array(item("Link", "shown"), item("Lot number", "shown_lot")))
+
+
+_AS_NOTICES = f"""n AS (SELECT *, {SHOWN} AS shown, {SHOWN_LOT} AS shown_lot FROM (SELECT *, {PUBLISHER_KEY} AS key, {PUBLISHER_URL} AS url FROM (SELECT doc_id, text, {PUBLISHER} AS publisher, {AUTHORITY} AS authority, {PROOF} AS proof, {REFERENCE} AS reference, {GRANULARITY} AS granularity, {LOT} AS lot FROM documents))),
+claims AS (SELECT doc_id, url, shown, shown_lot, authority, proof, reference, granularity, coalesce(lot, '') AS lot FROM n WHERE authority IS NOT NULL
+  UNION ALL SELECT doc_id, url, shown, shown_lot, publisher || CASE publisher WHEN 'ppa' THEN '.gov.lb' ELSE '.org' END, url, regexp_extract(key, '[0-9]+$'), 'notice', '' FROM n WHERE authority IS NULL AND regexp_matches(key, '^(ppa|ungm):[0-9]+$')),
+judged AS (SELECT *, CASE WHEN CASE authority WHEN 'worldbank.org' THEN 'projects.worldbank.org' ELSE authority END <> regexp_replace(regexp_extract(proof, '^https://([^/?#]+)', 1), '^www\\.', '') THEN 'host_of_other_authority'
+  WHEN regexp_extract(proof, CASE authority WHEN 'ppa.gov.lb' THEN '^https://[^/?#]+/(?:en|ar)/tenders/details/([0-9]+)$' WHEN 'ungm.org' THEN '^https://[^/?#]+/Public/Notice/([0-9]+)$' ELSE '^https://[^/?#]+/en/projects-operations/procurement-detail/(OP[0-9]+)$' END, 1) <> reference THEN 'reference_not_in_proof'
+  WHEN proof <> url AND NOT list_contains(list_transform(regexp_extract_all(shown, 'https://[^\\s<>"'']+'), lambda u: regexp_replace(u, '[.,;)]+$', '')), proof) THEN 'proof_not_in_evidence' WHEN granularity = 'lot' AND lot = '' THEN 'lot_missing' WHEN granularity = 'lot' AND lot <> shown_lot THEN 'lot_not_in_evidence' WHEN granularity = 'notice' AND lot <> '' THEN 'lot_unexpected' END AS error FROM claims),
+keyed AS (SELECT *, CASE WHEN error IS NULL THEN sha256('["' || authority || '","' || reference || '","' || granularity || '","' || lot || '"]') END AS identity_key FROM judged)"""
+
+
 def profile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
+    several = lambda n: F.array_repeat(F.lit("a"), (k % n).cast("int"))
     c = table(spark, sf_dir, "customer").select(
-        "c_custkey", F.expr("substring(c_name, 1, cast(c_custkey % 4 as int))").alias("organizationName"), F.array_repeat(F.lit("a"), (k % 23).cast("int")).alias("sectors"), F.array(F.lit("en")).alias("languages"), (k % 7).alias("budgetMin"),
-        F.when(k % 5 != 0, k % 6).alias("budgetMax"), F.array(F.lit("grant"), pick(k, "grant", "tender")).alias("opportunityTypes"),
+        "c_custkey", F.expr("substring(repeat(c_name, 9), 1, cast(c_custkey % 200 as int))").alias("organizationName"), pick(k, "ngo", "company", "club").alias("organizationType"), several(15).alias("sectors"), F.repeat("c_mktsegment", (k % 300).cast("int")).alias("capabilities"),
+        several(12).alias("locations"), (k % 9 != 0).alias("alertsEnabled"), F.repeat("c_name", (k % 130).cast("int")).alias("pastWork"), F.repeat("c_mktsegment", (k % 40).cast("int")).alias("teamCapacity"), several(14).alias("languages"), ((k % 7) - 1).alias("budgetMin"), F.when(k % 5 != 0, k % 6).alias("budgetMax"),
+        several(23).alias("qualifications"), F.when(k % 2 == 0, several(22)).alias("interests"), several(21).alias("excludedWork"), F.slice(F.array(F.lit("grant"), pick(k, "tender", "procurement"), F.lit("grant")), 1, (k % 4).cast("int")).alias("opportunityTypes"),
     )
-    broken = F.array_compact(F.array(*[F.when(~rule, name) for name, rule in matching.profile_rules().items()]))
-    return c.select("c_custkey", F.array_join(broken, ",").alias("broken"))
+    return catalogue.validate(c, qualify.profile_rules()).select("c_custkey", F.array_join("reasons", ",").alias("broken"))
 
 
 def qualified_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    stated = F.struct(pick(k, "countries", "worldwide", "unknown").alias("scope"), F.when(k % 2 == 0, F.array(F.lit("DE"))).otherwise(F.array().cast("array<string>")).alias("countryCodes"))
-    legacy = F.when(k % 5 < 2, F.array(F.lit("FR"), F.lit("AT"))).otherwise(F.array().cast("array<string>"))
-    d = _docs(spark, sf_dir).withColumn("stated", stated).withColumn("legacy", legacy).withColumn("out", catalogue.qualify_locations(F.col("stated"), F.col("legacy")))
-    return d.select("doc_id", F.array_join("out.countryCodes", ",").alias("codes"), "out.scope")
+    """Places of notices: stated ones, a publisher's, and older claims with evidence of the project's country."""
+    k = F.col("doc_id")
+    item = F.struct(pick(k, "Project country", "Country", "beneficiary countries or territories").alias("label"), F.concat(pick(k % 7, "Leb", "Lebanon", "Jordan; "), F.when(k % 4 == 0, "anon").when(k % 4 == 1, " Lebanon").otherwise("")).alias("text"), F.lit("u").alias("url"))
+    stated = F.when(k % 6 == 0, F.struct(F.array(F.lit("FR")).alias("countryCodes"), F.lit("countries").alias("scope"), F.array(item).alias("evidence")))
+    claimed = F.when(k % 5 < 3, F.struct(pick(k % 5, "lebanon_confirmed", "regional_includes_lebanon", "unknown").alias("status"), F.array(item).alias("evidence")))
+    d = _as_notices(spark, sf_dir).select("doc_id", qualify.locations(F.col("publisher"), stated, claimed, F.array(item), F.col("url")).alias("o"))
+    return d.select("doc_id", F.array_join("o.countryCodes", ",").alias("codes"), "o.scope", F.array_join(F.transform("o.evidence", lambda e: F.concat_ws("|", e["label"], e["text"], e["url"])), ";").alias("evidence"))
 
 
 def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    reference = F.concat(F.lit("REF"), k.cast("string"))
-    url = F.concat(F.lit("https://"), pick(k, "official.example", "other.example", "official.example"), F.lit("/n/"), F.when(k % 7 == 0, "X").otherwise(reference))
-    claim = F.struct(url.alias("proofUrl"), F.lit("Auth").alias("authority"), reference.alias("reference"), F.when(k % 4 < 2, "L1").alias("lotId"), pick(k, "lot", "notice").alias("granularity"))
-    evidence = F.array(F.struct(F.when(k % 5 == 0, "none").otherwise(url).alias("url")))
-    d = _docs(spark, sf_dir).withColumn("claim", claim).withColumn("evidence", evidence).withColumn("out", catalogue.identity_key(F.col("claim"), F.col("evidence"), ["official.example"]))
-    return d.select("doc_id", "out.key", "out.error")
+    c = F.col
+    d = _as_notices(spark, sf_dir).withColumn("o", qualify.identity(c("publisher"), c("key"), c("url"), c("claim"), c("evidence")))
+    return d.select("doc_id", "o.authority", "o.reference", "o.key", "o.error")
+
+
+def notice_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notices, and what of their contract they break."""
+    k = F.col("doc_id")
+    d = _as_notices(spark, sf_dir)
+    item = F.struct(F.lit("Text").alias("label"), F.coalesce("text", F.lit("")).alias("text"), F.col("url").alias("url"))
+    rows = d.select(
+        "doc_id", F.when(k % 29 == 0, "elsewhere").otherwise(F.col("publisher")).alias("source"), F.col("key").alias("sourceKey"), F.when(k % 23 == 0, F.replace("url", F.lit("https"), F.lit("http"))).otherwise(F.col("url")).alias("sourceUrl"), F.substring_index("text", "\n", 1).alias("title"),
+        F.repeat(F.coalesce("text", F.lit("")), 20).alias("description"), pick(k, "grant", "procurement", "tender").alias("kind"), F.array_repeat(item, (k % 103).cast("int")).alias("evidence"), F.lit(None).cast(f"struct<status:string,evidence:{EVIDENCE}>").alias("geography"),
+        F.struct(F.array_repeat(F.lit("LB"), (k % 3).cast("int")).alias("countryCodes"), pick(k % 5, "countries", "worldwide", "unknown").alias("scope"), F.when(k % 2 == 0, F.array(item)).otherwise(F.array().cast(EVIDENCE)).alias("evidence")).alias("locations"),
+        F.col("claim").alias("identityClaim"), F.when(k % 31 != 0, F.lit(AS_OF).cast("timestamp")).alias("fetchedAt"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("contentHash"), pick(k, "not_fetched", "partial", "verified", "unavailable").alias("detailStatus"),
+        pick(k, "needs_verification", "closed", "open").alias("applicationStatus"), F.array().cast(LOCALES).alias("locales"),
+    )
+    return catalogue.validate(rows, qualify.notice_rules()).select("doc_id", F.array_join("reasons", ",").alias("broken"))
 
 
 def _locales():
@@ -82,9 +126,13 @@ def record_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qualified_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = F.struct(F.array(F.lit("DE")).alias("countryCodes"), F.lit("countries").alias("scope"))
-    key = F.when(F.col("k") % 2 == 0, F.concat(F.lit("key"), F.col("k").cast("string")))
-    return _docs(spark, sf_dir).select("doc_id", catalogue.qualified_hash(F.md5(F.coalesce("text", F.lit(""))), pick(F.col("k"), "confirmed", "unknown"), where, key).alias("hash"))
+    c = F.col
+    d = _as_notices(spark, sf_dir)
+    none = F.lit(None)
+    place = qualify.geography(c("publisher"), none.cast(f"struct<status:string,evidence:{EVIDENCE}>"), c("evidence"), c("url"))
+    where = qualify.locations(c("publisher"), none.cast(LOCATIONS), none.cast(f"struct<status:string,evidence:{EVIDENCE}>"), c("evidence"), c("url"))
+    who = qualify.identity(c("publisher"), c("key"), c("url"), c("claim"), c("evidence"))
+    return d.select("doc_id", qualify.qualified_hash(F.sha2(F.coalesce("text", F.lit("")), 256), place, where, who["key"]).alias("hash"))
 
 
 def claim_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +186,7 @@ def stated_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    grants_feed, procurement_feed, bank_feed, all_feeds, profile_checks, qualified_locations, identity_keys, record_hashes, qualified_hashes, claim_classes, limit_scopes, record_gaps, attributed, deadline_times, stated_numbers,
+    grants_feed, procurement_feed, bank_feed, all_feeds, profile_checks, qualified_locations, identity_keys, notice_contract, record_hashes, qualified_hashes, claim_classes, limit_scopes, record_gaps, attributed, deadline_times, stated_numbers,
 )}
 
 _DAY = "DATE '{}' + CAST(doc_id % 300 AS INTEGER)".format
@@ -149,13 +197,22 @@ ORACLES = {
     "procurement_feed": f"SELECT 'p' || doc_id AS source_key, md5(text) AS title, {_DAY('2024-01-01')} AS published_at, {_DAY('2024-03-01')} AS deadline, CASE WHEN doc_id % 2 = 1 THEN 'closed' WHEN doc_id % 3 = 1 THEN 'not_open' ELSE 'open' END AS application_status FROM documents",
     "bank_feed": f"SELECT 'b' || doc_id AS source_key, CASE WHEN doc_id % 2 = 0 THEN {_DAY('2024-03-01')} END AS deadline, CASE WHEN doc_id % 4 = 1 THEN 'status:Draft' WHEN doc_id % 4 = 3 THEN 'status:Cancelled' END AS reason FROM documents",
     "all_feeds": "SELECT doc_id AS id, lang, NULL AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages",
-    "profile_checks": """SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 4 < 2 THEN 'organizationName' END, CASE WHEN c_custkey % 23 NOT BETWEEN 1 AND 20 THEN 'sectors' END, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 > c_custkey % 6 THEN 'budget' END, CASE WHEN c_custkey % 2 = 0 THEN 'opportunityTypes' END) AS broken FROM customer""",
-    "qualified_locations": """WITH s AS (SELECT doc_id, doc_id % 3 = 0 AND doc_id % 2 = 0 AS listed, doc_id % 3 = 1 AND doc_id % 2 = 1 AS world, doc_id % 5 < 2 AS old FROM documents)
-SELECT doc_id, CASE WHEN listed THEN 'DE' WHEN world OR NOT old THEN '' ELSE 'AT,FR' END AS codes, CASE WHEN listed THEN 'countries' WHEN world THEN 'worldwide' WHEN old THEN 'countries' ELSE 'unknown' END AS scope FROM s""",
-    "identity_keys": """WITH e AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'lot' ELSE 'notice' END AS kind, CASE WHEN doc_id % 4 < 2 THEN 'L1' ELSE '' END AS lot FROM documents), r AS (SELECT *, CASE WHEN doc_id % 3 = 1 THEN 'host_not_official' WHEN doc_id % 5 = 0 THEN 'proof_missing' WHEN doc_id % 7 = 0 THEN 'reference_not_in_path' WHEN kind = 'lot' AND lot = '' THEN 'lot_missing' WHEN kind = 'notice' AND lot <> '' THEN 'lot_unexpected' END AS error FROM e)
-SELECT doc_id, CASE WHEN error IS NULL THEN sha256('auth' || chr(31) || 'REF' || doc_id || chr(31) || kind || chr(31) || lot) END AS key, error FROM r""",
+    "profile_checks": """SELECT c_custkey, concat_ws(',', CASE WHEN length(trim(substring(repeat(c_name, 9), 1, c_custkey % 200), ' ')) NOT BETWEEN 1 AND 160 THEN 'organizationName' END, CASE WHEN c_custkey % 3 = 2 THEN 'organizationType' END, CASE WHEN c_custkey % 15 NOT BETWEEN 1 AND 12 THEN 'sectors' END,
+  CASE WHEN length(trim(repeat(c_mktsegment, c_custkey % 300), ' ')) > 4000 THEN 'capabilities' END, CASE WHEN c_custkey % 12 NOT BETWEEN 1 AND 10 THEN 'locations' END, CASE WHEN length(trim(repeat(c_name, c_custkey % 130), ' ')) > 2000 THEN 'pastWork' END, CASE WHEN length(trim(repeat(c_mktsegment, c_custkey % 40), ' ')) > 500 THEN 'teamCapacity' END,
+  CASE WHEN c_custkey % 14 > 12 THEN 'languages' END, CASE WHEN c_custkey % 7 - 1 < 0 THEN 'budgetMin' END, CASE WHEN c_custkey % 23 > 20 THEN 'qualifications' END, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 22 > 20 THEN 'interests' END, CASE WHEN c_custkey % 21 > 20 THEN 'excludedWork' END,
+  CASE WHEN c_custkey % 4 NOT BETWEEN 1 AND 2 OR (c_custkey % 4 = 2 AND c_custkey % 2 = 0) THEN 'opportunityTypes' END, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 6 < c_custkey % 7 - 1 THEN 'budget' END) AS broken FROM customer""",
+    "qualified_locations": f"""WITH {_AS_NOTICES}, i AS (SELECT doc_id, publisher, url, (['Project country', 'Country', 'beneficiary countries or territories'])[doc_id % 3 + 1] AS label, (['Leb', 'Lebanon', 'Jordan; '])[doc_id % 7 % 3 + 1] || CASE doc_id % 4 WHEN 0 THEN 'anon' WHEN 1 THEN ' Lebanon' ELSE '' END AS t, doc_id % 6 = 0 AS stated, doc_id % 5 < 2 AS claimed FROM n),
+j AS (SELECT *, claimed AND lower(label) IN ('project country', 'country of implementation', 'beneficiary countries or territories') AND (trim(t) = 'Lebanon' OR lower(label) LIKE 'beneficiary%' AND regexp_matches(t, '(?i)(^|[,;\\s])Lebanon($|[,;\\s])')) AS named FROM i)
+SELECT doc_id, CASE WHEN stated THEN 'FR' WHEN publisher = 'ppa' OR named THEN 'LB' ELSE '' END AS codes, CASE WHEN stated OR publisher = 'ppa' OR named THEN 'countries' ELSE 'unknown' END AS scope,
+  CASE WHEN stated OR publisher <> 'ppa' AND named THEN label || '|' || t || '|u' WHEN publisher = 'ppa' THEN 'Procurement jurisdiction|Lebanon Public Procurement Authority official portal|' || url ELSE '' END AS evidence FROM j""",
+    "identity_keys": f"WITH {_AS_NOTICES} SELECT n.doc_id, k.authority, k.reference, k.identity_key AS key, k.error FROM n LEFT JOIN keyed k USING (doc_id)",
+    "notice_contract": f"""WITH {_AS_NOTICES}, c AS (SELECT *, doc_id % 3 AS codes, (['countries', 'worldwide', 'unknown'])[doc_id % 5 % 3 + 1] AS scope, doc_id % 2 = 0 AS why, doc_id % 103 AS items, coalesce(text, '') AS t, doc_id % 29 <> 0 AS known FROM n)
+SELECT doc_id, concat_ws(',', CASE WHEN NOT known THEN 'source' END, CASE WHEN NOT known OR doc_id % 23 = 0 THEN 'sourceUrl' END, CASE WHEN text IS NULL OR length(split_part(text, chr(10), 1)) NOT BETWEEN 1 AND 2000 THEN 'title' END, CASE WHEN length(t) * 20 > 60000 THEN 'description' END, CASE WHEN doc_id % 3 = 2 THEN 'kind' END,
+  CASE WHEN items > 100 OR (items > 0 AND (length(t) > 12000 OR NOT known)) THEN 'evidence' END, CASE WHEN NOT CASE scope WHEN 'countries' THEN codes > 0 AND why WHEN 'worldwide' THEN codes = 0 AND why ELSE codes = 0 AND NOT why END OR codes > 1 OR (why AND items = 0) THEN 'locations' END,
+  CASE WHEN doc_id % 31 = 0 THEN 'fetchedAt' END, CASE WHEN doc_id % 4 = 3 THEN 'detailStatus' END, CASE WHEN doc_id % 3 = 2 THEN 'applicationStatus' END) AS broken FROM c""",
     "record_hashes": f"SELECT doc_id, sha256('[{_LOCALE % 'en'},{_LOCALE % 'fr'}]') AS hash, CASE WHEN doc_id % 3 = 0 THEN 'partial' ELSE 'verified' END AS detail_status FROM documents",
-    "qualified_hashes": """SELECT doc_id, sha256(md5(coalesce(text, '')) || '|' || (['confirmed', 'unknown'])[doc_id % 2 + 1] || '|{"countryCodes":["DE"],"scope":"countries"}|' || CASE WHEN doc_id % 2 = 0 THEN 'key' || doc_id ELSE '' END) AS hash FROM documents""",
+    "qualified_hashes": f"""WITH {_AS_NOTICES} SELECT n.doc_id, sha256('["catalogue-qualification-v1","' || sha256(coalesce(text, '')) || '","' || CASE publisher WHEN 'ppa' THEN 'lebanon_confirmed",[{{"label":"Publisher jurisdiction","text":"Lebanon Public Procurement Authority official portal","url":"' || n.url || '"}}],{{"countryCodes":["LB"],"scope":"countries","evidence":[{{"label":"Procurement jurisdiction","text":"Lebanon Public Procurement Authority official portal","url":"' || n.url || '"}}]}}' ELSE 'unknown",[],{{"countryCodes":[],"scope":"unknown","evidence":[]}}' END
+  || ',' || coalesce('"' || identity_key || '"', 'null') || ']') AS hash FROM n LEFT JOIN keyed k USING (doc_id)""",
     "claim_classes": "SELECT doc_id, (['fact', 'figure', 'unsupported'])[doc_id % 3 + 1] AS class, (['fact', 'figure', 'guess'])[doc_id % 3 + 1] AS raw_class FROM documents",
     "limit_scopes": rf"""WITH g AS (SELECT doc_id, lower({_read_as_sql(AS_GUIDE)}) AS g FROM documents)
 SELECT doc_id, CASE WHEN ((regexp_matches(g, '\b(answers?|responses?|questions?)\b[^.]{{0,80}}\b(must not exceed|no more than|within|limited to|maximum of)\b') OR regexp_matches(g, '\b(must not exceed|no more than)\b[^.]{{0,40}}\bwords?\b[^.]{{0,60}}\b(answers?|responses?)\b'))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalogue, ledger, matching, ops, textaudit, webcurate
+from ..operators import catalogue, ledger, matching, ops, qualify, textaudit, webcurate
 from .bindings import AS_OF, notices, pick, table
 from .catalogue_queries import ORACLES as CATALOGUE
 from .catalogue_queries import candidates
@@ -29,11 +29,18 @@ def newest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def application_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir).select("doc_id", catalogue.application_status(F.col("evidence")).alias("status"))
+    return _rows(spark, sf_dir).select("doc_id", qualify.application_status(F.col("evidence")).alias("status"))
 
 
 def geographies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir).select("doc_id", catalogue.qualify_geography(pick(F.col("doc_id"), "Lebanon", "other"), F.col("evidence"), "Lebanon").alias("geography"))
+    """Places of documents as notices of four publishers, of which one names countries; every fifth states a place itself."""
+    n = F.col("doc_id")
+    label = F.lit("Beneficiary countries or territories")
+    item = F.struct(label.alias("label"), F.concat_ws(", ", pick(n % 7, "Jordan", "Lebanon", "Syria"), pick(n % 11, "Lebanon", "Iraq", "", "Egypt")).alias("text"), F.lit("u").alias("url"))
+    origin = F.struct(F.lit("Applicant origin").alias("label"), pick(n % 13, "Any Arab country", "Europe").alias("text"), F.lit("u").alias("url"))
+    stated = F.when(n % 5 == 0, F.struct(pick(n, "outside_lebanon", "unknown", "lebanon_confirmed").alias("status"), F.when(n % 2 == 0, F.array(F.when(n % 4 == 0, item).otherwise(origin.withField("url", F.lit("v"))))).otherwise(F.array().cast("array<struct<label:string,text:string,url:string>>")).alias("evidence")))
+    d = table(spark, sf_dir, "documents").select("doc_id", qualify.geography(pick(n, "ppa", "ungm", "mawred", "eeas"), stated, F.array(item, origin), F.lit("p")).alias("g"))
+    return d.select("doc_id", F.col("g.status").alias("geography"), F.col("g.error").alias("error"), F.to_json("g.evidence").alias("evidence"))
 
 
 def country_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +51,7 @@ def country_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notice_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", catalogue.notice_kind(F.concat("p_type", F.lit(" "), pick(F.col("p_partkey"), "Grant notice", "Request for quotation", "Consultancy", "x"))).alias("kind"))
+    return table(spark, sf_dir, "part").select("p_partkey", qualify.notice_kind(F.concat(pick(F.col("p_size"), "Request for quotation ", "Invitation to bid: ", "", "Expression of interest", "A request for proposal "), pick(F.col("p_partkey"), "Grant support-call for proposal", "invitation to tender", "p"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_type")))).alias("kind"))
 
 
 def call_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,10 +173,17 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLES = {
     "newest_candidates": f"WITH c AS ({CATALOGUE['candidates']}) SELECT user_id, opportunity_id, p_retailprice AS fetched_at FROM c JOIN part ON p_partkey = opportunity_id ORDER BY p_retailprice DESC, opportunity_id DESC, user_id LIMIT 20",
-    "application_statuses": "SELECT doc_id, (['open', 'closed', 'unknown', 'closed'])[doc_id % 4 + 1] AS status FROM documents",
-    "geographies": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'confirmed' WHEN doc_id % 2 = 1 THEN 'outside' ELSE 'unknown' END AS geography FROM documents",
+    "application_statuses": "SELECT doc_id, CASE WHEN (['open', 'closed', '', 'awarded'])[doc_id % 4 + 1] IN ('awarded', 'cancelled', 'canceled', 'closed') THEN 'closed' ELSE 'needs_verification' END AS status FROM documents",
+    "geographies": r"""WITH i AS (SELECT doc_id, (['ppa', 'ungm', 'mawred', 'eeas'])[doc_id % 4 + 1] AS source, (['Jordan', 'Lebanon', 'Syria'])[doc_id % 7 % 3 + 1] || ', ' || (['Lebanon', 'Iraq', '', 'Egypt'])[doc_id % 11 % 4 + 1] AS places, (['Any Arab country', 'Europe'])[doc_id % 13 % 2 + 1] AS origin,
+  CASE WHEN doc_id % 5 = 0 THEN (['outside_lebanon', 'unknown', 'lebanon_confirmed'])[doc_id % 3 + 1] END AS stated FROM documents), e AS (SELECT *, '{"label":"Beneficiary countries or territories","text":"' || places || '","url":"u"}' AS item, '{"label":"Applicant origin","text":"' || origin || '","url":"' AS applicant FROM i),
+j AS (SELECT *, CASE WHEN stated IS NOT NULL AND doc_id % 4 = 2 THEN 'evidence_not_copied' WHEN stated <> 'unknown' AND doc_id % 2 = 1 THEN 'no_evidence' END AS error FROM e)
+SELECT doc_id, error, CASE WHEN error IS NOT NULL THEN NULL WHEN stated IS NOT NULL THEN stated WHEN source = 'ppa' THEN 'lebanon_confirmed' WHEN source = 'ungm' AND regexp_matches(places, '(^|[,;\s])Lebanon($|[,;\s])') THEN CASE WHEN len(list_filter(string_split_regex(places, '[,;]'), lambda c: trim(c) <> '')) = 1 THEN 'lebanon_confirmed' ELSE 'regional_includes_lebanon' END
+    WHEN source = 'mawred' AND regexp_matches(origin, 'Arab country') THEN 'regional_includes_lebanon' ELSE 'unknown' END AS geography,
+  '[' || CASE WHEN error IS NOT NULL THEN '' WHEN stated IS NOT NULL THEN CASE WHEN doc_id % 4 = 0 THEN item ELSE '' END WHEN source = 'ppa' THEN '{"label":"Publisher jurisdiction","text":"Lebanon Public Procurement Authority official portal","url":"p"}' WHEN source = 'ungm' AND regexp_matches(places, '(^|[,;\s])Lebanon($|[,;\s])') THEN item
+    WHEN source = 'mawred' AND regexp_matches(origin, 'Arab country') THEN applicant || 'u"}' ELSE '' END || ']' AS evidence FROM j""",
     "country_codes": "SELECT doc_id AS id, (['LB', 'FR', '', 'FR,GB', ''])[doc_id % 5 + 1] AS codes, (['countries', 'countries', 'worldwide', 'countries', 'unknown'])[doc_id % 5 + 1] AS scope FROM documents",
-    "notice_kinds": "SELECT p_partkey, (['grant', 'tender', 'consultancy', 'other'])[p_partkey % 4 + 1] AS kind FROM part",
+    "notice_kinds": """WITH t AS (SELECT p_partkey, (['Request for quotation ', 'Invitation to bid: ', '', 'Expression of interest', 'A request for proposal '])[p_size % 5 + 1] || (['Grant support-call for proposal', 'invitation to tender', 'p'])[p_partkey % 3 + 1] || CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS t FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(t, '(?i)^Grant support-call for proposal$') THEN 'grant' WHEN regexp_matches(t, '(?i)^(?:Request for proposal|Request for quotation|Invitation to bid|Expression of interest|Request for information|Invitation for pre-qualification|Request for proposals|Invitation to tender)') THEN 'procurement' ELSE 'unknown' END AS kind FROM t""",
     "call_ends": "SELECT doc_id, doc_id % 3 = 0 AS closed, CASE WHEN doc_id % 3 = 1 THEN '7 May 2026' END AS deadline_text FROM documents",
     "selected_evidence": """WITH d AS (SELECT doc_id, text, doc_id % 4 <> 2 AS has_status FROM documents)
 SELECT doc_id, CAST(2 + has_status::INT AS INTEGER) AS items, CASE WHEN has_status THEN 'Status' ELSE 'Description' END AS first_label, length(text) > 1600 AS incomplete,

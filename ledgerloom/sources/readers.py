@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import catalogue
+from ..operators import qualify
 from ..schemas import NOTICE, struct
 
 BANK_NOTICE = "id string, notice_type string, noticedate string, notice_status string, submission_deadline_date string, submission_deadline_time string, project_ctry_name string, project_name string, bid_reference_no string, bid_description string, notice_text string"
@@ -53,7 +53,7 @@ def normalise_procurement(raw: DataFrame, as_of: str) -> DataFrame:
     r = raw.select(F.from_json("value", PROCUREMENT_NOTICE).alias("r")).select("r.*")
     rows = r.select(
         F.coalesce("noticeId", "solicitationNumber").alias("source_key"), F.col("uiLink").alias("source_url"), "title", "description", "country", "type",
-        dates.iso_or_day_month(F.col("postedDate")).alias("published_at"), dates.iso_or_day_month(F.col("responseDeadLine")).alias("deadline"), catalogue.notice_kind(F.col("type")).alias("kind"),
+        dates.iso_or_day_month(F.col("postedDate")).alias("published_at"), dates.iso_or_day_month(F.col("responseDeadLine")).alias("deadline"), qualify.notice_kind(F.col("type")).alias("kind"),
         F.when(F.lower("active") == "no", "closed").when(F.col("type").rlike("(?i)award"), "not_open").when(F.lower("active") == "yes", "open").otherwise("unknown").alias("application_status"),
         F.lit(as_of).cast("timestamp").alias("fetched_at"),
     )
@@ -66,7 +66,7 @@ def normalise_bank(raw: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     kept = r.where(F.col("notice_status").isin(BANK_KEPT)).select(
         F.col("id").alias("source_key"), F.concat(F.lit("https://bank.example/notice/"), "id").alias("source_url"), F.coalesce("bid_description", "project_name").alias("title"), F.col("notice_text").alias("description"),
         F.col("project_ctry_name").alias("country"), F.col("bid_reference_no").alias("reference"), dates.free_deadline(F.col("noticedate")).alias("published_at"), dates.free_deadline(F.col("submission_deadline_date")).alias("deadline"),
-        catalogue.notice_kind(F.col("notice_type")).alias("kind"), F.lit("unknown").alias("application_status"), F.lit(as_of).cast("timestamp").alias("fetched_at"),
+        qualify.notice_kind(F.col("notice_type")).alias("kind"), F.lit("unknown").alias("application_status"), F.lit(as_of).cast("timestamp").alias("fetched_at"),
     )
     excluded = r.where(~F.col("notice_status").isin(BANK_KEPT) | F.col("notice_status").isNull()).select(F.col("id").alias("source_key"), F.concat(F.lit("status:"), F.coalesce("notice_status", F.lit("none"))).alias("reason"))
     return _notice(kept, "bank", _evidence(("Country", "country"), ("Reference", "reference"), ("Notice", "description"))), excluded

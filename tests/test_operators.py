@@ -196,17 +196,6 @@ def test_upsert_commutes(spark):
     assert got == {(1, 5, "a"), (2, 1, "b"), (3, 1, "b")}
 
 
-def test_identity_key(spark):
-    kind = "struct<authority:string,reference:string,granularity:string,lotId:string,proofUrl:string>"
-    ev = "array<struct<label:string,text:string,url:string>>"
-    url = "https://official.example/notice/AB-12"
-    rows = [(1, ("X", "AB-12", "notice", None, url), [("Link", "x", url)]), (2, ("X", "AB-12", "lot", "1", url), [("Link", "x", url)]), (3, ("X", "AB-1", "notice", None, url), [("Link", "x", url)]), (4, ("X", "AB-12", "notice", None, url), [])]
-    df = spark.createDataFrame(rows, f"id long, claim {kind}, evidence {ev}").select("id", catalogue.identity_key(F.col("claim"), F.col("evidence"), ["official.example"]).alias("k"))
-    got = {r.id: r.k for r in df.collect()}
-    assert got[1].key and got[2].key and got[1].key != got[2].key
-    assert (got[3].error, got[4].error) == ("reference_not_in_path", "proof_missing")
-
-
 def test_organisation_site(spark):
     t = lambda *x: F.array(*map(F.lit, x))
     m = lambda org, stated, label: one(spark, webcurate.organisation_matches_site(org, stated, F.lit(label)), x=1)
