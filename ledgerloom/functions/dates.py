@@ -39,6 +39,19 @@ def month_first(text: Column) -> Column:
     return F.coalesce(_date(part(slashed, 3), part(slashed, 1), part(slashed, 2)), _date(part(named, 3), _month(part(named, 1)), part(named, 2)))
 
 
+def publisher_date(text: Column) -> Column:
+    """Of a publisher's field: 10/07/2026 or October 7, 2026 at its begin, with the month first; else 2026-10-07, 7 October 2026 or 7-Oct-2026 anywhere."""
+    bare = F.trim(F.coalesce(text, F.lit("")))
+    part = lambda p, k: F.regexp_extract(bare, p, k)
+    slashed, months = r"^([0-9]{1,2})/([0-9]{1,2})/(20[0-9]{2})(?:\s|$)", "|".join([*MONTH_NAMES, *MONTHS])
+    american, dashed = rf"(?i)^({months})\s+([0-9]{{1,2}}),?\s+(20[0-9]{{2}})\b", rf"(?i)\b([0-9]{{1,2}})[ -]({months})[ -](20[0-9]{{2}})\b"
+    iso = r"\b(20[0-9]{2})-([0-9]{2})-([0-9]{2})\b"
+    return F.coalesce(
+        _date(part(slashed, 3), part(slashed, 1), part(slashed, 2)), _date(part(american, 3), _month(part(american, 1)), part(american, 2)),
+        F.when(bare.rlike(iso), _date(part(iso, 1), part(iso, 2), part(iso, 3))).otherwise(_date(part(dashed, 3), _month(part(dashed, 2)), part(dashed, 1))),
+    )
+
+
 def _named_month(name: Column) -> Column:
     """Of a month's whole name, its first three letters, or sept; else null."""
     whole = F.array(*[F.lit(m) for m in MONTH_NAMES])

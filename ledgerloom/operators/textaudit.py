@@ -117,15 +117,19 @@ def proper_nouns(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def name_containment(runs: DataFrame, ledger: DataFrame, owner: str, run_id: str = "phrase") -> DataFrame:
-    """(owner, phrase, name): ledger names that hold every token of a run; an equi-join on owner and token, and a count.
+    """(owner, phrase, name): ledger names that hold every token of a run.
+
+    Names are looked for by the run's token that fewest of the owner's names have, and then compared; a run with a token that no name has is in none. So a frequent token makes no candidates unless a run has no other.
 
     runs: (owner, phrase); ledger: (owner, name).
     """
     of = lambda df, c: df.select(owner, c).distinct().withColumn("_tokens", T.name_tokens(F.col(c)))
-    mine = of(runs, run_id).select(owner, run_id, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("token"))
-    theirs = of(ledger, "name").select(owner, "name", F.explode("_tokens").alias("token"))
-    hits = mine.join(theirs, [owner, "token"]).groupBy(owner, run_id, "name", "_n").agg(F.count("*").alias("_hits"))
-    return hits.where("_hits = _n").select(owner, run_id, "name")
+    names = of(ledger, "name").select(owner, "name", F.col("_tokens").alias("_held"), F.explode("_tokens").alias("token"))
+    counts = names.groupBy(owner, "token").agg(F.count("*").alias("_names"))
+    asked = of(runs, run_id).select(owner, run_id, "_tokens", F.explode("_tokens").alias("token")).join(counts, [owner, "token"], "left")
+    rare = asked.groupBy(owner, run_id, "_tokens").agg(F.min(F.struct("_names", "token")).alias("_r"), F.count_if(F.col("_names").isNull()).alias("_missing")).where("_missing = 0")
+    found = rare.select(owner, run_id, "_tokens", F.col("_r.token").alias("token")).join(names, [owner, "token"])
+    return found.where(F.size(F.array_except("_tokens", "_held")) == 0).select(owner, run_id, "name")
 
 
 def audit_names(runs: DataFrame, ledger: DataFrame, own_names: DataFrame, owner: str) -> DataFrame:
@@ -387,65 +391,6 @@ def unsupported_contacts(claimed: DataFrame, ledger: DataFrame, owner: str) -> D
     return claimed.join(ledger, [owner, "class", "literal"], "left_anti")
 
 
-# Weights of zones and roles, and what adds to them.
-ZONES = {"prose": 1.0, "list": 0.4, "table": 0.25, "heading": 0.0, "field": 0.0, "identification": 0.0}
-ROLES = {"subject": 2.0, "counterparty": 2.0, "genitive": 1.3, "adjunct": 1.0, "listing": 0.6}
-_VERB = re.compile(r"\s+(?:is|are|was|were|has|have|had|will|runs?|ran|provid\w+|support\w*|deliver\w*|serv\w+|train\w*|work\w*|offer\w*|manag\w+|coordinat\w+|lead\w*|led)\b")
-_PREPOSITION = re.compile(r"\b(with|from|by|at|in|for|to|through|via|alongside|under)\s+(?:the\s+)?$", re.I)
-_CUE = re.compile(r"\b(partner\w*|agreement|memorandum|funded|contract\w*|referr\w+|jointly|alongside|signed)\b", re.I)
-_NUMBER, _DATE = re.compile(r"\d"), re.compile(r"\b(?:19|20)\d\d\b|\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\b")
-_CAUSE, _CONTRAST = re.compile(r"\b(because|so that|therefore|as a result|led to|which meant)\b", re.I), re.compile(r"\b(unlike|rather than|instead of|in contrast|whereas)\b", re.I)
-MENTION = "referent string, zone string, role string, section int, weight double, decorative boolean"
-
-
-def mentions(text: str | None, names: list[str]) -> list[tuple]:
-    """Where the names stand in a document, in which role, and how much they carry."""
-    out, section = [], 0
-    for line in (text or "").split("\n"):
-        bare = line.strip()
-        heading = bare.startswith("#")
-        section += heading
-        zone = "heading" if heading else "table" if bare.startswith("|") else "list" if re.match(r"([-*+]|\d+[.)])\s", bare) else "field" if re.match(r"[A-Z][\w ]{1,30}:\s", bare) else "prose"
-        for clause in re.split(r"(?<=[.;!?])\s+", bare):
-            for name in names:
-                for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", clause):
-                    before, after = clause[: m.start()], clause[m.end() :]
-                    if after.startswith(("'s", "’s")):
-                        role = "genitive"
-                    elif zone in ("table", "list", "field"):
-                        role = "listing"
-                    elif not re.search(r"\w", before) and _VERB.match(after):
-                        role = "subject"
-                    elif _PREPOSITION.search(before):
-                        role = "counterparty" if _CUE.search(clause[max(0, m.start() - 56) : m.end() + 56]) else "adjunct"
-                    else:
-                        role = "subject" if _VERB.match(after) else "adjunct"
-                    rest = before + after
-                    number, date, cause, contrast = (bool(x.search(rest)) for x in (_NUMBER, _DATE, _CAUSE, _CONTRAST))
-                    weight = 0.0 if not ZONES[zone] else ZONES[zone] * ROLES[role] + min(0.6, 0.3 * number + 0.3 * date + 0.3 * cause) + 0.5 * contrast
-                    carries = role in ("subject", "counterparty") or contrast or (role == "genitive" and (number or date))
-                    out.append((name, zone, role, section, round(weight, 3), not (ZONES[zone] and carries)))
-    return out
-
-
-def referent_mentions(documents: DataFrame, id_col: str) -> DataFrame:
-    """One row a mention, from (id, text, names)."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, *m) for i, t, n in batch[[id_col, "text", "names"]].itertuples(index=False) for m in mentions(t, [] if n is None else list(n))]
-            yield pd.DataFrame(rows, columns=[id_col, *[x.split()[0] for x in MENTION.split(", ")]])
-
-    return documents.select(id_col, "text", "names").mapInPandas(work, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, {MENTION}")
-
-
-def referent_scores(found: DataFrame, id_col: str) -> DataFrame:
-    """Weight of each name in a document, more by the sections that it is in, and the verdict."""
-    g = found.groupBy(id_col, "referent").agg(F.sum("weight").alias("_w"), F.count_distinct("section").alias("sections"), F.count("*").alias("mentions"), F.bool_or(~F.col("decorative")).alias("_load"))
-    weight = F.round(F.col("_w") * F.least(F.lit(2.0), 1 + 0.25 * (F.col("sections") - 1)), 3)
-    return g.select(id_col, "referent", "mentions", "sections", weight.alias("weight"), F.when(F.col("_load"), "load_bearing").when(weight >= 2, "supporting").otherwise("decorative").alias("verdict"))
-
-
 def sums_close(totals: DataFrame, parts: DataFrame, key: str, places: int = 2) -> DataFrame:
     """(key, asserted, computed, verdict): totals against the sums of their parts; the plain form of a register."""
     summed = parts.groupBy(key).agg(F.round(F.sum("value"), places).alias("computed"), F.count("*").alias("parts"))

@@ -22,21 +22,48 @@ def _day(start: str, form: str):
 
 
 def grants_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.struct(F.concat(F.lit("n"), "k").alias("number"), F.md5("text").alias("title"), F.lit("Agency").alias("agency"), _day("2024-01-01", "MM/dd/yyyy").alias("openDate"), _day("2024-03-01", "MM/dd/yyyy").alias("closeDate"), pick(F.col("k"), "posted", "closed", "archived", "forecasted").alias("oppStatus"))
-    found = readers.normalise_grants(_docs(spark, sf_dir).select(F.to_json(row).alias("value")), AS_OF)
-    return found.select("source_key", "title", F.col("published_at").cast("date").alias("published_at"), F.col("deadline").cast("date").alias("deadline"), "application_status", F.size("evidence").alias("evidence"))
+    """Documents as rows of a grants publisher; whole texts are their descriptions."""
+    k = F.col("k")
+    synopsis = F.struct(pick(k % 7, "Agency", "Bureau of Works").alias("agencyName"), F.col("text").alias("synopsisDesc"), F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("applicantTypes"), (k * 100).cast("string").alias("awardFloor"), F.when(k % 2 == 0, _day("2024-03-01", "MMMM d, yyyy")).alias("responseDate"))
+    row = F.struct(F.when(k % 41 != 0, k.cast("string")).alias("id"), F.concat(F.lit("n"), "k").alias("number"), F.md5("text").alias("title"), _day("2024-01-01", "MM/dd/yyyy").alias("openDate"), _day("2023-11-01", "MM/dd/yyyy").alias("closeDate"), pick(k, "posted", "closed", "archived", "forecasted").alias("oppStatus"), synopsis.alias("synopsis"))
+    ok, refused = readers.normalise_grants(_docs(spark, sf_dir).select(F.to_json(row).alias("value")), AS_OF)
+    found = ok.select("source_key", "title", "published_at", "deadline", "deadline_precision", "application_status", F.size("evidence").alias("evidence"), F.length("description").alias("described"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(refused.where("source_key is not null"), allowMissingColumns=True)
 
 
 def procurement_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.struct(F.concat(F.lit("p"), "k").alias("noticeId"), F.md5("text").alias("title"), pick(F.col("k"), "Solicitation", "Award Notice", "Presolicitation").alias("type"), pick(F.col("k"), "Yes", "No").alias("active"), _day("2024-01-01", "yyyy-MM-dd").alias("postedDate"), _day("2024-03-01", "d MMMM yyyy").alias("responseDeadLine"))
-    found = readers.normalise_procurement(_docs(spark, sf_dir).select(F.to_json(row).alias("value")), AS_OF)
-    return found.select("source_key", "title", F.col("published_at").cast("date").alias("published_at"), F.col("deadline").cast("date").alias("deadline"), "application_status")
+    k = F.col("k")
+    place = F.when(k % 3 != 0, F.struct(F.struct(pick(k, "US", "USA", "").alias("code"), pick(k % 5, "United States", "").alias("name")).alias("country")))
+    row = F.struct(
+        F.concat(F.lit("p"), "k").alias("noticeId"), F.md5("text").alias("title"), pick(k, "Solicitation", "Award Notice", "Presolicitation", "Special Notice").alias("type"), pick(k % 7, "Solicitation", "Cancelled", None).alias("baseType"), pick(k % 11, "Yes", "No").alias("active"), _day("2024-01-01", "yyyy-MM-dd").alias("postedDate"),
+        F.when(k % 4 != 1, _day("2023-11-01", "d MMMM yyyy")).alias("responseDeadLine"), F.substring("text", 1, 200).alias("description"), place.alias("placeOfPerformance"),
+    )
+    ok, _ = readers.normalise_procurement(_docs(spark, sf_dir).select(F.to_json(row).alias("value")), AS_OF)
+    where = F.filter("evidence", lambda e: e["label"] == "Place of performance country")
+    return ok.select("source_key", "title", "published_at", "deadline", "application_status", F.size("evidence").alias("evidence"), F.get(where, 0)["text"].alias("country"))
 
 
 def bank_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.struct(F.concat(F.lit("b"), "k").alias("id"), pick(F.col("k"), "Published", "Draft", "Revised", "Cancelled").alias("notice_status"), _day("2024-01-01", "yyyy-MM-dd").alias("noticedate"), _day("2024-03-01", "yyyy-MM-dd").alias("submission_deadline_date"))
-    kept, excluded = readers.normalise_bank(_docs(spark, sf_dir).select(F.to_json(row).alias("value")), AS_OF)
-    return kept.select("source_key", F.col("deadline").cast("date").alias("deadline"), F.lit(None).cast("string").alias("reason")).unionByName(excluded.withColumn("deadline", F.lit(None).cast("date")))
+    """Documents as notices of a bank, of which most are refused for one of its rules; whole texts are the notices'."""
+    k = F.col("k")
+    row = F.struct(
+        F.concat(F.lit("OP"), F.lpad(k.cast("string"), 8, "0")).alias("id"), pick(k % 13, "Invitation for Bids", "Contract Award").alias("notice_type"), pick(k, "Published", "Draft", "Revised", "Revised").alias("notice_status"), pick(k % 11, "Lebanon", "Jordan").alias("project_ctry_name"), _day("2024-01-01", "dd-MMM-yyyy").alias("noticedate"),
+        F.concat(_day("2024-03-01", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("submission_deadline_date"), pick(k % 7, "10:30", None, "25:00").alias("submission_deadline_time"), F.when(k % 17 != 0, F.md5("text")).alias("bid_description"), F.concat(F.lit("<p>"), F.col("text"), F.lit("</p><br/>")).alias("notice_text"),
+    )
+    ok, refused = readers.normalise_bank(_docs(spark, sf_dir).select(F.to_json(row).alias("value")), AS_OF)
+    scope = F.filter("evidence", lambda e: F.startswith(e["label"], F.lit("Publisher notice")))
+    found = ok.select(F.split_part("source_key", F.lit(":"), F.lit(2)).alias("source_key"), "source_url", "published_at", "deadline", "deadline_local", "application_status", (F.size("evidence") - F.size(scope)).alias("fields"), F.aggregate(scope, F.lit(0), lambda n, e: n + F.length(F.regexp_replace(e["text"], r"\s", ""))).alias("signs"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(refused, allowMissingColumns=True)
+
+
+LOCATION_TEXT = """CASE doc_id % 9 WHEN 0 THEN '{"countryCodes":["LB"],"scope":"countries","evidence":[1]}' WHEN 1 THEN '{"countryCodes":[],"scope":"worldwide","evidence":[{"label":"x"}]}' WHEN 2 THEN '{"countryCodes":[],"scope":"unknown","evidence":[]}' WHEN 3 THEN '{"countryCodes":[],"scope":"countries","evidence":[1]}'
+  WHEN 4 THEN '{"countryCodes":"LB","scope":"countries","evidence":[1]}' WHEN 5 THEN '[1, 2]' WHEN 6 THEN concat('{"scope":"', source, '","countryCodes":[],"evidence":[]}') WHEN 7 THEN concat('{"countryCodes":["', lang, '"],"scope":"', CASE WHEN doc_id % 2 = 0 THEN 'countries' ELSE 'unknown' END, '","evidence":["', source, '"]}') ELSE concat('{"broken', source) END"""
+
+
+def location_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(LOCATION_TEXT).alias("t"))
+    v = F.try_parse_json("t")
+    return d.select("doc_id", readers.location_shape(F.col("t")).alias("sound"), F.try_variant_get(v, "$.scope", "string").alias("scope"), F.size(F.try_variant_get(v, "$.countryCodes", "array<variant>")).alias("codes"))
 
 
 def all_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,16 +213,29 @@ def stated_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    grants_feed, procurement_feed, bank_feed, all_feeds, profile_checks, qualified_locations, identity_keys, notice_contract, record_hashes, qualified_hashes, claim_classes, limit_scopes, record_gaps, attributed, deadline_times, stated_numbers,
+    grants_feed, procurement_feed, bank_feed, all_feeds, location_shapes, profile_checks, qualified_locations, identity_keys, notice_contract, record_hashes, qualified_hashes, claim_classes, limit_scopes, record_gaps, attributed, deadline_times, stated_numbers,
 )}
 
 _DAY = "DATE '{}' + CAST(doc_id % 300 AS INTEGER)".format
+_TIDY = r"trim(regexp_replace(coalesce(text, ''), '[ \t\r\n\f\x0B]+', ' ', 'g'), ' ')"
 _LOCALE = """{"locale":"%s","sourceUrl":"u","title":"' || md5(coalesce(text, '')) || '","description":"d","deadline":"2024-01-01","evidence":[]}"""
 
 ORACLES = {
-    "grants_feed": f"SELECT 'n' || doc_id AS source_key, md5(text) AS title, {_DAY('2024-01-01')} AS published_at, {_DAY('2024-03-01')} AS deadline, (['open', 'closed', 'closed', 'unknown'])[doc_id % 4 + 1] AS application_status, CAST(2 AS INTEGER) AS evidence FROM documents",
-    "procurement_feed": f"SELECT 'p' || doc_id AS source_key, md5(text) AS title, {_DAY('2024-01-01')} AS published_at, {_DAY('2024-03-01')} AS deadline, CASE WHEN doc_id % 2 = 1 THEN 'closed' WHEN doc_id % 3 = 1 THEN 'not_open' ELSE 'open' END AS application_status FROM documents",
-    "bank_feed": f"SELECT 'b' || doc_id AS source_key, CASE WHEN doc_id % 2 = 0 THEN {_DAY('2024-03-01')} END AS deadline, CASE WHEN doc_id % 4 = 1 THEN 'status:Draft' WHEN doc_id % 4 = 3 THEN 'status:Cancelled' END AS reason FROM documents",
+    "grants_feed": f"""WITH d AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN {_DAY('2024-03-01')} ELSE {_DAY('2023-11-01')} END AS closes, {_TIDY} AS told FROM documents WHERE doc_id % 41 <> 0)
+SELECT CASE WHEN length(told) > 60000 THEN '' ELSE 'grants-gov:' END || doc_id AS source_key, CASE WHEN length(told) <= 60000 THEN md5(text) END AS title, CASE WHEN length(told) <= 60000 THEN {_DAY('2024-01-01')} END AS published_at, CASE WHEN length(told) <= 60000 THEN closes END AS deadline, CASE WHEN length(told) <= 60000 THEN 'date_only' END AS deadline_precision,
+  CASE WHEN length(told) > 60000 THEN NULL WHEN doc_id % 4 = 0 AND closes < DATE '2024-01-03' THEN 'closed' ELSE 'needs_verification' END AS application_status,
+  CASE WHEN length(told) <= 60000 THEN CAST(8 + ceil(length(told) / 10500.0) + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) END AS evidence, CASE WHEN length(told) <= 60000 THEN CAST(length(CASE WHEN told = '' THEN '' ELSE told END) AS INTEGER) END AS described, CASE WHEN length(told) > 60000 THEN 'text_exceeds_contract' END AS reason FROM d""",
+    "procurement_feed": f"""WITH d AS (SELECT *, lower((['Solicitation', 'Award Notice', 'Presolicitation', 'Special Notice'])[doc_id % 4 + 1] || ' ' || coalesce((['Solicitation', 'Cancelled', NULL])[doc_id % 7 % 3 + 1], '')) AS kind, doc_id % 11 % 2 = 1 AS over, CASE WHEN doc_id % 4 <> 1 THEN {_DAY('2023-11-01')} END AS closes,
+  CASE WHEN doc_id % 3 = 1 THEN CASE WHEN doc_id % 5 % 2 = 0 THEN 'United States' ELSE 'USA' END WHEN doc_id % 3 = 2 AND doc_id % 5 % 2 = 0 THEN 'United States' END AS country FROM documents)
+SELECT 'sam-gov:p' || doc_id AS source_key, md5(text) AS title, {_DAY('2024-01-01')} AS published_at, closes AS deadline, CASE WHEN over OR regexp_matches(kind, 'award notice|cancelled|canceled|archived|closed') THEN 'closed' WHEN regexp_matches(kind, 'pre[- ]?solicitation|forecast') THEN 'needs_verification' WHEN closes < DATE '2024-01-03' THEN 'closed' ELSE 'needs_verification' END AS application_status,
+  CAST(5 + CASE WHEN doc_id % 7 % 3 < 2 THEN 1 ELSE 0 END + CASE WHEN closes IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN trim(regexp_replace(substring(text, 1, 200), '\\s+', ' ', 'g')) <> '' THEN 1 ELSE 0 END + CASE WHEN country IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS evidence, country FROM d""",
+    "bank_feed": f"""WITH d AS (SELECT *, 'OP' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, (['10:30', NULL, '25:00'])[doc_id % 7 % 3 + 1] AS time, {_TIDY} AS told FROM documents),
+r AS (SELECT *, CASE WHEN doc_id % 11 % 2 = 1 THEN 'outside_scope' WHEN doc_id % 13 % 2 = 1 THEN 'type_changed' WHEN doc_id % 4 = 1 THEN 'not_published' WHEN doc_id % 17 = 0 OR text IS NULL THEN 'schema_changed' WHEN length(told) NOT BETWEEN 1 AND 12000 THEN 'text_exceeds_contract' WHEN time = '25:00' THEN 'deadline_time_invalid' END AS reason FROM d)
+SELECT id AS source_key, CASE WHEN reason IS NULL THEN 'https://projects.worldbank.org/en/projects-operations/procurement-detail/' || id END AS source_url, CASE WHEN reason IS NULL THEN {_DAY('2024-01-01')} END AS published_at, CASE WHEN reason IS NULL THEN {_DAY('2024-03-01')} END AS deadline,
+  CASE WHEN reason IS NULL AND time IS NOT NULL THEN strftime({_DAY('2024-03-01')}, '%Y-%m-%d') || 'T' || time END AS deadline_local, CASE WHEN reason IS NULL THEN 'needs_verification' END AS application_status, CASE WHEN reason IS NULL THEN CAST(5 + CASE WHEN time IS NULL THEN 0 ELSE 1 END AS INTEGER) END AS fields,
+  CASE WHEN reason IS NULL THEN CAST(length(regexp_replace(told, '\\s', '', 'g')) AS INTEGER) END AS signs, reason FROM r""",
+    "location_shapes": f"""WITH t AS (SELECT doc_id, {LOCATION_TEXT} AS t FROM documents), v AS (SELECT doc_id, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM t), x AS (SELECT doc_id, CASE WHEN json_type(j, '$.countryCodes') = 'ARRAY' THEN json_array_length(j, '$.countryCodes') END AS codes, CASE WHEN json_type(j, '$.evidence') = 'ARRAY' THEN json_array_length(j, '$.evidence') END AS shown, json_extract_string(j, '$.scope') AS scope FROM v)
+SELECT doc_id, coalesce(CASE scope WHEN 'countries' THEN codes > 0 AND shown > 0 WHEN 'worldwide' THEN codes = 0 AND shown > 0 WHEN 'unknown' THEN codes = 0 AND shown = 0 ELSE false END, false) AS sound, scope, CAST(codes AS INTEGER) AS codes FROM x""",
     "all_feeds": "SELECT doc_id AS id, lang, NULL AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages",
     "profile_checks": """SELECT c_custkey, concat_ws(',', CASE WHEN length(trim(substring(repeat(c_name, 9), 1, c_custkey % 200), ' ')) NOT BETWEEN 1 AND 160 THEN 'organizationName' END, CASE WHEN c_custkey % 3 = 2 THEN 'organizationType' END, CASE WHEN c_custkey % 15 NOT BETWEEN 1 AND 12 THEN 'sectors' END,
   CASE WHEN length(trim(repeat(c_mktsegment, c_custkey % 300), ' ')) > 4000 THEN 'capabilities' END, CASE WHEN c_custkey % 12 NOT BETWEEN 1 AND 10 THEN 'locations' END, CASE WHEN length(trim(repeat(c_name, c_custkey % 130), ' ')) > 2000 THEN 'pastWork' END, CASE WHEN length(trim(repeat(c_mktsegment, c_custkey % 40), ' ')) > 500 THEN 'teamCapacity' END,

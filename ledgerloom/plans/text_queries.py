@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions import text as T
-from ..operators import dedupe, textaudit, webcurate
+from ..operators import dedupe, referents, textaudit, webcurate
 from .bindings import pick, table, texts
 
 
@@ -167,10 +167,10 @@ def proper_noun_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def referent_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weight in each document of the names that it uses inside sentences."""
-    d = _docs(spark, sf_dir)
-    names = textaudit.proper_nouns(d, "doc_id", "text").where("mid_sentence").groupBy("doc_id").agg(F.sort_array(F.collect_set("phrase")).alias("names"))
-    return textaudit.referent_scores(textaudit.referent_mentions(d.join(names, "doc_id").select("doc_id", "text", "names"), "doc_id"), "doc_id")
+    """Weight in each document of the names that it uses inside sentences, which its evidence is taken to offer."""
+    d = _docs(spark, sf_dir).select("doc_id", "text")
+    names = textaudit.proper_nouns(d, "doc_id", "text").where("mid_sentence").select("doc_id", F.col("phrase").alias("name"), F.length("phrase").alias("position"))
+    return referents.scores(referents.mentions(d, names, "doc_id", "text"), names, "doc_id")
 
 
 def contact_claims(spark: SparkSession, sf_dir: str) -> DataFrame:

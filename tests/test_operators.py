@@ -220,10 +220,15 @@ def test_facts_and_dates(spark):
     assert one(spark, T.significant_figures(F.lit(1200)), x=1) == 2
 
 
-def test_mentions_weigh_roles():
-    text = "Cedar Trust provides tutors.\nWe signed an agreement with Oak Council in 2024.\n- Elm House\n# Cedar Trust"
-    got = {(m[0], m[1]): (m[2], m[5]) for m in textaudit.mentions(text, ["Cedar Trust", "Oak Council", "Elm House"])}
-    assert got == {("Cedar Trust", "prose"): ("subject", False), ("Oak Council", "prose"): ("counterparty", False), ("Elm House", "list"): ("listing", True), ("Cedar Trust", "heading"): ("adjunct", True)}
+def test_names_hold_all_tokens(spark):
+    rng = random.Random(2)
+    words = ["trust", "the", "cedar", "oak", "elm", "valley", "of", "house"]
+    say = lambda n: " ".join(rng.choices(words, k=rng.randrange(1, n)))
+    runs, names = [(k % 3, say(4)) for k in range(120)] + [(0, None), (None, "Oak")], [(k % 3, say(6)) for k in range(90)] + [(1, None), (2, "")]
+    key = lambda t: set((t or "").split()) - {"the", "of"}
+    want = {(a, r, n) for a, r in runs for b, n in names if a == b and a is not None and r and n and key(r) and key(r) <= key(n)}
+    got = textaudit.name_containment(spark.createDataFrame(runs, "o int, phrase string"), spark.createDataFrame(names, "o int, name string"), "o")
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 50
 
 
 def test_every_applicant_is_drawn_or_refused(spark):
