@@ -205,10 +205,11 @@ def deadline_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stated_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantities by their ways of shipment, of which three count as units."""
+    """Quantities before the word of their line's flag, of which two count as units."""
     i = table(spark, sf_dir, "lineitem")
-    said = F.concat_ws(" ", F.format_number(F.col("l_partkey") * 10, 0), "l_shipmode", F.lit("and"), F.round("l_quantity").cast("long").cast("string"), "l_shipmode", "l_returnflag")
-    found = T.numbers_of(said, "air|rail|mail")
+    unit = F.when(F.col("l_returnflag") == "A", "People").when(F.col("l_returnflag") == "R", "participants").otherwise("boxes")
+    said = F.concat_ws(" ", F.lit("For"), F.format_number(F.col("l_partkey") * 10, 0), unit, F.lit("and"), F.round("l_quantity").cast("long").cast("string"), unit, F.lit("in 2024"))
+    found = T.numbers_of(said, "people|participants")
     return i.select("l_orderkey", "l_linenumber", F.array_join(found.cast("array<string>"), ",").alias("numbers"), T.significant_figures(F.col("l_partkey") * 10).alias("figures"))
 
 
@@ -261,5 +262,5 @@ SELECT doc_id, CASE WHEN ((regexp_matches(g, '\b(answers?|responses?|questions?)
     "record_gaps": f"""SELECT doc_id, regexp_matches({_read_as_sql(AS_ASKED)}, '(?i)experience|track record|past (?:project|performance)|previous (?:project|grant)') AND NOT regexp_matches({_read_as_sql(AS_TOLD)}, '(?i)project|programme|result|since|founded|deliver') AS gap FROM documents""",
     "attributed": "SELECT doc_id, list_has_any(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), ' '), ['the', 'la']) AS attributable FROM documents",
     "deadline_times": "SELECT event_id, strftime(ts, '%-I:%M %p') AS time, (['GMT+1', NULL, 'CET', 'UTC'])[user_id % 4 + 1] AS zone FROM events",
-    "stated_numbers": "SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(lower(l_shipmode), '^(air|rail|mail)') THEN l_partkey * 10 || ',' || CAST(round(l_quantity) AS BIGINT) ELSE '' END AS numbers, CAST(length(regexp_replace(CAST(l_partkey * 10 AS VARCHAR), '0+$', '')) AS INTEGER) AS figures FROM lineitem",
+    "stated_numbers": "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag IN ('A', 'R') THEN l_partkey * 10 || ',' || CAST(round(l_quantity) AS BIGINT) ELSE '' END AS numbers, CAST(length(regexp_replace(CAST(l_partkey * 10 AS VARCHAR), '0+$', '')) AS INTEGER) AS figures FROM lineitem",
 }
