@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -219,11 +220,24 @@ def currency_vote(text: Column, site: Column) -> Column:
 
 
 def numeric_consistency(claims: DataFrame, design: DataFrame, evidence: DataFrame, owner: str) -> DataFrame:
-    """(owner, number, finding): claimed participants over the design's total by more than 1 %, unless evidence has the number.
+    """(owner, number, finding): claimed participants over the design's total by more than 1 %, or under it by more than that and still half of it at least, unless evidence has the number. Less than half is a part, not a total.
 
-    claims: (owner, number); design: (owner, total); evidence: (owner, number).
+    claims: (owner, number); design: (owner, total); evidence: (owner, number). A design without a total, or with 0, says nothing.
     """
-    return claims.join(evidence.select(owner, "number").distinct(), [owner, "number"], "left_anti").join(design, owner).where(F.col("number") > F.col("total") * 1.01).select(owner, "number", F.lit("above_total").alias("finding")).distinct()
+    told = claims.join(evidence.select(owner, "number").distinct(), [owner, "number"], "left_anti").join(design.where("total > 0"), owner)
+    slack = F.col("total") * 0.01
+    finding = F.when(F.col("number") > F.col("total") + slack, "above_total").when((F.col("number") >= F.col("total") * 0.5) & (F.col("number") < F.col("total") - slack), "understated")
+    return told.withColumn("finding", finding).where("finding is not null").select(owner, "number", "finding").distinct()
+
+
+#: Longer horizons in months are not read as the project's.
+MOST_MONTHS = 60
+
+
+def long_horizons(claims: DataFrame, design: DataFrame, evidence: DataFrame, owner: str) -> DataFrame:
+    """(owner, number): months that a text looks ahead beyond the design's, up to ``MOST_MONTHS``, unless evidence has the number. claims: (owner, number); design: (owner, months)."""
+    told = claims.join(evidence.select(owner, "number").distinct(), [owner, "number"], "left_anti").join(design.where("months > 0"), owner)
+    return told.where((F.col("number") > F.col("months")) & (F.col("number") <= MOST_MONTHS)).select(owner, "number").distinct()
 
 
 def process_requirement(text: Column) -> Column:
@@ -304,9 +318,9 @@ def _heading_key(text: str) -> str:
 
 def countable(text: str | None, scope: str, headings: list[str] | None) -> str:
     """What a limit covers: without supplied headings, and without attachments unless they turn out to be prose."""
-    text = re.sub(r"(?s)<!--.*?-->", "", text or "")
     if scope != "answers":
-        return text
+        return text or ""
+    text = re.sub(r"(?s)<!--.*?-->", "", text or "")
     supplied, out, held = {_heading_key(h) for h in headings if h} if headings is not None else set(), [], None
     for line in [*text.split("\n"), None]:
         title = None if line is None else _heading(line)
@@ -359,10 +373,36 @@ def content_violations(text: Column, limit: Column | None = None) -> Column:
     return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in rules.items()]))
 
 
+@F.pandas_udf(StringType())
+def compatible_form(text: pd.Series) -> pd.Series:
+    """Unicode's compatibility form, which the database has no function for."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def _heading_form(text: Column) -> Column:
+    """Lower-case letters and digits of ASCII in single spaces."""
+    return T.collapse(F.regexp_replace(F.regexp_replace(F.lower(text), "[*_`]", ""), "[^a-z0-9 ]+", " "))
+
+
+def _any_heading_form(text: Column) -> Column:
+    """The same of letters of any script."""
+    return T.collapse(F.regexp_replace(F.regexp_replace(compatible_form(F.lower(text)), "[*_`]", ""), r"[\p{P}\p{S}]+", " "))
+
+
 def missing_headings(documents: DataFrame, required: DataFrame, id_col: str) -> DataFrame:
-    """(id, heading) of required headings that no heading of the document equals, in normal form. required: (id, heading)."""
-    found = documents.select(id_col, F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"(?m)^#{1,6} +([^\n]+)$"), F.lit(1))).alias("_h")).select(id_col, T.normal_title(F.col("_h")).alias("_key"))
-    return required.withColumn("_key", T.normal_title(F.col("heading"))).join(found.distinct(), [id_col, "_key"], "left_anti").select(id_col, "heading")
+    """(id, heading, finding) of required headings that no heading of the document holds, which may say more: missing, or unreadable if the required one has no letter or digit.
+
+    Forms of ASCII are compared; a required heading without any is compared in forms of any script. Blank ones ask for nothing. required: (id, heading).
+    """
+    lines = F.regexp_extract_all(F.col("text"), F.lit(r"(?m)^#{1,6} +([^\n]+)$"), F.lit(1))
+    each = documents.select(id_col, F.explode(lines).alias("_h")).select(id_col, _heading_form(F.col("_h")).alias("_a"), _any_heading_form(F.col("_h")).alias("_u"))
+    found = each.groupBy(id_col).agg(F.collect_set("_a").alias("_a"), F.collect_set("_u").alias("_u"))  # of one document
+    asked = required.where(F.trim("heading") != "").withColumn("_na", _heading_form(F.col("heading"))).withColumn("_nu", _any_heading_form(F.col("heading")))
+    rows = asked.join(documents.select(id_col), id_col, "left_semi").join(found, id_col, "left")
+    none = F.array().cast("array<string>")
+    held = F.when(F.col("_na") != "", F.exists(F.coalesce("_a", none), lambda h: F.contains(h, F.col("_na")))).otherwise(F.exists(F.coalesce("_u", none), lambda h: F.contains(h, F.col("_nu"))))
+    finding = F.when((F.col("_na") == "") & (F.col("_nu") == ""), "unreadable").when(~held, "missing")
+    return rows.withColumn("finding", finding).where("finding is not null").select(id_col, "heading", "finding")
 
 
 # Classes of contact details, with the signs that do not matter in each.

@@ -106,9 +106,10 @@ def gate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("## Need: why\n"), F.col("text"), F.lit("\n# "), F.col("source"), F.lit("\n")).alias("text"))
-    required = d.select("doc_id", F.explode(F.array(F.lit("need WHY"), F.lit("src1"), F.lit("Budget"))).alias("heading"))
-    return textaudit.missing_headings(d, required, "doc_id")
+    """Documents with each of their first words as headings, against four headings that are asked for."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("## 1. The "), "source", F.lit(": *aims*\n# "), F.substring_index("text", " ", 2), F.lit("\n"), "text").alias("text"))
+    asked = F.explode(F.array(F.lit("SRC1 aims"), F.lit("the"), F.lit("Ölé ñ"), F.lit("…"), F.lit("  "), F.lit("é!")))
+    return textaudit.missing_headings(d, d.select("doc_id", asked.alias("heading")), "doc_id")
 
 
 REQUIREMENTS = ["Submit the form online", "Explain the need", "Read the guidance notes", "must explain how the portal serves refugees by the deadline of year two"]
@@ -196,7 +197,11 @@ SELECT a.u AS user_id, a.doc_id AS opportunity_id FROM g a WHERE NOT EXISTS (SEL
     "reconciled_credits": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderkey % 2 <> 0)",
     "paid_cycles": """WITH i AS (SELECT l_orderkey, any_value(l_shipdate) AS s FROM lineitem GROUP BY 1 HAVING count(*) = 1) SELECT o_custkey AS subscription_id, s AS cycle_start, min(o_orderkey) AS invoice_id, max(CAST(s AS DATE) + 30) AS cycle_end FROM orders JOIN i ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2""",
     "gate_outcomes": "SELECT user_id AS proposal_id, o_orderkey, CAST(n AS INTEGER) AS n_findings FROM (SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1) JOIN orders ON o_custkey = user_id",
-    "missing_headings": "SELECT doc_id, h AS heading FROM documents, (VALUES ('src1'), ('Budget')) t(h) WHERE h = 'Budget' OR source <> 'src1'",
+    "missing_headings": r"""WITH d AS (SELECT doc_id, '## 1. The ' || source || ': *aims*' || chr(10) || '# ' || array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') || chr(10) || text AS t FROM documents),
+h AS (SELECT doc_id, list_transform(regexp_extract_all(t, '(?m)^#{1,6} +([^\n]+)$', 1), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '[*_`]', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS a,
+  list_transform(regexp_extract_all(t, '(?m)^#{1,6} +([^\n]+)$', 1), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '[*_`]', '', 'g'), '[\p{P}\p{S}]+', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS u FROM d),
+q AS (SELECT doc_id, a, u, unnest(['SRC1 aims', 'the', 'Ölé ñ', '…', 'é!']) AS heading, unnest(['src1 aims', 'the', 'l', '', '']) AS na, unnest(['', '', '', '', 'é']) AS nu FROM h)
+SELECT doc_id, heading, CASE WHEN na = '' AND nu = '' THEN 'unreadable' ELSE 'missing' END AS finding FROM q WHERE CASE WHEN na <> '' THEN len(list_filter(a, lambda x: contains(x, na))) = 0 WHEN nu <> '' THEN len(list_filter(u, lambda x: contains(x, nu))) = 0 ELSE true END""",
     "missing_requirements": "SELECT doc_id, ([NULL, 'Explain the need', NULL, 'must explain how the portal serves refugees by the deadline of year two'])[doc_id // 6 % 4 + 1] AS text FROM documents WHERE doc_id % 6 = 0 AND doc_id // 6 % 2 = 1",
     "identity_flags": r"""WITH d AS (SELECT doc_id, trim(substring(text, 1, 5), ' ') AS n FROM documents) SELECT doc_id, concat_ws(',', CASE WHEN length(n) < 3 THEN 'name_short' END, CASE WHEN regexp_matches(n, '(?i)^(test|n/?a|none|unknown|tbd|my (org|organi[sz]ation)|organi[sz]ation|company|xxx+)$') THEN 'name_placeholder' END,
   CASE WHEN regexp_matches(n, '(?i)@|https?://') THEN 'name_address' END, CASE WHEN doc_id % 4 <> 0 THEN 'number_missing' END) AS flags FROM d""",

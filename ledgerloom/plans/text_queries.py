@@ -191,6 +191,14 @@ def numeric_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textaudit.numeric_consistency(claims, design, evidence, "l_orderkey")
 
 
+def month_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities as months that an order's lines look ahead, against its number of lines as the design's months times six."""
+    i = table(spark, sf_dir, "lineitem")
+    claims = i.select("l_orderkey", F.round("l_quantity").cast("long").alias("number"))
+    design = i.groupBy("l_orderkey").agg((F.count("*") * 6).alias("months"))
+    return textaudit.long_horizons(claims, design, i.where("l_returnflag = 'R'").select("l_orderkey", F.round("l_quantity").cast("long").alias("number")), "l_orderkey")
+
+
 def register_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.round("l_extendedprice").alias("value"))
     return textaudit.sums_close(table(spark, sf_dir, "orders").select("o_orderkey", F.round("o_totalprice").alias("asserted")), parts, "o_orderkey", 0)
@@ -357,7 +365,7 @@ def drift_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     strip_html, decoded_titles, page_snapshots, page_links, absolute_links, page_title_candidates, top_pages_per_site, js_shell, bot_challenge, prose_signals, paragraph_first_seen, site_budget, site_outcome, org_site_match, labelled_tables, labelled_fields, robots_access,
-    word_count, document_hash, document_numbers, document_dates, normal_titles, proper_nouns, proper_noun_audit, referent_weight, contact_claims, email_claims, numeric_consistency, register_sums, register_closure, register_rates, donor_limit, countable_words, content_violations,
+    word_count, document_hash, document_numbers, document_dates, normal_titles, proper_nouns, proper_noun_audit, referent_weight, contact_claims, email_claims, numeric_consistency, month_horizons, register_sums, register_closure, register_rates, donor_limit, countable_words, content_violations,
     jargon_repeats, currency_votes, process_requirements, evidence_use, shared_runs, longest_shared_run, material_change, jaccard_best_match, multiset_overlap, own_figures, cosine_pairs, merge_band, drift_sample,
 )}
 
@@ -460,7 +468,9 @@ SELECT id AS doc_id, min(other) AS worst_partner, CAST(any_value(longest) AS INT
     "normal_titles": r"SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g'), ' ') AS title, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9 ]', '', 'g'), ' ') AS grant_title, regexp_matches(text, '(?i)\b(19|20)[0-9][0-9]\b|\b(january|february|march|april|may|june|july|august|september|october|november|december|spring|summer|autumn|winter)\b') AS dated FROM documents",
     "email_claims": r"SELECT DISTINCT source, lower(unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'))) AS literal FROM documents",
     "numeric_consistency": """WITH d AS (SELECT l_orderkey, floor(avg(l_quantity)) AS total FROM lineitem GROUP BY 1), c AS (SELECT DISTINCT l_orderkey, CAST(round(l_quantity) AS BIGINT) AS number FROM lineitem), e AS (SELECT DISTINCT l_orderkey, CAST(round(l_quantity) AS BIGINT) AS number FROM lineitem WHERE l_returnflag = 'R')
-SELECT c.l_orderkey, c.number, 'above_total' AS finding FROM c JOIN d USING (l_orderkey) WHERE c.number > d.total * 1.01 AND (c.l_orderkey, c.number) NOT IN (SELECT (l_orderkey, number) FROM e)""",
+SELECT * FROM (SELECT c.l_orderkey, c.number, CASE WHEN c.number > d.total + d.total * 0.01::DOUBLE THEN 'above_total' WHEN c.number >= d.total * 0.5 AND c.number < d.total - d.total * 0.01::DOUBLE THEN 'understated' END AS finding FROM c JOIN d USING (l_orderkey) WHERE d.total > 0 AND (c.l_orderkey, c.number) NOT IN (SELECT (l_orderkey, number) FROM e)) WHERE finding IS NOT NULL""",
+    "month_horizons": """WITH d AS (SELECT l_orderkey, count(*) * 6 AS months FROM lineitem GROUP BY 1), c AS (SELECT DISTINCT l_orderkey, CAST(round(l_quantity) AS BIGINT) AS number FROM lineitem), e AS (SELECT l_orderkey, CAST(round(l_quantity) AS BIGINT) AS number FROM lineitem WHERE l_returnflag = 'R')
+SELECT l_orderkey, number FROM c JOIN d USING (l_orderkey) WHERE number > months AND number <= 60 AND (l_orderkey, number) NOT IN (SELECT (l_orderkey, number) FROM e)""",
     "register_sums": """WITH p AS (SELECT l_orderkey, sum(round(l_extendedprice)) AS computed, count(*) AS parts FROM lineitem GROUP BY 1) SELECT o_orderkey, round(o_totalprice) AS asserted, round(computed) AS computed, parts, CASE WHEN computed IS NULL THEN 'dangling' WHEN abs(computed - round(o_totalprice)) < 0.5 THEN 'closed' ELSE 'does_not_close' END AS verdict FROM orders LEFT JOIN p ON o_orderkey = l_orderkey""",
     "register_closure": """WITH l AS (SELECT l_orderkey AS r, round(l_extendedprice, 2) AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, round(l_extendedprice, 2)) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
 SELECT r AS register_id, 'L' || k AS node_id, CASE WHEN n < 200 THEN v END AS computed, CASE WHEN n >= 200 THEN 'too_many_nodes' END AS fault FROM l

@@ -354,3 +354,22 @@ def test_long_names_are_spelt_in_hosts(spark):
     five = ["bright", "cedar", "hope", "river", "valley"]
     assert m(five, "valleyrivercedarhopebright") and m(five, "valley-river-cedar-hope-bright") and not m(five, "valleyrivercedarhope") and not m(five, "valleyvalleycedarhopebright")
     assert m(["a", "ab", "b", "ba"], "abbaab") and m(["a", "ab", "b", "ba"], "ababab") and not m(["a", "ab", "b", "ba"], "bbbaaa")
+
+
+def test_headings_may_say_more_and_stand_in_any_script(spark):
+    text = "# 1. Statement of **Need** and context\n## الميزانية المقترحة\n### Ｂｕｄｇｅｔ\ntext"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "no headings")], "d int, text string")
+    asked = ["Statement of need", "Need and more", "الميزانية", "الأهداف", "★★", " ", None]
+    got = {(r.d, r.heading): r.finding for r in textaudit.missing_headings(docs, spark.createDataFrame([(d, h) for d in (1, 2, 3, 4) for h in asked], "d int, heading string"), "d").collect()}
+    assert {h: f for (d, h), f in got.items() if d == 1} == {"Need and more": "missing", "الأهداف": "missing", "★★": "unreadable"}
+    assert len(got) == 3 + 5 + 5
+
+
+def test_totals_understated_and_horizons(spark):
+    make = lambda rows, names: spark.createDataFrame(rows, names)
+    claims = make([(1, n) for n in (216, 200, 215, 219, 108, 107, 250, 150)] + [(2, 5), (3, 9)], "o int, number long")
+    found = textaudit.numeric_consistency(claims, make([(1, 216), (2, 0), (3, None)], "o int, total long"), make([(1, 150)], "o int, number long"), "o")
+    assert {(r.number, r.finding) for r in found.collect()} == {(200, "understated"), (108, "understated"), (219, "above_total"), (250, "above_total")}
+    months = textaudit.long_horizons(make([(1, n) for n in (12, 13, 24, 36, 60, 61)], "o int, number long"), make([(1, 12)], "o int, months long"), make([(1, 24)], "o int, number long"), "o")
+    assert sorted(r.number for r in months.collect()) == [13, 36, 60]
+    assert textaudit.countable("a <!-- b --> c", "whole", None) == "a <!-- b --> c" and "b" not in textaudit.countable("a <!-- b --> c", "answers", None)
