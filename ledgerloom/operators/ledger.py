@@ -14,6 +14,8 @@ from ..functions.lineage import cut
 NO_FACT = r"(?i)^(unverified|unknown|tbd|tba|n/?a|none|not (known|available|provided)|-+|0+)$"
 # Readings that are no organisation's name.
 NO_NAME = r"(?i)^(test|n/?a|none|unknown|tbd|my (org|organi[sz]ation)|organi[sz]ation|company|xxx+)$"
+# Names that stand for none.
+PLACEHOLDER = r"(?i)^(test|testing|asdf+|demo|sample|example|abc+|xyz+|xxx+|qwerty|none|null|n\/?a|foo|bar|placeholder|org|organisation|organization|company|tbd|todo)$"
 READABLE_GRANT, REFERENTS_WANTED = 600, 3
 VOCABULARY = 2_000
 # Integer grids that every composition has besides its codes: name, seed, least value, number of values.
@@ -35,15 +37,19 @@ def identity_flags(name: Column, number: Column) -> Column:
     return F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, hit in rules.items()]))
 
 
+def name_blocker(name: Column) -> Column:
+    """What keeps a text from being an organisation's registered name, or null: too short, a placeholder, one sign over and over, without a vowel, or an address."""
+    n = T.collapse(F.regexp_replace(F.coalesce(name, F.lit("")), r"[\x00-\x1F\x7F]", " "))
+    placeholder = n.rlike(PLACEHOLDER) | n.rlike(r"^(.)\1{3,}$") | ~n.rlike("(?iu)[aeiouyà-ÿ]")
+    return F.when(F.length(n) < 4, "org_too_short").when(placeholder, "org_placeholder").when(n.rlike(r"(?i)^(https?://|www\.)") | F.contains(n, F.lit("@")), "org_looks_like_address")
+
+
 def fulfilment_blockers(as_of: str) -> Column:
-    """Of (org_name, grant_text, deadline, tier): what stands in the way of an order."""
-    rules = {
-        "name": F.size(identity_flags(F.col("org_name"), F.lit("x"))) > 0,
-        "grant_unreadable": F.length(F.coalesce("grant_text", F.lit(""))) < READABLE_GRANT,
-        "deadline_passed": F.col("deadline") < F.lit(as_of).cast("date"),
-        "tier": ~F.coalesce(F.col("tier").isin("standard", "full"), F.lit(False)),
-    }
-    return F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, hit in rules.items()]))
+    """Of (org_name, grant_text, grant_ok, deadline, tier): what stands in the way of an order. A grant that was read (grant_ok) needs no pasted text; a deadline lasts to the end of its day."""
+    unread = ~F.coalesce("grant_ok", F.lit(False)) & (F.length(F.trim(F.coalesce("grant_text", F.lit("")))) < READABLE_GRANT)
+    rules = [(~F.coalesce(F.col("tier").isin("standard", "full"), F.lit(False)), "tier_unavailable"), (unread, "grant_unreadable"), (F.col("deadline") < F.lit(as_of).cast("timestamp").cast("date"), "deadline_passed")]
+    found = [F.when(hit, F.lit(code)) for hit, code in rules]
+    return F.array_compact(F.array(found[0], name_blocker(F.col("org_name")), *found[1:]))
 
 
 def sanitise(text: Column, most: int) -> Column:

@@ -191,7 +191,10 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fulfilment_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("org_name"), F.col("text").alias("grant_text"), F.date_add(F.lit("2023-12-20").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("deadline"), pick(F.col("doc_id"), "standard", "full", "trial").alias("tier"))
+    """Orders for documents as grants, under names of several makes."""
+    k = F.col("doc_id")
+    name = F.concat(pick(k, "", "www.", "Trust of ", "", "x@"), F.substring_index("text", " ", 1), pick(k % 7, "", " ", "", " e.V."))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 11 == 0, F.repeat(F.substring("source", 1, 1), 5)).when(k % 13 == 0, "Placeholder").otherwise(name).alias("org_name"), F.col("text").alias("grant_text"), (k % 4 == 0).alias("grant_ok"), F.date_add(F.lit("2023-12-20").cast("date"), (k % 30).cast("int")).alias("deadline"), pick(k, "standard", "full", "trial").alias("tier"))
     return d.select("doc_id", F.array_join(ledger.fulfilment_blockers("2024-01-03"), ",").alias("blockers"))
 
 
@@ -322,9 +325,10 @@ SELECT d.doc_id, k.grant_id FROM d LEFT JOIN k ON d.funder = k.funder AND d.t =
     "intake_ledger": """WITH a AS (SELECT c_custkey AS owner_id, list_filter(['Organisation name: ' || c_name, CASE WHEN c_custkey % 5 <> 0 THEN 'Sector: ' || c_mktsegment END, CASE WHEN c_nationkey <> 0 THEN 'Country: n' || c_nationkey END], lambda x: x IS NOT NULL) AS l FROM customer)
 SELECT owner_id, 'E-INTAKE-' || k AS item_id, l[k] AS claim FROM (SELECT owner_id, l, unnest(range(1, len(l) + 1)) AS k FROM a)""",
     "fingerprints": "SELECT c_custkey, sha256('nation=' || c_nationkey || ';segment=' || c_mktsegment) AS fingerprint FROM customer",
-    "fulfilment_blockers": r"""WITH d AS (SELECT *, trim(substring(text, 1, 12), ' ') AS n, DATE '2023-12-20' + CAST(doc_id % 30 AS INTEGER) AS deadline FROM documents)
-SELECT doc_id, concat_ws(',', CASE WHEN length(n) < 3 OR regexp_matches(n, '(?i)^(test|n/?a|none|unknown|tbd|my (org|organi[sz]ation)|organi[sz]ation|company|xxx+)$') OR regexp_matches(n, '(?i)@|https?://|\b[0-9]{1,5} [a-z]+ (street|road|avenue|lane)\b') THEN 'name' END,
-  CASE WHEN length(text) < 600 THEN 'grant_unreadable' END, CASE WHEN deadline < DATE '2024-01-03' THEN 'deadline_passed' END, CASE WHEN doc_id % 3 = 2 THEN 'tier' END) AS blockers FROM d""",
+    "fulfilment_blockers": r"""WITH d AS (SELECT *, trim(regexp_replace(regexp_replace(CASE WHEN doc_id % 11 = 0 THEN repeat(substring(source, 1, 1), 5) WHEN doc_id % 13 = 0 THEN 'Placeholder' ELSE (['', 'www.', 'Trust of ', '', 'x@'])[doc_id % 5 + 1] || string_split(text, ' ')[1] || (['', ' ', '', ' e.V.'])[doc_id % 7 % 4 + 1] END, '[\x00-\x1F\x7F]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS n, DATE '2023-12-20' + CAST(doc_id % 30 AS INTEGER) AS deadline FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 2 THEN 'tier_unavailable' END, CASE WHEN length(n) < 4 THEN 'org_too_short' WHEN regexp_matches(n, '(?i)^(test|testing|asdf+|demo|sample|example|abc+|xyz+|xxx+|qwerty|none|null|n/?a|foo|bar|placeholder|org|organisation|organization|company|tbd|todo)$') OR (length(n) > 3 AND replace(n, n[1], '') = '') OR NOT regexp_matches(n, '(?i)[aeiouyà-ÿ]') THEN 'org_placeholder'
+    WHEN regexp_matches(n, '(?i)^(https?://|www\.)') OR contains(n, '@') THEN 'org_looks_like_address' END,
+  CASE WHEN doc_id % 4 <> 0 AND length(trim(text, ' ')) < 600 THEN 'grant_unreadable' END, CASE WHEN deadline < DATE '2024-01-03' THEN 'deadline_passed' END) AS blockers FROM d""",
     "rate_tumbling": "SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS hits, count(*) <= 2 AS allowed FROM events GROUP BY 1, 2",
     "rate_anchored": """WITH RECURSIVE e AS (SELECT user_id, event_type AS action, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS n FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL),
 w AS (SELECT user_id, action, ts, n, ts AS begun, 1 AS hits FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.action, e.ts, e.n, CASE WHEN e.ts >= w.begun + INTERVAL 6 HOUR THEN e.ts ELSE w.begun END, CASE WHEN e.ts >= w.begun + INTERVAL 6 HOUR THEN 1 ELSE w.hits + 1 END

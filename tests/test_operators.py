@@ -373,3 +373,11 @@ def test_totals_understated_and_horizons(spark):
     months = textaudit.long_horizons(make([(1, n) for n in (12, 13, 24, 36, 60, 61)], "o int, number long"), make([(1, 12)], "o int, months long"), make([(1, 24)], "o int, number long"), "o")
     assert sorted(r.number for r in months.collect()) == [13, 36, 60]
     assert textaudit.countable("a <!-- b --> c", "whole", None) == "a <!-- b --> c" and "b" not in textaudit.countable("a <!-- b --> c", "answers", None)
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [("ABC", "org_too_short"), ("  \t ab ", "org_too_short"), (None, "org_too_short"), ("abccc", "org_placeholder"), ("aaaa", "org_placeholder"), ("Kltd Hnd", "org_placeholder"), ("Organisation", "org_placeholder"), ("www.trust.org", "org_looks_like_address"), ("us@trust.org", "org_looks_like_address"), ("Élan", None), ("Trust of Norwick", None)],
+)
+def test_names_that_block_an_order(spark, name, want):
+    assert one(spark, ledger.name_blocker(F.lit(name).cast("string")), x=1) == want
