@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,14 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of frames that nothing refers to any more, which it does when the driver collects its garbage: between two large jobs their sum need not fit the disks."""
+    for _ in range(2):  # Python's references go first, then those of the JVM
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
+
+
 def row_key() -> Column:
     """An inner key of a row, never null: equal for repeated rows of an id and a text only."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
