@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, linededup, mixing, nearjoin, toxicity
-from ledgerloom.llm.common import cut, scratch, table
+from ledgerloom.llm.common import cut, release, scratch, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     lines = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.xxhash64(x)))
     once = lambda df, name: df.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.any_value(lines).alias(name)).where("n = 1").drop("n")
     named = cut(once(docs, "here").join(once(came, "there"), "doc_id").where(F.size(F.array_except("here", "there")) == 0).select("doc_id"))
-    kept = nearjoin.one_of_each(came.join(named, "doc_id")).select("doc_id")
+    kept = stored(nearjoin.one_of_each(came.join(named, "doc_id")).select("doc_id"), "kept")
+    release(spark)
     left = docs.join(named.join(kept, "doc_id", "left_anti"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
     return nearjoin.one_of_each(left)
 
