@@ -19,13 +19,13 @@ from pyspark.sql.types import StringType
 from ..functions import text as T
 
 # Words that are capitalised for grammar or genre, not because they name anything.
-NOT_NAMES = (
-    "The This That These Those A An And But Or If When While Where We Our It Its They Their There In On At For To From By With As After Before During Over Under "
-    "Between Each Every All Both Most January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday "
-    "Saturday Sunday Year Month Week Day Phase Output Outcome Goal Objective Activity Activities Indicator Indicators Target Targets Budget Risk Risks Mitigation "
-    "Assumptions Level Statement Means Verification Milestone Total Subtotal Note Notes Project Programme Program Proposal Organisation Organization Foundation Fund "
-    "Trust Grant Donor Beneficiaries Participants Staff Board Annex Appendix Introduction Background Summary Conclusion Sustainability Methodology Approach Recorded"
-).split()
+NOT_NAMES = [
+    "The", "This", "That", "These", "Those", "A", "An", "And", "But", "Or", "If", "When", "While", "Where", "We", "Our", "It", "Its", "They", "Their", "There", "In", "On", "At", "For", "To", "From", "By", "With", "As", "After", "Before",
+    "During", "Over", "Under", "Between", "Each", "Every", "All", "Both", "Most", "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "Monday", "Tuesday", "Wednesday",
+    "Thursday", "Friday", "Saturday", "Sunday", "Year", "Month", "Week", "Day", "Phase", "Output", "Outcome", "Goal", "Objective", "Activity", "Activities", "Indicator", "Indicators", "Target", "Targets", "Budget", "Risk", "Risks",
+    "Mitigation", "Assumptions", "Level", "Statement", "Means", "Verification", "Milestone", "Total", "Subtotal", "Note", "Notes", "Project", "Programme", "Program", "Proposal", "Organisation", "Organization", "Foundation", "Fund", "Trust",
+    "Grant", "Donor", "Beneficiaries", "Participants", "Staff", "Board", "Annex", "Appendix", "Introduction", "Background", "Summary", "Conclusion", "Sustainability", "Methodology", "Approach", "Recorded",
+]
 # Phrases that count as jargon when they repeat.
 JARGON = [
     "transformative", "groundbreaking", "holistic(?:ally)?", "robust framework", r"catalys(?:e|t|ing|ze)\w* change", r"leverag\w+ synerg\w+", "empower(?:ing|s)? communities", "foster(?:ing)? collaboration",
@@ -50,10 +50,10 @@ SITE_CURRENCY, SITE_END, SITE_VOTES = "GBP", r"(?i)\.uk\b", 2
 # Bounds of a stated limit, readings that state none, and words that may stand before a grouped number.
 LIMITS = {"max_words": (25, 100_000), "max_pages": (1, 200)}
 STATES_NONE = ["n/a", "n.a.", "na", "none", "no limit", "no word limit", "no page limit", "not stated", "not specified", "not applicable", "unspecified", "unstated", "not given", "no maximum", "null", "nil", "-", "--", "—"]
-BEFORE_GROUPS = (
-    "max maximum maximal maximo máximo up to upto no more than not exceed exceeding limit limited of at most approx approximately about around circa roughly word words count total "
-    "in under below within please keep answer answers must be hasta jusqu jusqua environ bis hoechstens höchstens etwa und the a an"
-).split()
+BEFORE_GROUPS = [
+    "max", "maximum", "maximal", "maximo", "máximo", "up", "to", "upto", "no", "more", "than", "not", "exceed", "exceeding", "limit", "limited", "of", "at", "most", "approx", "approximately", "about", "around", "circa", "roughly", "word",
+    "words", "count", "total", "in", "under", "below", "within", "please", "keep", "answer", "answers", "must", "be", "hasta", "jusqu", "jusqua", "environ", "bis", "hoechstens", "höchstens", "etwa", "und", "the", "a", "an",
+]
 WORD_UNIT, PAGE_UNIT = r"\b(words?|wordcount|mots?|palabras?|w[oö]rter|worte|parole|palavras?|slov)\b", r"\b(pages?|sides?|sheets?|seiten|p[aá]ginas?|feuillets?|folios?)\b"
 OTHER_UNIT = r"\b(characters?|chars?|signs?|bytes?|kb|mb|keystrokes?|lines?|paragraphs?|sentences?|slides?|minutes?|mins?|hours?|zeichen|caracteres?|caract[eè]res?)\b|%"
 MONEY, AT_LEAST = r"[$£€¥₹]|\b(usd|eur|gbp|chf|aed|sar|cad|aud|jpy|dollars?|euros?|pounds?)\b", r"\b(at least|minimum|minimo|mínimo|no fewer than|no less than|not less than|not fewer than|at a minimum|lower limit|min)\b"
@@ -64,6 +64,7 @@ PAGE_SIZE = r"\b(a[3-6]|b[45]|letter|legal|foolscap|tabloid)\b"
 ATTACHMENTS = ["budget", "budget table", "budget summary", "attached budget table", "declaration", "declarations", "annex", "annexes", "appendix", "appendices", "attachment", "attachments", "signature", "signatures", "signatory", "signatories", "supporting document", "supporting documents", "supporting information"]
 PROSE_WORDS, SECTION_WORDS = 25, 250
 
+# Fixed value: a run of capitalised words.
 _NAME = re.compile(r"[A-Z][\w'’-]*(?:[ \t]+(?:(?:of|the|de|al|bin|van|von|du|la|le|el)[ \t]+[A-Z]|[a-z]{1,3}[-'’][A-Z]|[A-Z])[\w'’-]*)*")
 _OPENS_LINE = re.compile(r"[\s>#*_+|-]*(?:\d+[.)][\s>#*_+|-]*)?")
 _ENDS_SENTENCE = re.compile(r"[.!?:;][\"'”’)\]]*[\s*_]*$")
