@@ -412,6 +412,9 @@ CONTACTS = [
     ("url", r"\b(https?://[^\s<>\"')]+|www\.[^\s<>\"')]+)", r"^https?://|^www\.|/$"),
     ("iban", r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b", r"\s"),
     ("phone", r"(?<!\w)(?<![0-9]\.)(\+?\(?[0-9]{2,5}\)?(?:[ .-]?\(?[0-9]{2,5}\)?){2,4})(?!\w|\.[0-9])", r"[^0-9]"),
+    ("phone", r"(?i)\b(?:telephone|phone|tel|mobile|fax)\b[\s*_.:]*(\+?\(?[0-9][0-9 ().-]{4,}[0-9])", r"[^0-9]"),
+    ("account", r"(?i)\b(?:account|acct)\s*(?:no\.?|number|#)?[\s*_]*:[\s*_]*([A-Z0-9][A-Z0-9 -]*[0-9][A-Z0-9 -]{3,})", r"[^A-Za-z0-9]"),
+    ("address", r"(?i)\baddress[\s*_]*:[ \t*_]*([^\n]*[0-9][^\n]*)", r"[^A-Za-z0-9]"),
     ("registration", r"(?i)\b(?:registration|registered|company|charity)\s+(?:charity\s+|company\s+)?(?:no\.?|number|#)\s*:?\s*([A-Z0-9/-]{4,})", r"[^A-Za-z0-9]"),
     ("postcode", r"\b([A-Z]{1,2}[0-9][0-9A-Z]? [0-9][A-Z]{2})\b", r"\s"),
     ("date", r"\b([0-9]{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) (?:19|20)[0-9]{2})\b", r"^0"),

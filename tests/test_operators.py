@@ -381,3 +381,14 @@ def test_totals_understated_and_horizons(spark):
 )
 def test_names_that_block_an_order(spark, name, want):
     assert one(spark, ledger.name_blocker(F.lit(name).cast("string")), x=1) == want
+
+
+def test_labelled_contact_details(spark):
+    text = "- **Telephone:** +357 6 380 000\n- **Contact Person:** Project Coordinator\n- **Bank Account Holder Name:** Sparrow Circle\n- **Physical Address:** 12 Mill Lane, Norwick\n- Account no: 0123-4567 89\n- Address: Old Town, Norwick"
+    prose = "We reach 216 people across 18 streets over 24 months, at a cost of USD 21,000. The 2019 baseline showed 1,250 households."
+    known = "Phone: +35763 80000. See the account: 0123 4567 89"
+    df = lambda t: spark.createDataFrame([(1, t)], "o int, t string")
+    found = textaudit.contacts(df(text), "o", "t")
+    assert {(r["class"], r.literal) for r in found.collect()} == {("phone", "3576380000"), ("address", "12milllanenorwick"), ("account", "0123456789"), ("phone", "0123456789")}
+    assert textaudit.contacts(df(prose), "o", "t").count() == 0
+    assert [r["class"] for r in textaudit.unsupported_contacts(found, textaudit.contacts(df(known), "o", "t"), "o").collect()] == ["address"]
