@@ -24,8 +24,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("opportunity_id"), F.col("p_retailprice").alias("fetched_at"))
-    return matching.newest(candidates(spark, sf_dir), parts).select("user_id", "opportunity_id", "fetched_at")
+    return matching.newest(candidates(spark, sf_dir, ("fetched_at",))).select("user_id", "opportunity_id", "fetched_at")
 
 
 def application_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,37 @@ def test_recall_of_bands(spark):
     want = {(a, b) for a in range(600) for b in range(a + 1, 600) if all_pairs[a, b] >= 0.85 and abs(days[a] - days[b]) <= 7}
     assert set(got) <= want and len(want) > 30 and len(got) >= 0.98 * len(want)
     assert all(abs(c - all_pairs[p]) < 1e-9 for p, c in got.items())
+
+
+def test_candidates_make_pairs_last(spark):
+    rng = random.Random(11)
+    members = [(None if k == 7 else k, [rng.choice(["a", "b"]), "c"][: rng.randrange(3)], rng.choice([0, 1, None])) for k in range(40)]
+    opportunities = [(None if k == 9 else k, rng.choice(["a", "b", "c", None]), rng.choice(["g1", "g2", None]), rng.choice(["v1", "v2", None]), rng.random() < 0.8) for k in range(60)]
+    some = lambda *of: tuple(rng.choice(x) for x in of)
+    users, ids, versions = [*range(40), None], [*range(60), None], ["v1", "v2", None]
+    blocked = [some(users, ids, [0, 1, None], versions) for _ in range(1500)]
+    spent = [some(users, ["g1", "g2", None], [0, 1, None], versions) for _ in range(60)]
+    matched = [(u, o, *some([0, 1, None], versions)) for u, o in {some(users, ids) for _ in range(1500)}]
+    unlike = lambda x, y: None if x is None or y is None else x != y
+    want = []
+    for u, kinds, revision in members:
+        for o, kind, group, version, usable in opportunities:
+            if not usable or kind is None or kind not in kinds:
+                continue
+            if None not in (u, o, revision, version) and (u, o, revision, version) in blocked or None not in (u, group, revision, version) and (u, group, revision, version) in spent:
+                continue
+            known = [(r, v) for x, y, r, v in matched if None not in (u, o) and (x, y) == (u, o)]
+            if all(r is None or unlike(r, revision) or unlike(v, version) for r, v in known):
+                want.append((u, o, group, version, revision))
+    tables = [
+        spark.createDataFrame(rows, fields)
+        for rows, fields in (
+            (members, "user_id long, opportunity_types array<string>, revision int"), (opportunities, "opportunity_id long, kind string, group_key string, group_version string, usable boolean"), (blocked, "user_id long, opportunity_id long, revision int, group_version string"),
+            (spent, "user_id long, group_key string, revision int, group_version string"), (matched, "user_id long, opportunity_id long, revision int, group_version string"),
+        )
+    ]
+    found = matching.candidates(*tables)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want)) and len(want) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # nothing moves pairs
+    assert matching.candidates(*[t.limit(0) for t in tables]).count() == 0
