@@ -120,3 +120,16 @@ def test_candidates_make_pairs_last(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange")  # nothing moves pairs
     assert matching.candidates(*[t.limit(0) for t in tables]).count() == 0
+
+
+def test_lines_are_made_plain_once_and_batches_are_cut(spark):
+    import pandas as pd
+
+    asked = [f"asked for line number {k}" for k in range(40)]
+    told = ["# *Asked* for  line number 7", "", "x", "own words", "we say asked for line number 3 twice", *asked]
+    column = dedupe.without_lines(F.col("t"), F.col("d"))
+    row = spark.createDataFrame([("\n".join(told), asked)], "t string, d array<string>").select(column.alias("x")).first()
+    assert row.x == "\nx\nown words" or row.x == "\nown words"
+    assert str(column).count("^#+") == 1
+    sizes = [len(b) for b in dedupe.slices(iter([pd.DataFrame({"x": range(1000)}), pd.DataFrame({"x": []})]))]
+    assert sum(sizes) == 1000 and max(sizes) <= 64
