@@ -133,3 +133,23 @@ def test_lines_are_made_plain_once_and_batches_are_cut(spark):
     assert str(column).count("^#+") == 1
     sizes = [len(b) for b in dedupe.slices(iter([pd.DataFrame({"x": range(1000)}), pd.DataFrame({"x": []})]))]
     assert sum(sizes) == 1000 and max(sizes) <= 64
+
+
+def test_no_close_grant_is_missed(spark):
+    rng = np.random.default_rng(5)
+    mids = rng.standard_normal((6, 16))
+    rows = [(k, int(k % 2), [float(x) for x in mids[k % 6] + 0.55 * rng.standard_normal(16)], datetime.date(2024, 1, 1) + datetime.timedelta(days=int(k * 7 % 30))) for k in range(400)]
+    rows += [(900, 0, [0.0] * 16, datetime.date(2024, 1, 1)), (901, 0, None, datetime.date(2024, 1, 1)), (902, 0, [1.0, 2.0], datetime.date(2024, 1, 1)), (903, 0, [2.0, 4.0], datetime.date(2024, 1, 8)), (904, 0, [2.0, 4.0], None)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {
+        (a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and None not in (*a, *b) and len(a[2]) == len(b[2]) and abs((a[3] - b[3]).days) <= 7
+        and dot(a[2], a[2]) * dot(b[2], b[2]) > 0 and dot(a[2], b[2]) / (dot(a[2], a[2]) * dot(b[2], b[2])) ** 0.5 >= 0.85
+    }
+    old = dedupe.GRANT_BLOCK if hasattr(dedupe, "GRANT_BLOCK") else None
+    try:
+        dedupe.GRANT_BLOCK = 20
+        df = spark.createDataFrame(rows, "id long, version int, vector array<double>, deadline date")
+        found = [(r.a, r.b) for r in dedupe.merge_candidates(df).collect()]
+    finally:
+        dedupe.GRANT_BLOCK = old
+    assert sorted(found) == sorted(want) and (902, 903) in want and len(want) > 200
