@@ -153,3 +153,16 @@ def test_no_close_grant_is_missed(spark):
     finally:
         dedupe.GRANT_BLOCK = old
     assert sorted(found) == sorted(want) and (902, 903) in want and len(want) > 200
+
+
+def test_title_sql_decodes_as_the_query(duck):
+    import html
+
+    from ledgerloom.plans.text_queries import ORACLES
+
+    titles = ["a&amp", "&ampx;b &notit; &notin; &#39;&#x27;&#X27 &#128;&#0;&#xD800;&#1114112;&#99999999999999999999;&#1;z", "&;& &nosuch; &lt;&LT&gt;", "it's &apos;&quot;", "", "&amp;amp; é&eacute&Eacute;", "&CounterClockwiseContourIntegral;&NotEqualTilde;"]
+    c = duck.cursor()
+    c.execute("create temp table pages (page_id bigint, html varchar)")
+    c.executemany("insert into pages values (?, ?)", [(k, f"<title>{t}</title>") for k, t in enumerate(titles)])
+    want = {k: html.unescape(t.split("<")[0]) for k, t in enumerate(titles)}
+    assert dict(c.execute(ORACLES["decoded_titles"]).fetchall()) == want
