@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..functions.batches import slices
 
 # Words that are capitalised for grammar or genre, not because they name anything.
 NOT_NAMES = [
@@ -111,7 +112,7 @@ def proper_nouns(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, phrase, line_start, sentence_start, mid_sentence): one row for each different run of a document."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(i, *r.values()) for i, t in zip(batch[id_col], batch[text_col], strict=True) for r in name_runs(t)]
             yield pd.DataFrame(rows, columns=[id_col, "phrase", "line_start", "sentence_start", "mid_sentence"])
 
