@@ -7,11 +7,13 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from types import SimpleNamespace
+from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -453,6 +455,17 @@ SCOPES = ["whole", "total", "entire", "overall", "combined", "full", "gross", "a
 LABEL_STOPS = ["the", "a", "an", "of", "our", "its", "their", "this", "that"]
 
 
+@lru_cache(maxsize=1 << 16)
+def _plain_label(label: str | None) -> str:
+    return " ".join((label or "").lower().split())
+
+
+@lru_cache(maxsize=1 << 16)
+def _label_tokens(label: str | None) -> frozenset[str]:
+    return frozenset(w.removesuffix("s") for w in (label or "").lower().split() if w not in LABEL_STOPS)
+
+
+@lru_cache(maxsize=1 << 16)
 def names_part(label: str, part: str) -> bool:
     """The words of ``part`` stand in ``label`` as a run of their own: beside it are ends or connectives, and no scope word comes next behind these."""
     words, run = label.lower().split(), part.lower().split()
@@ -467,11 +480,13 @@ def names_part(label: str, part: str) -> bool:
 
 def rate_faults(rows: dict, value: dict[str, float]) -> dict[str, str]:
     """What is wrong with the denominators of the rates that could be computed. The leaves below a node are a bit set, a bit for each leaf."""
+    if not any(r.kind == "rate" and name in value for name, r in rows.items()):
+        return {}
     bits = {name: 1 << k for k, name in enumerate(n for n, r in rows.items() if r.kind == "leaf")}
     below: dict[str, int] = {}
     for name in value:  # members come before what they make up
         below[name] = bits.get(name, 0) | reduce(int.__or__, (below[m] for m in (rows[name].members if rows[name].kind != "leaf" else ())), 0)
-    tokens = {name: {w.removesuffix("s") for w in (rows[name].label or "").lower().split() if w not in LABEL_STOPS} for name in value}
+    tokens = {name: _label_tokens(rows[name].label) for name in value}
     found = {}
     for name, r in rows.items():
         if r.kind != "rate" or name not in value:
@@ -495,11 +510,11 @@ def evaluate_register(nodes: list) -> list[tuple[str, float | None, str | None]]
     """Recompute one register bottom-up: (node_id, value, code of its fault). Nodes have the fields of the schema REGISTER but the id."""
     rows = {r.node_id: r for r in nodes}
     fault: dict[str, str] = {}
-    plain = lambda r: " ".join((r.label or "").lower().split())
-    labels, ids = Counter(map(plain, nodes)), Counter(r.node_id for r in nodes)
-    for r in nodes:
+    plain = [_plain_label(r.label) for r in nodes]
+    labels, ids = Counter(plain), Counter(r.node_id for r in nodes)
+    for r, label in zip(nodes, plain, strict=True):
         members = [] if r.members is None else list(r.members)
-        label, twice = plain(r), labels[plain(r)] > 1 or ids[r.node_id] > 1
+        twice = labels[label] > 1 or ids[r.node_id] > 1
         leaf, has = r.kind == "leaf", r.value is not None
         if not NODE_ID.fullmatch(r.node_id or ""):
             code = "bad_id"
@@ -527,8 +542,9 @@ def evaluate_register(nodes: list) -> list[tuple[str, float | None, str | None]]
             code = None
         if code:
             fault.setdefault(r.node_id, code)
-    value: dict[str, float] = {}
-    state: dict[str, int] = {}
+    places = lambda r: MONEY_PLACES if r.unit_kind == "money" else OTHER_PLACES
+    value = {name: round(float(r.value), places(r)) for name, r in rows.items() if r.kind == "leaf" and name not in fault}
+    state: dict[str, int] = dict.fromkeys(value, 2)
 
     def visit(start: str) -> None:
         stack = [(start, False)]
@@ -552,9 +568,7 @@ def evaluate_register(nodes: list) -> list[tuple[str, float | None, str | None]]
                 fault[node] = "faulty_member"
                 continue
             v, own = [value[m] for m in members], [rows[m] for m in members]
-            if r.kind == "leaf":
-                result = float(r.value)
-            elif r.kind == "sum":
+            if r.kind == "sum":
                 if any(o.unit != r.unit or o.unit_kind != r.unit_kind for o in own):
                     fault[node] = "mixed_units"
                     continue
@@ -573,8 +587,8 @@ def evaluate_register(nodes: list) -> list[tuple[str, float | None, str | None]]
             else:
                 fault[node] = "bad_kind"
                 continue
-            value[node] = round(result, MONEY_PLACES if r.unit_kind == "money" else OTHER_PLACES)
-            if r.kind != "leaf" and abs(value[node] - r.asserted) > 1e-9:
+            value[node] = round(result, places(r))
+            if abs(value[node] - r.asserted) > 1e-9:
                 fault[node] = "does_not_close"
 
     for name in rows:
@@ -588,19 +602,40 @@ def evaluate_register(nodes: list) -> list[tuple[str, float | None, str | None]]
     return [(r.node_id, value.get(r.node_id), fault.get(r.node_id)) for r in nodes]
 
 
+#: Registers that Python works on at once.
+REGISTER_SLICE = 512
+
+
+class RegisterNode(NamedTuple):
+    node_id: str | None
+    kind: str | None
+    label: str | None
+    unit: str | None
+    unit_kind: str | None
+    members: list[str] | None
+    value: float | None
+    asserted: float | None
+    basis: str | None
+
+
 def close_registers(nodes: DataFrame) -> DataFrame:
     """(register_id, node_id, computed, fault). Registers of too many nodes are told by a count; only the others are gathered."""
     sizes = nodes.groupBy("register_id").agg(F.count("*").alias("_n"))
     great = sizes.where(F.col("_n") > MOST_NODES).select("register_id")
     refused = nodes.join(great, "register_id", "left_semi").select("register_id", "node_id", F.lit(None).cast("double").alias("computed"), F.lit("too_many_nodes").alias("fault"))
-    fields = ["node_id", "kind", "label", "unit", "unit_kind", "members", "value", "asserted", "basis"]
+    fields = RegisterNode._fields
     sound = nodes.join(great, "register_id", "left_anti").groupBy("register_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("nodes"))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for register, own in zip(batch["register_id"], batch["nodes"], strict=True):
-                out += [(register, *x) for x in evaluate_register([SimpleNamespace(**n) for n in own])]
-            yield pd.DataFrame(out, columns=["register_id", "node_id", "computed", "fault"])
-
-    return sound.mapInPandas(work, "register_id long, node_id string, computed double, fault string").unionByName(refused)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, len(whole), REGISTER_SLICE):
+                batch = whole.slice(k, REGISTER_SLICE)
+                lists = batch.column("nodes")
+                ends = np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+                nodes = [RegisterNode(*n) for n in zip(*(c.to_pylist() for c in lists.flatten().flatten()), strict=True)]  # by columns: a row is never a dict
+                found = [x for a, b in itertools.pairwise(ends) for x in evaluate_register(nodes[a:b])]
+                owners = batch.column("register_id").take(pa.array(np.repeat(np.arange(len(batch)), np.diff(ends))))
+                node_ids, computed, faults = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([owners.cast(pa.int64()), pa.array(node_ids, pa.string()), pa.array(computed, pa.float64()), pa.array(faults, pa.string())], ["register_id", "node_id", "computed", "fault"])
+
+    return sound.mapInArrow(work, "register_id long, node_id string, computed double, fault string").unionByName(refused)
