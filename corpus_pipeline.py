@@ -43,10 +43,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     lines = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.xxhash64(x)))
     once = lambda df, name: df.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.any_value(lines).alias(name)).where("n = 1").drop("n")
     named = cut(once(docs, "here").join(once(came, "there"), "doc_id").where(F.size(F.array_except("here", "there")) == 0).select("doc_id"))
-    kept = stored(nearjoin.one_of_each(came.join(named, "doc_id")).select("doc_id"), "kept")
+    kept = stored(nearjoin.kept_ids(came, lambda rows: rows.join(named, "doc_id", "left_semi")), "kept")
+    gone = cut(named.join(kept, "doc_id", "left_anti"))
+    del named
     release(spark)
-    left = docs.join(named.join(kept, "doc_id", "left_anti"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    return nearjoin.one_of_each(left)
+    return nearjoin.one_of_each(docs, taken=lambda rows: rows.join(gone, "doc_id", "left_anti"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

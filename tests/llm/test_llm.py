@@ -536,3 +536,19 @@ def test_near_copies_are_told_by_the_texts_that_came_in(spark, tmp_path):
     assert {r.doc_id for r in p.drop_near_copies(spark, docs, str(tmp_path)).collect()} == {1, 3}
     other = spark.createDataFrame([(1, "unlike what came in under this id", "en", "s", 1), (2, "and this one is unlike it as well", "en", "s", 1), (None, "x", "en", "s", 1)], came.schema)
     assert {r.doc_id for r in p.drop_near_copies(spark, other, str(tmp_path)).collect()} == {1, 2, None}
+
+
+def test_near_copies_choose_documents_without_moving_texts(spark, tmp_path, monkeypatch):
+    """Documents are picked after they are signed, so that no join moves texts for it; and each step's leftovers are let go."""
+    import corpus_pipeline as p
+
+    plans, released = [], []
+    cut, release = nearjoin.cut, nearjoin.release
+    monkeypatch.setattr(nearjoin, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    monkeypatch.setattr(nearjoin, "release", lambda *a: (released.append(1), release(*a))[1])
+    came = spark.createDataFrame([(k, f"{k} is said by this text of some words {k % 3}", "en", "s", 1) for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    came.write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.drop_near_copies(spark, came, str(tmp_path)).count() == 6
+    signed = [x for x in plans if "sketch" in x and "MapInPandas" in x and "text" in x]
+    assert len(signed) == 2 and all(x.index("Join Left") < x.index("MapInPandas") for x in signed)
+    assert len(released) >= 2 * 4
