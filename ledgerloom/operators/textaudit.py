@@ -353,9 +353,10 @@ def countable(text: str | None, scope: str, headings: list[str] | None) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf(StringType())
-def countable_text(text: pd.Series, scope: pd.Series, headings: pd.Series) -> pd.Series:
-    return pd.Series([countable(t, s, h) for t, s, h in zip(text, scope, headings, strict=True)])
+@F.udf(StringType(), useArrow=False)
+def countable_text(text: str | None, scope: str | None, headings: list[str] | None) -> str | None:
+    """Row by row: the texts of a whole Arrow batch, before and after, would have to fit in a worker."""
+    return countable(text, scope, headings)
 
 
 def content_violations(text: Column, limit: Column | None = None) -> Column:
