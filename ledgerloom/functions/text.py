@@ -44,12 +44,12 @@ def decode_named(text: Column) -> Column:
     return F.replace(F.regexp_replace(out, "&#39;", "'"), F.lit("&amp;"), F.lit("&"))
 
 
-@F.pandas_udf(StringType())
-def decode_entities(text: pd.Series) -> pd.Series:
-    """All character references, numeric ones too, in vectorised batches."""
+@F.udf(StringType(), useArrow=False)
+def decode_entities(text: str | None) -> str | None:
+    """All character references, numeric ones too; row by row, as the texts of a whole Arrow batch would have to fit in a worker."""
     import html
 
-    return text.map(lambda t: None if t is None else html.unescape(t))
+    return None if text is None else html.unescape(text)
 
 
 def normal_title(title: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -33,21 +32,17 @@ def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return sound.select(F.explode("records").alias("r")).select("r.*"), sound.select("file", "coverage", F.size("records").alias("records")), bad
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def pieces(text: pd.Series) -> pd.Series:
-    """Pieces of at most ``EVIDENCE_PIECE`` characters, ended at the last space of their second half if there is one."""
-
-    def cut(t: str | None) -> list[str]:
-        out, at = [], 0
-        while t and at < len(t):
-            end = min(at + EVIDENCE_PIECE, len(t))
-            space = t.rfind(" ", 0, end + 1) if end < len(t) else -1
-            end = space if space > at + EVIDENCE_PIECE / 2 else end
-            out.append(t[at:end].strip())
-            at = end
-        return out
-
-    return text.map(cut)
+@F.udf(ArrayType(StringType()), useArrow=False)
+def pieces(text: str | None) -> list[str]:
+    """Pieces of at most ``EVIDENCE_PIECE`` characters, ended at the last space of their second half if there is one. Row by row: the texts of a whole Arrow batch would have to fit in a worker."""
+    out, at = [], 0
+    while text and at < len(text):
+        end = min(at + EVIDENCE_PIECE, len(text))
+        space = text.rfind(" ", 0, end + 1) if end < len(text) else -1
+        end = space if space > at + EVIDENCE_PIECE / 2 else end
+        out.append(text[at:end].strip())
+        at = end
+    return out
 
 
 def _clean(text: Column) -> Column:

@@ -392,3 +392,17 @@ def test_labelled_contact_details(spark):
     assert {(r["class"], r.literal) for r in found.collect()} == {("phone", "3576380000"), ("address", "12milllanenorwick"), ("account", "0123456789"), ("phone", "0123456789")}
     assert textaudit.contacts(df(prose), "o", "t").count() == 0
     assert [r["class"] for r in textaudit.unsupported_contacts(found, textaudit.contacts(df(known), "o", "t"), "o").collect()] == ["address"]
+
+
+def test_whole_texts_go_to_workers_row_by_row(spark):
+    """No Arrow batch of whole texts is held by a worker that counts, decodes or cuts them."""
+    from ledgerloom.sources import readers
+
+    d = spark.createDataFrame([("## Need\na &amp; b",), (None,), ("x " * 900,)], "t string")
+    counted = d.select(textaudit.countable_text("t", F.lit("answers"), F.array(F.lit("Need"))).alias("x"))
+    decoded, cut = d.select(T.decode_entities("t").alias("x")), d.select(readers.pieces("t").alias("x"))
+    for df in (counted, decoded, cut):
+        assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.x for r in counted.collect()] == ["a &amp; b", "", "x " * 900]
+    assert [r.x for r in decoded.collect()] == ["## Need\na & b", None, "x " * 900]
+    assert [r.x and len(r.x) for r in cut.collect()] == [1, [], 2]
