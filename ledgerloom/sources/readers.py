@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -58,13 +60,13 @@ def markup_text(html: Column) -> Column:
 
 def _evidence(url: Column, *items) -> Column:
     """(label, text, url) of the items that say something: (label, text), or an array of such structs."""
-    parts = [F.array(F.when(_clean(i[1]) != "", F.struct(F.lit(i[0]).alias("label"), _clean(i[1]).alias("text")))) if isinstance(i, tuple) else i for i in items]
-    return F.transform(F.array_compact(F.concat(*parts)), lambda e: F.struct(e["label"].alias("label"), e["text"].alias("text"), url.alias("url")))
+    said = lambda own: F.filter(F.array(*[F.struct(F.lit(k).alias("label"), _clean(v).alias("text")) for k, v in own]), lambda e: e["text"] != "")  # noqa: E731  # each is cleaned once
+    parts = [said(own) if fields else F.concat(*own) for fields, own in ((k, list(g)) for k, g in itertools.groupby(items, lambda i: isinstance(i, tuple)))]
+    return F.transform(F.concat(*parts), lambda e: F.struct(e["label"].alias("label"), e["text"].alias("text"), url.alias("url")))
 
 
-def _long(label: str, text: Column) -> Column:
-    """A text as items of ``LONG_PIECE`` characters, numbered if there are several."""
-    whole = _clean(text)
+def _long(label: str, whole: Column) -> Column:
+    """A clean text, which is a column of its own as each piece reads it, as items of ``LONG_PIECE`` characters, numbered if there are several."""
     n = F.ceil(F.length(whole) / LONG_PIECE).cast("int")
     name = lambda k: F.when(n > 1, F.concat(F.lit(f"{label} ("), k.cast("string"), F.lit("/"), n.cast("string"), F.lit(")"))).otherwise(label)
     found = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(name(k).alias("label"), F.substring(whole, (k - 1) * LONG_PIECE + 1, F.lit(LONG_PIECE)).alias("text")))
@@ -89,18 +91,19 @@ def _over(deadline: Column, as_of: str) -> Column:
 def normalise_grants(raw: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """(notices, refused) of JSON text (column value) of a grants publisher: posted ones whose closing date is over are closed, all others need verification."""
     r = raw.select(F.from_json("value", GRANT_NOTICE).alias("r")).select("r.*")
+    r = r.withColumns({"_said": _clean(F.col("synopsis.synopsisDesc")), "_who": _clean(F.col("synopsis.applicantEligibilityDesc"))})
     c, said = F.col, lambda name: F.when(F.col(name).isNotNull(), F.to_json(name))
     url = F.concat(F.lit(GRANT_ROOT), c("id"))
     closes = F.coalesce("synopsis.responseDateStr", "synopsis.responseDate", "synopsis.closeDate", "closeDate")
     items = _evidence(
         url, ("Grants.gov opportunity ID", c("id")), ("Funding opportunity number", c("number")), ("Opportunity status", F.coalesce("oppStatus", F.lit("posted"))), ("Opportunity title", c("title")), ("Offering agency", F.coalesce("synopsis.agencyName", "agencyName")),
-        ("Agency code", c("synopsis.agencyCode")), _long("Opportunity description", c("synopsis.synopsisDesc")), _long("Applicant eligibility details", c("synopsis.applicantEligibilityDesc")), ("Applicant eligibility", said("synopsis.applicantTypes")),
+        ("Agency code", c("synopsis.agencyCode")), _long("Opportunity description", c("_said")), _long("Applicant eligibility details", c("_who")), ("Applicant eligibility", said("synopsis.applicantTypes")),
         ("Award floor", c("synopsis.awardFloor")), ("Award ceiling", c("synopsis.awardCeiling")), ("Cost sharing required", c("synopsis.costSharing")), ("Funding description link", c("synopsis.fundingDescLinkUrl")), ("Funding description link label", c("synopsis.fundingDescLinkDesc")),
         ("Funding instruments", said("synopsis.fundingInstruments")), ("Funding activity categories", said("synopsis.fundingActivityCategories")), ("Assistance Listing numbers", said("alnist")), ("Opportunity opening date", F.coalesce("synopsis.openingDate", "openDate")),
         ("Opportunity closing date", F.coalesce("synopsis.closeDate", "synopsis.responseDate", "closeDate")),
     )
     deadline = dates.publisher_date(closes)
-    described = F.coalesce(F.nullif(_clean(c("synopsis.synopsisDesc")), F.lit("")), F.concat_ws(" · ", "agencyName", "docType"))
+    described = F.coalesce(F.nullif(c("_said"), F.lit("")), F.concat_ws(" · ", "agencyName", "docType"))
     reason = F.when(c("id").isNull(), "detail_schema_changed").when((F.length(_clean(c("title"))) > 2000) | (F.length(_clean(c("number"))) > 300) | (F.length(described) > 60_000), "text_exceeds_contract")
     posted = F.lower(F.coalesce("oppStatus", F.lit("posted"))) == "posted"
     rows = r.select(

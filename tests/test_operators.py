@@ -406,3 +406,18 @@ def test_whole_texts_go_to_workers_row_by_row(spark):
     assert [r.x for r in counted.collect()] == ["a &amp; b", "", "x " * 900]
     assert [r.x for r in decoded.collect()] == ["## Need\na & b", None, "x " * 900]
     assert [r.x and len(r.x) for r in cut.collect()] == [1, [], 2]
+
+
+def test_grants_clean_each_text_once(spark):
+    """A long text is cleaned in a step of its own, not again for each of its pieces and uses."""
+    from ledgerloom.sources import readers
+
+    text = "a &amp; b " * 2400
+    d = spark.createDataFrame([(1, text), (2, " "), (3, None)], "k long, t string")
+    row = F.to_json(F.struct(F.col("k").cast("string").alias("id"), F.lit(" ").alias("title"), F.struct(F.col("t").alias("synopsisDesc")).alias("synopsis")))
+    ok, _ = readers.normalise_grants(d.select(row.alias("value")), "2024-01-03 00:00:00")
+    found = ok.select("source_key", "evidence")
+    assert found._jdf.queryExecution().analyzed().toString().count("synopsisDesc, ") <= 3 and found._jdf.queryExecution().optimizedPlan().toString().count("&amp;") <= 30
+    got = {r.source_key: [(e.label, len(e.text)) for e in r.evidence] for r in found.collect()}
+    assert [x for x in got["grants-gov:1"] if "description" in x[0]] == [("Opportunity description (1/2)", 10500), ("Opportunity description (2/2)", 3899)]
+    assert all([x[0] for x in got[f"grants-gov:{k}"]] == ["Grants.gov opportunity ID", "Opportunity status"] for k in (2, 3))
