@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lineage import cut
 
 # Weights of zones and roles, what a checkable sentence, a contrast and further sections add, and the floor of the verdict.
 ZONES = {"prose": 1.0, "list": 0.4, "table": 0.25, "field": 0.0, "identification": 0.0}
@@ -98,6 +99,9 @@ def offered(names: DataFrame, id_col: str) -> DataFrame:
 
 def aligned(found: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
     """(id, unit, zone, section, said, referent, begin, surface): each run's best name, where one holds the other's tokens, and the span that says it."""
+    held = names.groupBy(id_col).agg(F.array_distinct(F.flatten(F.collect_list("key"))).alias("_held"))  # of one document
+    # a run without a token of its document's names has no pair; those that have one are read twice, so they are kept
+    found = cut(found.join(held, id_col).where(F.arrays_overlap("tokens", "_held")).drop("_held"))
     tokens = names.select(id_col, "referent", "position", "lead", "key", F.explode("key").alias("token"))
     keyed = found.select(id_col, "unit", F.col("run.begin").alias("_at"), F.size("tokens").alias("_n"), F.explode("tokens").alias("token"))
     pairs = keyed.join(tokens, [id_col, "token"]).groupBy(id_col, "unit", "_at", "_n", "referent", "position", "lead", "key").agg(F.count("*").alias("_both"))
@@ -146,9 +150,9 @@ def mentions(documents: DataFrame, names: DataFrame, id_col: str, text_col: str)
 
     A mention survives if a placeholder could stand for its name without loss.
     """
-    rows = roles(aligned(runs(units(documents, id_col, text_col), id_col), offered(names, id_col), id_col))
-    others = rows.groupBy(id_col, "unit").agg(F.count_distinct("referent").alias("_names"))
-    rows = rows.join(others, [id_col, "unit"])
+    named = documents.join(names.select(id_col).distinct(), id_col, "left_semi")  # the others have no mention
+    rows = roles(aligned(runs(units(named, id_col, text_col), id_col), offered(names, id_col), id_col))
+    rows = rows.withColumn("_names", F.size(F.collect_set("referent").over(Window.partitionBy(id_col, "unit"))))  # of one sentence
     lead = F.expr(f"substring(said, greatest(1, begin - {CONTRAST_CHARS}), begin - greatest(1, begin - {CONTRAST_CHARS}))")
     rows = rows.withColumns({"number": F.col("said").rlike(NUMBER), "date": F.col("said").rlike(DATE), "causal": F.col("said").rlike(CAUSAL), "contrastive": (F.col("_names") > 1) & lead.rlike(CONTRAST)})
     base = _chosen("zone", ZONES)
