@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, release, row_key
+from .common import cut, discard, partitions, release, row_key, scratch, written
 from .components import components
 from .linededup import free
 
@@ -190,8 +190,8 @@ def by_group(rows: DataFrame, group: list[str], work, schema: str) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), *group).sortWithinPartitions(*group, "rep").mapInPandas(stream, schema)
 
 
-def trie(reps: DataFrame) -> DataFrame:
-    """(tree, key, rep, common) of all trees, sorted by tree and key: common is how many values a key shares with a neighbour in that order.
+def trie(reps: DataFrame, path: str) -> DataFrame:
+    """(tree, key, rep, common) of all trees, sorted by tree and key, written at a path: common is how many values a key shares with a neighbour in that order.
 
     Texts below a node stand together, so a key that shares nothing with its neighbours shares nothing with any, and is left out. The first and the last row of a
     partition, whose other neighbour is elsewhere, stay.
@@ -215,7 +215,7 @@ def trie(reps: DataFrame) -> DataFrame:
 
     rows = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("keys"), t * size + 1, F.lit(size)).alias("key")))).alias("k"))
     ordered = rows.select("k.tree", "k.key", "rep").repartitionByRange(partitions(reps.sparkSession), "tree", "key", "rep").sortWithinPartitions("tree", "key")
-    return cut(ordered.mapInPandas(compare, "tree int, key binary, rep long, common int"))
+    return written(ordered.mapInPandas(compare, "tree int, key binary, rep long, common int"), path)
 
 
 def links_at(rows: DataFrame, reps: DataFrame, depth: int, similarity: float) -> DataFrame:
@@ -244,12 +244,13 @@ def links_at(rows: DataFrame, reps: DataFrame, depth: int, similarity: float) ->
     return by_group(dealt, ["node", "_i", "_j"], work, "u long, v long, similarity double").where("u <> v")
 
 
-def candidates(reps: DataFrame, similarity: float, recall: float = RECALL) -> DataFrame:
-    """(u, v): links by sketch of all texts (rep, sketch, keys) that meet in the forest, climbed until the recall is reached."""
-    rows, found = trie(reps), None
+def candidates(reps: DataFrame, similarity: float, folder: str, recall: float = RECALL) -> DataFrame:
+    """(u, v): links by sketch of all texts (rep, sketch, keys) that meet in the forest, climbed until the recall is reached; read from a folder of written tables."""
+    rows, found = trie(reps, f"{folder}/trie"), None
     for depth in range(LONGEST, 0, -1):
         new = links_at(rows, reps, depth, similarity).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "similarity")
-        found = cut((new if found is None else found.unionByName(new)).groupBy("u", "v").agg(F.max("similarity").alias("similarity")))
+        found = written((new if found is None else found.unionByName(new)).groupBy("u", "v").agg(F.max("similarity").alias("similarity")), f"{folder}/{depth}")
+        discard(reps.sparkSession, f"{folder}/{depth + 1}")
         # one link a text, its closest: else a large group of near copies would speak for all
         close = found.where(F.col("similarity") >= similarity).groupBy("v").agg(F.max("similarity").alias("s"))
         p = 1 - F.pow(1 - F.pow(F.least("s", F.lit(1.0)), F.lit(depth)), F.lit(TREES))
@@ -334,15 +335,16 @@ def grouped(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHING
     head is the (unnamed, doc_id, row) of the component's least row by id, null ids last; null for texts without words. taken picks from rows with a doc_id
     those that are grouped: texts are not moved for it. What a step leaves behind is let go before the next, so that the disks need not hold all of them.
     """
-    spark = documents.sparkSession
+    spark, folder = documents.sparkSession, scratch(documents.sparkSession, "near")
     signed = cut(taken(sign(documents, n)))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("head")
     classes = signed.where("shingles > 0").groupBy("key").agg(F.min(F.struct("row", "sketch", "keys")).alias("r"), head, F.count("*").alias("copies"))
-    reps = cut(classes.select("key", F.col("r.row").alias("rep"), "r.sketch", "r.keys", "head", "copies"))
-    rows, named = cut(signed.select("row", "doc_id", "key")), cut(reps.select("key", "rep", "head", "copies"))
+    reps = written(classes.select("key", F.col("r.row").alias("rep"), "r.sketch", "r.keys", "head", "copies"), f"{folder}/pairs/reps")
+    rows, named = cut(signed.select("row", "doc_id", "key")), written(reps.select("key", "rep", "head", "copies"), f"{folder}/named")
     del signed, classes
     release(spark, WAIT)
-    links = components(candidates(reps.select("rep", "sketch", "keys"), similarity))
+    links = components(candidates(reps.select("rep", "sketch", "keys"), similarity, f"{folder}/pairs"))
+    discard(spark, f"{folder}/pairs")
     sizes = links.groupBy("component").agg(F.count("*").alias("size"))
     members = cut(links.join(sizes, "component").join(named.select(F.col("rep").alias("node"), "copies"), "node").select("component", "size", F.col("node").alias("rep"), "copies"))
     del reps, links, sizes

@@ -552,3 +552,25 @@ def test_near_copies_choose_documents_without_moving_texts(spark, tmp_path, monk
     signed = [x for x in plans if "sketch" in x and "MapInPandas" in x and "text" in x]
     assert len(signed) == 2 and all(x.index("Join Left") < x.index("MapInPandas") for x in signed)
     assert len(released) >= 2 * 4
+
+
+def test_rounds_of_components_take_few_tasks(spark):
+    """The driver keeps a record of every task, so a round reads its small table in few of them, however many partitions wrote it."""
+    from ledgerloom.llm.components import components
+
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, sc = {k: spark.conf.get(k) for k in held}, spark.sparkContext
+    chain = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(100, 101), (None, 7), (5, 5)], "u long, v long")
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    sc.setJobGroup("rounds", "rounds")
+    try:
+        got = {r.node: r.component for r in components(chain).collect()}
+        stages = {i for job in sc.statusTracker().getJobIdsForGroup("rounds") for i in sc.statusTracker().getJobInfo(job).stageIds}
+        tasks = sum(x.numCompletedTasks for x in map(sc.statusTracker().getStageInfo, stages) if x)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {**dict.fromkeys(range(1, 21), 1), 100: 100, 101: 100}
+    assert tasks < 1000
