@@ -1,7 +1,7 @@
 """Connected components by alternating star steps, for edges that no task and no driver has to hold.
 
 Each round is one job over a written table, which goes when the next one is there; what tells the end is observed while it is written. The driver keeps a
-record of every task it has run, so a round must not take more of them than it needs.
+record of every task it has run, so a round must not take more of them than it needs; what else a round leaves there goes before the next.
 """
 
 from __future__ import annotations
@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import discard, scratch, written
+from .common import discard, release, scratch, written
+
+#: Seconds that Spark gets to let go what a round leaves behind, twice.
+WAIT = 0.1
 
 
 def _each(rows: DataFrame, *pairs: tuple[str, str], names: tuple[str, str] = ("u", "v")) -> DataFrame:
@@ -35,6 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(new.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), f"{folder}/{step + 1}")
         discard(spark, f"{folder}/{step}")
         now, step = seen.get, step + 1
+        del large, new, seen
+        release(spark, WAIT)
         if now == last:
             break
         last = now

@@ -574,3 +574,16 @@ def test_rounds_of_components_take_few_tasks(spark):
             spark.conf.set(k, v)
     assert got == {**dict.fromkeys(range(1, 21), 1), 100: 100, 101: 100}
     assert tasks < 1000
+
+
+def test_rounds_of_components_let_go_what_they_leave(spark, monkeypatch):
+    """The driver holds records, broadcasts and plans of a round until its garbage is collected; each round's go before the next."""
+    from ledgerloom.llm import components as step
+
+    order = []
+    monkeypatch.setattr(step, "written", lambda df, path, f=step.written: order.append("written") or f(df, path))
+    monkeypatch.setattr(step, "release", lambda *_: order.append("released"), raising=False)
+    chain = spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    got = {r.node: r.component for r in step.components(chain).collect()}
+    assert got == dict.fromkeys(range(41), 0)
+    assert order[0] == "written" and order[1:] == ["written", "released"] * (len(order) // 2) and len(order) > 4
