@@ -166,3 +166,60 @@ def test_title_sql_decodes_as_the_query(duck):
     c.executemany("insert into pages values (?, ?)", [(k, f"<title>{t}</title>") for k, t in enumerate(titles)])
     want = {k: html.unescape(t.split("<")[0]) for k, t in enumerate(titles)}
     assert dict(c.execute(ORACLES["decoded_titles"]).fetchall()) == want
+
+
+def _pieced(seed, n):
+    """Texts of groups, made of a few long pieces in any order, so that runs branch, overlap and repeat; some are copies."""
+    rng = random.Random(seed)
+    pieces = [[f"p{k}w{i}" for i in range(rng.randrange(5, 45))] for k in range(7)]
+    texts = [[w for _ in range(rng.randrange(1, 6)) for w in (rng.choice(pieces) if rng.random() < 0.8 else [f"own{rng.getrandbits(60)}"])] for _ in range(n)]
+    rows = [(k, rng.choice(["g", "h"]), " ".join(x)) for k, x in enumerate(texts)]
+    return [*rows, *[(n + k, g, t) for k, (_, g, t) in enumerate(rows[:5])], (None, "g", rows[0][2]), (900, None, rows[0][2]), (901, "g", None), (902, "g", "")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shared_runs_against_all_pairs(spark, seed):
+    rows, least = _pieced(seed, 40), dedupe.RUN_CAP + 1
+    words = {k: (g, t.split()) for k, g, t in rows if None not in (k, g, t)}
+
+    def longest(x, y):
+        best, last = 0, [0] * (len(y) + 1)
+        for a in x:
+            last = [0] + [last[j] + 1 if a == b else 0 for j, b in enumerate(y)]
+            best = max(best, *last)
+        return best
+
+    windows = {k: {tuple(x[i : i + least]) for i in range(len(x) - least + 1)} for k, (_, x) in words.items()}
+    runs, partners = {}, {}
+    for k, (g, x) in words.items():
+        others = [j for j, (other, _) in words.items() if other == g and j != k]
+        n, worst = max((longest(x, words[j][1]), -j) for j in others)
+        if n >= least:
+            runs[k], partners[k] = (-worst, n, True), max(sum(w in windows[j] for j in others) for w in windows[k])
+    df = spark.createDataFrame(rows, "id long, grp string, text string").repartition(3)
+    assert {r.id: (r.worst_partner, r.longest_run, r.holds) for r in dedupe.longest_shared_run(df, "id", "grp", "text").collect()} == runs and len(runs) > 10
+    assert {r.id: r.partners for r in dedupe.shared_run_flags(df, "id", "grp", "text").collect()} == partners
+
+
+def _moved(spark):
+    """Rows that stages have written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    doubles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, doubles, None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("query", ["longest_shared_run", "shared_run_flags"])
+def test_only_windows_that_can_be_shared_are_moved(spark, query):
+    own = lambda k: [f"d{k}w{i}" for i in range(300)]
+    passage = [f"said{i}" for i in range(60)]
+    rows = [(k, "g", " ".join(own(k) + (passage if k < 2 else []) + own(-k))) for k in range(100)]
+    df, before = spark.createDataFrame(rows, "id long, grp string, text string"), _moved(spark)
+    assert {r.id for r in getattr(dedupe, query)(df, "id", "grp", "text").collect()} == {0, 1}
+    assert 0 < _moved(spark) - before < 0.3 * 100 * 575  # of 575 windows a text
+
+
+def test_asked_lines_are_made_plain_once(spark):
+    """Once a text, or once a form if they are a column: in no lambda over the text's lines."""
+    plan = spark.createDataFrame([("a", ["b"])], "t string, d array<string>").select(dedupe.without_lines(F.col("t"), F.col("d")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(lambda" in plan and "exists(filter(" not in plan
