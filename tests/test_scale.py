@@ -223,3 +223,26 @@ def test_asked_lines_are_made_plain_once(spark):
     """Once a text, or once a form if they are a column: in no lambda over the text's lines."""
     plan = spark.createDataFrame([("a", ["b"])], "t string, d array<string>").select(dedupe.without_lines(F.col("t"), F.col("d")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert "exists(lambda" in plan and "exists(filter(" not in plan
+
+
+def _market(spark, seed, users=40, n=60, rule=1500):
+    """Random members, opportunities of the same and of no time, and what rules pairs out; the newest opportunity is blocked for all."""
+    rng = random.Random(seed)
+    some = lambda *of: tuple(rng.choice(x) for x in of)
+    members = [(k, some("ab")[0], k % 2) for k in range(users)]
+    opportunities = [(k, some("abc")[0], *some(["g1", "g2", None], ["v1", "v2", None]), rng.random() < 0.8, rng.choice([None, 1.0, 2.0, 3.0])) for k in range(n)] + [(n, "a", "g1", "v1", True, 9.0), (n, "a", None, "v1", True, 9.0)]
+    blocked = [(u, n, r, "v1") for u, _, r in members] + [some(range(users), range(n), [0, 1], ["v1", "v2"]) for _ in range(rule)]
+    spent = [some(range(users), ["g1", "g2", None], [0, 1, None], ["v1", "v2", None]) for _ in range(30)]
+    matched = [(u, o, *some([0, 1, None], ["v1", "v2", None])) for u, o in {some(range(users), range(n)) for _ in range(rule)}]
+    fields = ("user_id long, kind string, revision int", "opportunity_id long, kind string, group_key string, group_version string, usable boolean, fetched_at double", "user_id long, opportunity_id long, revision int, group_version string")
+    tables = [spark.createDataFrame(rows, f) for rows, f in ((members, fields[0]), (opportunities, fields[1]), (blocked, fields[2]), (spent, "user_id long, group_key string, revision int, group_version string"), (matched, fields[2]))]
+    tables[0] = tables[0].select("user_id", F.array("kind").alias("opportunity_types"), "revision")
+    return tables
+
+
+def test_what_candidates_move_does_not_grow_with_pairs(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MEMBER_BLOCK", 2)
+    tables, before = _market(spark, 3, users=400, n=600), _moved(spark)
+    found = matching.candidates(*tables).select(F.count("*"), F.countDistinct("user_id")).first()
+    assert found[0] > 40_000 and found[1] == 400
+    assert _moved(spark) - before < 30_000  # of 400 opportunities in 100 blocks of members each
