@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import catalogue, ledger, matching, ops, qualify, textaudit, webcurate
 from .bindings import AS_OF, notices, pick, table
 from .catalogue_queries import ORACLES as CATALOGUE
-from .catalogue_queries import candidates
+from .catalogue_queries import candidate_tables
 
 
 def _evidence(n):
@@ -24,7 +24,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.newest(candidates(spark, sf_dir, ("fetched_at",))).select("user_id", "opportunity_id", "fetched_at")
+    return matching.newest_candidates(*candidate_tables(spark, sf_dir)).select("user_id", "opportunity_id", "fetched_at")
 
 
 def application_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,3 +246,14 @@ def test_what_candidates_move_does_not_grow_with_pairs(spark, monkeypatch):
     found = matching.candidates(*tables).select(F.count("*"), F.countDistinct("user_id")).first()
     assert found[0] > 40_000 and found[1] == 400
     assert _moved(spark) - before < 30_000  # of 400 opportunities in 100 blocks of members each
+
+
+@pytest.mark.parametrize("rule", [0, 1500, 40_000])
+def test_newest_candidates_pair_only_what_can_be_first(spark, monkeypatch, rule):
+    tables, seen, whole = _market(spark, rule, rule=rule), [], matching.candidates
+    want = [tuple(r) for r in matching.newest(whole(*tables, ("fetched_at",)), 7).collect()]
+    monkeypatch.setattr(matching, "candidates", lambda m, o, *more: seen.append(o.count()) or whole(m, o, *more))
+    got = [tuple(r) for r in matching.newest_candidates(*tables, 7).collect()]
+    key = lambda r: (r[5], r[1], r[0])
+    assert list(map(key, got)) == list(map(key, want)) and len(seen) == 1
+    assert rule or seen[0] < 25  # of 62
